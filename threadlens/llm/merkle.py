@@ -32,9 +32,9 @@ def _hex(value: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """The fingerprint string of a text. Null is empty; an empty text has one empty leaf."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    most = F.when(F.length(text) < SHORT, F.lit("(?s).{1,8}")).otherwise(F.lit("(?s).{1,80}"))
-    pieces = F.flatten(F.transform(F.split(text, CUT), lambda p: F.regexp_extract_all(p, most, F.lit(0))))
-    pieces = F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(pieces)
+    # two branches with constant patterns: a pattern that depends on the row would be compiled for each piece
+    cut = lambda n: F.flatten(F.transform(F.split(text, CUT), lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))))
+    pieces = F.when(F.length(text) == 0, F.array(F.lit(""))).when(F.length(text) < SHORT, cut(8)).otherwise(cut(80))
     # the hex of a leaf; a leaf that ends a section is followed by ";", others by "."
     marked = F.transform(
         F.transform(pieces, lambda p: F.xxhash64(p)),
