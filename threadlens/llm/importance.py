@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from threadlens.llm.shared import blocks, table, text_bytes, written
 
 PIECES = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
+_ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLOCKS = 32
 _COUNTS = ["block", "raw", "seen", "target"]
 _SCHEMA = "block int, raw binary, seen binary, target binary"
@@ -53,24 +54,23 @@ class Settings:
 def _grams(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of each text's n-grams, with the text's number. Words (with their beginnings, and one bucket
     for texts in which over a quarter of the words repeat the word before) and pairs have half the buckets each."""
-    parts = [PIECES.findall(t.lower()) for t in texts]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = [w for p in parts for w in p]
-    crc = zlib.crc32
-    words = np.fromiter(map(crc, flat), np.uint64, len(flat))
-    starts = np.fromiter((crc(w[:4], 1) for w in flat), np.uint64, len(flat))
-    half, odd = np.uint64(64 - bits), np.uint64(0x9E3779B97F4A7C15)
-    two = ((words[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[1:]) * odd) >> half
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    within = owner[:-1] == owner[1:]
-    same = np.bincount(owner[:-1], within & (words[:-1] == words[1:]), len(parts))
-    dull = np.flatnonzero(4 * same > sizes)
-    one = [np.maximum((h * odd) >> half, np.uint64(1)) for h in (words, starts)]
-    all_ = [*one, np.zeros(len(dull), np.uint64), two[within] + np.uint64(1 << bits)]
-    all_ = np.concatenate(all_).astype(np.int64)
-    owners = np.concatenate([owner, owner, dull, owner[:-1][within]])
-    both = np.unique((owners << (bits + 1)) | all_)
-    return both & ((2 << bits) - 1), both >> (bits + 1)
+    crc, half, found, sizes = zlib.crc32, np.uint64(64 - bits), [], []
+    for text in texts:  # short sorts, a text each
+        words = PIECES.findall(text.lower())
+        kinds = set(words)
+        h = np.fromiter(map(crc, words), np.uint64, len(words))
+        starts = np.fromiter((crc(w[:4], 1) for w in kinds), np.uint64, len(kinds))
+        two = ((h[:-1] * _ODD2 + h[1:]) * _ODD) >> half
+        one = np.maximum((np.concatenate([np.fromiter(map(crc, kinds), np.uint64, len(kinds)), starts]) * _ODD) >> half, np.uint64(1))
+        if 4 * np.count_nonzero(h[:-1] == h[1:]) > len(words):
+            one = np.append(one, np.uint64(0))
+        both = np.concatenate([one, two + np.uint64(1 << bits)])
+        both.sort()
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        found.append(both)
+        sizes.append(len(both))
+    grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return grams.astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
 
 
 def _count(labels, bits: int):
