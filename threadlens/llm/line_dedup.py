@@ -59,22 +59,24 @@ def units(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray,
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row_id, doc_id, text -> row_id, doc_id, n_chars, units."""
+    """row_id, doc_id, text -> row_id, doc_id, n_chars, n_words, n_units, units."""
     for batch in batches:
         texts = text_bytes(batch.column(2))
-        sizes, cols, chars = [], [[] for _ in _UNIT], []
+        sizes, cols, chars, words = [], [[] for _ in _UNIT], [], []
         for text in texts:
             parts, n, start, end, whole = units(text)
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
             for c, v in zip(cols, (np.arange(len(n)), digests[:, 0], digests[:, 1], n, start, end, whole), strict=True):
                 c.append(v)
             sizes.append(len(n))
+            words.append(int(n.sum()))
             chars.append(len(text) if text.isascii() else len(text.decode("utf-8", "replace")))
         flat = [pa.array(np.concatenate(c) if c else [], t) for c, (_, t) in zip(cols, _UNIT, strict=True)]
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, [k for k, _ in _UNIT]))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(chars, pa.int64()), listed], ["row_id", "doc_id", "n_chars", "units"]
+            [*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (chars, words, sizes)), listed],
+            ["row_id", "doc_id", "n_chars", "n_words", "n_units", "units"],
         )
 
 
@@ -118,7 +120,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = with_row_id(documents.select("doc_id", F.col("text").cast("string").alias("text")))
     scanned = rows.select("row_id", "doc_id", "text").mapInArrow(
-        _scan, f"row_id long, doc_id {kind}, n_chars long, units array<struct<{_UNIT_SQL.replace(' ', ':').replace(',:', ',')}>>"
+        _scan, f"row_id long, doc_id {kind}, n_chars long, n_words long, n_units long, units array<struct<{_UNIT_SQL.replace(' ', ':').replace(',:', ',')}>>"
     )
     scanned = written(scanned, "units")
     each = scanned.select("row_id", "doc_id", F.explode("units").alias("x")).select("row_id", "doc_id", "x.*")
@@ -135,8 +137,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         "row_id",
         "doc_id",
         "n_chars",
-        F.aggregate("units", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_words"),
-        F.size("units").cast("long").alias("n_units"),
+        "n_words",
+        "n_units",
         F.coalesce("n_gone", F.lit(0)).alias("n_gone"),
         F.coalesce("spans", none).alias("spans"),
     )
