@@ -22,7 +22,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.5)
     order = [F.desc("sim"), "vec_id"]
     own = F.when(F.col("template") == "", F.col("vec_id").cast("string")).otherwise(F.lit(""))
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("query_id", "template", own).orderBy(*order))).filter("r = 1")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")).filter(
         F.col("rank") <= k
     ).select("query_id", "rank", "vec_id", "sim")
 
