@@ -27,18 +27,19 @@ REACH, LINE_WORDS, RUN_WORDS = 3, 4, 20
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _UNIT = [
     ("u", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()),
-    ("start", pa.int32()), ("end", pa.int32()), ("whole", pa.bool_()),
+    ("start", pa.int32()), ("end", pa.int32()), ("edge", pa.int32()),
 ]
-_UNIT_SQL = "u int, h1 long, h2 long, n int, start int, end int, whole boolean"
+_UNIT_SQL = "u int, h1 long, h2 long, n int, start int, end int, edge int"
 
 
 def units(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised words joined, number of words, start, end (code points) and whole line? of each unit."""
+    """Normalised words joined, number of words, start, end (code points) and edge of each unit: 1 if it begins
+    a line, plus 2 if it ends one."""
     words = text.lower().split()
     n = len(words)
     if not n:
         none = np.zeros(0, np.int64)
-        return [], none, none, none, none.astype(bool)
+        return [], none, none, none, none
     raw = np.frombuffer(text, np.uint8)
     blank = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
@@ -55,7 +56,7 @@ def units(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray,
     first = np.concatenate([[0], last[:-1] + 1])
     begins = np.concatenate([[True], line[1:] != line[:-1]])
     parts = [b" ".join(words[a : b + 1]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    return parts, last - first + 1, point[start[first]], point[end[last]], begins[first] & new_line[last]
+    return parts, last - first + 1, point[start[first]], point[end[last]], begins[first] + 2 * new_line[last]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +65,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = text_bytes(batch.column(2))
         sizes, cols, chars, words = [], [[] for _ in _UNIT], [], []
         for text in texts:
-            parts, n, start, end, whole = units(text)
+            parts, n, start, end, edge = units(text)
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
-            for c, v in zip(cols, (np.arange(len(n)), digests[:, 0], digests[:, 1], n, start, end, whole), strict=True):
+            for c, v in zip(cols, (np.arange(len(n)), digests[:, 0], digests[:, 1], n, start, end, edge), strict=True):
                 c.append(v)
             sizes.append(len(n))
             words.append(int(n.sum()))
@@ -80,6 +81,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _whole_lines(run: list[dict]) -> list[dict]:
+    """Of consecutive units those that make up whole lines of enough words."""
+    out, line = [], []
+    for x in run:
+        line = [x] if x["edge"] & 1 else [*line, x] if line else []
+        if line and x["edge"] & 2:
+            if sum(y["n"] for y in line) >= LINE_WORDS:
+                out += line
+            line = []
+    return out
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row_id, repeated (units in order) -> row_id, spans that go, words that go."""
     for batch in batches:
@@ -93,7 +106,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     j += 1
                 run = found[i : j + 1]
                 if sum(x["n"] for x in run) < RUN_WORDS:
-                    run = [x for x in run if x["whole"] and x["n"] >= LINE_WORDS]
+                    run = _whole_lines(run)
                 last = None
                 for x in run:
                     if last is not None and x["u"] == last + 1:
@@ -128,7 +141,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     first = each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
     first = written(first.select("h1", "h2", F.col("first.row_id").alias("r0"), F.col("first.u").alias("u0")), "repeated")
     later = each.drop("doc_id").join(first, ["h1", "h2"]).filter("row_id != r0 or u != u0")
-    gone = later.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("u", "n", "start", "end", "whole"))).alias("repeated"))
+    gone = later.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("u", "n", "start", "end", "edge"))).alias("repeated"))
     gone = gone.select("row_id", "repeated").mapInArrow(
         _runs, "row_id long, spans array<struct<start:int,end:int>>, n_gone long"
     )
