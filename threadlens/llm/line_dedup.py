@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines and their parts.
 
-Lines are cut into units. Inside a line a unit ends behind a word whose hash is smaller than those of the ``REACH`` words on
-either side, so that cuts depend on the words nearby alone and a passage is cut alike in every line that holds it, but for a
+Lines are cut into units. Inside a line a unit ends behind a word whose hash is smaller than those of the line's ``REACH``
+words on either side, so that cuts depend on the words nearby alone and a passage is cut alike in every line that holds it, but for a
 few words at its ends. Units are normalised (ASCII case and white space), digested to 128 bits and grouped over all documents;
 the earliest occurrence of each digest, by doc_id and place, stays.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.shared import table, text_bytes, with_row_id, written
 
-REACH, LINE_WORDS, RUN_WORDS = 3, 4, 20
+REACH, LINE_WORDS, RUN_WORDS = 3, 5, 20
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _UNIT = [
     ("u", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()),
@@ -47,10 +47,11 @@ def units(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray,
     line = np.cumsum(raw == 10)[start]
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     h = np.fromiter(map(zlib.crc32, words), np.int64, n)
-    wide = np.concatenate([np.full(REACH, 1 << 40), h, np.full(REACH, 1 << 40)])
     least = np.ones(n, bool)
-    for k in range(1, REACH + 1):
-        least &= (h < wide[REACH - k : REACH - k + n]) & (h <= wide[REACH + k : REACH + k + n])
+    for k in range(1, min(REACH, n - 1) + 1):  # words of other lines don't count
+        other = line[k:] != line[:-k]
+        least[k:] &= (h[k:] < h[:-k]) | other
+        least[:-k] &= (h[:-k] <= h[k:]) | other
     new_line = np.concatenate([line[1:] != line[:-1], [True]])
     last = np.flatnonzero(least | new_line)
     first = np.concatenate([[0], last[:-1] + 1])
