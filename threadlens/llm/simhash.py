@@ -34,7 +34,7 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 @dataclass(frozen=True)
 class Settings:
-    """shingle: words in one. words64: fingerprint width in units of 64 bits. radius: differing bits of a link.
+    """shingle: words in one. distinct: each different shingle votes once, however often it repeats. words64: fingerprint width in units of 64 bits. radius: differing bits of a link.
     agreement: share of equal bits for which keys beyond radius 3 must reach ``recall``."""
 
     shingle: int = 3
@@ -43,11 +43,12 @@ class Settings:
     agreement: float = 0.85
     recall: float = 0.95
     shard_rows: int = 4096
+    distinct: bool = False
 
 
 #: Five words and a similarity of 0.8: sets as similar as that have shingle vectors at a cosine of 0.89, whose SimHash
 #: bits differ with probability 0.151: 38.7 of 256, with a standard deviation of 5.7.
-FIVE_WORDS = Settings(shingle=5, words64=4, radius=46, agreement=0.849, recall=0.95)
+FIVE_WORDS = Settings(shingle=5, words64=4, radius=46, agreement=0.849, recall=0.95, distinct=True)
 
 
 def _mixed(h: np.ndarray, step: int) -> np.ndarray:
@@ -69,7 +70,7 @@ def _votes(h: np.ndarray, words64: int) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, shingle: int = 3, words64: int = 1) -> np.ndarray:
+def fingerprint(text: bytes, shingle: int = 3, words64: int = 1, distinct: bool = False) -> np.ndarray:
     """The bits set in over half of the shingles' hashes, as words64 unsigned numbers; no words: all zero."""
     words = text.lower().split()
     if not words:
@@ -81,16 +82,18 @@ def fingerprint(text: bytes, shingle: int = 3, words64: int = 1) -> np.ndarray:
     last = ends[min(shingle, len(words)) - 1 :][:n]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
-    on = 2 * _votes(h, words64) > n
+    if distinct:
+        h = np.unique(h)
+    on = 2 * _votes(h, words64) > len(h)
     return np.packbits(on, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def _fingerprints(shingle: int, words64: int):
+def _fingerprints(shingle: int, words64: int, distinct: bool):
     """row_id, doc_id, text -> row_id, doc_id, fp (big-endian bytes, most significant number first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle, words64)[::-1].astype(">u8").tobytes() for t in text_bytes(batch.column(2))]
+            fps = [fingerprint(t, shingle, words64, distinct)[::-1].astype(">u8").tobytes() for t in text_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.binary())], ["row_id", "doc_id", "fp"])
 
     return run
@@ -327,7 +330,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     rows = with_row_id(documents.select("doc_id", F.col("text").cast("string").alias("text")))
     kind = documents.schema["doc_id"].dataType.simpleString()
     prints = rows.select("row_id", "doc_id", "text").mapInArrow(
-        _fingerprints(s.shingle, s.words64), f"row_id long, doc_id {kind}, fp binary"
+        _fingerprints(s.shingle, s.words64, s.distinct), f"row_id long, doc_id {kind}, fp binary"
     )
     prints = written(prints, "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
