@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import policy, retrieval, scores, threads
+from threadlens.operators import learning, policy, retrieval, scores, threads
 from threadlens.plans.dialect import CHECK, SPARK
 from threadlens.plans.shared_sql import enriched, lines, messages
 from threadlens.sources.tables import register, table
@@ -120,9 +120,23 @@ def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("check").agg(F.count("*").alias("n"))
 
 
+def tfidf_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = rows.select(F.col("doc_id").alias("id"), "text", F.col("quality").cast("double").alias("label"))
+    other = rows.filter("id % 4 = 0")
+    found = learning.tfidf_lr(rows.filter("id % 4 <> 0"), other).join(other.select("id", F.col("label").cast("int").alias("truth")), "id")
+    return scores.class_report(found, "truth", "predicted").select("class", *(F.round(c, 2).alias(c) for c in ("p", "r", "f1")), "support")
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return learning.topics(rows).groupBy("topic").agg(F.count("*").alias("n"))
+
+
 OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     exchange_pairs, thread_roots, anchored_replies, merged_messages, weak_outcome, reply_type, policy_decisions, topk_diverse,
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
+    tfidf_lr, topics,
 )}
 
 _c = CHECK
