@@ -141,3 +141,30 @@ def unit(vector: Column) -> Column:
     """A vector over its length; zero vectors stay."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     return F.transform(vector, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x / norm))
+
+
+def cell(text: Column, most: int | None = None) -> Column:
+    """Text for a cell of a report table: one line, bars escaped, cut at ``most`` characters."""
+    text = F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
+    return text if most is None else F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def odd_characters(text: Column) -> Column:
+    """Characters outside printable ASCII and the tab, each as U+ with its code."""
+    odd = F.regexp_extract_all(text, F.lit(r"([^\t\x20-\x7E])"), F.lit(1))
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 16)
+    return F.transform(odd, lambda c: F.concat(F.lit("U+"), F.when(F.length(code(c)) < 4, F.lpad(code(c), 4, "0")).otherwise(code(c))))
+
+
+def outer_json(text: Column) -> Column:
+    """From the first { to the last }; null where there is none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def rate_limit(message: Column, most: float = 1800.0) -> Column:
+    """(kind, wait) of an error message that reports a rate limit: tokens_per_day or tokens_per_minute with the seconds to
+    wait, a margin included; null otherwise."""
+    low, wait = F.lower(message), parse_wait(message)
+    daily = F.struct(F.lit("tokens_per_day").alias("kind"), (F.least(F.coalesce(wait, F.lit(900.0)), F.lit(most)) + 20).alias("wait"))
+    minute = F.struct(F.lit("tokens_per_minute").alias("kind"), (F.least(F.coalesce(wait, F.lit(70.0)), F.lit(300.0)) + 5).alias("wait"))
+    return F.when(low.contains("tokens per day"), daily).when(wait.isNotNull() | low.contains("rate limit"), minute)

@@ -35,7 +35,8 @@ def grams(text: Column, n: int = 4) -> Column:
 
 
 def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> DataFrame:
-    """id, max_sim: each other text's highest cosine with a training text, over binary n-grams that at most ``max_df`` of the
+    """id, best, max_sim: each other text's most similar training text (the least id of several; null for none) and their
+    cosine, over binary n-grams that at most ``max_df`` of the
     training texts have, weighted by inverse frequency. An inverted index joins on n-grams; the frequency bound keeps common
     ones out of it. Both: id, text."""
     t = train.select(F.col("id").alias("t_id"), F.explode(grams(F.col("text"))).alias("g"))
@@ -47,7 +48,9 @@ def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> D
     norm = lambda d, i: d.groupBy(i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{i}_norm"))
     dots = t.join(o.drop("w"), "g").groupBy("t_id", "o_id").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
     sims = dots.join(norm(t, "t_id"), "t_id").join(norm(o, "o_id"), "o_id")
-    best = sims.groupBy("o_id").agg(F.max(F.col("dot") / (F.col("t_id_norm") * F.col("o_id_norm"))).alias("s"))
+    likeness = F.col("dot") / (F.col("t_id_norm") * F.col("o_id_norm"))
+    each = sims.select("o_id", "t_id", F.round(likeness, 6).alias("s"))
+    best = each.groupBy("o_id").agg(F.max("s").alias("s"), F.max_by("t_id", F.struct("s", -F.col("t_id"))).alias("best"))
     return other.select(F.col("id").alias("o_id")).join(best, "o_id", "left").select(
-        F.col("o_id").alias("id"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("max_sim")
+        F.col("o_id").alias("id"), "best", F.coalesce("s", F.lit(0.0)).alias("max_sim")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import learning, policy, retrieval, scores, threads
+from threadlens.operators import context, learning, policy, respond, retrieval, scores, threads
 from threadlens.plans.dialect import CHECK, SPARK
 from threadlens.plans.shared_sql import enriched, lines, messages
 from threadlens.sources.tables import register, table
@@ -71,7 +71,33 @@ def topk_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     train, other = bench.filter("id % 2 = 0"), bench.filter("id % 2 = 1")
-    return retrieval.max_similarity(train, other).withColumn("eligible", F.col("max_sim") < 0.95)
+    return retrieval.max_similarity(train, other).drop("best").withColumn("eligible", F.col("max_sim") < 0.95)
+
+
+def benchmark_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = retrieval.max_similarity(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), items)
+    return found.select(F.col("id").alias("item_id"), F.col("best").alias("best_doc"), "max_sim")
+
+
+def context_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _view(spark, sf_dir, messages(SPARK), "m")
+    records = rows.filter("inbound").select(F.col("tweet_id").alias("record_id"), F.col("tweet_id").alias("first_id"), F.col("author").alias("customer"))
+    parts = threads.anchored(rows)
+    found = context.context_turns(rows, records, parts, threads.merged_replies(rows, parts), "brand")
+    return found.withColumn("text", F.md5("text"))
+
+
+def response_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drafts for each customer turn, both from the brand's phrases: the next turn's, and the one two turns on."""
+    rows = _view(spark, sf_dir, enriched(SPARK), "e")
+    asked = rows.filter("inbound").select(
+        F.col("tweet_id").alias("request_id"), (F.col("turn") % 7 == 0).alias("escalate"), F.lit("GENERAL_INFO").alias("reason"),
+        F.lit("policy").alias("trigger"), F.lit("low").alias("risk"), F.lit("").alias("reason_text"), F.col("phrase").alias("said"), F.col("phrase").alias("evidence"),
+    )
+    drafts = [rows.select((F.col("tweet_id") - i).alias("request_id"), F.lit(i).alias("attempt"), F.col("phrase").alias("draft")) for i in (1, 2)]
+    found = respond.respond(asked, drafts[0].unionByName(drafts[1]))
+    return found.groupBy("reason", "trigger", "draft_attempts", F.array_join("errors", "+").alias("errors")).agg(F.count("*").alias("n"))
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +162,7 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     exchange_pairs, thread_roots, anchored_replies, merged_messages, weak_outcome, reply_type, policy_decisions, topk_diverse,
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
-    tfidf_lr, topics,
+    tfidf_lr, topics, benchmark_leakage, context_turns, response_flow,
 )}
 
 _c = CHECK
@@ -207,6 +233,21 @@ OPERATOR_SQL: dict[str, str] = {
         p AS (SELECT q.vec_id AS query_id, c.vec_id, c.template, round(list_cosine_similarity(q.v, c.v), 6) AS sim FROM u q JOIN u c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         b AS (SELECT *, row_number() OVER (PARTITION BY query_id, template ORDER BY sim DESC, vec_id) AS r FROM p WHERE sim >= 0.1),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM b WHERE r = 1) SELECT query_id, rank, vec_id, sim FROM k WHERE rank <= 5""",
+    "context_turns": f"""WITH {messages(_c)}, c AS (SELECT a.tweet_id AS record_id, b.turn, b.role, b.created, b.text,
+            row_number() OVER (PARTITION BY a.tweet_id ORDER BY b.turn) AS rn, count(*) OVER (PARTITION BY a.tweet_id) AS n
+            FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 50 AND a.created - b.created <= 10080 WHERE a.inbound)
+        SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY turn) AS BIGINT) AS turn_no, CASE WHEN role = 'user' THEN 'customer' ELSE 'brand' END AS role,
+               created, md5(text) AS text, n > 3 AS truncated FROM c WHERE n <= 3 OR rn = 1 OR rn > n - 2""",
+    "benchmark_leakage": """WITH both_ AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        w AS (SELECT side, id, unnest([x for x in regexp_split_to_array(lower(text), '\\s+') if x <> '']) AS w FROM both_),
+        g AS (SELECT DISTINCT side, id, unnest([substr(' ' || w || ' ', i, 4) for i in range(1, greatest(2, len(w) + 2 - 2))]) AS g FROM w),
+        n AS (SELECT count(*) AS n FROM documents), df AS (SELECT g, count(*) AS df FROM g WHERE side = 0 GROUP BY g),
+        wt AS (SELECT g, ln((1 + n) / (1 + df)) + 1 AS w FROM df, n WHERE df <= 0.2 * n), x AS (SELECT side, id, g, w FROM g JOIN wt USING (g)),
+        nm AS (SELECT side, id, sqrt(sum(w * w)) AS nm FROM x GROUP BY side, id),
+        d AS (SELECT t.id AS t, o.id AS o, sum(t.w * o.w) AS dot FROM x t JOIN x o USING (g) WHERE t.side = 0 AND o.side = 1 GROUP BY ALL),
+        s AS (SELECT o, t, round(dot / (a.nm * b.nm), 6) AS s FROM d JOIN nm a ON a.id = t AND a.side = 0 JOIN nm b ON b.id = o AND b.side = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY s DESC, t) AS r FROM s)
+        SELECT item_id, t AS best_doc, coalesce(s, 0.0) AS max_sim FROM benchmark LEFT JOIN r ON item_id = o AND r = 1""",
     "near_duplicate_max": """WITH w AS (SELECT item_id AS id, unnest([x for x in regexp_split_to_array(lower(text), '\\s+') if x <> '']) AS w FROM benchmark),
         g AS (SELECT DISTINCT id, unnest([substr(' ' || w || ' ', i, 4) for i in range(1, greatest(2, len(w) + 2 - 2))]) AS g FROM w),
         n AS (SELECT count(*) AS n FROM benchmark WHERE item_id % 2 = 0), df AS (SELECT g, count(*) AS df FROM g WHERE id % 2 = 0 GROUP BY g),
