@@ -1,5 +1,6 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import dataclasses
 import hashlib
 import math
 import re
@@ -174,6 +175,34 @@ def test_simhash_fingerprint_and_odd_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1_000_000, 400])
+def test_five_words_link_isolated_pairs_by_exact_jaccard(spark, chunk):
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(240):  # the end of one text is other words in the second: n - 4 shingles of which k differ
+        n, j = int(rng.integers(60, 200)), (0.7, 0.75, 0.78, 0.79, 0.8, 0.81, 0.82, 0.85)[i % 8]
+        k = round((n - 4) * (1 - j) / (1 + j))
+        words = [f"p{i}w{x}" for x in range(n)]
+        texts += [" ".join(words), " ".join([*words[: n - k], *(f"q{i}w{x}" for x in range(k))])]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    s = dataclasses.replace(simhash.FIVE_WORDS, chunk=chunk)
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), s).collect()}
+    linked = [got[2 * i + 1] == 2 * i for i in range(240)]
+    assert not any(x for x, j in zip(linked, like, strict=True) if j < 0.8)
+    want = [x for x, j in zip(linked, like, strict=True) if j >= 0.8]
+    assert len(want) > 80 and sum(want) >= 0.95 * len(want)
+
+
+def test_exact_similarity_compares_all_chunks_of_a_group(spark):
+    words = [f"w{x}" for x in range(150)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]]), "s") for i in range(40)]
+    s = dataclasses.replace(simhash.FIVE_WORDS, chunk=400)
+    got = simhash.near_duplicates(docs(spark, rows + [(50, None, "s"), (51, "", "s"), (None, "one", "s"), (None, "one", "s")]), s).toPandas()
+    assert len(got) == 44 and set(got[got.doc_id < 40].component) == {0} and set(got[got.doc_id >= 50].component) == {50}
+    assert got[got.doc_id.isna()].component.isna().all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(edges, "a", "b").toPandas()

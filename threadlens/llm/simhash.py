@@ -6,7 +6,10 @@ members is looked up in it, following only edges within the radius. Links become
 
 Up to a radius of 3, keys are exact: the bits are cut into radius + 2 blocks, and any two fingerprints within the radius
 agree in two blocks at least, so each pair of blocks is a key. For larger radii no short exact cover exists; keys are
-then pseudo-random samples of bits, as many as give ``recall`` for a pair at the agreement named.
+then pseudo-random samples of bits, as many as give ``recall`` for a pair that differs in ``radius`` bits.
+
+With ``jaccard``, fingerprints only find candidates: all texts of a component of theirs are compared by their exact sets
+of shingles, and only pairs as similar as that are links.
 
 A shard's tree holds at most ``shard_rows`` rows: a key with more is cut into chunks, and each pair of chunks is a cell with
 the tree of one and the queries of both. A cell returns a spanning forest of the links it found, not all pairs, so no
@@ -35,20 +38,23 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 @dataclass(frozen=True)
 class Settings:
     """shingle: words in one. distinct: each different shingle votes once, however often it repeats. words64: fingerprint width in units of 64 bits. radius: differing bits of a link.
-    agreement: share of equal bits for which keys beyond radius 3 must reach ``recall``."""
+    recall: of pairs at the radius, where that is beyond 3. key_bits: least size of such keys. jaccard: of the distinct
+    shingles of a link; None: links are decided by the radius. chunk: shingles of a large component compared at once, about."""
 
     shingle: int = 3
     words64: int = 1
     radius: int = 2
-    agreement: float = 0.85
     recall: float = 0.95
+    key_bits: int = 16
     shard_rows: int = 4096
     distinct: bool = False
+    jaccard: float | None = None
+    chunk: int = 1_000_000
 
 
 #: Five words and a similarity of 0.8: sets as similar as that have shingle vectors at a cosine of 0.89, whose SimHash
-#: bits differ with probability 0.151: 38.7 of 256, with a standard deviation of 5.7.
-FIVE_WORDS = Settings(shingle=5, words64=4, radius=46, agreement=0.849, recall=0.95, distinct=True)
+#: bits differ with probability 0.151: 38.7 of 256, with a standard deviation of 5.7. The radius is 2.3 of these above.
+FIVE_WORDS = Settings(shingle=5, words64=4, radius=52, recall=0.95, key_bits=12, distinct=True, jaccard=0.8)
 
 
 def _mixed(h: np.ndarray, step: int) -> np.ndarray:
@@ -70,31 +76,54 @@ def _votes(h: np.ndarray, words64: int) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, shingle: int = 3, words64: int = 1, distinct: bool = False) -> np.ndarray:
-    """The bits set in over half of the shingles' hashes, as words64 unsigned numbers; no words: all zero."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The hash of each shingle in order; a text of fewer words is one shingle, one of none has none."""
     words = text.lower().split()
     if not words:
-        return np.zeros(words64, np.uint64)
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :][:n]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
-    if distinct:
-        h = np.unique(h)
+    return np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = 3, words64: int = 1, distinct: bool = False) -> np.ndarray:
+    """The bits set in over half of the shingles' hashes, as words64 unsigned numbers; no words: all zero."""
+    h = shingles(text, shingle)
+    return _fingerprint(np.unique(h) if distinct else h, words64)
+
+
+def _fingerprint(h: np.ndarray, words64: int) -> np.ndarray:
+    if not len(h):
+        return np.zeros(words64, np.uint64)
     on = 2 * _votes(h, words64) > len(h)
     return np.packbits(on, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def _fingerprints(shingle: int, words64: int, distinct: bool):
-    """row_id, doc_id, text -> row_id, doc_id, fp (big-endian bytes, most significant number first)."""
+def _fingerprints(shingle: int, words64: int, distinct: bool, exact: bool):
+    """row_id, doc_id, text, text_hash -> row_id, doc_id, fp (big-endian bytes, most significant number first); if exact,
+    text_hash, node (a digest of the set of shingles) and its size too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle, words64, distinct)[::-1].astype(">u8").tobytes() for t in text_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.binary())], ["row_id", "doc_id", "fp"])
+            fps, nodes, sizes = [], [], []
+            for t in text_bytes(batch.column(2)):
+                h = shingles(t, shingle)
+                if distinct or exact:
+                    once = np.unique(h)
+                    h = once if distinct else h
+                if exact:
+                    nodes.append(xxhash.xxh3_128_digest(once.tobytes()))
+                    sizes.append(len(once))
+                fps.append(_fingerprint(h, words64)[::-1].astype(">u8").tobytes())
+            cols, names = [*batch.columns[:2], pa.array(fps, pa.binary())], ["row_id", "doc_id", "fp"]
+            if exact:
+                cols += [batch.column(3), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())]
+                names += ["text_hash", "node", "size"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -106,8 +135,10 @@ def _key_bits(s: Settings, distinct: int) -> list[np.ndarray]:
         parts = np.array_split(np.arange(width), s.radius + 2)
         return [np.concatenate(pair) for pair in combinations(parts, 2)]
     # keys grow with the number of fingerprints, so that chance leaves about as many rows in a shard at every size
-    size = max(16, math.ceil(math.log2(max(2, distinct))) - 6)
-    number = math.ceil(math.log(1 - s.recall) / math.log1p(-(s.agreement**size)))
+    size = max(s.key_bits, math.ceil(math.log2(max(2, distinct))) - 6)
+    # that none of a key's positions, drawn without replacement, is one of the radius that differ
+    agree = math.prod((width - s.radius - i) / (width - i) for i in range(size))
+    number = math.ceil(math.log(1 - s.recall) / math.log1p(-agree))
     rng = np.random.default_rng(SEED)
     return [np.sort(rng.permutation(width)[:size]) for _ in range(number)]
 
@@ -127,7 +158,7 @@ def _keys(key_bits: list[np.ndarray]):
                     packed = np.packbits(bits[:, at], axis=1)
                     padded = np.zeros((len(part), -(-packed.shape[1] // 8) * 8), np.uint8)
                     padded[:, : packed.shape[1]] = packed
-                    key = np.full(len(part), i + 1, np.uint64)
+                    key = _mixed(np.full(len(part), i + 1, np.uint64), _MIX[1])  # short keys of two numbers stay apart
                     for number in padded.view("<u8").T:
                         key = _mixed(key ^ number, _MIX[0])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part, pa.binary())], ["key", "fp"])
@@ -136,7 +167,11 @@ def _keys(key_bits: list[np.ndarray]):
 
 
 def _distance(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64)
+    differ = np.bitwise_count(fps[a] ^ fps[b])
+    far = differ[:, 0].astype(np.int64)
+    for column in differ.T[1:]:
+        far += column
+    return far
 
 
 class Forest:
@@ -175,8 +210,10 @@ class Forest:
             self.edge, self.child = (p * 1024 + d)[order], c[order]
         else:
             self.edge, self.child = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.label = self.edge % 1024
+        self.first = np.searchsorted(self.edge, np.arange(len(fps) + 1) * 1024, "left")
 
-    def within(self, queries: np.ndarray, roots: np.ndarray, radius: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def within(self, queries: np.ndarray, roots: np.ndarray, radius: int, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node) at the radius or less; a stack of bounded frontiers."""
         stack = [(queries[a : a + most // 8], roots[a : a + most // 8]) for a in range(0, len(queries), most // 8)]
         while stack:
@@ -188,13 +225,20 @@ class Forest:
             far = _distance(self.fps, query, node)
             hit = far <= radius
             yield query[hit], node[hit]
-            low = np.searchsorted(self.edge, node * 1024 + np.maximum(far - radius, 0), "left")
-            high = np.searchsorted(self.edge, node * 1024 + np.minimum(far + radius, 1023), "right")
+            if radius > 3:  # few children are out of reach: read all, then drop those
+                low, high = self.first[node], self.first[node + 1]
+            else:
+                low = np.searchsorted(self.edge, node * 1024 + np.maximum(far - radius, 0), "left")
+                high = np.searchsorted(self.edge, node * 1024 + np.minimum(far + radius, 1023), "right")
             n = high - low
             total = int(n.sum())
             if total:
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(total)
-                stack.append((np.repeat(query, n), self.child[at]))
+                query = np.repeat(query, n)
+                if radius > 3:
+                    near = np.abs(self.label[at] - np.repeat(far, n)) <= radius
+                    query, at = query[near], at[near]
+                stack.append((query, self.child[at]))
 
 
 def _root(parent: np.ndarray) -> np.ndarray:
@@ -216,7 +260,7 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _root(parent)
 
 
-def _links(radius: int, words64: int, most: int = 200_000):
+def _links(radius: int, words64: int, most: int = 100_000):
     """cell, query, fp ordered by cell -> fp, other: a spanning forest of each cell's links.
 
     Rows with query = false are in the cell's tree and are queries too, those with true only queries."""
@@ -319,6 +363,91 @@ def components(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _similar(cells: list[int], sets: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """The root of each set: unions of all pairs within a cell whose Jaccard is high enough. Equal cells are neighbours."""
+    parent, cell = np.arange(len(sets)), np.array(cells, np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a == 1:
+            continue
+        sizes = np.array([len(x) for x in sets[a:b]])
+        token = np.unique(np.concatenate(sets[a:b]), return_inverse=True)[1]
+        owner = np.repeat(np.arange(b - a), sizes)[np.argsort(token, kind="stable")]  # by token, then set
+        first = np.concatenate([[0], np.cumsum(np.bincount(token))])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for i in range(1, b - a):
+            t = token[ends[i] : ends[i + 1]]
+            n = first[t + 1] - first[t]
+            total = int(n.sum())
+            if total == len(t):
+                continue  # none of its shingles is in another set
+            at = np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(total)
+            both = np.bincount(owner[at], minlength=b - a)[:i]
+            hit = np.flatnonzero((both > 0) & (both >= jaccard * (sizes[:i] + sizes[i] - both) - 1e-9)) + a
+            hit = hit[parent[hit] != parent[a + i]]
+            if len(hit):
+                parent[a:b] = _join(parent[a:b] - a, np.full(len(hit), i), hit - a) + a
+    return parent
+
+
+def _exact(shingle: int, jaccard: float, most: int = 2_000_000):
+    """cell, node, text ordered by cell -> node, other: a spanning forest of the links in each cell."""
+
+    def solve(cells: list[int], nodes: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+        parent = _similar(cells, sets, jaccard)
+        out = np.flatnonzero(parent != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([nodes[i] for i in out], pa.binary()), pa.array([nodes[i] for i in parent[out]], pa.binary())], ["node", "other"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, held = None, set(), 0
+        cells, nodes, sets = [], [], []
+        for batch in batches:
+            for cell, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                if cell != last:
+                    if held > most:
+                        yield solve(cells, nodes, sets)
+                        cells, nodes, sets, held = [], [], [], 0
+                    last, seen = cell, set()
+                if node in seen:
+                    continue
+                h = np.unique(shingles(text, shingle))
+                if xxhash.xxh3_128_digest(h.tobytes()) == node:
+                    seen.add(node)
+                    cells.append(cell)
+                    nodes.append(node)
+                    sets.append(h)
+                    held += len(h)
+        if nodes:
+            yield solve(cells, nodes, sets)
+
+    return run
+
+
+def _verified(rows: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """node, other: edges that connect all nodes of a candidate component with exact similarity, directly or in steps.
+
+    rows: doc_id, text. nodes: node, size, root of its candidate component, some (doc_id and text_hash of a row of it).
+    A component of over s.chunk shingles is cut into chunks, and each pair of chunks is a cell."""
+    sums = nodes.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter("n > 1")
+    sums = sums.select("root", F.greatest(F.lit(1), F.ceil(F.col("size") / s.chunk)).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    asked = nodes.drop("size").join(sums, "root").select("node", "root", "some", "chunks", own.alias("own"))
+    asked = written(asked, "asked").alias("a")
+    texts = rows.withColumn("text_hash", F.xxhash64("text")).alias("t")
+    same = (F.col("t.text_hash") == F.col("a.some.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("a.some.doc_id"))
+    cells = asked.join(texts, same).select("node", "root", "own", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+    cells = cells.select(F.xxhash64("root", F.least("own", "c"), F.greatest("own", "c")).alias("cell"), "node", "text")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        cells.repartition(n, "cell")
+        .sortWithinPartitions("cell")
+        .mapInArrow(_exact(s.shingle, s.jaccard), "node binary, other binary")
+        .distinct()
+    )
+
+
 def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """row_id, doc_id, fp, component: the least doc_id among all rows that links reach from this one, itself included.
 
@@ -326,11 +455,12 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     fingerprint. Null doc_ids count as larger than any other; a component of nulls has a null id. Other columns are
     ignored.
     """
-    s = settings
-    rows = with_row_id(documents.select("doc_id", F.col("text").cast("string").alias("text")))
+    s, exact = settings, settings.jaccard is not None
+    texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    prints = rows.select("row_id", "doc_id", "text").mapInArrow(
-        _fingerprints(s.shingle, s.words64, s.distinct), f"row_id long, doc_id {kind}, fp binary"
+    prints = with_row_id(texts).select("row_id", "doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _fingerprints(s.shingle, s.words64, s.distinct, exact),
+        f"row_id long, doc_id {kind}, fp binary" + (", text_hash long, node binary, size long" if exact else ""),
     )
     prints = written(prints, "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -338,9 +468,17 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     of = written(of.select(F.col("node").alias("fp"), "root"), "roots")
     known = distinct.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     known = written(known, "known")
+    by = "fp"
+    if exact:
+        by, some = "node", F.min(F.struct("doc_id", "text_hash")).alias("some")
+        nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least"), some)
+        nodes = written(nodes.join(known.select("fp", "root"), "fp").drop("fp"), "nodes")
+        of = components(_verified(texts, nodes.drop("least"), s), "node", "other")
+        known = nodes.select("node", "least").join(written(of, "exact-roots"), "node", "left")
+        known = written(known.select("node", F.coalesce("root", "node").alias("root"), "least"), "exact-known")
     ids = written(known.groupBy("root").agg(F.min("least").alias("component")), "ids")
-    of = written(known.join(ids, "root").select("fp", "component"), "components")
-    return prints.join(of, "fp").select("row_id", "doc_id", "fp", "component")
+    of = written(known.join(ids, "root").select(by, "component"), "components")
+    return prints.join(of, by).select("row_id", "doc_id", "fp", "component")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
