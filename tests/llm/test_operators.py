@@ -271,6 +271,18 @@ def test_line_dedup_keeps_the_first(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_removes_short_lines_that_repeat_as_lines(spark):
+    own = [" ".join(f"d{i}w{x}" for x in range(12)) for i in range(30)]
+    rows = [(i, f"Home\n{own[i]} sign off\nTerms  of é use\n{own[i][::-1]}\nhome", "s") for i in range(29)]
+    rows.append((29, f"sign off\n{own[29]}\nterms of é use", "s"))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    gone = {i: [rows[i][1][s["start"] : s["end"]] for s in got[i].spans] for i in got}
+    assert gone[0] == ["home"] and got[0].n_gone == 1
+    assert all(gone[i] == ["Home", "Terms  of é use", "home"] and got[i].n_gone == 6 for i in range(1, 29))
+    assert gone[29] == ["terms of é use"] and got[29].n_gone == 4
+    assert all(got[i].n_words == len(rows[i][1].split()) for i in got)
+
+
 def test_merkle_finds_the_next_and_edits(spark):
     rows = [(i * i, f"Doc {i}. " + " ".join(f"Sentence {i} {j}, more." for j in range(i % 9)), "s") for i in range(1200)] + [(4, "dup", "s"), (None, "null id", "s"), (7, None, "s"), (8, "", "s")]
     got = merkle.with_next(docs(spark, rows)).withColumn("e", merkle.edited(F.col("text"), F.col("next_text"))).collect()

@@ -5,9 +5,10 @@ words on either side, so that cuts depend on the words nearby alone and a passag
 few words at its ends. Units are normalised (ASCII case and white space), digested to 128 bits and grouped over all documents;
 the earliest occurrence of each digest, by doc_id and place, stays.
 
-Later occurrences are removed where they are whole lines of at least ``LINE_WORDS`` words, or stand in an unbroken run of
-repeated units with at least ``RUN_WORDS`` words; shorter repeats of parts of lines are chance and stay. Removed spans
-are offsets in the original text.
+Later occurrences are removed where they make up whole lines of at least ``LINE_WORDS`` words, or stand in an unbroken run
+of repeated units with at least ``RUN_WORDS`` words; shorter repeats of parts of lines are chance and stay. Shorter lines
+are digested whole besides, and removed where the same line stands earlier; being a part of a longer one isn't enough.
+Removed spans are offsets in the original text.
 """
 
 from __future__ import annotations
@@ -60,21 +61,35 @@ def units(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray,
     return parts, last - first + 1, point[start[first]], point[end[last]], begins[first] + 2 * new_line[last]
 
 
+def _short_lines(parts: list[bytes], n: np.ndarray, start: np.ndarray, end: np.ndarray, edge: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Lines of under LINE_WORDS words: their words behind a line feed, which no unit has; and by row u, words, start, end,
+    edge: 4 plus the number of their units, which follow from u on."""
+    first, last = np.flatnonzero(edge & 1), np.flatnonzero(edge & 2)
+    words = np.add.reduceat(n, first) if len(first) else n
+    short = words < LINE_WORDS
+    first, last = first[short], last[short]
+    lines = [b"\n" + b" ".join(parts[a : b + 1]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    return lines, np.stack([first, words[short], start[first], end[last], last - first + 5])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row_id, doc_id, text -> row_id, doc_id, n_chars, n_words, n_units, units."""
     for batch in batches:
         texts = text_bytes(batch.column(2))
-        sizes, cols, chars, words = [], [[] for _ in _UNIT], [], []
+        sizes, listed_sizes, cols, chars, words = [], [], [[] for _ in _UNIT], [], []
         for text in texts:
             parts, n, start, end, edge = units(text)
-            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
-            for c, v in zip(cols, (np.arange(len(n)), digests[:, 0], digests[:, 1], n, start, end, edge), strict=True):
+            lines, more = _short_lines(parts, n, start, end, edge)
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, [*parts, *lines])), "<i8").reshape(-1, 2)
+            both = [np.concatenate(x) for x in zip((np.arange(len(n)), n, start, end, edge), more, strict=True)]
+            for c, v in zip(cols, (both[0], digests[:, 0], digests[:, 1], *both[1:]), strict=True):
                 c.append(v)
             sizes.append(len(n))
+            listed_sizes.append(len(n) + len(lines))
             words.append(int(n.sum()))
             chars.append(len(text) if text.isascii() else len(text.decode("utf-8", "replace")))
         flat = [pa.array(np.concatenate(c) if c else [], t) for c, (_, t) in zip(cols, _UNIT, strict=True)]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        offsets = pa.array(np.concatenate([[0], np.cumsum(listed_sizes)]), pa.int32())
         listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, [k for k, _ in _UNIT]))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (chars, words, sizes)), listed],
@@ -99,8 +114,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, gone = [], []
         for found in batch.column(1).to_pylist():
-            out: list[list[int]] = []
-            words = i = 0
+            lines = [x for x in found if x["edge"] > 4]
+            found = [x for x in found if x["edge"] < 4]
+            goes: dict[int, dict] = {}
+            i = 0
             while i < len(found):
                 j = i
                 while j + 1 < len(found) and found[j + 1]["u"] == found[j]["u"] + 1:
@@ -108,14 +125,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = found[i : j + 1]
                 if sum(x["n"] for x in run) < RUN_WORDS:
                     run = _whole_lines(run)
-                last = None
-                for x in run:
-                    if last is not None and x["u"] == last + 1:
-                        out[-1][1] = x["end"]
-                    else:
-                        out.append([x["start"], x["end"]])
-                    last, words = x["u"], words + x["n"]
+                goes |= {x["u"]: x | {"last": x["u"]} for x in run}
                 i = j + 1
+            for x in lines:
+                last = x["u"] + x["edge"] - 5
+                for u in range(x["u"], last + 1):
+                    goes.pop(u, None)
+                goes[x["u"]] = x | {"last": last}
+            out: list[list[int]] = []
+            words, last = 0, None
+            for u, x in sorted(goes.items()):
+                if last is not None and u == last + 1:
+                    out[-1][1] = x["end"]
+                else:
+                    out.append([x["start"], x["end"]])
+                last, words = x["last"], words + x["n"]
             spans.append([{"start": a, "end": b} for a, b in out])
             gone.append(words)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
