@@ -136,17 +136,60 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(none, folder).count() == 0
 
 
+def brute_pii(text):
+    """kind, start, end of the base kinds, by the contract's patterns as they are written there."""
+    digits = lambda t: [int(c) for c in t if c in "0123456789"]
+    luhn = lambda d: sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d[::-1])) % 10 == 0
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(len(p.lstrip("0")) < 4 and int("0" + p.lstrip("0")) <= 255 for p in t.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda t: 13 <= len(digits(t)) <= 19 and luhn(digits(t))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= len(digits(t)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
+
+
+def base_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", pii.base_spans("text").alias("b"))
+    got = {r.doc_id: [(x["kind"], x["start"], x["end"]) for x in r.b] for r in rows.collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_pii_base_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    parts = ["a@b.c", "_d@e.f", "@", ".", "+", "-", " ", "1", "22", "300", "1.2.3.4", "256.1.1.1", "007.1.1.1", "4111 1111-1111 1111", "+1 (415) 555-0100", "é", "😀", "x", "\n", "0", "(", ")", "%"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 40)))) for _ in range(3000)]
+    texts += ["", "a@b.c_d@e.f", "a@b@c.d", "a@b.c.@d.e", "1.2.3.4.5.6.7.8", "1  2345678901234", "a@b.co 😀 " * 700]
+    assert base_of(spark, texts) == [brute_pii(t) for t in texts]
+
+
+def test_pii_takes_very_long_runs(spark):
+    n = 1_000_000
+    texts = ["1" * n, "a@b" + ".c" * n, "+1" + " (0" * n, "q" * n + " @", "q" * n + "@a.b", "1." * n, "1-" * n, "[" * n, "password=" + "a😀" * n, "x[at]y" + ".c" * n]
+    ips = [("ip", 8 * i, 8 * i + 7) for i in range(n // 4)]
+    assert base_of(spark, texts) == [[], [("email", 0, 3 + 2 * n)], [], [], [("email", 0, n + 4)], ips, [], [], [], []]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").filter("doc_id != 5")
+    assert pii.with_spans(d, pii.Model([], dict.fromkeys(pii.MORE, -1.0))).select(F.sum(F.size("personal_data.added"))).first()[0] >= 2
+
+
 def test_pii_finds_and_redacts(spark):
     text = "é mail a.b@c.org, ip 10.0.0.255 not 1.2.3.999, card 4111 1111 1111 1111, call +1 (415) 555-0100. token = \"3cc5bae26c8b023b54407fd70949d250e41389c4\" on 2021-04-13"
-    d = docs(spark, [(1, text, "s"), (2, None, "s"), (3, "", None), (4, LONG, "s"), (1, text, "s")])
-    rows = pii.with_spans(d).withColumn("clean", pii.redacted(F.coalesce("text", F.lit("")), F.concat("base", "added"))).collect()
-    assert [x["kind"] for x in rows[0]["base"]] == ["email", "ip", "card", "phone"]
-    assert all(text[x["start"] : x["end"]] == x["found"] for r in rows if r.doc_id == 1 for x in [*r["base"], *r["added"]])
-    assert [x["kind"] for x in rows[0]["added"]] == ["secret"]
-    clean = rows[0]["clean"]
+    many = "é x.y@z.org 😀 " * 900  # more than a block
+    d = docs(spark, [(1, text, "s"), (2, None, "s"), (3, "", None), (4, LONG, "s"), (1, text, "s"), (5, many, "s")])
+    d = d.withColumn("added", F.lit(7)).withColumn("found", F.lit("y"))
+    model = pii.fit(spark)
+    rows = pii.with_spans(d, model)
+    rows = rows.withColumn("clean", pii.redacted("coalesce(text, '')", "concat(personal_data.base, personal_data.added)")).collect()
+    by = {r.doc_id: r for r in rows}
+    assert [x["kind"] for x in by[1].personal_data.base] == ["email", "ip", "card", "phone"] and all(r.added == 7 and r.base == "x" for r in rows)
+    assert all(text[x["start"] : x["end"]] == x["found"] for r in rows if r.doc_id == 1 for x in [*r.personal_data.base, *r.personal_data.added])
+    assert [x["kind"] for x in by[1].personal_data.added] == ["secret"]
+    clean = by[1].clean
     assert "[EMAIL]" in clean and "555" not in clean and "2021-04-13" in clean and "1.2.3.999" in clean
-    assert rows[1]["clean"] == "" and rows[3]["clean"] == LONG
-    assert pii.with_spans(empty(spark)).count() == 0
+    assert by[2].clean == "" and by[4].clean == LONG and by[5].clean == "é [EMAIL] 😀 " * 900
+    assert pii.with_spans(empty(spark), model).count() == 0
+    with pytest.raises(ValueError):
+        pii.with_spans(d, model, "source")
 
 
 @pytest.mark.parametrize(("radius", "rows"), [(2, 4096), (2, 4), (3, 8)])

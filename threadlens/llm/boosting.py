@@ -5,9 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 @dataclass
 class Node:
@@ -22,20 +19,18 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: int) -
     node = Node(value=float(g.sum() / (h.sum() + 1.0)))
     if depth == 0 or len(x) < 2 * least:
         return node
-    best = 1e-6
-    own = g.sum() ** 2 / (h.sum() + 1.0)
+    best, all_g, all_h = 1e-6, g.sum(), h.sum()
+    own = all_g**2 / (all_h + 1.0)
+    n_low = np.arange(1, len(x))
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        if len(values) > 32:
-            values = np.unique(np.quantile(values, np.linspace(0, 1, 33)))
-        for cut in (values[:-1] + values[1:]) / 2:
-            low = x[:, f] <= cut
-            n = int(low.sum())
-            if least <= n <= len(x) - least:
-                gl, hl = g[low].sum(), h[low].sum()
-                gain = gl**2 / (hl + 1.0) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1.0) - own
-                if gain > best:
-                    best, node.feature, node.cut = gain, f, float(cut)
+        order = np.argsort(x[:, f], kind="stable")
+        v = x[order, f]
+        gl, hl = np.cumsum(g[order])[:-1], np.cumsum(h[order])[:-1]
+        gain = gl**2 / (hl + 1.0) + (all_g - gl) ** 2 / (all_h - hl + 1.0) - own
+        gain[(v[1:] == v[:-1]) | (n_low < least) | (n_low > len(x) - least)] = -np.inf
+        i = int(np.argmax(gain))
+        if gain[i] > best:
+            best, node.feature, node.cut = gain[i], f, float((v[i] + v[i + 1]) / 2)
     if node.feature >= 0:
         low = x[:, node.feature] <= node.cut
         node.low = _grow(x[low], g[low], h[low], depth - 1, least)
@@ -69,15 +64,12 @@ def predict(trees: list[Node], x: np.ndarray) -> np.ndarray:
     return sum((_apply(t, x) for t in trees), np.zeros(len(x)))
 
 
-def expression(trees: list[Node], features: list[Column]) -> Column:
-    """The log odds as an expression over feature columns."""
+def expression(trees: list[Node], features: list[str]) -> str:
+    """SQL: the log odds over SQL for the features."""
 
-    def of(node: Node) -> Column:
+    def of(node: Node) -> str:
         if node.feature < 0:
-            return F.lit(node.value)
-        return F.when(features[node.feature] <= F.lit(node.cut), of(node.low)).otherwise(of(node.high))
+            return f"double('{node.value!r}')"
+        return f"case when {features[node.feature]} <= double('{node.cut!r}') then {of(node.low)} else {of(node.high)} end"
 
-    out = F.lit(0.0)
-    for tree in trees:
-        out = out + of(tree)
-    return out
+    return " + ".join(map(of, trees)) or "double(0)"

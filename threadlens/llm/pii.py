@@ -3,10 +3,10 @@
 Generators with high recall propose spans: the four base kinds by their fixed patterns, and further kinds (numbers in
 groups, secrets, bank accounts, spelled-out mail addresses) that often are something else. Boosted trees score the further
 candidates from features of their format and of the text around them; a candidate is redacted if it reaches its kind's
-threshold, calibrated on held-out rows, and doesn't overlap a base span. Base spans always stay.
+threshold. They are looked for in what base spans leave of a text. Base spans always stay.
 
-The trees are fitted once in a process on TRAINING_ROWS synthetic sentences, made by a rule from templates of both labels
-in which digits and letters vary; a quarter is held out for the thresholds.
+The trees are fitted on TRAINING_ROWS synthetic sentences, made by a rule from templates of both labels in which digits
+and letters vary; thresholds are calibrated on templates that were held out.
 """
 
 from __future__ import annotations
@@ -18,140 +18,174 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import boosting
-from threadlens.llm.shared import table
+from threadlens.llm.shared import fresh, own_columns, table
 
 TRAINING_ROWS = 4000
+FOLDS = 5
 PRECISION = 0.99
 AROUND = 24
+#: Spans that are placed, or pieces of text that are cut, one by one; more go by blocks of as many.
+BLOCK = 256
 
-# The base patterns, in the order in which kinds are listed.
+# The base kinds in the order in which they are listed, as patterns. A quantifier that nothing can
+# follow otherwise is possessive, which Java's engine runs in a loop where it would recurse. An address's name starts where
+# its run of characters does, or behind the match before (``\G``), so that a long run is read once; a card's digits are 13 at least.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
+    "card": r"[0-9](?:[\x20-]?+[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Texts that can't have a valid match skip the pattern.
+#: SQL: texts that can't have a valid match skip the pattern.
 MAY_HAVE = {
-    "email": lambda t: t.contains("@"),
-    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
-    "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
-    "phone": lambda t: t.contains("+"),
+    "email": "contains({}, '@')",
+    "ip": r"{} rlike r'[0-9]\.[0-9]++\.[0-9]++\.[0-9]'",
+    "card": r"{} rlike r'[0-9](?:[\x20-]?+[0-9]){{12}}'",
+    "phone": "contains({}, '+')",
 }
 MORE = {
     "number": r"\(?[0-9]{2,4}\)?(?:[ ./-]\(?[0-9]{2,4}\)?){2,4}",
-    "secret": r"(?:AKIA|ghp_|sk_)[0-9A-Za-z_]{12,}|(?i:password|passwd|token|secret|api_key)[ ]?[=:][ ]?\"?[^\s\"]{6,}",
+    "secret": r"(?:AKIA|ghp_|sk_)[0-9A-Za-z_]{12,}+|(?i:password|passwd|token|secret|api_key)[ ]?[=:][ ]?\"?[^\s\"]{6,}+",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?",
-    "email_at": r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]+)+",
+    "email_at": r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]++)++",
 }
 MORE_MAY_HAVE = {
-    "number": lambda t: t.rlike(r"[0-9]\)?[ ./-]\(?[0-9]{2,4}\)?[ ./-]\(?[0-9]{2}"),
-    "secret": lambda t: t.rlike(r"AKIA|ghp_|sk_|(?i:password|passwd|token|secret|api_key)[ ]?[=:]"),
-    "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4} ?[0-9A-Z]{4}"),
-    "email_at": lambda t: t.rlike(r"[\[(] ?at ?[\])]"),
+    "number": r"{} rlike r'[0-9]\)?[ ./-]\(?[0-9]{{2,4}}\)?[ ./-]\(?[0-9]{{2}}'",
+    "secret": r"{} rlike r'AKIA|ghp_|sk_|(?i:password|passwd|token|secret|api_key)[ ]?[=:]'",
+    "iban": r"{} rlike r'[A-Z]{{2}}[0-9]{{2}} ?[0-9A-Z]{{4}} ?[0-9A-Z]{{4}}'",
+    "email_at": r"{} rlike r'[\[(] ?at ?[\])]'",
 }
 CUES = r"(?i)(phone|tel|call|fax|mobile|ssn|social|iban|account|konto|mail|contact|write)[a-z]{0,5}[ :.#]{0,3}$"
 FEATURES = [
-    "kind", "digits", "letters", "separators", "length", "groups", "last_group", "first_group", "distinct",
+    "number", "digits", "letters", "separators", "length", "groups", "last_group", "first_group", "distinct",
     "cue", "glued_before", "glued_after", "dots", "slashes", "quoted", "mixed",
 ]
 
 
-def spans(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<kind, start, end, found>> of all matches, in code points, end exclusive. Matches lie between the
-    pieces that the pattern splits the text into."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), F.size(found)).alias("p"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")
+_SPAN = "struct<kind:string,start:int,end:int,found:string,before:string,after:string>"
+_NONE = f"cast(array() as array<{_SPAN}>)"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: the body with the value under a name, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _none() -> Column:
-    return F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")
+def _blocks(items: str) -> str:
+    """SQL: the items, of which there is one at least, in arrays of BLOCK."""
+    return f"transform(sequence(0, (size({items}) - 1) div {BLOCK}), k -> slice({items}, cast(k * {BLOCK} + 1 as int), {BLOCK}))"
 
 
-def _digits(found: Column) -> Column:
-    return F.regexp_replace(found, "[^0-9]", "")
+def spans(text: str, pattern: str, kind: str) -> str:
+    """SQL: array<struct<kind, start, end, found, before, after>> of all matches in a text, in code points, end exclusive.
 
+    Matches lie between the pieces that the pattern splits the text into; before and after are text around them, as far
+    as the matches on either side. Places are summed up inside blocks of matches, then over blocks.
+    """
+    pairs = (
+        "transform(x.m, (m, i) -> named_struct('p', x.p[i], 'm', m, 'q', x.p[i + 1], "
+        "'b', if(i = 0, '', x.m[greatest(i - 1, 0)]), 'a', if(i + 1 < size(x.m), x.m[least(i + 1, size(x.m) - 1)], '')))"
+    )
 
-def luhn(digits: Column) -> Column:
-    backwards = F.reverse(digits)
-
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(backwards, i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when(i % 2 == 0, twice).otherwise(d)
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
-
+    def placed(block: str) -> str:
+        one = (
+            f"named_struct('kind', '{kind}', 'start', acc.pos + length(y.p), 'end', acc.pos + length(y.p) + length(y.m), "
+            f"'found', y.m, 'before', right(concat(y.b, y.p), {AROUND}), 'after', left(concat(y.q, y.a), 1))"
+        )
+        return (
+            f"aggregate({block}, named_struct('pos', 0, 'items', {_NONE}), (acc, y) -> named_struct("
+            f"'pos', acc.pos + length(y.p) + length(y.m), 'items', concat(acc.items, array({one}))))"
+        )
+
+    starts = (
+        "aggregate(parts, named_struct('pos', 0, 'items', cast(array() as array<int>)), (acc, y) -> "
+        "named_struct('pos', acc.pos + y.pos, 'items', concat(acc.items, array(acc.pos))), acc -> acc.items)"
+    )
+    moved = "named_struct('kind', z.kind, 'start', z.start + n, 'end', z.end + n, 'found', z.found, 'before', z.before, 'after', z.after)"
+    joined = _let(starts, "starts", f"flatten(zip_with(parts, starts, (part, n) -> transform(part.items, z -> {moved})))")
+    many = _let(pairs, "pairs", _let(f"transform({_blocks('pairs')}, block -> {placed('block')})", "parts", joined))
+    both = f"named_struct('p', split({text}, r'{pattern}', -1), 'm', regexp_extract_all({text}, r'{pattern}', 0))"
+    return _let(both, "x", f"case when size(x.m) = 0 then {_NONE} when size(x.m) <= {BLOCK} then {placed(pairs)}.items else {many} end")
+
+
+_DIGITS = "regexp_replace(y.found, '[^0-9]', '')"
+_LUHN = (
+    "aggregate(sequence(1, length(d)), 0, (total, i) -> total + case when i % 2 = 1 then int(substring(reverse(d), i, 1)) "
+    "when substring(reverse(d), i, 1) > '4' then 2 * int(substring(reverse(d), i, 1)) - 9 "
+    "else 2 * int(substring(reverse(d), i, 1)) end) % 10 = 0"
+)
+#: SQL on a match y: whether it counts.
+_VALID = {
+    "email": "true",
+    "ip": "forall(split(y.found, '[.]'), q -> length(trim(leading '0' from q)) < 4 and int('0' || right(q, 3)) <= 255)",
+    "card": _let(_DIGITS, "d", f"case when length(d) between 13 and 19 then {_LUHN} else false end"),
+    "phone": f"length({_DIGITS}) between 9 and 15",
+}
 
-def _valid(kind: str, found: Column) -> Column:
-    if kind == "ip":
-        small = lambda p: (F.length(p) < 4) & (F.coalesce(F.nullif(p, F.lit("")), F.lit("0")).try_cast("int") <= 255)
-        return F.forall(F.split(found, r"\."), lambda p: small(F.ltrim(p, F.lit("0"))))
-    digits = _digits(found)
-    if kind == "card":
-        return F.length(digits).between(13, 19) & luhn(digits)
-    return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
+def _swept(ordered: str, item: str, both: str) -> str:
+    """SQL: spans in order of their starts, with ``both`` (SQL on run.last and x) in place of two that overlap. Spans are
+    appended inside blocks, and blocks to the result, so that no step copies all of it for one span."""
+    state = f"named_struct('items', cast(array() as array<{item}>), 'last', {{}})"
+    inner = (
+        f"aggregate(block, {state.format('acc.last')}, (run, x) -> named_struct("
+        "'items', case when run.last.end <= x.start then concat(run.items, array(run.last)) else run.items end, "
+        f"'last', case when run.last is null or run.last.end <= x.start then x else {both} end))"
+    )
+    step = _let(inner, "part", "named_struct('items', concat(acc.items, part.items), 'last', part.last)")
+    return _let(
+        ordered,
+        "ordered",
+        f"aggregate({_blocks('ordered')}, {state.format(f'cast(null as {item})')}, (acc, block) -> {step}, "
+        "acc -> case when acc.last is null then acc.items else concat(acc.items, array(acc.last)) end)",
+    )
 
-def base_spans(text: Column) -> Column:
-    """The spans of the base kinds, by kind as listed and then start."""
 
+def _base_sql(text: str) -> str:
+    of = (f"case when {MAY_HAVE[k].format(text)} then filter({spans(text, BASE[k], k)}, y -> {_VALID[k]}) else {_NONE} end" for k in BASE)
+    return f"concat({', '.join(of)})"
 
-    def of(kind: str) -> Column:
-        valid = F.filter(spans(text, BASE[kind], kind), lambda x: _valid(kind, x["found"]))
-        return F.when(MAY_HAVE[kind](text), valid).otherwise(_none())
 
-    return F.concat(*map(of, BASE))
+def base_spans(text: str) -> Column:
+    """The spans of the base kinds in a string column, by kind as listed and then start."""
+    return F.expr(f"transform({_base_sql(text)}, y -> {_plain('y')})")
 
 
-def candidates(text: Column) -> Column:
-    """The spans of the further kinds, not yet judged."""
-    return F.concat(*(F.when(MORE_MAY_HAVE[k](text), spans(text, p, k)).otherwise(_none()) for k, p in MORE.items()))
+def _plain(x: str) -> str:
+    return f"named_struct('kind', {x}.kind, 'start', {x}.start, 'end', {x}.end, 'found', {x}.found)"
 
 
-def _featured(text: Column, found: Column) -> Column:
-    """Spans with a field for each feature."""
+def candidates(text: str) -> str:
+    """SQL: the spans of the further kinds, not yet judged."""
+    of = (f"case when {MORE_MAY_HAVE[k].format('t')} then {spans('t', p, k)} else {_NONE} end" for k, p in MORE.items())
+    return _let(text, "t", f"concat({', '.join(of)})")
 
-    def of(c: Column) -> Column:
-        m = c["found"]
-        before = F.substring(text, F.greatest(F.lit(1), c["start"] + 1 - AROUND), F.least(c["start"], F.lit(AROUND)))
-        after = F.substring(text, c["end"] + 1, F.lit(1))
-        groups = F.split(F.regexp_replace(m, "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""), "[^0-9A-Za-z]+")
-        count = lambda p: F.regexp_count(m, F.lit(p))
-        flag = lambda b: F.when(b, 1).otherwise(0)
-        kinds = list(MORE)
-        number = F.coalesce(*(F.when(c["kind"] == k, F.lit(i)) for i, k in enumerate(kinds)))
-        values = {
-            "kind": number,
-            "digits": count("[0-9]"),
-            "letters": count("[A-Za-z]"),
-            "separators": count("[ ./()-]"),
-            "length": F.length(m),
-            "groups": F.size(groups),
-            "last_group": F.length(F.element_at(groups, -1)),
-            "first_group": F.length(F.element_at(groups, 1)),
-            "distinct": F.size(F.array_distinct(F.split(_digits(m), ""))),
-            "cue": flag(before.rlike(CUES)),
-            "glued_before": flag(before.rlike(r"[0-9A-Za-z.,/=$€£#-]$")),
-            "glued_after": flag(after.rlike(r"[0-9A-Za-z/%$€£-]")),
-            "dots": count("[.]"),
-            "slashes": count("/"),
-            "quoted": count('"'),
-            "mixed": flag(F.element_at(groups, -1).rlike("[0-9]") & F.element_at(groups, -1).rlike("[A-Za-z]")),
-        }
-        fields = [values[f].cast("double").alias(f) for f in FEATURES]
-        return F.struct(c["kind"].alias("name"), c["start"].alias("start"), c["end"].alias("end"), m.alias("found"), *fields)
 
-    return F.transform(found, of)
+def _featured(found: str) -> str:
+    """SQL: spans with a field for each feature."""
+    number = " ".join(f"when '{k}' then {i}" for i, k in enumerate(MORE))
+    values = {
+        "number": f"case c.kind {number} end",
+        "digits": "regexp_count(c.found, '[0-9]')",
+        "letters": "regexp_count(c.found, '[A-Za-z]')",
+        "separators": "regexp_count(c.found, '[ ./()-]')",
+        "length": "length(c.found)",
+        "groups": "size(g)",
+        "last_group": "length(g[size(g) - 1])",
+        "first_group": "length(g[0])",
+        "distinct": "size(array_distinct(split(regexp_replace(c.found, '[^0-9]', ''), '')))",
+        "cue": f"int(c.before rlike r'{CUES}')",
+        "glued_before": "int(c.before rlike '[0-9A-Za-z.,/=$€£#-]$')",
+        "glued_after": "int(c.after rlike '[0-9A-Za-z/%$€£-]')",
+        "dots": "regexp_count(c.found, '[.]')",
+        "slashes": "regexp_count(c.found, '/')",
+        "quoted": "regexp_count(c.found, '\"')",
+        "mixed": "int(g[size(g) - 1] rlike '[0-9]' and g[size(g) - 1] rlike '[A-Za-z]')",
+    }
+    fields = ", ".join(f"'{f}', double({values[f]})" for f in FEATURES)
+    groups = "split(regexp_replace(c.found, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', ''), '[^0-9A-Za-z]+')"
+    one = _let(groups, "g", f"named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'found', c.found, {fields})")
+    return f"transform({found}, c -> {one})"
 
 
 @dataclass
@@ -225,105 +259,102 @@ def training_rows(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
     return spark.range(rows).select("id", label.alias("label"), F.expr(text).alias("text"))
 
 
-_fitted: dict[int, Model] = {}
-
-
 def fit(spark: SparkSession, rows: int = TRAINING_ROWS) -> Model:
-    """Fit on ``rows`` synthetic sentences; once in a process."""
-    if rows in _fitted:
-        return _fitted[rows]
+    """Fit on ``rows`` synthetic sentences. Thresholds are calibrated on templates that the trees that judge them
+    haven't seen: each fifth of the templates is scored by trees fitted on the rest, and a kind's threshold is the
+    least log odds from which on PRECISION of its candidates are personal data. The trees returned are fitted on all."""
     found = training_rows(spark, rows)
-    found = found.select("id", "label", F.explode(_featured(F.col("text"), candidates(F.col("text")))).alias("c"))
-    got = found.select("id", "label", "c.name", *(f"c.{f}" for f in FEATURES)).orderBy("id", "c.start").collect()
+    found = found.select("id", "label", F.explode(F.expr(_featured(candidates("text")))).alias("c"))
+    got = found.select("id", "label", "c.kind", *(f"c.{f}" for f in FEATURES)).collect()
+    got.sort(key=lambda r: (r.id, r.kind, *(r[f] for f in FEATURES)))
     x = np.array([[r[f] for f in FEATURES] for r in got])
     y = np.array([r.label for r in got], float)
-    held = np.array([r.id // len(_TEMPLATES) % 4 == 3 for r in got])
-    trees = boosting.fit(x[~held], y[~held])
-    odds, names = boosting.predict(trees, x), np.array([r["name"] for r in got])
+    fold = np.array([r.id % len(_TEMPLATES) % FOLDS for r in got])
+    names = np.array([r.kind for r in got])
+    odds = np.zeros(len(y))
+    for k in range(FOLDS):
+        odds[fold == k] = boosting.predict(boosting.fit(x[fold != k], y[fold != k]), x[fold == k])
     thresholds = {}
     for kind in MORE:
-        part = held & (names == kind)
-        cuts = np.unique(np.append(odds[part], 0.0))
-        precise = [c for c in cuts if (odds[part] >= c).any() and y[part][odds[part] >= c].mean() >= PRECISION]
-        lower = odds[part][y[part] == 0]
-        # midway between the least score that is precise enough and the best one below it, where there is a gap
-        least = min(precise) if precise else float("inf")
-        below = lower[lower < least]
-        thresholds[kind] = float((least + below.max()) / 2) if precise and len(below) else float(least)
-    _fitted[rows] = Model(trees, thresholds)
-    return _fitted[rows]
-
-
-def find(text: Column, model: Model) -> tuple[Column, Column]:
-    """The base spans, and those that the method adds; the second expects the first as a column named base."""
-    scored = F.transform(
-        _featured(text, candidates(text)),
-        lambda c: F.struct(
-            c["name"].alias("kind"),
-            c["start"].alias("start"),
-            c["end"].alias("end"),
-            c["found"].alias("found"),
-            boosting.expression(model.trees, [c[f] for f in FEATURES]).alias("odds"),
-        ),
-    )
-    enough = lambda c: F.coalesce(*(F.when(c["kind"] == k, c["odds"] >= F.lit(t)) for k, t in model.thresholds.items()))
-    kept = F.filter(scored, enough)
-    overlaps = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter(kept, lambda c: ~F.exists(F.col("base"), lambda b: overlaps(b, c)))
-    # of overlapping spans the one with higher odds stays; of equals the earlier, then the first kind
-    better = lambda b, c: (b["odds"] > c["odds"]) | ((b["odds"] == c["odds"]) & ((b["start"] < c["start"]) | ((b["start"] == c["start"]) & (b["kind"] > c["kind"]))))
-    chosen = F.filter(F.col("free"), lambda c: ~F.exists(F.col("free"), lambda b: overlaps(b, c) & better(b, c)))
-    plain = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["found"].alias("found")))
-    return free, plain
-
-
-def with_spans(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents with the columns base and added: array<struct<kind, start, end, found>> of whole texts.
-
-    Offsets are code points, end exclusive. Null and empty texts have no spans. Rows stay as they are, repeated ones
-    too; columns of the table that are called base, added or free are replaced.
+        part = names == kind
+        order = np.argsort(-odds[part], kind="stable")
+        score, right = odds[part][order], y[part][order]
+        last = np.append(score[1:] != score[:-1], True)  # of equal odds all or none
+        precise = last & (np.cumsum(right) >= PRECISION * np.arange(1, len(right) + 1))
+        if not precise.any():
+            thresholds[kind] = float("inf")
+            continue
+        least = score[np.flatnonzero(precise)[-1]]
+        below = score[score < least]  # midway to the next lower odds, at most 1 down
+        thresholds[kind] = float(least - min(1.0, (least - below.max()) / 2) if len(below) else least - 1.0)
+    return Model(boosting.fit(x, y), thresholds)
+
+
+def _added_sql(text: str, base: str, model: Model) -> str:
+    """SQL: the spans of the further kinds that reach their thresholds, in the text with line breaks in place of the base spans:
+    no further kind has any, so none overlaps them. Of overlapping spans that with higher odds stays; of equals the earlier,
+    then the first kind."""
+    masked = replaced(text, base, "repeat('\\n', s.end - s.start)")
+    odds = boosting.expression(model.trees, [f"c.{f}" for f in FEATURES])
+    judged = f"named_struct('start', c.start, 'number', c.number, 'end', c.end, 'kind', c.kind, 'found', c.found, 'odds', {odds})"
+    enough = " ".join(f"when '{k}' then c.odds >= double('{t}')" for k, t in model.thresholds.items())
+    item = "struct<start:int,number:double,end:int,kind:string,found:string,odds:double>"
+    chosen = f"array_sort(filter(transform({_featured(candidates(masked))}, c -> {judged}), c -> case c.kind {enough} end))"
+    better = "if(x.odds > run.last.odds, x, run.last)"
+    return f"transform({_swept(chosen, item, better)}, c -> {_plain('c')})"
+
+
+def with_spans(documents: DataFrame, model: Model | None = None, into: str = "personal_data") -> DataFrame:
+    """The documents and one more column: struct<base, added>, arrays of struct<kind, start, end, found> of whole texts.
+
+    Offsets are code points, end exclusive. Null and empty texts have no spans. Rows and columns stay as they are,
+    repeated rows too; a column that is called ``into`` already is an error. Time and memory grow with a text's length, also
+    for texts of one long run of digits, labels or letters, or of very many matches.
     """
+    if into.lower() in (c.lower() for c in documents.columns):
+        raise ValueError(f"there is a column {into} already")
     model = fit(documents.sparkSession) if model is None else model
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.withColumn("base", base_spans(text))
-    free, plain = find(text, model)
-    return rows.withColumn("free", free).withColumn("added", plain).drop("free")
+    text, base = fresh("text_", documents), fresh("base", documents)
+    rows = documents.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
+    rows = rows.select("*", base_spans(text).alias(base))
+    both = F.struct(F.col(base).alias("base"), F.expr(_added_sql(text, base, model)).alias("added"))
+    return rows.select(*own_columns(documents), both.alias(into))
 
 
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; spans that overlap become one, named by the first."""
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    init = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wide = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > x["start"]), F.concat(head, F.array(wide))).otherwise(F.concat(acc, F.array(x)))
-
-    merged = F.aggregate(ordered, init, merge)
-    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda x: x["end"]))
-    parts = F.transform(
-        merged,
-        lambda x, i: F.concat(
-            F.substring(text, F.get(ends, i) + 1, x["start"] - F.get(ends, i)), F.lit("["), F.upper(x["kind"]), F.lit("]")
-        ),
+def replaced(text: str, found: str, by: str) -> str:
+    """SQL: the text with ``by`` (SQL on the span s) in place of each span; spans that overlap become one, named by the first."""
+    item = "struct<start:int,end:int,kind:string>"
+    ordered = f"array_sort(transform({found}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
+    wide = "named_struct('start', run.last.start, 'end', greatest(run.last.end, x.end), 'kind', run.last.kind)"
+    # blocks of spans with the text from the block before on, cut once; inside it, each span with the piece before it
+    starts = "concat(array(0), transform(blocks, b -> b[size(b) - 1].end))"
+    inside = (
+        "array_join(transform(block, (s, i) -> concat(substring(part, if(i = 0, 0, block[greatest(i - 1, 0)].end - start) + 1, "
+        f"s.start - if(i = 0, start, block[greatest(i - 1, 0)].end)), {by})), '')"
     )
-    rest = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(parts, ""), rest))
+    inside = _let(f"substring({text}, start + 1, block[size(block) - 1].end - start)", "part", inside)
+    rest = f"substring({text}, {starts}[size(blocks)] + 1)"
+    joined = f"array_join(zip_with(blocks, slice({starts}, 1, size(blocks)), (block, start) -> {inside}), '')"
+    return f"case when size({found}) = 0 then {text} else {_let(_swept(ordered, item, wide), 'merged', _let(_blocks('merged'), 'blocks', f'concat({joined}, {rest})'))} end"
+
+
+def redacted(text: str, found: str) -> Column:
+    """A string column with each span of another column replaced by its kind in brackets."""
+    return F.expr(replaced(text, found, "concat('[', upper(s.kind), ']')"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    base, added = F.col("personal_data.base"), F.col("personal_data.added")
+    number = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
         *(number(k) for k in BASE),
-        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.concat("base", "added")).alias("spans"),
-        F.size("added").cast("long").alias("n_added"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.concat(base, added)).alias("spans"),
+        F.size(added).cast("long").alias("n_added"),
     )
