@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import fair_mix, importance, pii, simhash, winnowing
-from threadlens.llm.shared import table, written
+from threadlens.llm.shared import fresh, own_columns, table, written
 
 
 def _key() -> Column:
@@ -46,10 +46,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by the name of its kind; n_chars follows the text."""
-    rows = pii.with_spans(docs).withColumn("text", pii.redacted(F.col("text"), F.concat("base", "added")))
+    found = fresh("personal_data", docs)
+    text = pii.redacted("text", f"concat({found}.base, {found}.added)")
+    new = {"text": F.when(F.col("text").isNotNull(), text)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*(f"`{c}`" for c in docs.columns))
+        new["n_chars"] = F.coalesce(F.length(new["text"]), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    rows = pii.with_spans(docs, into=found)
+    return rows.select(*(new[c].alias(c) if c in new else own for c, own in zip(docs.columns, own_columns(docs), strict=True)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
