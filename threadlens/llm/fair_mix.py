@@ -1,13 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
 Each source's documents queue in a pseudo-random order that depends on the seed and the document alone, and the queue may
-run ``passes`` times. A document's virtual start and finish are the words its source has queued before and after it,
-divided by the source's weight. Serving all queues fairly up to one virtual time gives each source its weight's share of
-the words, or all its passes where that is less. That time is where the budget is used up; documents are range-sorted
-by virtual start and truncated there, the document in service at that moment with the words served so far.
-
-Prefix sums are taken in two steps, over slices of a queue and within a slice, so that a source with a third of all
-documents is spread over as many tasks as its slices.
+run ``passes`` times. A document's virtual finish, in each pass, is the words its source has queued up to and with it,
+divided by the source's weight. All entries, sorted by virtual finish over all sources, are taken until their words reach
+the budget; the entry in service at that moment is taken as far as the budget goes. A source that has run all its passes
+queues nothing more, so that the others share what it leaves by their weights.
+
+Prefix sums are taken in levels: inside slices of a queue, over the slices of a stretch, over stretches. The place where the
+budget ends is found by summing words in ever narrower ranges of virtual finish. So a source with a third of all
+documents is spread over as many tasks as it has slices, and no task or driver sees more than a bounded part.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from threadlens.llm.shared import table, with_row_id, written
 BUDGET, PASSES, SEED = 1.5, 2, 42
 WEIGHTS = (3.0, 1.0, 2.0)
 SLICE_ROWS = 500
+STRETCH = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -59,64 +61,111 @@ def fair_targets(sources: DataFrame, budget: Column, passes: float = PASSES) ->
     )
 
 
+def _queue(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """row_id, doc_id, source, size, source_size, weight, target, o, after: words queued up to and with the document."""
+    # the sources' table has a row for each source; Spark broadcasts it only below its size threshold
+    rows = sized.alias("d").join(sources.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("d.doc_id").cast("string"), F.col("d.size")).cast("binary"))
+    share = F.conv(F.substring(order, 1, 12), 16, 10).cast("double") / F.lit(2.0**48)
+    rows = rows.select(
+        "d.row_id", "d.doc_id", "d.source", "d.size", "t.source_size", "t.weight", "t.target", order.alias("o"),
+        F.floor(share * F.col("t.slices")).alias("slice"),
+    )
+    rows = written(rows, "queue")
+    stretch = F.floor(F.col("slice") / F.lit(STRETCH))
+    sums = written(rows.groupBy("source", "slice").agg(F.sum("size").alias("n")).withColumn("stretch", stretch), "slices")
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wide = sums.groupBy("source", "stretch").agg(F.sum("n").alias("n"))
+    wide = wide.select("source", "stretch", earlier(W.partitionBy("source").orderBy("stretch")).alias("base"))
+    inside = earlier(W.partitionBy("source", "stretch").orderBy("slice"))
+    before = sums.select("source", "slice", "stretch", inside.alias("inside")).alias("b")
+    before = before.join(wide.alias("w"), F.col("b.source").eqNullSafe(F.col("w.source")) & (F.col("b.stretch") == F.col("w.stretch")))
+    before = before.select("b.source", "b.slice", (F.col("inside") + F.col("base")).alias("before")).alias("p")
+    own = W.partitionBy("source", "slice").orderBy("o", "doc_id", "size", "row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("own", F.sum("size").over(own)).alias("r")
+    rows = rows.join(before, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice")))
+    return rows.select("r.*", (F.col("p.before") + F.col("r.own")).alias("after")).drop("own", "slice")
+
+
+def _budget_end(entries: DataFrame, budget: int, bins: int = 1024, few: int = 4096) -> tuple[float, int]:
+    """The virtual finish at which the words of entries (finish, size), in its order, reach the budget, and the words of
+    all entries before it. Words are summed in ever narrower ranges of finish; the driver gets at most ``bins`` sums at a time."""
+    low, high, n = entries.agg(F.min("finish"), F.max("finish"), F.count("*")).first()
+    if not n:
+        return float("inf"), 0
+    part, before = entries, 0
+    while n > few and low < high:
+        width = (high - low) / bins
+        place = F.least(F.lit(bins - 1), F.floor((F.col("finish") - F.lit(low)) / F.lit(width))).cast("int")
+        found = part.groupBy(place.alias("b")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("finish").alias("lo"), F.max("finish").alias("hi"))
+        for r in sorted(found.collect()):
+            if before + r.w >= budget:
+                low, high, n = r.lo, r.hi, r.n
+                break
+            before += r.w
+        else:
+            return float("inf"), before
+        part = part.filter(F.col("finish").between(F.lit(low), F.lit(high)))
+    # few entries, or entries of one virtual finish, one for each source at most
+    for r in part.groupBy("finish").agg(F.sum("size").alias("w")).orderBy("finish").toLocalIterator():
+        if before + r.w >= budget:
+            return r.finish, before
+        before += r.w
+    return float("inf"), before
+
+
 def fair_mix(
-    documents: DataFrame, weights: DataFrame | None = None, budget: float = BUDGET, passes: int = PASSES, seed: int = SEED
+    documents: DataFrame,
+    weights: DataFrame | None = None,
+    budget: float = BUDGET,
+    passes: int = PASSES,
+    seed: int = SEED,
+    size: Column | None = None,
 ) -> DataFrame:
-    """How many words of each document (doc_id, source, and text or size) the mix takes.
+    """How many words of each document (doc_id, source, text) the mix takes.
 
-    weights: source, weight (default: ``repeating_weights``). budget: as a share of all words. Returns row_id, doc_id,
-    source, size, source_size, weight, target, virtual_start, taken. virtual_start is that of the first pass.
+    weights: source, weight (default: ``repeating_weights``). budget: as a share of all words. size: words of a document,
+    where they are known already. Returns row_id, doc_id, source, size, source_size, weight, target, virtual_finish, taken.
+    virtual_finish is that of the first pass.
 
     Documents without words take none; null is a source like any other; repeated documents are ordered by doc_id and
-    then as they come, each with words of its own. Order follows seed, doc_id and size only, so reruns agree. An empty
-    table gives no rows.
+    then as they come, each with words of its own. Order follows seed, doc_id and size only, so reruns agree. Entries
+    of several sources that finish at the moment when the budget ends are taken in order of source and pass. An empty table
+    gives no rows. Other columns are ignored.
     """
-    size = F.col("size") if "size" in documents.columns else word_count(F.col("text"))
-    sized = written(with_row_id(documents.select("doc_id", "source", size.cast("long").alias("size"))), "sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    sums = written(sums, "sources")
+    counted = (word_count(F.col("text")) if size is None else size).cast("long")
+    sized = written(with_row_id(documents.select("doc_id", "source", counted.alias("size"))), "sizes")
+    sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
     weights = repeating_weights(sums) if weights is None else weights.select("source", F.col("weight").cast("double"))
     joined = sums.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left")
     joined = joined.select("s.*", F.coalesce("w.weight", F.lit(0.0)).alias("weight"))
     targets = fair_targets(joined, F.lit(float(budget)) * F.col("all"), passes)
     targets = targets.alias("t").join(sums.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
     slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(SLICE_ROWS)))
-    targets = written(targets.select("t.*", slices.alias("slices")), "targets")
-
-    # the sources' table has a row for each source; Spark broadcasts it only below its size threshold
-    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    order = F.xxhash64(F.lit(seed), F.col("d.doc_id"), F.col("d.size"))
-    rows = rows.select("d.row_id", "d.doc_id", "d.source", "d.size", "t.source_size", "t.weight", "t.end", "t.target", "t.slices", order.alias("o"))
-    rows = written(rows.withColumn("slice", F.floor((F.col("o") / F.lit(2.0**64) + F.lit(0.5)) * F.col("slices"))), "queue")
-    before = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    w = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    before = before.withColumn("before", F.coalesce(F.sum("slice_size").over(w), F.lit(0))).drop("slice_size")
-    inside = W.partitionBy("source", "slice").orderBy("o", "doc_id", "size", "row_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.alias("r").join(
-        before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.slice") == F.col("b.slice"))
-    )
-    start = F.col("b.before") + F.col("r.inside")
-    # words its source is served up to the end, less those queued before this document, in each pass
-    served = F.round("r.target").cast("long")
-    taken = F.lit(0).cast("long")
+    rows = written(_queue(sized, written(targets.select("t.*", slices.alias("slices")), "targets"), seed), "virtual")
+
+    total = int(float(budget) * (sums.agg(F.sum("source_size")).first()[0] or 0))
+    finish = (F.col("after") + F.col("pass") * F.col("source_size")) / F.col("weight")
+    entries = rows.filter("size > 0 and weight > 0").withColumn("pass", F.explode(F.array(*map(F.lit, range(passes)))))
+    entries = entries.select("source", "row_id", "size", "pass", finish.alias("finish"))
+    end, before = _budget_end(entries.select("finish", "size"), total)
+    # at the end itself at most one entry of each source stands
+    last = entries.filter(F.col("finish") == F.lit(end))
+    served = F.sum("size").over(W.orderBy(F.col("source").asc_nulls_last(), "pass").rowsBetween(W.unboundedPreceding, -1))
+    left = F.lit(total - before) - F.coalesce(served, F.lit(0))
+    last = last.withColumn("left", left).groupBy("row_id").agg(F.sum(F.greatest(F.lit(0), F.least("size", "left"))).alias("part"))
+    whole = F.lit(0)
     for k in range(passes):
-        part = served - F.lit(k) * F.col("r.source_size") - start
-        taken = taken + F.greatest(F.lit(0), F.least(part, F.col("r.size")))
-    virtual = F.when(F.col("r.weight") > 0, start / F.col("r.weight"))
-    return rows.select(
-        "r.row_id", "r.doc_id", "r.source", "r.size", "r.source_size", "r.weight", "r.target",
-        virtual.alias("virtual_start"), taken.alias("taken"),
+        whole = whole + F.when((F.col("after") + k * F.col("source_size")) / F.col("weight") < F.lit(end), 1).otherwise(0)
+    taken = F.when(F.col("weight") > 0, whole * F.col("size")).otherwise(0) + F.coalesce("part", F.lit(0))
+    return rows.join(last, "row_id", "left").select(
+        "row_id", "doc_id", "source", "size", "source_size", "weight", "target",
+        F.when(F.col("weight") > 0, F.col("after") / F.col("weight")).alias("virtual_finish"), taken.cast("long").alias("taken"),
     )
 
 
-def in_order(mix: DataFrame) -> DataFrame:
-    """What the mix takes, in the order of service: range-sorted by virtual start, truncated where the budget ends."""
-    return mix.filter("taken > 0").orderBy("virtual_start", "doc_id", "row_id")
-
-
 def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = fair_mix(table(spark, sf_dir, "documents"))
-    return mix.orderBy(F.col("virtual_start").asc_nulls_last(), "doc_id", "row_id").select(
-        "doc_id", "size", "source_size", "target", "taken", "virtual_start"
+    return mix.orderBy(F.col("virtual_finish").asc_nulls_last(), "doc_id", "row_id").select(
+        "doc_id", "size", "source_size", "target", "taken", "virtual_finish"
     )

@@ -25,6 +25,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_fair_mix": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source,
+                          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                     CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source),
+        o AS (SELECT *, 2.0 * source_size / weight AS out, sum(source_size) OVER () AS total FROM s),
+        w AS (SELECT *, coalesce(sum(2.0 * source_size) OVER before, 0) AS capped, sum(weight) OVER rest AS running FROM o
+              WINDOW before AS (ORDER BY out, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                     rest AS (ORDER BY out, weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        e AS (SELECT coalesce(arg_min((1.5 * total - capped) / running, out) FILTER ((1.5 * total - capped) / running <= out), max(out)) AS finish,
+                     CAST(floor(max(1.5 * total)) AS BIGINT) AS budget FROM w),
+        t AS (SELECT source, source_size, weight, least(2.0 * source_size, weight * finish) AS target, budget FROM o, e),
+        q AS (SELECT r, doc_id, d.source, size, source_size, weight, target, budget, sum(size) OVER (PARTITION BY d.source
+                     ORDER BY md5(concat_ws(':', 42, doc_id, size)), doc_id NULLS FIRST, size, r) AS after
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT *, (after + n * source_size) / weight AS finish FROM q, (SELECT unnest([0, 1]) AS n)),
+        g AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, n, size
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS served FROM p WHERE size > 0),
+        k AS (SELECT r, CAST(sum(greatest(0, least(size, budget - served))) AS BIGINT) AS taken FROM g GROUP BY r)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, CAST(after AS DOUBLE) / weight AS virtual_finish
+        FROM q LEFT JOIN k USING (r)
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
         k AS (SELECT page_id, html, hex, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
