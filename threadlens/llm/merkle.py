@@ -1,10 +1,10 @@
 """Document fingerprints as Merkle trees over paragraphs and sections, in DataFrame functions only.
 
-A text's paragraphs are its lines, and within a line its sentences and the stretches between commas, so that prose
-without line breaks has leaves too; none is longer than 80 characters, or 8 in texts of less than 256. A leaf is a 64-bit
-hash of its paragraph. A run of leaves up to one whose hash is a
-multiple of ``SECTION`` is a section: where sections end depends on content alone, so an edit disturbs the sections that
-it touches and no others. A section's hash is that of its leaves, the root's that of the sections.
+A text is cut into leaves by one rule, whatever its length: behind a line break, and behind white space that follows a
+punctuation mark or the letter e, but after LEAF characters at the latest. So cuts depend on the characters around them,
+prose without line breaks has leaves too, and an edit disturbs the leaves that it touches. A leaf is a 64-bit hash. A
+run of leaves up to one whose hash is a multiple of ``SECTION`` is a section; a section's hash is that of its leaves, the
+root's that of the sections.
 
 fingerprint: ``root:section=leaf.leaf...;section=...`` in hex. Equal roots mean equal texts; sections with different
 hashes, and in them different leaves, locate edits. Leaves carry their delimiters, so the tree covers every character.
@@ -16,79 +16,109 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlens.llm.shared import table, written
+from threadlens.llm.shared import let, table, written
 
 SECTION = 8
-SHORT = 256
-RANGE_ROWS = 500
-#: Behind a line break, and behind white space that follows a punctuation mark.
-CUT = r"(?<=\n)|(?<=[.!?,;:|] )"
+LEAF = 64
+#: Most rows, about, whose texts one window task sorts.
+RANGE_ROWS = 100_000
+_CUT = rf"(?s).{{0,{LEAF - 2}}}?(?:\n|[.!?,;:|e] )|.{{1,{LEAF}}}"
 
 
 def _hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint string of a text. Null is empty; an empty text has one empty leaf."""
+def leaves(text: Column) -> Column:
+    """The text in leaves; joined, they are the text. An empty text has one empty leaf, null is empty."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    # two branches with constant patterns: a pattern that depends on the row would be compiled for each piece
-    cut = lambda n: F.flatten(F.transform(F.split(text, CUT), lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))))
-    pieces = F.when(F.length(text) == 0, F.array(F.lit(""))).when(F.length(text) < SHORT, cut(8)).otherwise(cut(80))
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(_CUT), F.lit(0)))
+
+
+def fingerprint(text: Column) -> Column:
+    """The fingerprint string of a text."""
     # the hex of a leaf; a leaf that ends a section is followed by ";", others by "."
     marked = F.transform(
-        F.transform(pieces, lambda p: F.xxhash64(p)),
+        F.transform(leaves(text), lambda p: F.xxhash64(p)),
         lambda h: F.concat(_hex(h), F.when(F.pmod(h, F.lit(SECTION)) == 0, F.lit(";")).otherwise(F.lit("."))),
     )
     body = F.rtrim(F.concat_ws("", marked), F.lit(".;"))
     joined = F.concat_ws(";", F.transform(F.split(body, ";"), lambda s: F.concat(_hex(F.xxhash64(s)), F.lit("="), s)))
-    return F.concat(F.substring(F.sha2(joined, 256), 1, 32), F.lit(":"), joined)
+    return let(joined, lambda j: F.concat(F.substring(F.sha2(j, 256), 1, 32), F.lit(":"), j))
 
 
-def leaves_of(print_: Column) -> Column:
-    return F.regexp_extract_all(print_, F.lit(r"(?<=[=.])[0-9a-f]{16}"), F.lit(0))
+def _leaves_of(print_: Column) -> Column:
+    return F.split(F.regexp_replace(F.substring(print_, F.lit(34), F.length(print_)), "[0-9a-f]{16}=", ""), "[.;]")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of two fingerprints' distinct leaves that both have, 0 to 1; 1 for equal roots."""
-    x, y = F.array_distinct(leaves_of(a)), F.array_distinct(leaves_of(b))
-    return F.when(a == b, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
-
-
-def differing(a: Column, b: Column) -> Column:
-    """The sections of the first fingerprint that the second doesn't have: section hash = leaves."""
-    of = lambda p: F.split(F.substring_index(p, ":", -1), ";")
-    return F.array_except(of(a), of(b))
+    shared = let(
+        F.struct(F.array_distinct(_leaves_of(a)).alias("x"), F.array_distinct(_leaves_of(b)).alias("y")),
+        lambda p: 2 * F.size(F.array_intersect(p["x"], p["y"])) / (F.size(p["x"]) + F.size(p["y"])),
+    )
+    return F.when(a == b, F.lit(1.0)).otherwise(shared)
 
 
-def with_next(documents: DataFrame) -> DataFrame:
-    """doc_id, text, next_text of each row: the next row by descending doc_id, null ids last, repeated ids by a hash of
-    the text; the last row's next is the first.
+def differing(a: str, b: str) -> Column:
+    """Where the fingerprint in column a differs from that in b: array<struct<section, leaves>>, numbers from 0.
 
-    Ids are cut into ranges of about RANGE_ROWS ids. A pass over ids alone finds each range's first row; a copy of it goes
-    to the range before, so that each range finds all its successors among its own rows. Texts are shuffled once, and no
-    window spans all rows.
+    Equal roots differ nowhere. Else sections are compared by their hashes, and only below those that the other tree
+    doesn't have, the leaves: the numbers, inside the section, of leaves that no differing section of the other tree has.
+    """
+    listed = lambda s: f"split(substring_index({s}, '=', -1), '[.]')"
+    return F.expr(f"""
+        if(substring({a}, 1, 32) = substring({b}, 1, 32), cast(array() as array<struct<section:int,leaves:array<int>>>),
+           transform(array(struct(split(substring_index({a}, ':', -1), ';') as x, split(substring_index({b}, ':', -1), ';') as y)), t ->
+           transform(array(flatten(transform(array_except(t.y, t.x), s -> {listed("s")}))), known ->
+           transform(filter(transform(t.x, (s, i) -> struct(i as i, s as s)), z -> not array_contains(t.y, z.s)), z -> struct(
+               z.i as section,
+               filter(transform({listed("z.s")}, (leaf, k) -> if(array_contains(known, leaf), null, k)), k -> k is not null) as leaves
+           )))[0])[0])
+    """)
+
+
+def _bounds(keys: DataFrame) -> DataFrame:
+    """One row: the greatest key k of each range of at most about RANGE_ROWS rows, in order; the last is that of all."""
+    placed = written(keys.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "id-ranges")
+    place = F.row_number().over(W.partitionBy("part").orderBy("k"))
+    inner = placed.withColumn("place", place).filter(F.pmod("place", F.lit(RANGE_ROWS)) == 0).select("k")
+    ends = placed.groupBy("part").agg(F.max("k").alias("k")).select("k")
+    return written(inner.unionByName(ends).distinct().agg(F.array_sort(F.collect_list("k")).alias("bounds")), "bounds")
+
+
+def _range_of(key: str, bounds: str) -> Column:
+    """The number of the first bound that isn't below the key, by halving."""
+    return F.expr(f"""
+        aggregate(sequence(1, 1 + cast(ceil(log2(size({bounds}) + 1)) as int)), struct(0 as lo, size({bounds}) - 1 as hi),
+            (s, i) -> if(s.lo >= s.hi, s, if({bounds}[(s.lo + s.hi) div 2] >= {key},
+                struct(s.lo as lo, cast((s.lo + s.hi) div 2 as int) as hi), struct(cast((s.lo + s.hi) div 2 + 1 as int) as lo, s.hi as hi))),
+            s -> s.lo)
+    """)
+
+
+def with_next(documents: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text, ``carried`` columns, next (struct of the next row's text and carried columns): the next row by
+    descending doc_id, null ids last, repeated ids by a hash of the text; the last row's next is the first.
+
+    doc_id is of any type that has an order. A pass over ids alone finds the bounds of ranges of at most about RANGE_ROWS rows,
+    however the ids are spread; the bounds go to all tasks as one value, an id and a hash for each range. Each range's
+    greatest row goes to the range above as well, so that each range finds all successors among its own rows: texts are
+    shuffled once, and no window spans all rows. Rows equal in id and text share a range. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select("doc_id", text.alias("text")).withColumn("tie", F.xxhash64("text"))
-    ids = written(rows.select("doc_id", "tie"), "ids")
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * RANGE_ROWS // max(1, n))
-    place = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("long"), F.lit(1 << 60))
-    key = F.struct((-F.col("doc_id")).alias("d"), F.col("tie").alias("t"))
-    firsts = ids.groupBy(place.alias("range")).agg(F.min(key).alias("f"))
-    before = F.coalesce(F.lag("range").over(W.orderBy("range")), F.max("range").over(W.partitionBy(F.lit(1))))
-    firsts = firsts.select((-F.col("f.d")).alias("g_id"), F.col("f.t").alias("g_tie"), before.alias("before"))
-    firsts = written(firsts, "firsts")
-    # one row for each range; Spark broadcasts it only below its size threshold
-    rows = rows.withColumn("range", place).join(firsts, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie")), "left")
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("before").alias("range"), F.lit(True).alias("guest"))
-    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))
-    rows = rows.select("doc_id", "text", "tie", F.explode(places).alias("p"))
-    w = W.partitionBy("p.range").orderBy("p.guest", F.col("doc_id").desc_nulls_last(), "tie")
-    return rows.withColumn("next_text", F.lead("text").over(w)).filter("not p.guest").select("doc_id", "text", "next_text")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"))
+    rows = documents.select("doc_id", text.alias("text"), *carried, key.alias("k"))
+    bounds = _bounds(rows.select("k"))
+    rows = rows.withColumn("bounds", bounds.scalar())
+    rows = rows.withColumn("range", _range_of("k", "bounds"))
+    own = F.struct(F.col("range").alias("range"), F.lit(1).alias("own"))
+    above = F.struct(((F.col("range") + 1) % F.size("bounds")).alias("range"), F.lit(0).alias("own"))
+    places = F.when(F.get("bounds", F.col("range")) == F.col("k"), F.array(own, above)).otherwise(F.array(own))
+    rows = rows.select("doc_id", "text", *carried, "k", F.explode(places).alias("p"))
+    w = W.partitionBy("p.range").orderBy("p.own", "k")
+    rows = rows.withColumn("next", F.lag(F.struct("text", *carried)).over(w))
+    return rows.filter("p.own = 1").select("doc_id", "text", *carried, "next")
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -99,14 +129,15 @@ def edited(text: Column, next_text: Column) -> Column:
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"))
+    rows = with_next(docs, "fingerprint").withColumn("edited", edited(F.col("text"), F.col("next.text")))
     rows = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
+        "fingerprint",
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        fingerprint(F.col("next_text")).alias("next_fingerprint"),
+        F.col("next.fingerprint").alias("next_fingerprint"),
     )
     return rows.select(
         "doc_id",
@@ -116,5 +147,5 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        F.size(differing(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("sections_changed"),
+        F.size(differing("fingerprint", "edited_fingerprint")).alias("sections_changed"),
     )
