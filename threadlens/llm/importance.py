@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.shared import blocks, table, text_bytes, written
+from threadlens.llm.shared import blocks, fresh, table, text_bytes, written
 
 PIECES = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,8 +130,8 @@ def log_ratios(raw: np.ndarray, seen: np.ndarray, target: np.ndarray, prior: flo
     return np.minimum(0, out)
 
 
-def _score(shared, bits: int, columns: int):
-    """All columns (doc_id first, text second) -> them, with log_importance, and the label of calibration rows."""
+def _score(shared, bits: int, columns: int, names: list[str]):
+    """All columns (doc_id first, text second) -> them, the log importance, and the label of calibration rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios, good = shared.value
@@ -142,8 +142,7 @@ def _score(shared, bits: int, columns: int):
                 grams, owner = _grams(texts[a:b], bits)
                 scores[a:b] = np.bincount(owner, ratios[grams], minlength=b - a)
             label = [g[0] if (g := good.get(i)) and g[1] else None for i in ids]
-            cols = [*batch.columns[:columns], pa.array(scores), pa.array(label, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:columns], "log_importance", "label"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(scores), pa.array(label, pa.bool_())], names)
 
     return run
 
@@ -160,7 +159,8 @@ def threshold(scores: np.ndarray, good: np.ndarray, kept: float, least: float) -
 
 @dataclass
 class Model:
-    """log ratios, labels used (id -> good, for calibration), threshold of acceptance, and the least key of top k."""
+    """ratios: log ratios. labels: those used (id -> good, for calibration). threshold: of acceptance. cut: the least key
+    of the top k. scores: the documents' kept columns, then those called ``names``: log importance, label, key."""
 
     settings: Settings
     ratios: np.ndarray
@@ -168,12 +168,13 @@ class Model:
     threshold: float
     cut: float
     scores: DataFrame
+    names: tuple[str, str, str]
 
 
-def _key(s: Settings) -> Column:
+def _key(s: Settings, log_importance: str) -> Column:
     """Log importance over temperature plus Gumbel noise from the doc_id."""
     u = (F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.col("log_importance") / F.lit(s.temperature) - F.log(-F.log(u))
+    return F.col(log_importance) / F.lit(s.temperature) - F.log(-F.log(u))
 
 
 def kth_largest(df: DataFrame, key: str, k: int, bins: int = 1024, few: int = 4096) -> float:
@@ -201,12 +202,14 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 1024, few: int = 40
     return part.orderBy(F.desc("k")).limit(left).agg(F.min("k")).first()[0]
 
 
-def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on ``documents`` (doc_id, text) and ``labels`` (doc_id, good boolean).
+def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> Model:
+    """Fit on ``documents`` (doc_id, text) and ``labels`` (doc_id, good boolean), and score the documents, once. keep: the
+    columns that the scores carry, doc_id among them (default: all).
 
     Of labels at most ``settings.labelled`` are used, a quarter of them for the threshold; n-grams of the raw model are those
     of all documents. Ids that are labelled more than once take one of the labels, bad before good. Null ids and labels
-    are not used. Without good labels every document is accepted.
+    are not used. Without good labels every document is accepted. Null and empty texts have no n-grams and a log
+    importance of 0; repeated rows count and are scored each. Columns of any name pass through unchanged.
     """
     s, spark = settings, documents.sparkSession
     rows = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
@@ -223,30 +226,35 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     words, pairs = np.split(counts, 2, axis=1)
     ratios = [log_ratios(*n, s.prior, z, s.margin) for n, z in ((words, s.shrink), (pairs, s.shrink_pairs))]
     ratios = np.concatenate(ratios)
-    model = Model(s, ratios, known, -np.inf, -np.inf, documents)
-    model.scores = written(scored(texts, model).drop("text").withColumn("key", _key(s)), "scores")
-    calibration = model.scores.filter("label is not null").select("log_importance", "label").toArrow()
-    model.threshold = threshold(calibration["log_importance"].to_numpy(), np.array(calibration["label"].to_pylist(), bool), s.kept, s.least)
-    k = model.scores.filter(F.col("log_importance") >= F.lit(model.threshold)).count()
-    model.cut = kth_largest(model.scores, "key", k)
+    names = tuple(fresh(n, documents) for n in ("log_importance", "label", "key"))
+    model = Model(s, ratios, known, -np.inf, -np.inf, documents, names)
+    log, label, key = names
+    rows = scored(documents, model).withColumn(key, _key(s, log))
+    kept = [f"`{c}`" for c in (documents.columns if keep is None else keep)]
+    model.scores = written(rows.select(*kept, *names), "scores")
+    calibration = model.scores.filter(F.col(label).isNotNull()).select(log, label).toArrow()
+    model.threshold = threshold(calibration[log].to_numpy(), np.array(calibration[label].to_pylist(), bool), s.kept, s.least)
+    k = model.scores.filter(F.col(log) >= F.lit(float(model.threshold))).count()
+    model.cut = kth_largest(model.scores, key, k)
     return model
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``documents`` with log_importance, and label where a row calibrates the threshold."""
-    rest = [c for c in documents.columns if c not in ("doc_id", "text", "log_importance", "label")]
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), *(f"`{c}`" for c in rest))
+    """All columns of ``documents`` with the log importance, and the label where a row calibrates the threshold."""
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    exact = F.col("text").cast("string").alias("text")
+    rows = documents.select("doc_id", exact, *(f"`{c}`" for c in rest))
+    log, label, _ = model.names
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     shared = rows.sparkSession.sparkContext.broadcast((model.ratios, model.labels))
-    return rows.mapInArrow(
-        _score(shared, model.settings.bits, len(rows.columns)), f"{kinds}, log_importance double, label boolean"
-    )
+    run = _score(shared, model.settings.bits, len(rows.columns), [*rows.columns, log, label])
+    return rows.mapInArrow(run, f"{kinds}, {log} double, {label} boolean")
 
 
-def accepted(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents in the Gumbel top k, with their own columns."""
-    rows = scored(documents, model).withColumn("sampling_key", _key(model.settings))
-    return rows.filter(F.col("sampling_key") >= F.lit(float(model.cut))).select(*(f"`{c}`" for c in documents.columns))
+def accepted(model: Model) -> DataFrame:
+    """The documents in the Gumbel top k, of those that the model was fitted on, with the columns kept."""
+    log, label, key = model.names
+    return model.scores.filter(F.col(key) >= F.lit(float(model.cut))).drop(log, label, key)
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -254,7 +262,8 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train(table(spark, sf_dir, "documents").select("doc_id", "text"), good_labels(table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, good_labels(table(spark, sf_dir, "labels")), keep=["doc_id"])
     return model.scores.select(
         "doc_id",
         "log_importance",
