@@ -104,12 +104,41 @@ def test_winnowing_equals_brute_force(spark):
     assert winnowing.decontaminate(d, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def brute_mix(rows, budget=1.5, passes=2):
+    """(doc_id, size) -> taken: all entries in one list, sorted by virtual finish and cut at the budget."""
+    sized = [(i, len((t or "").split()), s) for i, t, s in rows]
+    names = sorted({s for *_, s in sized}, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    entries, taken = [], {k: 0 for k in range(len(rows))}
+    for s in names:
+        queue = sorted((hashlib.md5(":".join(["42", *([] if i is None else [str(i)]), str(n)]).encode()).hexdigest(), i, n, k) for k, (i, n, src) in enumerate(sized) if src == s)
+        total, size = 0, sum(n for _, _, n, _ in queue)
+        for _, _, n, k in queue:
+            total += n
+            entries += [((total + p * size) / weight[s], names.index(s), p, k, n) for p in range(passes) if n]
+    left = int(budget * sum(n for _, n, _ in sized))
+    for *_, k, n in sorted(entries):
+        taken[k] += min(n, left)
+        left -= min(n, left)
+    return Counter((i, n, taken[k]) for k, (i, n, _) in enumerate(sized))
+
+
+def test_fair_mix_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fair_mix, "SLICE_ROWS", 7)
+    monkeypatch.setattr(fair_mix, "STRETCH", 3)
+    rows = [(i, "w " * (i * i % 7), f"s{i % 5}" if i % 3 else "s0") for i in range(3000)] + [(9999, None, None), (9999, "a b c", None)]
+    d = docs(spark, rows).withColumn("size", F.lit(999)).withColumn("taken", F.lit(1)).withColumn("after", F.lit("x"))
+    for budget in (1.5, 0.3, 1.99, 2.5):
+        got = fair_mix.fair_mix(d, budget=budget).collect()
+        assert Counter((r.doc_id, r["size"], r.taken) for r in got) == brute_mix(rows, budget)
+
+
 def test_fair_mix_reaches_targets(spark):
     rows = [(i, "w " * (i % 7), f"s{i % 5}" if i % 3 else "s0") for i in range(3000)] + [(9999, None, None), (9999, "a b c", None)]
     got = fair_mix.fair_mix(docs(spark, rows)).toPandas()
     assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
     by = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), size=("source_size", "first"))
-    assert np.allclose(by.target, by.taken, atol=1) and (by.target <= 2 * by["size"] + 1e-6).all()
+    assert np.allclose(by.target, by.taken, atol=7) and (by.target <= 2 * by["size"] + 1e-6).all()
     assert math.isclose(by.target.sum(), min(1.5 * got["size"].sum(), 2 * got["size"].sum()), rel_tol=1e-9)
     again = fair_mix.fair_mix(docs(spark, rows[::-1])).toPandas()
     assert again.groupby("doc_id").taken.sum().equals(got.groupby("doc_id").taken.sum())
@@ -282,12 +311,40 @@ def test_importance_rejects_what_good_text_lacks(spark):
             labels.append((i, not bad))
     d = docs(spark, rows)
     model = importance.train(d, spark.createDataFrame(labels, "doc_id long, good boolean"))
-    kept = {r.doc_id for r in importance.accepted(d, model).collect()}
+    kept = {r.doc_id for r in importance.accepted(model).collect()}
     assert len([i for i in range(600) if i % 4 == 0 and i in kept]) <= 15
     assert len([i for i in range(600) if i % 4 and i not in kept]) <= 15
-    none = importance.train(odd(spark), spark.createDataFrame([], "doc_id long, good boolean"))
-    assert importance.accepted(odd(spark), none).count() == 8 and importance.accepted(odd(spark), none).columns == odd(spark).columns
-    assert importance.accepted(empty(spark), importance.train(empty(spark), spark.createDataFrame([], "doc_id long, good boolean"))).count() == 0
+    again = importance.train(d.withColumn("label", F.lit("mine")).withColumn("log_importance", F.lit(5)).withColumn("key", F.lit("k")), spark.createDataFrame(labels, "doc_id long, good boolean"))
+    same = importance.accepted(again).collect()
+    assert {r.doc_id for r in same} == kept and all((r.label, r.log_importance, r.key) == ("mine", 5, "k") for r in same)
+    no_labels = spark.createDataFrame([], "doc_id long, good boolean")
+    none = importance.accepted(importance.train(odd(spark), no_labels))
+    assert none.count() == 8 and set(none.columns) == set(odd(spark).columns)
+    assert importance.accepted(importance.train(empty(spark), no_labels)).count() == 0
+
+
+def test_importance_scores_equal_brute_force(spark):
+    """A text's score is the sum of its distinct buckets' ratios, and the ratios those of plain counts."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["good", "bad", "ugly!", "fine", "a-b"], int(rng.integers(1, 20)))), "s") for i in range(200)]
+    labels = [(i, i % 3 > 0) for i in range(0, 200, 2)]
+    s = importance.Settings(bits=10)
+    model = importance.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, good boolean"), s)
+    sets = {i: importance._grams([t.encode()], 10)[0] for i, t, _ in rows}
+    raw, seen, target = (np.zeros(2 << 10, np.int64) for _ in range(3))
+    for i, grams in sets.items():
+        raw[grams] += 1
+        if i in model.labels and not model.labels[i][1]:
+            seen[grams] += 1
+            target[grams] += model.labels[i][0]
+    half = 1 << 10
+    want = np.concatenate([importance.log_ratios(raw[x], seen[x], target[x], s.prior, z, s.margin) for x, z in ((slice(0, half), s.shrink), (slice(half, None), s.shrink_pairs))])
+    assert np.allclose(want, model.ratios)
+    got = {r.doc_id: (r.log_importance, r.key) for r in model.scores.collect()}
+    assert all(math.isclose(got[i][0], want[sets[i]].sum(), abs_tol=1e-9) for i in sets)
+    top = sorted((k for _, k in got.values()), reverse=True)
+    k = sum(score >= model.threshold for score, _ in got.values())
+    assert model.cut == (-np.inf if k >= len(top) else top[k - 1])
 
 
 def test_kth_largest_is_exact(spark):
@@ -326,22 +383,66 @@ def test_line_dedup_removes_short_lines_that_repeat_as_lines(spark):
     assert all(got[i].n_words == len(rows[i][1].split()) for i in got)
 
 
-def test_merkle_finds_the_next_and_edits(spark):
-    rows = [(i * i, f"Doc {i}. " + " ".join(f"Sentence {i} {j}, more." for j in range(i % 9)), "s") for i in range(1200)] + [(4, "dup", "s"), (None, "null id", "s"), (7, None, "s"), (8, "", "s")]
-    got = merkle.with_next(docs(spark, rows)).withColumn("e", merkle.edited(F.col("text"), F.col("next_text"))).collect()
-    key = lambda r: (r[0] is None, -(r[0] or 0))
-    order = sorted(((i, t or "") for i, t, _ in rows), key=key)
-    nexts = {(a, t): b for (a, t), (b, _) in zip(order, order[1:] + order[:1], strict=True)}
+def brute_print(text):
+    """A fingerprint by a scalar reading of the docstring."""
+    signed = lambda s: (h := xxhash.xxh64_intdigest(s, 42)) - (h >> 63 << 64)
+    hexa = lambda n: f"{n % 2**64:016x}"
+    cut, at = [], 0
+    while at < len(text):
+        end = next((i + 1 for i in range(at, min(at + 64, len(text))) if text[i] == "\n" and i - at <= 62 or text[i] == " " and i > at and text[i - 1] in ".!?,;:|e"), min(at + 64, len(text)))
+        cut.append(text[at:end])
+        at = end
+    sections, now = [], []
+    for h in (signed(c) for c in cut or [""]):
+        now.append(hexa(h))
+        if h % 8 == 0:
+            sections, now = [*sections, ".".join(now)], []
+    sections += [".".join(now)] if now else []
+    body = ";".join(f"{hexa(signed(s))}={s}" for s in sections)
+    return hashlib.sha256(body.encode()).hexdigest()[:32] + ":" + body
+
+
+def test_merkle_prints_equal_a_scalar_version(spark):
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("aebc.,: \né😀|"), int(rng.integers(0, 300)))) for _ in range(300)] + ["", "x" * 64, "x" * 63 + "\n", "a" * 1000, "e " * 500]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").select("text", merkle.fingerprint(F.col("text")).alias("f"), F.concat_ws("", merkle.leaves(F.col("text"))).alias("whole"))
+    for r in d.collect():
+        assert r.whole == r.text and r.f == brute_print(r.text)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_merkle_finds_the_next_and_edits(spark, monkeypatch, kind):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 50)
+    rows = [(i * i, f"Doc {i}. " + " ".join(f"Sentence {i} {j}, more." for j in range(i % 9)), "s") for i in range(1200)] + [(4, "dup", "s"), (None, "null id", "s"), (7, None, "s"), (8, "", "s"), (2**60, "far", "s"), (-(2**63), "least", "s"), (9, "same", "s"), (9, "same", "s")]
+    d = docs(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("next", F.lit("x")).withColumn("k", F.lit("x"))
+    got = merkle.with_next(d).withColumn("e", merkle.edited(F.col("text"), F.col("next.text"))).collect()
+    cast = lambda i: i if i is None or kind == "long" else str(i)
+    order = sorted(((cast(i), t or "") for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or cast(0)), reverse=True)
+    following = {}
+    for (a, t), (b, _) in zip(order, order[1:] + order[:1], strict=True):
+        following.setdefault(a, set()).add(b)
     texts = {}
     for i, t in order:
         texts.setdefault(i, set()).add(t)
     assert len(got) == len(rows)
     for r in got:
-        assert r.next_text in texts[nexts[r.doc_id, r.text]] or r.doc_id == 4
+        assert any(r.next.text in texts[b] for b in following[r.doc_id])
         k = len(r.text) // 3
-        assert r.e == r.text[: len(r.text) - k] + r.next_text[:k]
-    f = spark.createDataFrame([("a. b. c. " * 40, "a. b. c. " * 40 + "x")], "a string, b string")
-    f = f.select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
-    same, other = f.select(merkle.likeness(F.col("a"), F.col("a")), merkle.likeness(F.col("a"), F.col("b"))).first()
-    assert same == 1.0 and 0 <= other < 1
+        assert r.e == r.text[: len(r.text) - k] + r.next.text[:k]
+    assert Counter(r.next.text for r in got) == Counter(t for _, t in order)
     assert merkle.with_next(empty(spark)).count() == 0
+
+
+def test_merkle_locates_edits(spark):
+    a = " ".join(f"The sentence number {i} is here." for i in range(200))
+    b = a.replace("number 77 ", "number 7777 ").replace("number 150 ", "")
+    short = "x" * 256
+    f = spark.createDataFrame([(a, b), (a, a), (short, short[:-1]), ("", "a")], "a string, b string")
+    f = f.select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"), F.col("a").alias("t"))
+    rows = f.select("t", merkle.leaves(F.col("t")).alias("leaves"), merkle.likeness(F.col("a"), F.col("b")).alias("like"), merkle.differing("a", "b").alias("d"), "a").collect()
+    sections = rows[0].a.split(":")[1].split(";")
+    first = np.cumsum([0, *(s.count(".") + 1 for s in sections)])
+    odd = [rows[0].leaves[first[x.section] + k] for x in rows[0].d for k in x.leaves]
+    assert any("77" in x for x in odd) and any("150" in x for x in odd) and len(odd) < 12
+    assert 0.9 < rows[0].like < 1 and rows[1].like == 1 and not rows[1].d
+    assert rows[2].like > 0.5 and rows[3].like == 0
