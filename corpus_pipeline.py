@@ -19,29 +19,36 @@ def _key() -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, with the key for doc_id."""
     return docs.select(_key().alias("doc_id"), *[c for c in ("text", "source") if c in docs.columns])
 
 
+def _with_key(docs: DataFrame, name: str) -> DataFrame:
+    return docs.select("*", _key().alias(name))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the importance sampler accepts."""
-    model = importance.train(docs.select("doc_id", "text"), importance.good_labels(table(spark, sf_dir, "labels")))
-    return importance.accepted(docs, model)
+    model = importance.train(docs, importance.good_labels(table(spark, sf_dir, "labels")))
+    return importance.accepted(model).select(*own_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: that with the least doc_id. Of rows equal in doc_id and text, one stays."""
+    key = fresh("key", docs)
     found = simhash.near_duplicates(_keyed(docs), simhash.FIVE_WORDS)
-    keep = written(found.select(F.col("component").alias("key")).distinct(), "keep")
-    rows = docs.withColumn("key", _key()).join(keep, "key")
-    return rows.dropDuplicates(["key"]).select(*(f"`{c}`" for c in docs.columns))
+    keep = written(found.select(F.col("component").alias(key)).distinct(), "keep")
+    rows = _with_key(docs, key).join(keep, key)
+    return rows.dropDuplicates([key]).select(*own_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the benchmark contaminates."""
+    key = fresh("key", docs)
     found = winnowing.decontaminate(_keyed(docs), table(spark, sf_dir, "benchmark"))
-    bad = found.filter(winnowing.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("key"))
+    bad = found.filter(winnowing.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(key))
     bad = written(bad.distinct(), "contaminated")
-    return docs.withColumn("key", _key()).join(bad, "key", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return _with_key(docs, key).join(bad, key, "left_anti").select(*own_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +63,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes, in the order of service, with the words taken of each document."""
-    found = fair_mix.fair_mix(_keyed(docs)).filter("taken > 0")
-    found = found.groupBy(F.col("doc_id").alias("key")).agg(
-        F.sum("taken").alias("taken"), F.min("virtual_start").alias("virtual_start")
+    """What the mix takes, in the order of service, with two more columns: taken, the words taken of a document, and
+    virtual_finish, in its first pass. Rows equal in doc_id and text share what is taken of them."""
+    key, taken, finish = (fresh(n, docs) for n in ("key", "taken", "virtual_finish"))
+    found = fair_mix.fair_mix(_keyed(docs)).groupBy(F.col("doc_id").alias(key)).agg(
+        F.sum("taken").alias("all_taken"), F.count("*").alias("rows"), F.min("virtual_finish").alias(finish)
     )
-    found = written(found, "mix")
-    rows = docs.withColumn("key", _key()).join(found, "key")
-    return rows.orderBy("virtual_start", "key").select(*(f"`{c}`" for c in docs.columns), "taken", "virtual_start")
+    found = found.select(key, F.floor(F.col("all_taken") / F.col("rows")).alias(taken), finish)
+    found = written(found.filter(F.col(taken) > 0), "mix")
+    rows = _with_key(docs, key).join(found, key)
+    return rows.orderBy(finish, key).select(*own_columns(docs), taken, finish)
 
 
 STAGES = [
