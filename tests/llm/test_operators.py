@@ -31,36 +31,69 @@ def empty(spark):
     return docs(spark, [])
 
 
-def test_brown_matches_counts_and_handles_odd_rows(spark):
-    d = odd(spark).withColumn("held_out", F.col("doc_id") == 5)
-    model = brown.train(d.filter("doc_id is null or doc_id != 5"), brown.Settings(clustered=8, classes=4, suffixes=4, head=6))
-    got = brown.score(d, model).toPandas()
-    count = Counter()
-    for r in d.filter("doc_id is null or doc_id != 5").collect():
-        count.update((r.text or "").lower().split() + ["\n"])
+def brown_scores(rows, known, model, s):
+    """Scalar class bigrams: text -> log10 probability, from the classes of words alone. rows: held out, text."""
+    number = {w: i for i, w in enumerate(known.words)}
+    kind = lambda w: int(model.kind_of[number[w]]) if w in number else s.classes + brown.suffix_class(w, s.suffixes)
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    counts, bigrams, after = Counter(), Counter(), Counter()
+    for held, text in rows:
+        if not held:
+            words = tokens(text)
+            counts.update(words)
+            for a, b in zip([b"\n", *words[:-1]], words, strict=True):
+                bigrams[kind(a), kind(b)] += 1
+                after[kind(a)] += 1
+    n, v, kinds = sum(counts.values()), len(counts), s.classes + s.suffixes
+    mass, types = Counter(), Counter({k: 1 for k in range(s.classes, kinds)})
+    for w, c in counts.items():
+        mass[kind(w)] += c
+        types[kind(w)] += 1
+    if b"\n" not in counts:
+        types[kind(b"\n")] += 1
+    whole = sum(mass[k] + 1 for k in range(kinds))
+
+    def p(before, w):
+        a, b = kind(before), kind(w)
+        pair = (bigrams[a, b] + s.back_off * (mass[b] + 1) / whole) / (after[a] + s.back_off)
+        return (counts[w] + 1) * (s.mix * pair / max(1, mass[b] + types[b]) + (1 - s.mix) / (n + v + 1))
+
+    return lambda text: sum(math.log10(p(a, b)) for a, b in zip([b"\n", *tokens(text)[:-1]], tokens(text), strict=True)), counts, p
+
+
+@pytest.mark.parametrize("learnt", [True, False])
+def test_brown_equals_a_scalar_class_bigram(spark, learnt):
+    rng = np.random.default_rng(4)
+    more = [(i, " ".join(rng.choice([f"w{k}" for k in range(40)], 30)), "s") for i in range(20, 60)]
+    d = odd(spark).unionByName(docs(spark, more)).withColumn("held_out", F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)) if learnt else F.lit(True))
+    d = d.select("doc_id", "held_out", "text", "source")
+    s = brown.Settings(clustered=8, classes=4, suffixes=4, head=25)
+    known = brown.vocabulary(d.filter(~F.col("held_out")), s)
+    coded = brown.encode(d, known, s)
+    model = brown.train(coded.filter(~F.col("held_out")), known, s)
+    rows = d.collect()
+    texts = Counter((r.doc_id, r.text) for r in rows)
+    value, count, p = brown_scores([(r.held_out, r.text) for r in rows], known, model, s)
     n, v = sum(count.values()), len(count)
-    assert len(got) == 8 and set(got.train_tokens) == {n}
-    for r in got.itertuples():
-        text = next((x.text or "" for x in d.collect() if x.doc_id == (None if math.isnan(r.doc_id) else r.doc_id)), "")
-        words = text.lower().split() + ["\n"]
+    got = brown.score(coded, model).collect()
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {n} and (not learnt or len(set(model.kind_of[9:].tolist()) & set(range(4))) > 0)
+    scored = {}
+    for r in got:
+        text = next(t for i, t in texts if i == r.doc_id)
+        words = [*(text or "").encode().lower().split(), b"\n"]
         assert r.n_tokens == len(words) and r.n_known == sum(count[w] > 0 for w in words)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-        assert r.score < 0 and math.isfinite(r.perplexity)
-
-
-def test_brown_is_a_distribution_and_takes_empty_tables(spark):
-    d = docs(spark, [(i, "a b a c b a", "s") for i in range(5)])
-    m = brown.train(d, brown.Settings(clustered=8, classes=2, suffixes=2))
-    # all known words, and the unknown word of each suffix class, after the end of a text
-    end = m.cell_class[0]
-    known = {w: n for w, n in zip(m.words, m.head_counts, strict=True)}
-    ids = brown._Ids(brown._cell_words(m), 2)
-    total = sum((n + 1) * 10 ** m.step[end, m.cell_class[ids[w]]] for w, n in known.items())
-    total += sum(10 ** m.step[end, m.cell_class[ids.size + k]] for k in range(2))
-    assert 0.97 < total <= 1.03
-    nothing = brown.train(empty(spark))
-    assert brown.score(empty(spark).withColumn("held_out", F.lit(True)), nothing).count() == 0
-    assert brown.score(odd(spark).withColumn("held_out", F.lit(True)), nothing).filter("n_known > 0").count() == 0
+        assert math.isclose(r.score, scored.setdefault(text, value(text)), rel_tol=1e-9) and math.isfinite(r.perplexity)
+    if learnt:  # over all known words and the unknown word of each suffix class, a distribution
+        unknown = [next(w for i in range(9999) if brown.suffix_class(w := f"u{i:03d}".encode(), 4) == k) for k in range(4)]
+        assert 0.9 < sum(p(b"w1", w) for w in [*count, *unknown]) < 1.05
+
+
+def test_brown_takes_empty_tables(spark):
+    none = empty(spark).select("doc_id", "text")
+    known = brown.vocabulary(none)
+    coded = brown.encode(none, known)
+    assert brown.score(coded, brown.train(coded, known)).count() == 0
 
 
 def test_exchange_never_lowers_the_likelihood():

@@ -1,14 +1,19 @@
 """LM scoring with a Brown class-based bigram model.
 
-Training counts every word of the training documents. The ``clustered`` most frequent words get their class by exchange
-clustering on the driver: each in turn moves to the class that raises the likelihood of the class bigrams most; its input
-is a matrix of at most (clustered + suffixes) ** 2 cells, whatever the corpus. All other words, known or not, belong to
-one of ``suffixes`` classes by a hash of their last three bytes, and take part in the class bigrams there.
+Training counts every word of the training documents. Words are put into ``classes`` classes by exchange clustering, in
+two steps. The ``clustered`` most frequent words are exchanged on the driver: each in turn moves to the class that raises
+the likelihood of the class bigrams most; its input is a matrix of at most (clustered + suffixes) ** 2 cells, whatever the
+corpus. Then, in ``rounds`` passes over the corpus, all other words of the ``head`` are counted against the classes of their
+neighbours, and each goes to the class that these make most likely, in as many tasks as there are. The head are the
+words that each task can hold, by falling count; rarer words, and those that training doesn't have, belong to one of
+``suffixes`` further classes by a hash of their last three bytes, and take part in the class bigrams there.
 
 P(word | previous) = mix * P(class | class of previous) * P(word | class) + (1 - mix) * P(word), where P(word | class) and
 P(word) add one to counts and keep a share for unknown words. Both have the word's count plus one as a factor, so a text's
-score is a sum over its class pairs, known to the scan, plus the sum of log10(count + 1). Counts of the ``head`` most
-frequent words go to the scan; those of other words are joined.
+score is a sum over its class pairs, known to the scan, plus the sum of log10(count + 1). Counts of the head
+go to the scan; those of other words are joined.
+
+Texts are cut into words twice: to count them, and to write them down as numbers of the head, which all passes read.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ class Settings:
     suffixes: int = 64
     head: int = 131_072
     sweeps: int = 3
+    rounds: int = 2
     mix: float = 0.98
     back_off: float = 20.0
 
@@ -71,42 +77,102 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Ids(dict):
-    """Word -> cell; words that aren't there get that of their suffix, unstored."""
+    """Word -> its number in the head; other words, unstored, have -1 less the number of their suffix class."""
 
     def __init__(self, words: list[bytes], suffixes: int):
         super().__init__((w, i) for i, w in enumerate(words))
-        self.size, self.suffixes = len(words), suffixes
+        self.suffixes = suffixes
 
     def __missing__(self, word: bytes) -> int:
-        return self.size + zlib.crc32(word[-3:]) % self.suffixes
-
-
-def _cells(texts: list[bytes], ids: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of END, then of each text's words and its END; and the number of tokens of each text."""
-    parts = [t.lower().split() for t in texts]
-    get, end = ids.__getitem__, ids[END]
-    flat = [end]
-    for p in parts:
-        flat.extend(map(get, p))
-        flat.append(end)
-    return np.array(flat, np.int64), np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
+        return -1 - suffix_class(word, self.suffixes)
 
 
-def _pairs(shared, suffixes: int):
-    """text -> cell pairs and how often they follow each other."""
+def _encode(shared, suffixes: int, carried: int):
+    """Carried columns and text -> carried columns, n_tokens, ids (a 32-bit number for each word and the end), and the words
+    outside the head with their numbers in the text."""
+    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(shared.value, suffixes)
-        size = ids.size + suffixes
-        total = np.zeros(size * size, np.int32)
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for a, b in blocks(map(len, texts), 8_000_000):
-                cells, _ = _cells(texts[a:b], ids)
-                pair, n = np.unique(cells[:-1] * size + cells[1:], return_counts=True)
-                total[pair] += n.astype(np.int32)
+            texts = text_bytes(batch.column(carried))
+            for a, b in blocks(map(len, texts), 4_000_000):
+                sizes, coded, tails = [], [], []
+                for text in texts[a:b]:
+                    words = text.lower().split()
+                    words.append(END)
+                    number = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+                    sizes.append(len(words))
+                    coded.append(number.astype("<i4").tobytes())
+                    tails.append([{"word": w, "n": n} for w, n in Counter([words[i] for i in np.flatnonzero(number < 0).tolist()]).items()])
+                cols = [*(batch.column(i)[a:b] for i in range(carried)), pa.array(sizes, pa.int64()), pa.array(coded, pa.binary()), pa.array(tails, tail_type)]
+                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:carried], "n_tokens", "ids", "tail"])
+
+    return run
+
+
+def _coded(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of batches of about a million words, with the numbers of their words in one array."""
+    for batch in batches:
+        raw = batch.column(at).to_pylist()
+        for a, b in blocks(map(len, raw), 4_000_000):
+            yield batch.slice(a, b - a), np.frombuffer(b"".join(raw[a:b]), "<i4")
+
+
+def _before(kinds: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each word: before a text's first, the end of the text before, or of none."""
+    return np.concatenate([[end], kinds[:-1]])
+
+
+def _pairs(shared, size: int):
+    """ids -> pairs of the places that words have in a table, and how often they follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
+        total = np.zeros(size * size, np.int64)
+        for _, ids in _coded(batches):
+            now = place[ids]
+            pair, n = np.unique(_before(now, place[0]) * size + now, return_counts=True)
+            total[pair] += n
         pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair].astype(np.int64))], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "n"])
+
+    return run
+
+
+def _neighbours(shared, kinds: int, fixed: int):
+    """ids -> for each word of the head from ``fixed`` on, the classes before and after it: key (word, side, class), n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_of = shared.value
+        for _, ids in _coded(batches):
+            kind = kind_of[ids]
+            at = np.flatnonzero(ids >= fixed)  # never the end of a text, so a word follows
+            left = ids[at].astype(np.int64) * 2 * kinds + _before(kind, kind_of[0])[at]
+            right = (ids[at].astype(np.int64) * 2 + 1) * kinds + kind[at + 1]
+            key, n = np.unique(np.concatenate([left, right]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    return run
+
+
+def _best(shared, kinds: int):
+    """key, n ordered by word -> word, kind: the class that its neighbours make most likely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, cost = shared.value  # by side and class of the neighbour, then class; by class
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            word, at = key // (2 * kinds), key % (2 * kinds)
+            for w in np.unique(word).tolist():
+                mine = word == w
+                part = np.bincount(at[mine], n[mine], minlength=2 * kinds)
+                found[w] = found[w] + part if w in found else part
+        words = list(found)
+        counts = np.array([found[w] for w in words]).reshape(len(words), 2 * kinds)
+        score = counts @ weight - counts[:, :kinds].sum(1)[:, None] * cost[None, :]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(score.argmax(1), pa.int32())], ["word", "kind"])
 
     return run
 
@@ -162,24 +228,32 @@ def exchange(matrix: np.ndarray, movable: int, classes: int, sweeps: int) -> np.
 
 
 @dataclass
-class Model:
-    """counts: a table of word, n. words: the head, by falling count; head_counts: theirs. words[:clustered] have a
-    cell each. cell_class: the class of each cell. step: log10 of what a class pair and one count contribute."""
+class Vocabulary:
+    """counts: a table of word, n, of all words. words: the head, the end of a text first, then by falling count;
+    head_counts: theirs. by_suffix: tokens and types of each suffix class, the head's included."""
 
-    settings: Settings
     counts: DataFrame
     words: list[bytes]
     head_counts: np.ndarray
-    clustered: int
-    cell_class: np.ndarray
-    step: np.ndarray
+    by_suffix: dict[int, tuple[int, int]]
     tokens: int
     types: int
 
 
-def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from all texts of ``documents``. An empty table gives a model in which every word is unknown."""
-    spark, s = documents.sparkSession, settings
+@dataclass
+class Model:
+    """kind_of: the class of each word of the head, then of the suffixes from the last to the first, so that numbers below
+    0 find theirs. step: log10 of what a class pair and one count contribute."""
+
+    settings: Settings
+    vocabulary: Vocabulary
+    kind_of: np.ndarray
+    step: np.ndarray
+
+
+def vocabulary(documents: DataFrame, settings: Settings = Settings()) -> Vocabulary:
+    """Count all words of the texts."""
+    s = settings
     texts = documents.select(F.col("text").cast("string").alias("text"))
     counts = written(
         texts.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words"
@@ -194,131 +268,128 @@ def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
     band = F.floor(F.log("n") * 64)
     bands = sorted(counts.groupBy(band.alias("b")).agg(F.count("*").alias("v")).collect(), reverse=True)
     fits = [r.b for r, total in zip(bands, np.cumsum([r.v for r in bands]), strict=True) if total <= s.head]
-    top = counts.filter(band >= min(fits, default=1 << 40)).collect()
-    top.sort(key=lambda r: (-r.n, bytes(r.word)))
-    words, head_counts = [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64)
-    clustered = list(dict.fromkeys([END, *words[: s.clustered]]))
-    size = len(clustered) + s.suffixes
-    shared = spark.sparkContext.broadcast(clustered)
-    cells = texts.mapInArrow(_pairs(shared, s.suffixes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    matrix = np.zeros(size * size)
-    found = cells.toArrow()  # at most size ** 2 rows
-    matrix[found["pair"].to_numpy()] = found["n"].to_numpy()
-    matrix = matrix.reshape(size, size)
-    of = exchange(matrix, len(clustered), s.classes, s.sweeps)
-
-    kinds = s.classes + s.suffixes
-    one_hot = np.zeros((size, kinds))
-    one_hot[np.arange(size), of] = 1
-    pairs = one_hot.T @ matrix @ one_hot
-    n_of = dict(zip(words, head_counts.tolist(), strict=True))
-    mass, kind_types = np.zeros(kinds), np.zeros(kinds)
-    for k, (n, v) in by_suffix.items():
-        mass[s.classes + k], kind_types[s.classes + k] = n, v
-    for i, w in enumerate(clustered):
-        n = n_of.get(w, 0)
-        k = s.classes + suffix_class(w, s.suffixes)
-        mass[k], kind_types[k] = mass[k] - n, kind_types[k] - (n > 0)
-        mass[of[i]], kind_types[of[i]] = mass[of[i]] + n, kind_types[of[i]] + 1
-    kind_types[s.classes :] += 1  # the unknown word of each suffix
+    top = {bytes(r.word): r.n for r in counts.filter(band >= min(fits, default=1 << 40)).collect()}
+    if END not in top:  # nothing learnt, or fewer texts than the head's words
+        top[END] = counts.filter(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0
+    words = sorted(top, key=lambda w: (w != END, -top[w], w))
+    return Vocabulary(counts, words, np.array([top[w] for w in words], np.int64), by_suffix, tokens, types)
+
+
+def encode(documents: DataFrame, known: Vocabulary, settings: Settings = Settings()) -> DataFrame:
+    """row_id, and all columns of ``documents`` but text, n_tokens, ids, tail: its words by their numbers in the head."""
+    shared = documents.sparkSession.sparkContext.broadcast(known.words)
+    rest = [f"`{c}`" for c in documents.columns if c != "text"]
+    rows = with_row_id(documents.select(*rest, F.col("text").cast("string").alias("text")))
+    rows = rows.select("row_id", *rest, "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    made = f"{kinds}, n_tokens long, ids binary, tail array<struct<word:binary,n:long>>"
+    return written(rows.mapInArrow(_encode(shared, settings.suffixes, len(rest) + 1), made), "encoded")
+
+
+def _follow(encoded: DataFrame, place: np.ndarray, size: int) -> np.ndarray:
+    """How often a place follows another, size by size; the driver gets at most that many rows."""
+    shared = encoded.sparkSession.sparkContext.broadcast(place)
+    found = encoded.select("ids").mapInArrow(_pairs(shared, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def train(encoded: DataFrame, known: Vocabulary, settings: Settings = Settings()) -> Model:
+    """Learn classes and class bigrams from ``encoded`` texts, those that the vocabulary was counted on. An empty table
+    gives a model in which every word is unknown."""
+    s, context = settings, encoded.sparkSession.sparkContext
+    suffix = np.array([suffix_class(w, s.suffixes) for w in known.words], np.int64)
+    fixed, kinds = min(len(known.words), s.clustered + 1), s.classes + s.suffixes
+    others = np.arange(s.suffixes)[::-1]
+    cells = np.concatenate([np.where(np.arange(len(suffix)) < fixed, np.arange(len(suffix)), fixed + suffix), fixed + others])
+    of = exchange(_follow(encoded, cells, fixed + s.suffixes), fixed, s.classes, s.sweeps)
+    kind_of = np.concatenate([of[:fixed], s.classes + suffix[fixed:], s.classes + others])
+    pairs = _follow(encoded, kind_of, kinds)
+    n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(s.rounds if fixed < len(known.words) else 0):
+        after = np.log((pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * kinds))
+        mass = np.bincount(kind_of[: len(suffix)], known.head_counts, minlength=kinds)[: s.classes]
+        # a word's left neighbour d gives log P(k | d), its right one log P(d | k)
+        weight = np.concatenate([after[:, : s.classes], after[: s.classes].T])
+        counts = encoded.select("ids").mapInArrow(_neighbours(context.broadcast(kind_of), kinds, fixed), "key long, n long")
+        counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
+        counts = counts.repartition(n, F.floor(F.col("key") / (2 * kinds)))
+        best = counts.mapInArrow(_best(context.broadcast((weight, np.log(mass + 1))), kinds), "word int, kind int").toArrow()
+        kind_of[best["word"].to_numpy()] = best["kind"].to_numpy()  # at most a row for each word of the head
+        pairs = _follow(encoded, kind_of, kinds)
+    return Model(s, known, kind_of, _steps(known, s, kind_of, pairs, suffix))
+
+
+def _steps(known: Vocabulary, s: Settings, kind_of: np.ndarray, pairs: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    mass, types = np.zeros(s.classes + s.suffixes), np.zeros(s.classes + s.suffixes)
+    for k, (n, v) in known.by_suffix.items():
+        mass[s.classes + k], types[s.classes + k] = n, v
+    seen = (known.head_counts > 0).astype(np.int64)
+    size = len(mass)
+    mass -= np.bincount(s.classes + suffix, known.head_counts, minlength=size)
+    types -= np.bincount(s.classes + suffix, seen, minlength=size)
+    mass += np.bincount(kind_of[: len(suffix)], known.head_counts, minlength=size)
+    types += np.bincount(kind_of[: len(suffix)], np.maximum(seen, 1), minlength=size)
+    types[s.classes :] += 1  # the unknown word of each suffix
     share = (mass + 1) / (mass + 1).sum()
     after = (pairs + s.back_off * share) / (pairs.sum(1, keepdims=True) + s.back_off)
-    emit = 1 / np.maximum(mass + kind_types, 1)
-    step = np.log10(s.mix * after * emit + (1 - s.mix) / (tokens + types + 1))
-    return Model(s, counts, words, head_counts, len(clustered), of, step, tokens, types)
+    emit = 1 / np.maximum(mass + types, 1)
+    return np.log10(s.mix * after * emit + (1 - s.mix) / (known.tokens + known.types + 1))
 
 
 def _scores(shared):
-    """row_id, doc_id, held_out, text -> sums over a text, and its words outside the head with their numbers."""
+    """ids first, then carried columns -> these, n_known, and sums over a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, head_counts, cell_words, cell_class, step, s = shared.value
-        ids = _Ids(cell_words, s.suffixes)
-        kinds = step.shape[1]
-        head = {w: i for i, w in enumerate(words)}
-        logs = np.append(np.log10(head_counts + 1.0), 0.0)
-        flat_step = step.ravel()
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        for batch in batches:
-            texts = text_bytes(batch.column(3))
-            for a, b in blocks(map(len, texts), 4_000_000):
-                parts = [t.lower().split() for t in texts[a:b]]
-                sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
-                flat = [END]
-                for p in parts:
-                    flat += p
-                    flat.append(END)
-                cells = cell_class[np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat))]
-                at = np.array([head.get(w, -1) for w in flat[1:]], np.int64)
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                own = flat_step[cells[:-1] * kinds + cells[1:]]
-                tails = [
-                    [{"word": w, "n": n} for w, n in Counter([flat[i + 1] for i in (np.flatnonzero(at[x:y] < 0) + x).tolist()]).items()]
-                    for x, y in zip(starts.tolist(), ends.tolist(), strict=True)
-                ]
-                cols = [
-                    *(batch.column(i)[a:b] for i in range(3)),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat((at >= 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(logs[at], starts)),
-                    pa.array(np.add.reduceat(own, starts)),
-                    pa.array(tails, tail_type),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    cols, ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "logs", "steps", "tail"]
-                )
+        head_counts, kind_of, step = shared.value
+        logs = np.concatenate([np.log10(head_counts + 1.0), np.zeros(len(kind_of) - len(head_counts))])
+        known = np.concatenate([(head_counts > 0).astype(np.int64), np.zeros(len(kind_of) - len(head_counts), np.int64)])
+        for batch, ids in _coded(batches):
+            sizes = np.array([len(x) // 4 for x in batch.column(0).to_pylist()])
+            starts = np.cumsum(sizes) - sizes
+            kind = kind_of[ids]
+            own = step[_before(kind, kind_of[0]), kind]
+            sums = [pa.array(np.add.reduceat(x, starts)) for x in (known[ids], logs[ids], own)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *sums], [*batch.schema.names[1:], "n_known", "logs", "steps"])
 
     return run
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """Score doc_id, held_out and whole text of each row of ``documents``.
+def score(encoded: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``encoded`` without ids and tail, and n_known, train_tokens, base_score, score, perplexity.
 
-    Returns row_id, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. Null and empty texts
-    are their end token alone; repeated rows are scored each. Other columns are ignored.
+    Null and empty texts are their end token alone; repeated rows are scored each.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (model.words, model.head_counts, _cell_words(model), model.cell_class, model.step, model.settings)
-    )
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = with_row_id(documents.select("doc_id", "held_out", F.col("text").cast("string").alias("text")))
-    scanned = written(
-        rows.select("row_id", "doc_id", "held_out", "text").mapInArrow(
-            _scores(shared),
-            f"row_id long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, steps double, "
-            "tail array<struct<word:binary,n:long>>",
-        ),
-        "scanned",
-    )
+    known = model.vocabulary
+    shared = encoded.sparkSession.sparkContext.broadcast((known.head_counts, model.kind_of, model.step))
+    rest = [f for f in encoded.schema if f.name not in ("ids", "tail")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    names = [f"`{f.name}`" for f in rest]
+    scanned = encoded.select("ids", *names).mapInArrow(_scores(shared), f"{kinds}, n_known long, logs double, steps double")
     tail = (
-        scanned.select("row_id", F.explode("tail").alias("t"))
+        encoded.select("row_id", F.explode("tail").alias("t"))
         .select("row_id", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
-        .join(model.counts, "word")
+        .join(known.counts, "word")
         .groupBy("row_id")
         .agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_logs"))
     )
     logs = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0))
-    flat = float(np.log10(model.tokens + model.types + 1))
+    flat = float(np.log10(known.tokens + known.types + 1))
     total = logs + F.col("steps")
-    return scanned.drop("tail").join(tail, "row_id", "left").select(
-        "row_id",
-        "doc_id",
-        "held_out",
-        "n_tokens",
+    return scanned.join(tail, "row_id", "left").select(
+        *names,
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(known.tokens).cast("long").alias("train_tokens"),
         (logs - F.lit(flat) * F.col("n_tokens")).alias("base_score"),
         total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
 
 
-def _cell_words(model: Model) -> list[bytes]:
-    return list(dict.fromkeys([END, *model.words[: model.settings.clustered]]))
-
-
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return score(docs, train(docs.filter(~F.col("held_out")))).drop("row_id")
+    known = vocabulary(docs.filter(~F.col("held_out")))
+    coded = encode(docs, known)
+    found = score(coded, train(coded.filter(~F.col("held_out")), known))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
