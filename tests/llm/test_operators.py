@@ -194,6 +194,9 @@ def test_warc_round_trip(spark):
         keep = best[payload.decode()]
         assert r.payload_bytes == len(payload) and r.digest_so_far == warc.base32(hashlib.sha1(payload).digest())
         assert (r.record_type, r.refers_to) == (("response", None) if keep == int(r.record) else ("revisit", str(keep)))
+    named = pages.withColumn("page_id", F.concat(F.lit("p"), F.col("page_id")))
+    again = warc.read_archives(warc.write_archives(named, folder + "-named"), folder).filter("last").collect()
+    assert {(r.record, r.refers_to) for r in again} == {("p" + r.record, r.refers_to and "p" + r.refers_to) for r in got}
     none = warc.write_archives(pages.limit(0), folder + "-none")
     assert warc.read_archives(none, folder).count() == 0
 
@@ -387,6 +390,56 @@ def test_kth_largest_is_exact(spark):
         assert importance.kth_largest(df, "k", k) == sorted(values, reverse=True)[k - 1]
 
 
+def brute_lines(rows, run_words):
+    """doc_id -> spans that go, from the units of all texts in one list; ties of doc_ids by the row's place."""
+    seen, spans = {}, {}
+    for i, text in rows:  # in order of doc_id
+        parts, n, start, end, edge = line_dedup.units((text or "").encode())
+        first = [k for k in range(len(parts)) if edge[k] & 1]
+        go = [p in seen or parts.index(p) < k for k, p in enumerate(parts)]
+        keep, k = set(), 0
+        while k < len(parts):
+            j = k
+            while j < len(parts) and go[j]:
+                j += 1
+            if sum(n[k:j]) >= run_words:
+                keep.update(range(k, j))
+            k = max(j, k + 1)
+        lines = []
+        for a, b in zip(first, [*first[1:], len(parts)], strict=False):
+            line = "\n" + " ".join(p.decode() for p in parts[a:b])
+            if sum(n[a:b]) < 5 and (line in seen or line in lines):
+                keep.update(range(a, b))
+            if sum(n[a:b]) < 5:
+                lines.append(line)
+            elif all(go[a:b]):
+                keep.update(range(a, b))
+        for x in [*parts, *lines]:
+            seen[x] = i
+        out = []
+        for k in sorted(keep):
+            if out and k - 1 in keep:
+                out[-1][1] = int(end[k])
+            else:
+                out.append([int(start[k]), int(end[k])])
+        spans[i] = out
+    return spans
+
+
+@pytest.mark.parametrize("run_words", [20, 0])
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, run_words, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = np.random.default_rng(13)
+    words = [f"W{k}é" for k in range(30)]
+    pick = lambda n: " ".join(rng.choice(words, n))
+    passages = [pick(40) for _ in range(4)] + ["same " * 60, pick(3), pick(1)]
+    rows = [(i, "\n".join(pick(int(rng.integers(0, 6))) + " " + passages[int(rng.integers(0, 7))] + " " + pick(int(rng.integers(0, 4))) for _ in range(4)), "s") for i in range(60)]
+    rows += [(60, None, "s"), (61, "", "s"), (62, " \n ", "s"), (63, rows[0][1], "s")]
+    got = {r.doc_id: [[x["start"], x["end"]] for x in r.spans] for r in line_dedup.dedup_lines(docs(spark, rows), run_words).collect()}
+    assert got == brute_lines([(i, t) for i, t, _ in rows], run_words)
+
+
 def test_line_dedup_keeps_the_first(spark):
     rng = np.random.default_rng(5)
     pick = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
@@ -447,8 +500,8 @@ def test_merkle_prints_equal_a_scalar_version(spark):
 def test_merkle_finds_the_next_and_edits(spark, monkeypatch, kind):
     monkeypatch.setattr(merkle, "RANGE_ROWS", 50)
     rows = [(i * i, f"Doc {i}. " + " ".join(f"Sentence {i} {j}, more." for j in range(i % 9)), "s") for i in range(1200)] + [(4, "dup", "s"), (None, "null id", "s"), (7, None, "s"), (8, "", "s"), (2**60, "far", "s"), (-(2**63), "least", "s"), (9, "same", "s"), (9, "same", "s")]
-    d = docs(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("next", F.lit("x")).withColumn("k", F.lit("x"))
-    got = merkle.with_next(d).withColumn("e", merkle.edited(F.col("text"), F.col("next.text"))).collect()
+    d = docs(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("next_text", F.lit("x")).withColumn("k", F.lit("x"))
+    got = merkle.with_next(d).withColumn("e", merkle.edited(F.col("text"), F.col("next_text"))).collect()
     cast = lambda i: i if i is None or kind == "long" else str(i)
     order = sorted(((cast(i), t or "") for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or cast(0)), reverse=True)
     following = {}
@@ -459,10 +512,10 @@ def test_merkle_finds_the_next_and_edits(spark, monkeypatch, kind):
         texts.setdefault(i, set()).add(t)
     assert len(got) == len(rows)
     for r in got:
-        assert any(r.next.text in texts[b] for b in following[r.doc_id])
+        assert any(r.next_text in texts[b] for b in following[r.doc_id])
         k = len(r.text) // 3
-        assert r.e == r.text[: len(r.text) - k] + r.next.text[:k]
-    assert Counter(r.next.text for r in got) == Counter(t for _, t in order)
+        assert r.e == r.text[: len(r.text) - k] + r.next_text[:k]
+    assert Counter(r.next_text for r in got) == Counter(t for _, t in order)
     assert merkle.with_next(empty(spark)).count() == 0
 
 

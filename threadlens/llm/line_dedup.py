@@ -3,11 +3,12 @@
 Lines are cut into units. Inside a line a unit ends behind a word whose hash is smaller than those of the line's ``REACH``
 words on either side, so that cuts depend on the words nearby alone and a passage is cut alike in every line that holds it, but for a
 few words at its ends. Units are normalised (ASCII case and white space), digested to 128 bits and grouped over all documents;
-the earliest occurrence of each digest, by doc_id and place, stays.
+the earliest occurrence of each digest, by doc_id, text and place, stays.
 
-Later occurrences are removed where they make up whole lines of at least ``LINE_WORDS`` words, or stand in an unbroken run
-of repeated units with at least ``RUN_WORDS`` words; shorter repeats of parts of lines are chance and stay. Shorter lines
-are digested whole besides, and removed where the same line stands earlier; being a part of a longer one isn't enough.
+Later occurrences are removed where they make up whole lines, however short, or stand in an unbroken run of repeated units
+with at least ``run_words`` words (0: all repeated units go); shorter repeats of parts of lines are chance. Lines of under
+``LINE_WORDS`` words are digested whole besides, and removed where the same line stands earlier; being a part of a longer one
+isn't enough. Where words have no content-defined end, as in runs of one word, a unit ends after ``UNIT_WORDS`` words.
 Removed spans are offsets in the original text.
 """
 
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.shared import table, text_bytes, with_row_id, written
 
-REACH, LINE_WORDS, RUN_WORDS = 3, 5, 20
+REACH, LINE_WORDS, RUN_WORDS, UNIT_WORDS = 3, 5, 20, 16
+#: Digests with more occurrences than the units over this number, fewer than as many, are joined by broadcast.
+HOT = 10_000
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _UNIT = [
     ("u", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()),
@@ -54,7 +57,10 @@ def units(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray,
         least[k:] &= (h[k:] < h[:-k]) | other
         least[:-k] &= (h[:-k] <= h[k:]) | other
     new_line = np.concatenate([line[1:] != line[:-1], [True]])
-    last = np.flatnonzero(least | new_line)
+    cut = least | new_line
+    begin = np.concatenate([[True], cut[:-1]])
+    since = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+    last = np.flatnonzero(cut | (since % UNIT_WORDS == UNIT_WORDS - 1))
     first = np.concatenate([[0], last[:-1] + 1])
     begins = np.concatenate([[True], line[1:] != line[:-1]])
     parts = [b" ".join(words[a : b + 1]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
@@ -73,7 +79,7 @@ def _short_lines(parts: list[bytes], n: np.ndarray, start: np.ndarray, end: np.n
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row_id, doc_id, text -> row_id, doc_id, n_chars, n_words, n_units, units."""
+    """row_id, doc_id, text, tie -> row_id, doc_id, tie, n_chars, n_words, n_units, units."""
     for batch in batches:
         texts = text_bytes(batch.column(2))
         sizes, listed_sizes, cols, chars, words = [], [], [[] for _ in _UNIT], [], []
@@ -92,8 +98,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = pa.array(np.concatenate([[0], np.cumsum(listed_sizes)]), pa.int32())
         listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, [k for k, _ in _UNIT]))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (chars, words, sizes)), listed],
-            ["row_id", "doc_id", "n_chars", "n_words", "n_units", "units"],
+            [*batch.columns[:2], batch.column(3), *(pa.array(x, pa.int64()) for x in (chars, words, sizes)), listed],
+            ["row_id", "doc_id", "tie", "n_chars", "n_words", "n_units", "units"],
         )
 
 
@@ -109,8 +115,12 @@ def _whole_lines(run: list[dict]) -> list[dict]:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(run_words: int):
     """row_id, repeated (units in order) -> row_id, spans that go, words that go."""
+    return lambda batches: _runs_of(batches, run_words)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, gone = [], []
         for found in batch.column(1).to_pylist():
@@ -123,7 +133,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while j + 1 < len(found) and found[j + 1]["u"] == found[j]["u"] + 1:
                     j += 1
                 run = found[i : j + 1]
-                if sum(x["n"] for x in run) < RUN_WORDS:
+                if sum(x["n"] for x in run) < run_words:
                     run = _whole_lines(run)
                 goes |= {x["u"]: x | {"last": x["u"]} for x in run}
                 i = j + 1
@@ -148,27 +158,33 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Which spans of each document (doc_id, text) repeat an earlier document or an earlier place in it.
 
     Returns row_id, doc_id, n_chars, n_words, n_units, n_gone (words removed),
-    spans (start, end in code points, in order). Null and empty texts have no units; of equal doc_ids the row
-    read first is earlier; null doc_ids come first. Other columns are ignored.
+    spans (start, end in code points, in order). Null and empty texts have no units; of equal doc_ids that with the lesser
+    hash of the text is earlier, of equal rows one; null doc_ids come first. Other columns are ignored.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = with_row_id(documents.select("doc_id", F.col("text").cast("string").alias("text")))
-    scanned = rows.select("row_id", "doc_id", "text").mapInArrow(
-        _scan, f"row_id long, doc_id {kind}, n_chars long, n_words long, n_units long, units array<struct<{_UNIT_SQL.replace(' ', ':').replace(',:', ',')}>>"
-    )
-    scanned = written(scanned, "units")
-    each = scanned.select("row_id", "doc_id", F.explode("units").alias("x")).select("row_id", "doc_id", "x.*")
-    place = F.struct("doc_id", "row_id", "u")
+    listed = _UNIT_SQL.replace(" ", ":").replace(",:", ",")
+    kinds = f"row_id long, doc_id {kind}, tie long, n_chars long, n_words long, n_units long, units array<struct<{listed}>>"
+    rows = rows.select("row_id", "doc_id", "text", F.xxhash64("text").alias("tie"))
+    scanned = written(rows.mapInArrow(_scan, kinds), "units")
+    each = scanned.select("row_id", "doc_id", "tie", F.explode("units").alias("x")).select("row_id", "doc_id", "tie", "x.*")
+    place = F.struct("doc_id", "tie", "row_id", "u")
     first = each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    first = written(first.select("h1", "h2", F.col("first.row_id").alias("r0"), F.col("first.u").alias("u0")), "repeated")
-    later = each.drop("doc_id").join(first, ["h1", "h2"]).filter("row_id != r0 or u != u0")
+    first = written(first.select("h1", "h2", F.col("first.row_id").alias("r0"), F.col("first.u").alias("u0"), "times"), "repeated")
+    # frequent digests, of which there can't be more than HOT, don't meet at one key each
+    most = (scanned.agg(F.sum(F.size("units"))).first()[0] or 0) // HOT
+    hot = F.broadcast(first.filter(F.col("times") > most).select("h1", "h2", F.col("r0").alias("hot_r"), F.col("u0").alias("hot_u")))
+    each = each.drop("doc_id", "tie").join(hot, ["h1", "h2"], "left")
+    cold = each.filter("hot_r is null").drop("hot_r", "hot_u").join(first.filter(F.col("times") <= most).drop("times"), ["h1", "h2"])
+    warm = each.filter("hot_r is not null").withColumnsRenamed({"hot_r": "r0", "hot_u": "u0"})
+    later = cold.unionByName(warm).filter("row_id != r0 or u != u0")
     gone = later.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("u", "n", "start", "end", "edge"))).alias("repeated"))
     gone = gone.select("row_id", "repeated").mapInArrow(
-        _runs, "row_id long, spans array<struct<start:int,end:int>>, n_gone long"
+        _runs(run_words), "row_id long, spans array<struct<start:int,end:int>>, n_gone long"
     )
     none = F.array().cast("array<struct<start:int,end:int>>")
     return scanned.join(gone, "row_id", "left").select(

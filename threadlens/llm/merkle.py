@@ -97,9 +97,8 @@ def _range_of(key: str, bounds: str) -> Column:
     """)
 
 
-def with_next(documents: DataFrame, *carried: str) -> DataFrame:
-    """doc_id, text, ``carried`` columns, next (struct of the next row's text and carried columns): the next row by
-    descending doc_id, null ids last, repeated ids by a hash of the text; the last row's next is the first.
+def with_next(documents: DataFrame) -> DataFrame:
+    """doc_id, text, next_text of each row: the next row by descending doc_id, null ids last, repeated ids by a hash of the text; the last row's next is the first.
 
     doc_id is of any type that has an order. A pass over ids alone finds the bounds of ranges of at most about RANGE_ROWS rows,
     however the ids are spread; the bounds go to all tasks as one value, an id and a hash for each range. Each range's
@@ -108,17 +107,17 @@ def with_next(documents: DataFrame, *carried: str) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"))
-    rows = documents.select("doc_id", text.alias("text"), *carried, key.alias("k"))
+    rows = documents.select("doc_id", text.alias("text"), key.alias("k"))
     bounds = _bounds(rows.select("k"))
     rows = rows.withColumn("bounds", bounds.scalar())
     rows = rows.withColumn("range", _range_of("k", "bounds"))
     own = F.struct(F.col("range").alias("range"), F.lit(1).alias("own"))
     above = F.struct(((F.col("range") + 1) % F.size("bounds")).alias("range"), F.lit(0).alias("own"))
     places = F.when(F.get("bounds", F.col("range")) == F.col("k"), F.array(own, above)).otherwise(F.array(own))
-    rows = rows.select("doc_id", "text", *carried, "k", F.explode(places).alias("p"))
+    rows = rows.select("doc_id", "text", "k", F.explode(places).alias("p"))
     w = W.partitionBy("p.range").orderBy("p.own", "k")
-    rows = rows.withColumn("next", F.lag(F.struct("text", *carried)).over(w))
-    return rows.filter("p.own = 1").select("doc_id", "text", *carried, "next")
+    rows = rows.withColumn("next_text", F.lag("text").over(w))
+    return rows.filter("p.own = 1").select("doc_id", "text", "next_text")
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -129,15 +128,15 @@ def edited(text: Column, next_text: Column) -> Column:
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"))
-    rows = with_next(docs, "fingerprint").withColumn("edited", edited(F.col("text"), F.col("next.text")))
+    # prints are made behind the shuffle, which they would double
+    rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
+        fingerprint(F.col("text")).alias("fingerprint"),
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        F.col("next.fingerprint").alias("next_fingerprint"),
+        fingerprint(F.col("next_text")).alias("next_fingerprint"),
     )
     return rows.select(
         "doc_id",

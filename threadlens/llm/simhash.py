@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from threadlens.llm.shared import table, text_bytes, with_row_id, written
 
 SEED = 42
+SALTS = 8
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -333,8 +334,15 @@ def components(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
     """node, root: the least node of each component, for every node of an edge.
 
     Alternates large stars and small stars until edges no longer change, which takes O(log squared n) rounds; each round
-    is written, so a lost executor costs one round at most. Raises if ``most`` rounds don't suffice.
+    is written, so a lost executor costs one round at most. The edges of one node, which may be those of a star of very many,
+    meet its least neighbour at SALTS keys. Raises if ``most`` rounds don't suffice.
     """
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+
+    def with_least(edges: DataFrame) -> DataFrame:
+        """u, v, salt, m: each edge with the least v of its u."""
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", salts)
+        return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
 
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -343,14 +351,11 @@ def components(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
     now, before = written(now, "edges"), None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v")
         large = written(large.distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = with_least(large)
         small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
+            joined.filter("v = m").select("u", F.col("m").alias("v"))
         )
         now = written(small.distinct(), "small-star")
         mark = stamp(now)

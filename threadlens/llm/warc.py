@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from threadlens.llm.shared import shared_path, table, written
 
 CHUNK, REVISIT_BYTES = 16_384, 0
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:page:"
 CHUNKS_SQL = (
@@ -99,13 +100,21 @@ def _write(folder: str):
 
 
 def chunk_rows(pages: DataFrame, chunk: int = CHUNK, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, uri, record_type, refers_to, sha1, payload_bytes, chunk, last, bytes; revisits have one, empty chunk."""
+    """page_id, uri, record_type, refers_to, sha1, payload_bytes, chunk, last, bytes; revisits have one, empty chunk.
+
+    page_id is of any type; ids are written as strings. Of pages with an equal payload and null ids all are revisits."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select("page_id", F.col("url").cast("string").alias("uri"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    keep = rows.groupBy("sha1").agg(F.max("page_id").alias("keep"))
-    keep = written(keep, "payloads")
-    rows = rows.join(keep, "sha1")
+    # payloads move once, by page and digest; which page keeps a payload is found on digests alone, the copies of one
+    # payload dealt to SALTS keys
+    ids = written(rows.select("page_id", "sha1"), "digests")
+    keep = ids.groupBy("sha1").agg(F.max("page_id").alias("keep"))
+    keep = keep.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    kept = ids.distinct().withColumn("salt", salt).join(keep, ["sha1", "salt"])
+    kept = written(kept.select(F.col("page_id").alias("k_id"), F.col("sha1").alias("k_sha1"), "keep"), "payloads")
+    rows = rows.join(kept, F.col("page_id").eqNullSafe(F.col("k_id")) & (F.col("sha1") == F.col("k_sha1")))
     again = (F.col("payload_bytes") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep"))
     n = F.when(F.col("record_type") == "revisit", 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk)))
     at = F.col("chunk") * chunk + 1
@@ -241,12 +250,13 @@ def read_archives(manifest: DataFrame, folder: str, chunk: int = CHUNK) -> DataF
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_path(spark, "warc")
-    rows = read_archives(write_archives(table(spark, sf_dir, "pages"), folder), folder)
+    folder, pages = shared_path(spark, "warc"), table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    rows = read_archives(write_archives(pages, folder), folder)
     return rows.filter("last").select(
-        F.col("record").cast("long").alias("page_id"),
+        F.col("record").cast(kind).alias("page_id"),
         "payload_bytes",
         F.col("digest_so_far").alias("payload_digest"),
         "record_type",
-        F.col("refers_to").cast("long").alias("refers_to"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
     )

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from threadlens.llm.shared import blocks, table, text_bytes, with_row_id, written
 
 WINDOW, K, BITS = 13, 5, 24
+SALTS = 16
 #: A-Z become a-z; ASCII that is neither digit nor letter parts words; all other bytes belong to words.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -207,9 +208,12 @@ def decontaminate(
     )
     hits = docs.select("row_id", F.explode("hits").alias("h")).select("row_id", "h.*")
     of_items = items.select("n", "w1", "w2", F.col("item_id").cast("string").alias("item")).distinct()
+    # a window that a third of all documents have, as of a one-word item, is dealt to SALTS keys
+    of_items = of_items.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     of_items = written(of_items, "item-windows")
     found = (
-        hits.join(of_items, ["n", "w1", "w2"])
+        hits.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+        .join(of_items, ["n", "w1", "w2", "salt"])
         .groupBy("row_id")
         .agg(
             F.array_sort(F.collect_set("item")).alias("items"),
