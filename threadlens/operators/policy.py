@@ -75,11 +75,9 @@ def draft_checks(draft: Column, said: Column, evidence: Column, most: int = 280)
     examples, all of what the draft may rest on."""
     draft, low = F.trim(F.coalesce(draft, F.lit(""))), F.lower(F.trim(F.coalesce(draft, F.lit(""))))
     evidence = F.lower(evidence)
-    url, money = r"https?://[^\s<>\"')]+|\bwww\.[^\s<>\"')]+", r"[$£€]\s?\d+(?:[.,]\d+)?|\b\d+(?:[.,]\d+)?\s?(?:usd|gbp|eur|dollars|pounds)\b"
-    links = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit(url), F.lit(0)), T.normalise_url)
-    amounts = F.transform(F.regexp_extract_all(low, F.lit(money), F.lit(0)), lambda m: F.replace(m, F.lit(" "), F.lit("")))
-    dm_clause = r"\b(?:please\s+)?(?:send\s+us\s+a\s+|shoot\s+us\s+a\s+)?(?:dm|direct message|private message|pm)\s*(?:us|me)?\b[^.!?]*"
-    rest = F.regexp_replace(F.regexp_replace(low, r"\bcheck\s+your\s+(?:dms?|messages|inbox)\b", " "), dm_clause, " ")
+    links = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit(T.LINK), F.lit(0)), T.normalise_url)
+    amounts = F.transform(F.regexp_extract_all(low, F.lit(T.AMOUNT), F.lit(0)), lambda m: F.replace(m, F.lit(" "), F.lit("")))
+    rest = F.regexp_replace(F.regexp_replace(low, T.CHECK_INBOX, " "), T.DM_CLAUSE, " ")
     tried = F.when(F.lower(said).rlike(T.TRIED), T.steps_mentioned(said)).otherwise(F.array().cast("array<string>"))
     drafted = T.steps_mentioned(low)
     checks = {

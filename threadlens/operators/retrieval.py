@@ -2,55 +2,101 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import unit
+from threadlens.sources.tables import cut
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.5) -> DataFrame:
+def _best(k: int, floor: float):
+    """c_id, c_template, c_vector, q_id, q_vector, a chunk against a block -> query_id, vec_id, template, sim: for each query
+    the k best of the chunk, one of each template."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                ids, names, q_ids = np.asarray(r.c_id), np.asarray(r.c_template, object), np.asarray(r.q_id)
+                sims = np.round(np.stack(r.q_vector) @ np.stack(r.c_vector).T, 6)
+                for q, row in zip(q_ids, sims, strict=True):
+                    fit = np.flatnonzero((row >= floor) & (ids != q))
+                    seen, left = set(), k
+                    for i in fit[np.lexsort((ids[fit], -row[fit]))]:
+                        if names[i] and names[i] in seen:
+                            continue
+                        seen.add(names[i])
+                        out.append((q, ids[i], names[i], row[i]))
+                        left -= 1
+                        if not left:
+                            break
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "template", "sim"])
+
+    return run
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.5, chunk: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, sim: the k most similar vectors of at least ``floor``, the best of each template only.
 
-    corpus: vec_id, embedding, template; queries: query_id, embedding. The query set is the stated one and is held against
-    the corpus in blocks; ties go to the lower id; an empty template never excludes.
+    corpus: vec_id, embedding, template; queries: query_id, embedding; vectors of one length. The query set is the stated one.
+    Chunks of the corpus meet blocks of queries as matrices, and only a chunk's best k for a query leave it. Sims are
+    rounded to 6 digits; ties go to the lower id; an empty or null template never excludes.
     """
-    c = corpus.select("vec_id", "template", unit(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", unit(F.col("embedding")).alias("u"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = c.join(q, F.col("vec_id") != F.col("query_id")).withColumn("sim", F.round(dot, 6)).filter(F.col("sim") >= floor)
+    dealt = lambda d, i: F.pmod(F.xxhash64(i), F.lit(max(1, -(-d.count() // chunk)))).cast("int")
+    c = corpus.select("vec_id", F.coalesce("template", F.lit("")).alias("template"), unit(F.col("embedding")).alias("v"))
+    q = queries.select("query_id", unit(F.col("embedding")).alias("u")).withColumn("block", dealt(queries, "query_id"))
+    blocks = q.groupBy("block").agg(F.collect_list("query_id").alias("q_id"), F.collect_list("u").alias("q_vector"))
+    chunks = c.withColumn("chunk", dealt(corpus, "vec_id")).groupBy("chunk")
+    chunks = chunks.agg(*(F.collect_list(x).alias(y) for x, y in (("vec_id", "c_id"), ("template", "c_template"), ("v", "c_vector"))))
+    all_blocks = F.array(*map(F.lit, range(max(1, -(-queries.count() // chunk)))))
+    pairs = chunks.withColumn("block", F.explode(all_blocks)).join(blocks, "block")
+    kinds = corpus.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    pairs = pairs.select("c_id", "c_template", "c_vector", "q_id", "q_vector")
+    found = pairs.mapInPandas(_best(k, floor), f"query_id {kinds[1]}, vec_id {kinds[0]}, template string, sim double")
     order = [F.desc("sim"), "vec_id"]
     own = F.when(F.col("template") == "", F.col("vec_id").cast("string")).otherwise(F.lit(""))
-    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("query_id", "template", own).orderBy(*order))).filter("r = 1")
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("query_id", "template", own).orderBy(*order))).filter("r = 1")
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")).filter(
         F.col("rank") <= k
     ).select("query_id", "rank", "vec_id", "sim")
 
 
-def grams(text: Column, n: int = 4) -> Column:
-    """Distinct character n-grams within words padded by a space, lower case."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) + 2 - (n - 1))), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(n)))
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+def grams(text: str, least: int = 3, most: int = 5) -> Column:
+    """Character n-grams of ``least`` to ``most`` within words padded by a space on either side, lower case, repeats
+    included. A word of no more characters than n is one n-gram for the least such n and has none longer."""
+    return F.expr(rf"""
+        flatten(transform(filter(split(lower({text}), r'\s+'), w -> w <> ''), w ->
+            flatten(transform(sequence({least}, least({most}, greatest({least}, length(w) + 2))), n ->
+                transform(sequence(1, greatest(1, length(w) + 3 - n)), i -> substring(concat(' ', w, ' '), i, n))))))
+    """)
 
 
 def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> DataFrame:
-    """id, best, max_sim: each other text's most similar training text (the least id of several; null for none) and their
-    cosine, over binary n-grams that at most ``max_df`` of the
-    training texts have, weighted by inverse frequency. An inverted index joins on n-grams; the frequency bound keeps common
-    ones out of it. Both: id, text."""
-    t = train.select(F.col("id").alias("t_id"), F.explode(grams(F.col("text"))).alias("g"))
-    o = other.select(F.col("id").alias("o_id"), F.explode(grams(F.col("text"))).alias("g"))
-    n = train.count()
-    df = t.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df * n)
-    weight = df.select("g", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("w"))
-    t, o = t.join(weight, "g"), o.join(weight, "g")
-    norm = lambda d, i: d.groupBy(i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{i}_norm"))
-    dots = t.join(o.drop("w"), "g").groupBy("t_id", "o_id").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    sims = dots.join(norm(t, "t_id"), "t_id").join(norm(o, "o_id"), "o_id")
-    likeness = F.col("dot") / (F.col("t_id_norm") * F.col("o_id_norm"))
-    each = sims.select("o_id", "t_id", F.round(likeness, 6).alias("s"))
-    best = each.groupBy("o_id").agg(F.max("s").alias("s"), F.max_by("t_id", F.struct("s", -F.col("t_id"))).alias("best"))
+    """id, best, max_sim: each other text's most similar training text (the least id of those alike to 9 digits; null for
+    none) and their cosine, unrounded. Both: id, text.
+
+    Texts are vectors of n-grams of 3 to 5 characters, weighted by 1 + ln(count) and by inverse frequency in both tables
+    together; n-grams that over ``max_df`` of all texts have don't count. Only n-grams that other texts have meet at the
+    index; norms need all. Training texts that share no such n-gram aren't compared.
+    """
+    both = train.select(F.lit(0).alias("side"), "id", "text").unionByName(other.select(F.lit(1).alias("side"), "id", "text"))
+    n = both.count()
+    g = both.select("side", "id", F.explode(grams("text")).alias("g")).groupBy("side", "id", "g").agg(F.count("*").alias("tf"))
+    g = cut(g)
+    df = g.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df * n)
+    weight = (1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    rows = cut(g.join(df, "g").select("side", "id", "g", weight.alias("w")))
+    norms = rows.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norm = lambda side, i: norms.filter(F.col("side") == side).select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"))
+    o = rows.filter("side = 1").select("g", F.col("id").alias("o_id"), F.col("w").alias("o_w"))
+    t = rows.filter("side = 0").select("g", F.col("id").alias("t_id"), F.col("w").alias("t_w"))
+    dots = t.join(o, "g").groupBy("t_id", "o_id").agg(F.sum(F.col("t_w") * F.col("o_w")).alias("dot"))
+    sims = dots.join(norm(0, "t_id"), "t_id").join(norm(1, "o_id"), "o_id")
+    each = sims.select("o_id", "t_id", (F.col("dot") / (F.col("t_id_norm") * F.col("o_id_norm"))).alias("s"))
+    best = each.groupBy("o_id").agg(F.max("s").alias("s"), F.max_by("t_id", F.struct(F.round("s", 9).alias("r"), (-F.col("t_id")).alias("i"))).alias("best"))
     return other.select(F.col("id").alias("o_id")).join(best, "o_id", "left").select(
         F.col("o_id").alias("id"), "best", F.coalesce("s", F.lit(0.0)).alias("max_sim")
     )

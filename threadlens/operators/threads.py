@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadlens.functions import text as T
 from threadlens.sources.tables import cut
 
 #: Minutes between parts of one message, rounds of parts, minutes of context, turns of context.
@@ -31,25 +32,35 @@ def thread_roots(messages: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def exchanges(messages: DataFrame) -> DataFrame:
-    """record_id, conv_id, is_followup, reply_id, reply_delay, next_text of each inbound message with a direct answer.
+    """record_id, conv_id, first_id, n_customer_parts, is_followup, reply_id, n_reply_parts, reply_delay, next_text: one row
+    for each customer message that the brand answered, all parts of the answer together.
 
-    messages: tweet_id, parent, conv_id, inbound, created (minutes), text. A message is a follow-up if its parent is outbound
-    and itself answers something; next_text is the first inbound answer to the reply.
+    messages: tweet_id, parent, conv_id, author, inbound, created (minutes), text. reply_id is the answer's first part. A message
+    is a follow-up if what it answers, behind its own earlier parts, is an outbound message that answers a message in the data.
+    next_text: the same customer's earliest answer to any part.
     """
     m = messages
-    reply = m.filter("not inbound").select(F.col("tweet_id").alias("reply_id"), F.col("parent").alias("rp"), F.col("created").alias("rc"))
-    parent = m.select(F.col("tweet_id").alias("pid"), F.col("inbound").alias("p_in"), F.col("parent").alias("pp"))
-    first = m.filter("inbound and parent is not null").groupBy(F.col("parent").alias("np")).agg(
-        F.min_by("text", F.struct("created", "tweet_id")).alias("next_text")
-    )
-    return (
-        m.filter("inbound").join(reply, F.col("tweet_id") == F.col("rp")).join(parent, F.col("parent") == F.col("pid"), "left")
-        .join(first, F.col("reply_id") == F.col("np"), "left")
-        .select(
-            F.col("tweet_id").alias("record_id"), "conv_id",
-            F.coalesce(~F.col("p_in") & F.col("pp").isNotNull(), F.lit(False)).alias("is_followup"),
-            "reply_id", (F.col("rc") - F.col("created")).alias("reply_delay"), "next_text",
-        )
+    parts = anchored(m)
+    one = F.struct("created", "depth", F.col("part_number"), F.col("tweet_id").alias("id"))
+    numbered = parts.join(m.select("tweet_id", T.part_number(F.col("text")).alias("part_number")), "tweet_id")
+    replies = numbered.groupBy("anchor").agg(F.min(one).alias("first"), F.count("*").alias("n_reply_parts"))
+    asked = m.select(F.col("tweet_id").alias("anchor"), "conv_id", F.col("author").alias("customer"), F.col("created").alias("asked"))
+    answers = m.filter("inbound and parent is not null").select(F.col("parent").alias("part"), "author", "created", "tweet_id", "text")
+    after = (
+        answers.join(parts.select(F.col("tweet_id").alias("part"), "anchor"), "part")
+        .join(asked.select("anchor", "customer"), "anchor").filter("author = customer")
+        .groupBy("anchor").agg(F.min_by("text", F.struct("created", "tweet_id")).alias("next_text"))
+    )
+    firsts = merged_messages(m).withColumnRenamed("tweet_id", "anchor")
+    up = m.select(F.col("tweet_id").alias("first_id"), F.col("parent").alias("before"))
+    before = m.select(F.col("tweet_id").alias("before"), F.col("inbound").alias("b_in"), F.col("parent").alias("b_up"))
+    there = m.select(F.col("tweet_id").alias("b_up"), F.lit(True).alias("b_there"))
+    rows = replies.join(asked, "anchor").join(firsts, "anchor").join(after, "anchor", "left").join(up, "first_id")
+    rows = rows.join(before, "before", "left").join(there, "b_up", "left")
+    return rows.select(
+        F.col("anchor").alias("record_id"), "conv_id", "first_id", F.col("n_parts").alias("n_customer_parts"),
+        F.coalesce(~F.col("b_in") & F.col("b_there"), F.lit(False)).alias("is_followup"),
+        F.col("first.id").alias("reply_id"), "n_reply_parts", (F.col("first.created") - F.col("asked")).alias("reply_delay"), "next_text",
     )
 
 
@@ -69,9 +80,9 @@ def anchored(messages: DataFrame, rounds: int = PART_ROUNDS) -> DataFrame:
 
 
 def merged_replies(messages: DataFrame, parts: DataFrame) -> DataFrame:
-    """anchor, n_parts, merged: the parts of each reply joined by created, depth and id."""
-    rows = parts.join(messages.select("tweet_id", "text"), "tweet_id")
-    one = F.struct("created", "depth", "tweet_id", "text")
+    """anchor, n_parts, merged: the parts of each reply joined by created, depth, split marker and id."""
+    rows = parts.join(messages.select("tweet_id", "text"), "tweet_id").withColumn("number", T.part_number(F.col("text")))
+    one = F.struct("created", "depth", "number", "tweet_id", "text")
     return rows.groupBy("anchor").agg(F.array_sort(F.collect_list(one)).alias("p")).select(
         "anchor", F.size("p").alias("n_parts"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("merged")
     )
@@ -82,15 +93,15 @@ def merged_messages(messages: DataFrame, most: int = 5) -> DataFrame:
     author, inbound, not answered by the brand itself and at most 15 minutes older; five parts at most."""
     m = messages.filter("inbound").select("tweet_id", "parent", "author", "created")
     answered = messages.filter("not inbound and parent is not null").select(F.col("parent").alias("tweet_id")).distinct()
-    last = cut(m.join(answered, "tweet_id", "left_semi").select("tweet_id", "author", F.col("tweet_id").alias("first_id"), F.col("parent").alias("up"), F.col("created").alias("at"), F.lit(1).alias("n_parts")))
+    last = m.join(answered, "tweet_id", "left_semi").select("tweet_id", "author", F.col("tweet_id").alias("first_id"), F.col("parent").alias("up"), F.col("created").alias("at"), F.lit(1).alias("n_parts"))
     free = m.join(answered, "tweet_id", "left_anti").select(F.col("tweet_id").alias("f_id"), F.col("parent").alias("f_up"), F.col("author").alias("f_author"), F.col("created").alias("f_at"))
     for _ in range(most - 1):
         fits = (F.col("up") == F.col("f_id")) & (F.col("author") == F.col("f_author")) & (F.col("at") - F.col("f_at") <= MERGE_MINUTES)
-        last = cut(last.join(free, fits, "left").select(
+        last = last.join(free, fits, "left").select(
             "tweet_id", "author", F.coalesce("f_id", "first_id").alias("first_id"),
             F.when(F.col("f_id").isNotNull(), F.col("f_up")).alias("up"), F.coalesce("f_at", "at").alias("at"),
             (F.col("n_parts") + F.col("f_id").isNotNull().cast("int")).alias("n_parts"),
-        ))
+        )
     return last.select("tweet_id", "first_id", "n_parts")
 
 

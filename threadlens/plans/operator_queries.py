@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import context, learning, policy, respond, retrieval, scores, threads
+from threadlens.operators import context, cues, learning, policy, respond, retrieval, scores, threads
 from threadlens.plans.dialect import CHECK, SPARK
 from threadlens.plans.shared_sql import enriched, lines, messages
 from threadlens.sources.tables import register, table
@@ -21,8 +21,11 @@ def _view(spark: SparkSession, sf_dir: str, cte: str, name: str) -> DataFrame:
 
 
 def exchange_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = threads.exchanges(_view(spark, sf_dir, messages(SPARK), "m"))
-    return found.select("record_id", F.col("conv_id").alias("thread_id"), "is_followup", "reply_id", F.col("reply_delay").alias("reply_delay_min"), "next_text")
+    found = threads.exchanges(_view(spark, sf_dir, lines(SPARK), "l"))
+    return found.select(
+        "record_id", F.col("conv_id").alias("thread_id"), "first_id", F.col("n_customer_parts").cast("long").alias("n_customer_parts"), "is_followup",
+        "reply_id", F.col("n_reply_parts").cast("long").alias("n_reply_parts"), F.col("reply_delay").alias("reply_delay_min"), F.md5("next_text").alias("next_text"),
+    )
 
 
 def thread_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,15 +72,16 @@ def topk_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second benchmark item as holdout against the others as training texts."""
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    train, other = bench.filter("id % 2 = 0"), bench.filter("id % 2 = 1")
-    return retrieval.max_similarity(train, other).drop("best").withColumn("eligible", F.col("max_sim") < 0.95)
+    found = retrieval.max_similarity(bench.filter("id % 2 = 0"), bench.filter("id % 2 = 1"))
+    return found.select("id", F.round("max_sim", 6).alias("max_sim"), (F.col("max_sim") < 0.95).alias("eligible"))
 
 
 def benchmark_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     found = retrieval.max_similarity(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), items)
-    return found.select(F.col("id").alias("item_id"), F.col("best").alias("best_doc"), "max_sim")
+    return found.select(F.col("id").alias("item_id"), F.col("best").alias("best_doc"), F.round("max_sim", 6).alias("max_sim"))
 
 
 def context_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +136,8 @@ def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a fixed-size evaluation set: the 200 labelled items with the least hash
-    rows = table(spark, sf_dir, "labels").withColumn("h", scores.hashed(F.lit("pick"), F.col("doc_id"))).orderBy("h", "doc_id").limit(200)
-    rows = rows.withColumn("i", F.row_number().over(W.orderBy("h", "doc_id")) - 1).select("i", F.col("quality").cast("double").alias("quality"))
-    return scores.bootstrap_mean(rows, "quality", 500, "42").select(F.lit("quality").alias("metric"), "lo", "hi")
+    rows = table(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("quality"))
+    return scores.bootstrap_mean(rows, "quality").select(F.lit("quality").alias("metric"), "value", "lo", "hi", "n")
 
 
 def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,10 +161,93 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.topics(rows).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's turns as phrases, with the three turns before."""
+    rows = _view(spark, sf_dir, enriched(SPARK), "e")
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)  # a conversation's turns
+    turn = F.struct(F.when(F.col("inbound"), "customer").otherwise("brand").alias("role"), F.col("phrase").alias("text"))
+    return rows.withColumn("context", F.collect_list(turn).over(before)).filter("inbound")
+
+
+def cue_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_context(spark, sf_dir).select("tweet_id", F.explode(cues.evidence(F.col("phrase"), F.col("context"))).alias("e"))
+    return rows.select(F.col("tweet_id").alias("record_id"), "e.cue", "e.matched", "e.source")
+
+
+def _said_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cue, old, new of each customer turn and cue: whether the keyword baseline and the extractor see it."""
+    rows = _with_context(spark, sf_dir).withColumn("shown", cues.evidence(F.col("phrase"), F.col("context")))
+    new, old = cues.flags(F.col("shown")), cues.legacy_flags(F.col("phrase"), F.col("context"))
+    each = F.array(*(F.struct(F.lit(c).alias("cue"), old[c].alias("old"), new[c].alias("new")) for c in new))
+    return rows.select(F.explode(each).alias("x")).select("x.*")
+
+
+def cue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.flag_scores(_said_cues(spark, sf_dir), "cue", "old", "new")
+
+
+def routed_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents and cues from each customer turn's own words, decided by the policy."""
+    rows = _with_context(spark, sf_dir).withColumn("shown", cues.evidence(F.col("phrase"), F.col("context")))
+    intent, _ = T.first_of(F.col("phrase"), T.INTENTS, "needs_more_context")
+    found = rows.withColumn("intent", intent).select("intent", policy.decide(F.col("intent"), cues.flags(F.col("shown")), F.col("turn") % 5 == 4).alias("d"))
+    return found.groupBy("intent", "d.escalate", "d.reason", "d.risk", "d.trigger").agg(F.count("*").alias("n"))
+
+
+def draft_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, hits = T.first_of(F.col("phrase"), T.DRAFT_INTENTS, "other_unclear")
+    return _view(spark, sf_dir, enriched(SPARK), "e").filter("inbound").select(F.col("tweet_id").alias("record_id"), first.alias("intent"), hits.cast("long").alias("hits"))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold and predicted labels: gold from each turn's words, predictions from those of the turn's other phrase."""
+    rows = _with_context(spark, sf_dir)
+    intent, _ = T.first_of(F.col("phrase"), T.INTENTS, "needs_more_context")
+    state = F.when(F.col("turn") <= 1, "new_issue").when(F.col("phrase").rlike(T.CLOSING), "acknowledgement_closing").otherwise("issue_followup")
+    rows = rows.select("tweet_id", state.alias("gold_state"), intent.alias("gold_intent"), F.col("phrase").rlike(T.BILLING_DISPUTE + "|" + T.REPEAT_CONTACT).alias("gold_escalate"))
+    wrong = lambda k: scores.hashed(F.lit(k), F.col("tweet_id")) % 4 == 0
+    return rows.withColumns({
+        "pred_state": F.when(wrong("s"), "social_offtopic").otherwise(F.col("gold_state")),
+        "pred_intent": F.when(wrong("i"), "hardware_devices").when(wrong("n"), F.lit(None)).otherwise(F.col("gold_intent")),
+        "pred_escalate": F.col("gold_escalate") != wrong("e"),
+    })
+
+
+def routing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scores.routing_metrics(_routed(spark, sf_dir))
+    return found.select("metric", F.round("value", 6).alias("value"), "support")
+
+
+def routing_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.routing_intervals(_routed(spark, sf_dir))
+
+
+def kappa_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.kappa_interval(_ratings(spark, sf_dir), "a", "b")
+
+
+def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _routed(spark, sf_dir)
+    found = None
+    for system, predicted in scores.baselines(rows).items():
+        one = scores.routing_metrics(predicted).select(F.lit(system).alias("system"), "metric", F.round("value", 6).alias("value"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.confusion(_routed(spark, sf_dir), "gold_state", "pred_state", scores.STATES)
+
+
+def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.failures(_routed(spark, sf_dir))
+
+
 OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     exchange_pairs, thread_roots, anchored_replies, merged_messages, weak_outcome, reply_type, policy_decisions, topk_diverse,
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
-    tfidf_lr, topics, benchmark_leakage, context_turns, response_flow,
+    tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
+    routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
 )}
 
 _c = CHECK
@@ -174,6 +259,17 @@ _REPORT = f"""WITH {_RATED}, k AS (SELECT DISTINCT quality AS class FROM r UNION
 _RATINGS = "r AS (SELECT least(5, doc_id % 5 + 1) AS a, least(5, (doc_id + quality + toxic) % 5 + 1) AS b FROM labels), n AS (SELECT count(*) AS n FROM r), na AS (SELECT a, count(*) AS c FROM r GROUP BY a), nb AS (SELECT b, count(*) AS c FROM r GROUP BY b)"
 
 
+# b (side, id, text) -> s (o, t, s): cosines over n-grams of 3 to 5 characters
+_TFIDF = """w AS (SELECT side, id, unnest([x for x in regexp_split_to_array(lower(text), '\\s+') if x <> '']) AS w FROM b),
+        l AS (SELECT side, id, ' ' || w || ' ' AS w, unnest(range(3, least(5, greatest(3, len(w) + 2)) + 1)) AS n FROM w),
+        g AS (SELECT side, id, unnest([substr(w, i, n) for i in range(1, greatest(1, len(w) - n + 1) + 1)]) AS g FROM l),
+        c AS (SELECT side, id, g, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM b), df AS (SELECT g, count(*) AS df FROM c GROUP BY g),
+        x AS (SELECT side, id, g, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM c JOIN df USING (g), n WHERE df <= 0.2 * n),
+        nm AS (SELECT side, id, sqrt(sum(w * w)) AS nm FROM x GROUP BY side, id),
+        d AS (SELECT t.id AS t, o.id AS o, sum(t.w * o.w) AS dot FROM x t JOIN x o USING (g) WHERE t.side = 0 AND o.side = 1 GROUP BY ALL),
+        s AS (SELECT o, t, dot / (a.nm * z.nm) AS s FROM d JOIN nm a ON a.id = t AND a.side = 0 JOIN nm z ON z.id = o AND z.side = 1)"""
+
+
 def _kappa(cost: str) -> str:
     return f"""1 - (SELECT sum({cost}) FROM r) * (SELECT n FROM n) / (SELECT sum({cost} * na.c * nb.c) FROM na CROSS JOIN nb)"""
 
@@ -208,15 +304,22 @@ def _decisions() -> str:
 
 
 OPERATOR_SQL: dict[str, str] = {
-    "exchange_pairs": f"""WITH {messages(_c)}, nx AS (SELECT parent, arg_min(text, created * 1000000000 + tweet_id) AS t FROM m WHERE inbound AND parent IS NOT NULL GROUP BY parent)
-        SELECT a.tweet_id AS record_id, a.conv_id AS thread_id, coalesce(NOT p.inbound AND p.parent IS NOT NULL, false) AS is_followup, r.tweet_id AS reply_id,
-               r.created - a.created AS reply_delay_min, nx.t AS next_text
-        FROM m a JOIN m r ON r.parent = a.tweet_id AND NOT r.inbound LEFT JOIN m p ON a.parent = p.tweet_id LEFT JOIN nx ON nx.parent = r.tweet_id WHERE a.inbound""",
+    "exchange_pairs": f"""WITH RECURSIVE {lines(_c)}, a AS (SELECT x.tweet_id, x.parent AS anchor, 0 AS depth, x.created, x.text FROM l x JOIN l p ON x.parent = p.tweet_id WHERE NOT x.inbound AND p.inbound
+        UNION ALL SELECT x.tweet_id, a.anchor, a.depth + 1, x.created, x.text FROM l x JOIN a ON x.parent = a.tweet_id WHERE NOT x.inbound AND x.created - a.created <= 15 AND a.depth < 4),
+        pn AS (SELECT *, CAST(coalesce(nullif(regexp_extract(text, {_c.lit(T.PART_END)}, 1), ''), nullif(regexp_extract(text, {_c.lit(T.PART_START)}, 1), ''), '0') AS INT) AS number FROM a),
+        rp AS (SELECT anchor, count(*) AS n_reply_parts, arg_min(tweet_id, (created, depth, number, tweet_id)) AS reply_id, min(created) AS at FROM pn GROUP BY anchor),
+        c AS (SELECT x.tweet_id, x.tweet_id AS first_id, x.parent AS up, x.created AS at, x.author, 1 AS n FROM l x JOIN rp ON x.tweet_id = rp.anchor
+        UNION ALL SELECT c.tweet_id, p.tweet_id, p.parent, p.created, c.author, c.n + 1 FROM c JOIN l p ON c.up = p.tweet_id WHERE p.inbound AND p.author = c.author AND c.at - p.created <= 15 AND c.n < 5 AND p.tweet_id NOT IN (SELECT anchor FROM rp)),
+        f AS (SELECT tweet_id, arg_max(first_id, n) AS first_id, arg_max(up, n) AS up, max(n) AS n FROM c GROUP BY tweet_id),
+        nx AS (SELECT a.anchor, arg_min(x.text, (x.created, x.tweet_id)) AS t FROM l x JOIN a ON x.parent = a.tweet_id JOIN l q ON q.tweet_id = a.anchor WHERE x.inbound AND x.author = q.author GROUP BY a.anchor)
+        SELECT q.tweet_id AS record_id, q.conv_id AS thread_id, f.first_id, CAST(f.n AS BIGINT) AS n_customer_parts,
+               coalesce(NOT b.inbound AND b.parent IN (SELECT tweet_id FROM l), false) AS is_followup, rp.reply_id, n_reply_parts, rp.at - q.created AS reply_delay_min, md5(nx.t) AS next_text
+        FROM rp JOIN l q ON q.tweet_id = rp.anchor JOIN f ON f.tweet_id = q.tweet_id LEFT JOIN l b ON b.tweet_id = f.up LEFT JOIN nx ON nx.anchor = q.tweet_id""",
     "thread_roots": f"""WITH RECURSIVE {messages(_c)}, t AS (SELECT m.tweet_id, m.tweet_id AS root, m.parent IS NOT NULL AS orphan FROM m LEFT JOIN m p ON m.parent = p.tweet_id WHERE p.tweet_id IS NULL
         UNION ALL SELECT m.tweet_id, t.root, false FROM m JOIN t ON m.parent = t.tweet_id) SELECT * FROM t""",
     "anchored_replies": f"""WITH RECURSIVE {lines(_c)}, a AS (SELECT x.tweet_id, x.parent AS anchor, 0 AS depth, x.created FROM l x JOIN l p ON x.parent = p.tweet_id WHERE NOT x.inbound AND p.inbound
         UNION ALL SELECT x.tweet_id, a.anchor, a.depth + 1, x.created FROM l x JOIN a ON x.parent = a.tweet_id WHERE NOT x.inbound AND x.created - a.created <= 15 AND a.depth < 4)
-        SELECT a.anchor AS record_id, count(*) AS n_parts, md5(string_agg(l.text, ' ' ORDER BY a.created, a.depth, a.tweet_id)) AS merged FROM a JOIN l ON l.tweet_id = a.tweet_id GROUP BY a.anchor""",
+        SELECT a.anchor AS record_id, count(*) AS n_parts, md5(string_agg(l.text, ' ' ORDER BY a.created, a.depth, CAST(coalesce(nullif(regexp_extract(l.text, {_c.lit(T.PART_END)}, 1), ''), nullif(regexp_extract(l.text, {_c.lit(T.PART_START)}, 1), ''), '0') AS INT), a.tweet_id)) AS merged FROM a JOIN l ON l.tweet_id = a.tweet_id GROUP BY a.anchor""",
     "merged_messages": f"""WITH RECURSIVE {lines(_c)}, ans AS (SELECT DISTINCT parent AS id FROM l WHERE NOT inbound AND parent IS NOT NULL),
         c AS (SELECT x.tweet_id, x.tweet_id AS first_id, x.parent AS up, x.created AS at, x.author, 1 AS n FROM l x JOIN ans ON x.tweet_id = ans.id WHERE x.inbound
         UNION ALL SELECT c.tweet_id, p.tweet_id, p.parent, p.created, c.author, c.n + 1 FROM c JOIN l p ON c.up = p.tweet_id WHERE p.inbound AND p.author = c.author AND c.at - p.created <= 15 AND c.n < 5 AND p.tweet_id NOT IN (SELECT id FROM ans))
@@ -238,30 +341,121 @@ OPERATOR_SQL: dict[str, str] = {
             FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 50 AND a.created - b.created <= 10080 WHERE a.inbound)
         SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY turn) AS BIGINT) AS turn_no, CASE WHEN role = 'user' THEN 'customer' ELSE 'brand' END AS role,
                created, md5(text) AS text, n > 3 AS truncated FROM c WHERE n <= 3 OR rn = 1 OR rn > n - 2""",
-    "benchmark_leakage": """WITH both_ AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
-        w AS (SELECT side, id, unnest([x for x in regexp_split_to_array(lower(text), '\\s+') if x <> '']) AS w FROM both_),
-        g AS (SELECT DISTINCT side, id, unnest([substr(' ' || w || ' ', i, 4) for i in range(1, greatest(2, len(w) + 2 - 2))]) AS g FROM w),
-        n AS (SELECT count(*) AS n FROM documents), df AS (SELECT g, count(*) AS df FROM g WHERE side = 0 GROUP BY g),
-        wt AS (SELECT g, ln((1 + n) / (1 + df)) + 1 AS w FROM df, n WHERE df <= 0.2 * n), x AS (SELECT side, id, g, w FROM g JOIN wt USING (g)),
-        nm AS (SELECT side, id, sqrt(sum(w * w)) AS nm FROM x GROUP BY side, id),
-        d AS (SELECT t.id AS t, o.id AS o, sum(t.w * o.w) AS dot FROM x t JOIN x o USING (g) WHERE t.side = 0 AND o.side = 1 GROUP BY ALL),
-        s AS (SELECT o, t, round(dot / (a.nm * b.nm), 6) AS s FROM d JOIN nm a ON a.id = t AND a.side = 0 JOIN nm b ON b.id = o AND b.side = 1),
-        r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY s DESC, t) AS r FROM s)
-        SELECT item_id, t AS best_doc, coalesce(s, 0.0) AS max_sim FROM benchmark LEFT JOIN r ON item_id = o AND r = 1""",
-    "near_duplicate_max": """WITH w AS (SELECT item_id AS id, unnest([x for x in regexp_split_to_array(lower(text), '\\s+') if x <> '']) AS w FROM benchmark),
-        g AS (SELECT DISTINCT id, unnest([substr(' ' || w || ' ', i, 4) for i in range(1, greatest(2, len(w) + 2 - 2))]) AS g FROM w),
-        n AS (SELECT count(*) AS n FROM benchmark WHERE item_id % 2 = 0), df AS (SELECT g, count(*) AS df FROM g WHERE id % 2 = 0 GROUP BY g),
-        wt AS (SELECT g, ln((1 + n) / (1 + df)) + 1 AS w FROM df, n WHERE df <= 0.2 * n), x AS (SELECT id, g, w FROM g JOIN wt USING (g)),
-        nm AS (SELECT id, sqrt(sum(w * w)) AS nm FROM x GROUP BY id),
-        d AS (SELECT t.id AS t, o.id AS o, sum(t.w * o.w) AS dot FROM x t JOIN x o USING (g) WHERE t.id % 2 = 0 AND o.id % 2 = 1 GROUP BY ALL),
-        s AS (SELECT o, max(dot / (a.nm * b.nm)) AS s FROM d JOIN nm a ON a.id = t JOIN nm b ON b.id = o GROUP BY o)
-        SELECT item_id AS id, round(coalesce(s, 0.0), 6) AS max_sim, round(coalesce(s, 0.0), 6) < 0.95 AS eligible FROM benchmark LEFT JOIN s ON item_id = o WHERE item_id % 2 = 1""",
+    "benchmark_leakage": f"""WITH b AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark), {_TFIDF},
+        r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY round(s, 9) DESC, t) AS r FROM s), m AS (SELECT o, max(s) AS s FROM s GROUP BY o)
+        SELECT item_id, t AS best_doc, round(coalesce(m.s, 0.0), 6) AS max_sim FROM benchmark LEFT JOIN r ON item_id = r.o AND r = 1 LEFT JOIN m ON m.o = item_id""",
+    "near_duplicate_max": f"""WITH b AS (SELECT item_id % 2 AS side, item_id AS id, text FROM benchmark), {_TFIDF}, m AS (SELECT o, max(s) AS s FROM s GROUP BY o)
+        SELECT item_id AS id, round(coalesce(s, 0.0), 6) AS max_sim, coalesce(s, 0.0) < 0.95 AS eligible FROM benchmark LEFT JOIN m ON item_id = o WHERE item_id % 2 = 1""",
     "classification_report": f"{_REPORT} SELECT class, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1, support FROM f",
     "macro_f1": f"{_REPORT} SELECT round(avg(f1), 6) AS f1, count(*) AS n_classes FROM f",
     "weighted_kappa": f"WITH {_RATINGS} SELECT round({_kappa('(a - b) * (a - b)')}, 6) AS kappa, round(avg(CASE WHEN a = b THEN 1e0 ELSE 0e0 END), 6) AS exact, round(avg(CASE WHEN abs(a - b) <= 1 THEN 1e0 ELSE 0e0 END), 6) AS within1, round(avg(b - a), 6) AS bias FROM r",
     "cohen_kappa": f"WITH {_RATINGS} SELECT round({_kappa('CASE WHEN a <> b THEN 1 ELSE 0 END')}, 6) AS kappa",
-    "bootstrap_ci": f"""WITH h AS (SELECT quality, row_number() OVER (ORDER BY {_c.hash32("concat('pick:', CAST(doc_id AS STRING))")}, doc_id) - 1 AS i FROM labels), p AS (SELECT * FROM h WHERE i < 200),
-        k AS (SELECT range // (SELECT count(*) FROM p) AS draw, {_c.hash32("concat('42:', CAST(range AS STRING))")} % (SELECT count(*) FROM p) AS i FROM range(500 * (SELECT count(*) FROM p))),
-        m AS (SELECT draw, avg(CAST(quality AS DOUBLE)) AS m FROM k JOIN p USING (i) GROUP BY draw)
-        SELECT 'quality' AS metric, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""",
+}
+
+def _re(pattern: str) -> str:
+    return _c.lit("(?i)" + pattern)
+
+
+_LOOKED = """b AS (SELECT a.tweet_id AS record_id, a.phrase, a.turn AS own_turn, b.turn, b.inbound, b.phrase AS said FROM e a
+        LEFT JOIN e b ON b.conv_id = a.conv_id AND b.turn BETWEEN a.turn - 3 AND a.turn - 1 WHERE a.inbound)"""
+
+
+def _shown() -> str:
+    """k: record_id, cue, here, there for each cue and customer turn. The checking engine has no look-ahead: the first
+    alternative of steps_failed goes without it, which no phrase of the tables needs."""
+    parts = []
+    for cue, alternatives in T.CUES.items():
+        p = _re("|".join(a.replace(r"(?![^.!?]{0,40}\bnot\b)", "") for a in alternatives))
+        there = f"arg_min(nullif(regexp_extract(said, {p}, 0), ''), turn) FILTER (inbound AND regexp_matches(said, {p}))"
+        parts.append(f"SELECT record_id, '{cue}' AS cue, nullif(regexp_extract(phrase, {p}, 0), '') AS here, {there} AS there, 'customer_context' AS far FROM b GROUP BY record_id, phrase")
+    asked = f"arg_min(said, turn) FILTER (NOT inbound AND regexp_matches(said, {_re(T.BRAND_ASKS)}))"
+    parts.append(f"SELECT record_id, 'prior_clarification', NULL, {asked}, 'brand_context' FROM b GROUP BY record_id")
+    return f"k AS ({' UNION ALL '.join(parts)})"
+
+
+def _legacy() -> str:
+    """o: record_id, cue, old."""
+    parts = [f"SELECT tweet_id AS record_id, '{c}' AS cue, regexp_matches(phrase, {_re(p)}) AS old FROM e WHERE inbound" for c, p in T.LEGACY_CUES.items()]
+    parts.append("SELECT record_id, 'prior_clarification', coalesce(bool_or(turn = own_turn - 1 AND NOT inbound AND contains(said, '?')), false) FROM b GROUP BY record_id")
+    return f"o AS ({' UNION ALL '.join(parts)})"
+
+
+def _ladder(patterns: dict[str, str], default: str, value: str = "phrase") -> str:
+    return f"CASE {' '.join(f'WHEN regexp_matches({value}, {_re(p)}) THEN {_c.lit(k)}' for k, p in patterns.items())} ELSE '{default}' END"
+
+
+_PHRASED = f"""rt AS (SELECT tweet_id, CASE WHEN turn <= 1 THEN 'new_issue' WHEN {_c.rx('phrase', T.CLOSING)} THEN 'acknowledgement_closing' ELSE 'issue_followup' END AS gs,
+            {_ladder(T.INTENTS, 'needs_more_context')} AS gi, {_c.rx('phrase', T.BILLING_DISPUTE + '|' + T.REPEAT_CONTACT)} AS ge,
+            {_c.hash32("concat('s:', CAST(tweet_id AS STRING))")} % 4 = 0 AS ws, {_c.hash32("concat('i:', CAST(tweet_id AS STRING))")} % 4 = 0 AS wi,
+            {_c.hash32("concat('n:', CAST(tweet_id AS STRING))")} % 4 = 0 AS wn, {_c.hash32("concat('e:', CAST(tweet_id AS STRING))")} % 4 = 0 AS we FROM e WHERE inbound),
+        rr AS (SELECT gs, gi, ge, CASE WHEN ws THEN 'social_offtopic' ELSE gs END AS ps, CASE WHEN wi THEN 'hardware_devices' WHEN wn THEN NULL ELSE gi END AS pi, ge <> we AS pe FROM rt)"""
+
+
+def _metrics(rows: str) -> str:
+    """metric, value, support over a table of gs, gi, ge, ps, pi, pe."""
+    bearing = "gs IN ('new_issue', 'issue_followup')"
+    must = "(ge AND gi IN ('purchases_billing_orders', 'support_process_complaint'))"
+    same = "coalesce(gi, '') = coalesce(pi, '')"
+    ratios = {
+        "state_accuracy": ("gs = ps", "true"),
+        "intent_accuracy": (f"{bearing} AND {same}", bearing),
+        "escalation_precision": ("ge AND pe", "pe"),
+        "escalation_recall": ("ge AND pe", "ge"),
+        "must_escalate_recall": (f"{must} AND pe", must),
+        "joint_routing_correctness": (f"gs = ps AND ge = pe AND ({same} OR NOT {bearing})", "true"),
+    }
+    parts = [f"SELECT '{k}' AS metric, count(*) FILTER ({a}) / nullif(count(*) FILTER ({b}), 0) AS value, count(*) FILTER ({b}) AS support FROM {rows}" for k, (a, b) in ratios.items()]
+    for name, g, p, labels, where in (("state", "gs", "ps", scores.STATES, "true"), ("intent", "gi", "pi", policy.RISKS, bearing)):
+        listed = ", ".join(f"('{x}')" for x in labels)
+        parts.append(f"""SELECT '{name}_macro_f1', avg(CASE WHEN t + s > 0 THEN 2 * b / (t + s) END), CAST(coalesce(sum(t), 0) AS BIGINT) FROM (
+            SELECT c, count(*) FILTER ({g} = c) AS t, count(*) FILTER ({p} = c) AS s, count(*) FILTER ({g} = c AND {p} = c) AS b FROM (VALUES {listed}) v(c) LEFT JOIN {rows} ON {where} GROUP BY c)""")
+    return " UNION ALL ".join(parts)
+
+
+_TOP = "SELECT {0} FROM rr WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY count(*) DESC, {0} LIMIT 1"
+_STEPS = "[" + ", ".join(map(_c.lit, T.STEPS)) + "]"
+_has = lambda x: f"list_filter({_STEPS}, lambda s: contains(lower({x}), s))"
+_links = lambda x: f"list_transform(regexp_extract_all(lower({x}), {_c.lit(T.LINK)}, 0), lambda u: regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '[.,);:!?]+$', ''), '^https://', ''), '^http://', ''), '^www\\.', ''))"
+
+
+def _checks(draft: str, said: str, evidence: str) -> str:
+    """A list of the failed checks of a trimmed draft."""
+    rest = f"regexp_replace(regexp_replace(lower({draft}), {_c.lit(T.CHECK_INBOX)}, ' ', 'g'), {_c.lit(T.DM_CLAUSE)}, ' ', 'g')"
+    amounts = f"list_transform(regexp_extract_all(lower({draft}), {_c.lit(T.AMOUNT)}, 0), lambda m: replace(m, ' ', ''))"
+    tried = f"CASE WHEN {_c.rx(f'lower({said})', T.TRIED)} THEN {_has(said)} ELSE [] END"
+    checks = {
+        "too_long": f"len({draft}) > 280",
+        "unsupported_link": f"len(list_filter({_links(draft)}, lambda u: NOT list_contains({_links(evidence)}, u))) > 0",
+        "placeholder": f"regexp_matches(lower({draft}), '<\\s*url\\s*>')",
+        "unsupported_amount": f"len(list_filter({amounts}, lambda a: NOT contains(replace(lower({evidence}), ' ', ''), a))) > 0",
+        "dm_deflection": f"{_c.rx(f'lower({draft})', T.DM_ASK)} AND len({_has(rest)}) = 0",
+        "repeats_tried_steps": f"len(list_intersect({tried}, {_has(draft)})) > 0",
+        "unsupported_steps": f"len({_has(draft)}) > 0 AND len(list_intersect({_has(draft)}, {_has(evidence)})) = 0",
+    }
+    each = ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in checks.items())
+    return f"CASE WHEN {draft} = '' THEN ['empty'] ELSE list_filter([{each}], lambda x: x IS NOT NULL) END"
+
+
+OPERATOR_SQL |= {
+    "cue_flags": f"""WITH {enriched(_c)}, {_LOOKED}, {_shown()}
+        SELECT record_id, cue, substr(trim(coalesce(here, there)), 1, 60) AS matched, CASE WHEN here IS NOT NULL THEN 'message' ELSE far END AS source FROM k WHERE here IS NOT NULL OR there IS NOT NULL""",
+    "cue_scores": f"""WITH {enriched(_c)}, {_LOOKED}, {_shown()}, {_legacy()}, x AS (SELECT cue, old, here IS NOT NULL OR there IS NOT NULL AS new FROM k JOIN o USING (record_id, cue)),
+        y AS (SELECT * FROM x UNION ALL SELECT 'micro', old, new FROM x), s AS (SELECT cue, count(*) FILTER (old AND new) AS tp, count(*) FILTER (new AND NOT old) AS fp, count(*) FILTER (old AND NOT new) AS fn FROM y GROUP BY cue)
+        SELECT *, round(tp / nullif(tp + fp, 0), 6) AS p, round(tp / nullif(tp + fn, 0), 6) AS r FROM s""",
+    "routed_policy": f"""WITH {enriched(_c)}, {_LOOKED}, {_shown()}, u AS (SELECT record_id, CAST(sum(CASE WHEN here IS NOT NULL OR there IS NOT NULL THEN CASE cue {' '.join(f"WHEN '{c}' THEN {1 << i}" for i, c in enumerate(policy.CUES))} END ELSE 0 END) AS BIGINT) AS cue_mask FROM k GROUP BY record_id),
+        i AS (SELECT tweet_id AS record_id, turn % 5 = 4 AS low, {_ladder(T.INTENTS, 'needs_more_context')} AS intent FROM e WHERE inbound), d AS ({_decisions()})
+        SELECT d.intent, d.escalate OR low AS escalate, CASE WHEN low AND (NOT d.escalate OR d.reason = 'OUT_OF_SCOPE') THEN 'LOW_CONFIDENCE' ELSE d.reason END AS reason, d.risk,
+               CASE WHEN low AND NOT d.escalate THEN 'model' ELSE d.trigger END AS trigger, count(*) AS n FROM i JOIN u USING (record_id) JOIN d ON d.intent = i.intent AND d.cue_mask = u.cue_mask GROUP BY 1, 2, 3, 4, 5""",
+    "draft_intents": f"""WITH {enriched(_c)} SELECT tweet_id AS record_id, {_ladder(T.DRAFT_INTENTS, 'other_unclear')} AS intent,
+        CAST({' + '.join(f"CAST(regexp_matches(phrase, {_re(p)}) AS INT)" for p in T.DRAFT_INTENTS.values())} AS BIGINT) AS hits FROM e WHERE inbound""",
+    "routing_metrics": f"WITH {enriched(_c)}, {_PHRASED} SELECT metric, round(value, 6) AS value, support FROM ({_metrics('rr')})",
+    "baselines": f"""WITH {enriched(_c)}, {_PHRASED}, top AS (SELECT ({_TOP.format('gs')}) AS s, ({_TOP.format('gi')}) AS i),
+        maj AS (SELECT gs, gi, ge, s AS ps, i AS pi, i IN ('purchases_billing_orders', 'support_process_complaint') AS pe FROM rr, top), yes AS (SELECT * REPLACE (true AS pe) FROM maj), no AS (SELECT * REPLACE (false AS pe) FROM maj)
+        {' UNION ALL '.join(f"SELECT '{k}' AS system, metric, round(value, 6) AS value FROM ({_metrics(v)})" for k, v in (('majority', 'maj'), ('always_escalate', 'yes'), ('never_escalate', 'no')))}""",
+    "confusion": f"""WITH {enriched(_c)}, {_PHRASED}, v(x) AS (VALUES {', '.join(f"('{x}')" for x in scores.STATES)}), n AS (SELECT gs, ps, count(*) AS n FROM rr GROUP BY gs, ps)
+        SELECT a.x AS truth, b.x AS predicted, coalesce(n, 0) AS n FROM v a CROSS JOIN v b LEFT JOIN n ON gs = a.x AND ps = b.x""",
+    "failure_report": f"""WITH {enriched(_c)}, {_PHRASED}, w AS (SELECT concat_ws('+', CASE WHEN gs <> ps THEN 'state' END, CASE WHEN gs IN ('new_issue', 'issue_followup') AND gi IS DISTINCT FROM pi THEN 'intent' END,
+        CASE WHEN pe AND NOT ge THEN 'over' WHEN ge AND NOT pe THEN 'under' END) AS pattern FROM rr) SELECT pattern, count(*) AS n FROM w WHERE pattern <> '' GROUP BY pattern""",
+    "draft_checks": f"""WITH {enriched(_c)}, d AS (SELECT trim(b.phrase) AS draft, a.phrase AS said FROM e b JOIN e a ON b.parent = a.tweet_id WHERE NOT b.inbound AND a.inbound),
+        x AS (SELECT unnest({_checks('draft', 'said', 'said')}) AS c FROM d) SELECT c AS "check", count(*) AS n FROM x GROUP BY c""",
 }
