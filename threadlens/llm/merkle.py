@@ -79,10 +79,13 @@ def differing(a: str, b: str) -> Column:
 
 
 def _bounds(keys: DataFrame) -> DataFrame:
-    """One row: the greatest key k of each range of at most about RANGE_ROWS rows, in order; the last is that of all."""
+    """One row: the greatest key k of each range, in order; the last is that of all. Ranges have at most RANGE_ROWS rows, or
+    fewer, so that there are two for each shuffle partition."""
     placed = written(keys.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "id-ranges")
+    tasks = 2 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(1, min(RANGE_ROWS, -(-placed.count() // tasks)))
     place = F.row_number().over(W.partitionBy("part").orderBy("k"))
-    inner = placed.withColumn("place", place).filter(F.pmod("place", F.lit(RANGE_ROWS)) == 0).select("k")
+    inner = placed.withColumn("place", place).filter(F.pmod("place", F.lit(rows)) == 0).select("k")
     ends = placed.groupBy("part").agg(F.max("k").alias("k")).select("k")
     return written(inner.unionByName(ends).distinct().agg(F.array_sort(F.collect_list("k")).alias("bounds")), "bounds")
 
