@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import context, cues, learning, policy, respond, retrieval, scores, threads
+from threadlens.operators import assembly, context, cues, learning, policy, respond, retrieval, scores, threads
 from threadlens.plans.dialect import CHECK, SPARK
 from threadlens.plans.shared_sql import enriched, lines, messages
 from threadlens.sources.tables import register, table
@@ -243,11 +243,30 @@ def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.failures(_routed(spark, sf_dir))
 
 
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record table's report. Phrases stand for texts, and each seventh minute for an hour, so that threads spread over days."""
+    rows = _view(spark, sf_dir, enriched(SPARK), "e")
+    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("phrase").alias("text"))
+    records = assembly.exchange_records(rows)
+    cut = assembly.suggested_cut(records).first()[0]
+    return assembly.split_report(assembly.assemble(records, float(cut or 0)))
+
+
+def record_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each code stands on the records' lists, exploded."""
+    rows = _view(spark, sf_dir, enriched(SPARK), "e")
+    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("phrase").alias("text"))
+    records = assembly.exchange_records(rows)
+    signals = assembly.customer_signals(F.col("customer_text"), F.col("customer_prior_threads"))
+    each = records.select(F.explode(F.concat(signals, assembly.brand_evidence(F.col("brand_reply")))).alias("code"))
+    return each.groupBy("code").agg(F.count("*").alias("n"))
+
+
 OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     exchange_pairs, thread_roots, anchored_replies, merged_messages, weak_outcome, reply_type, policy_decisions, topk_diverse,
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
     tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
-    routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
+    assembled, record_signals, routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
 )}
 
 _c = CHECK
@@ -458,4 +477,21 @@ OPERATOR_SQL |= {
         CASE WHEN pe AND NOT ge THEN 'over' WHEN ge AND NOT pe THEN 'under' END) AS pattern FROM rr) SELECT pattern, count(*) AS n FROM w WHERE pattern <> '' GROUP BY pattern""",
     "draft_checks": f"""WITH {enriched(_c)}, d AS (SELECT trim(b.phrase) AS draft, a.phrase AS said FROM e b JOIN e a ON b.parent = a.tweet_id WHERE NOT b.inbound AND a.inbound),
         x AS (SELECT unnest({_checks('draft', 'said', 'said')}) AS c FROM d) SELECT c AS "check", count(*) AS n FROM x GROUP BY c""",
+    "record_signals": f"""WITH {enriched(_c)}, x AS (SELECT a.tweet_id, a.author, a.conv_id, a.created, a.phrase AS said, b.phrase AS reply FROM e a JOIN e b ON b.parent = a.tweet_id AND NOT b.inbound WHERE a.inbound),
+        f AS (SELECT author, conv_id, min(created) AS began FROM x GROUP BY ALL), p AS (SELECT author, conv_id, row_number() OVER (PARTITION BY author ORDER BY began, conv_id) - 1 AS prior FROM f),
+        y AS (SELECT said, reply, prior FROM x JOIN p USING (author, conv_id))
+        SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, c in {
+            "anger": _c.rx("said", T.ANGER), "legal_threat": _c.rx("said", T.LEGAL), "security": _c.rx("said", T.SECURITY), "billing_dispute": _c.rx("said", T.BILLING_DISPUTE),
+            "repeat_contact_cue": _c.rx("said", T.REPEAT_CONTACT), "prior_contact": "prior >= 1", "dm_request": _c.rx("reply", T.DM_REDIRECT),
+            "handoff_other_channel": _c.rx("reply", T.HANDOFF), "policy_enforcement": _c.rx("reply", T.POLICY)}.items())}], lambda v: v IS NOT NULL)) AS code FROM y) GROUP BY code""",
+    "assembled": f"""WITH {enriched(_c)}, xr AS (SELECT a.tweet_id, a.author, a.conv_id, a.created * 60 AS created_at, s.created * 60 AS start, a.turn, a.phrase AS said, b.phrase AS reply,
+            a.parent IS NOT NULL AND p.parent IS NOT NULL AND NOT p.inbound AS is_followup
+            FROM e a JOIN e b ON b.parent = a.tweet_id AND NOT b.inbound LEFT JOIN e p ON p.tweet_id = a.parent JOIN (SELECT conv_id, min_by(created, turn) AS created FROM e GROUP BY conv_id) s ON s.conv_id = a.conv_id WHERE a.inbound),
+        us AS (SELECT b.phrase AS reply, count(*) AS n FROM e b WHERE NOT b.inbound GROUP BY 1), ct AS (SELECT floor(quantile_cont(start, 0.7) / 86400) * 86400 AS cut FROM xr),
+        rs AS (SELECT tweet_id AS id, conv_id, author, created_at, is_followup, said, CASE WHEN start >= cut THEN 'holdout' WHEN created_at < cut THEN 'train' ELSE 'excluded' END AS split,
+              {_c.rx(_c.sub('reply', T.CUSTOMER_ATTEMPT, ' '), T.ACTION)} AND NOT {_c.rx('reply', T.DM_REDIRECT)} AND n < 5 AS substantive FROM xr JOIN us USING (reply), ct),
+        b AS (SELECT CASE split WHEN 'train' THEN 0 ELSE 1 END AS side, id, said AS text FROM rs WHERE split <> 'excluded'), {_TFIDF}, mx AS (SELECT o, max(s) AS s FROM s GROUP BY o)
+        SELECT split, count(*) AS n, count(DISTINCT conv_id) AS threads, count(DISTINCT author) AS customers, count(*) FILTER (is_followup) AS followups, count(*) FILTER (substantive) AS substantive,
+               count(*) FILTER (substantive AND split = 'train') AS retrieval_eligible, count(*) FILTER (split = 'holdout' AND coalesce(mx.s, 0) < 0.95) AS eval_eligible,
+               min(created_at) AS first_at, max(created_at) AS last_at FROM rs LEFT JOIN mx ON mx.o = rs.id GROUP BY split""",
 }
