@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
 from threadlens.operators import retrieval, threads
+from threadlens.sources.tables import cut
 
 # The columns in their order, those that only the train split has, and the threshold of near-duplicates.
 COLUMNS = [
@@ -38,8 +39,8 @@ def brand_evidence(reply: Column) -> Column:
     return _codes({"dm_request": low.rlike(T.DM_REDIRECT), "handoff_other_channel": low.rlike(T.HANDOFF), "policy_enforcement": low.rlike(T.POLICY)})
 
 
-def splits(started: Column, created: Column, cut: Column) -> Column:
-    return F.when(started >= cut, "holdout").when(created < cut, "train").otherwise("excluded")
+def splits(started: Column, created: Column, at: Column) -> Column:
+    return F.when(started >= at, "holdout").when(created < at, "train").otherwise("excluded")
 
 
 def suggested_cut(records: DataFrame, train_share: float = 0.7) -> DataFrame:
@@ -57,7 +58,8 @@ def canned(messages: DataFrame, least: int = 5) -> DataFrame:
 def exchange_records(messages: DataFrame) -> DataFrame:
     """The exchanges of ``messages`` (tweet_id, parent, conv_id, author, inbound, created in minutes, text) with texts, language,
     words, reply type and template, and earlier threads of the customer: what ``assemble`` starts from."""
-    parts = threads.anchored(messages)
+    messages = cut(messages)
+    parts = cut(threads.anchored(messages))
     flags = canned(messages)
     one = F.struct("created", "depth", "tweet_id", "template", "canned")
     templates = parts.join(flags, "tweet_id").groupBy("anchor").agg(F.array_sort(F.collect_list(one)).alias("p")).select(
@@ -68,7 +70,7 @@ def exchange_records(messages: DataFrame) -> DataFrame:
     said = messages.select(F.col("tweet_id").alias("record_id"), F.col("author").alias("customer_id"), (F.col("created") * 60).alias("created_at"), F.col("text").alias("customer_text"))
     roots = threads.thread_roots(messages).select(F.col("tweet_id").alias("record_id"), F.col("root").alias("thread_id"))
     starts = messages.select(F.col("tweet_id").alias("thread_id"), (F.col("created") * 60).alias("thread_started_at"))
-    rows = threads.exchanges(messages).drop("conv_id").join(said, "record_id").join(roots, "record_id").join(starts, "thread_id")
+    rows = threads.exchanges(messages, parts).drop("conv_id").join(said, "record_id").join(roots, "record_id").join(starts, "thread_id")
     rows = rows.join(replies, "record_id").join(templates, "record_id")
     prior = threads.prior_counts(rows, "customer_id", "thread_id", F.col("created_at")).select("customer_id", "thread_id", F.col("prior").alias("customer_prior_threads"))
     low = F.lower("customer_text")
@@ -80,10 +82,10 @@ def exchange_records(messages: DataFrame) -> DataFrame:
     })
 
 
-def assemble(records: DataFrame, cut: float) -> DataFrame:
-    """The record table: COLUMNS of ``exchange_records``, split at ``cut`` (seconds). Similarity to training texts is given to 3
+def assemble(records: DataFrame, at: float) -> DataFrame:
+    """The record table: COLUMNS of ``exchange_records``, split at ``at`` (seconds). Similarity to training texts is given to 3
     digits but decided on in full; columns of TRAIN_ONLY are null outside the train split."""
-    rows = records.withColumn("split", splits(F.col("thread_started_at"), F.col("created_at"), F.lit(cut)))
+    rows = records.withColumn("split", splits(F.col("thread_started_at"), F.col("created_at"), F.lit(at)))
     train, holdout = F.col("split") == "train", F.col("split") == "holdout"
     text = rows.select(F.col("record_id").alias("id"), F.col("customer_text").alias("text"), "split")
     like = retrieval.max_similarity(text.filter(train).drop("split"), text.filter(holdout).drop("split"))

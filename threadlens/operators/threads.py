@@ -31,7 +31,7 @@ def thread_roots(messages: DataFrame, rounds: int = 64) -> DataFrame:
     return up
 
 
-def exchanges(messages: DataFrame) -> DataFrame:
+def exchanges(messages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """record_id, conv_id, first_id, n_customer_parts, is_followup, reply_id, n_reply_parts, reply_delay, next_text: one row
     for each customer message that the brand answered, all parts of the answer together.
 
@@ -40,7 +40,7 @@ def exchanges(messages: DataFrame) -> DataFrame:
     next_text: the same customer's earliest answer to any part.
     """
     m = messages
-    parts = anchored(m)
+    parts = anchored(m) if parts is None else parts
     one = F.struct("created", "depth", F.col("part_number"), F.col("tweet_id").alias("id"))
     numbered = parts.join(m.select("tweet_id", T.part_number(F.col("text")).alias("part_number")), "tweet_id")
     replies = numbered.groupBy("anchor").agg(F.min(one).alias("first"), F.count("*").alias("n_reply_parts"))
