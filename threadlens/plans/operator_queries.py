@@ -101,7 +101,7 @@ def response_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     drafts = [rows.select((F.col("tweet_id") - i).alias("request_id"), F.lit(i).alias("attempt"), F.col("phrase").alias("draft")) for i in (1, 2)]
     found = respond.respond(asked, drafts[0].unionByName(drafts[1]))
-    return found.groupBy("reason", "trigger", "draft_attempts", F.array_join("errors", "+").alias("errors")).agg(F.count("*").alias("n"))
+    return found.groupBy("reason", "trigger", F.col("draft_attempts").cast("long").alias("draft_attempts"), F.array_join("errors", "+").alias("errors")).agg(F.count("*").alias("n"))
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,4 +494,9 @@ OPERATOR_SQL |= {
         SELECT split, count(*) AS n, count(DISTINCT conv_id) AS threads, count(DISTINCT author) AS customers, count(*) FILTER (is_followup) AS followups, count(*) FILTER (substantive) AS substantive,
                count(*) FILTER (substantive AND split = 'train') AS retrieval_eligible, count(*) FILTER (split = 'holdout' AND coalesce(mx.s, 0) < 0.95) AS eval_eligible,
                min(created_at) AS first_at, max(created_at) AS last_at FROM rs LEFT JOIN mx ON mx.o = rs.id GROUP BY split""",
+    "response_flow": f"""WITH {enriched(_c)}, xr AS (SELECT a.turn % 7 = 0 AS esc, a.phrase AS said, trim(coalesce(b.phrase, '')) AS d1, trim(coalesce(z.phrase, '')) AS d2 FROM e a
+            LEFT JOIN e b ON b.tweet_id = a.tweet_id + 1 LEFT JOIN e z ON z.tweet_id = a.tweet_id + 2 WHERE a.inbound),
+        y AS (SELECT esc, {_checks('d1', 'said', 'said')} AS e1, {_checks('d2', 'said', 'said')} AS e2 FROM xr), z AS (SELECT *, NOT esc AND len(e1) > 0 AND len(e2) > 0 AS failed FROM y)
+        SELECT CASE WHEN failed THEN 'REPLY_FAILED_CHECKS' ELSE 'GENERAL_INFO' END AS reason, CASE WHEN failed THEN 'validation' ELSE 'policy' END AS trigger,
+               CAST(CASE WHEN esc THEN 0 WHEN len(e1) = 0 THEN 1 ELSE 2 END AS BIGINT) AS draft_attempts, CASE WHEN failed THEN array_to_string(e2, '+') ELSE '' END AS errors, count(*) AS n FROM z GROUP BY 1, 2, 3, 4""",
 }
