@@ -140,39 +140,52 @@ def _pairs(shared, size: int):
     return run
 
 
-def _neighbours(shared, kinds: int, fixed: int):
-    """ids -> for each word of the head from ``fixed`` on, the classes before and after it: key (word, side, class), n."""
+def _neighbours(shared, kinds: int, fixed: int, most: int = 4_000_000):
+    """ids -> for each word of the head from ``fixed`` on, the classes before and after it: key (word, side, class), n. Keys
+    of several slices are counted together before they go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_of = shared.value
+
+        def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+        keys, held = [], 0
         for _, ids in _coded(batches):
             kind = kind_of[ids]
             at = np.flatnonzero(ids >= fixed)  # never the end of a text, so a word follows
-            left = ids[at].astype(np.int64) * 2 * kinds + _before(kind, kind_of[0])[at]
-            right = (ids[at].astype(np.int64) * 2 + 1) * kinds + kind[at + 1]
-            key, n = np.unique(np.concatenate([left, right]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            wide = ids[at].astype(np.int64) * 2 * kinds
+            keys += [wide + _before(kind, kind_of[0])[at], wide + kinds + kind[at + 1]]
+            held += 2 * len(at)
+            if held > most:
+                yield counted(keys)
+                keys, held = [], 0
+        if held:
+            yield counted(keys)
 
     return run
 
 
 def _best(shared, kinds: int):
-    """key, n ordered by word -> word, kind: the class that its neighbours make most likely."""
+    """key, n, all of a word in one task -> word, kind: the class that its neighbours make most likely. The task holds the
+    counts of its words, a share of the head's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, cost = shared.value  # by side and class of the neighbour, then class; by class
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            word, at = key // (2 * kinds), key % (2 * kinds)
-            for w in np.unique(word).tolist():
-                mine = word == w
-                part = np.bincount(at[mine], n[mine], minlength=2 * kinds)
-                found[w] = found[w] + part if w in found else part
-        words = list(found)
-        counts = np.array([found[w] for w in words]).reshape(len(words), 2 * kinds)
-        score = counts @ weight - counts[:, :kinds].sum(1)[:, None] * cost[None, :]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(score.argmax(1), pa.int32())], ["word", "kind"])
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        words, row = np.unique(key // (2 * kinds), return_inverse=True)
+        for a in range(0, len(words), 8192):
+            mine = (row >= a) & (row < a + 8192)
+            size = min(8192, len(words) - a)
+            place = (row[mine] - a) * 2 * kinds + key[mine] % (2 * kinds)
+            counts = np.bincount(place, n[mine], minlength=size * 2 * kinds).reshape(size, 2 * kinds)
+            score = counts @ weight - counts[:, :kinds].sum(1)[:, None] * cost[None, :]
+            out = [pa.array(words[a : a + size], pa.int32()), pa.array(score.argmax(1), pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, ["word", "kind"])
 
     return run
 
