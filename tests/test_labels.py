@@ -41,3 +41,29 @@ def test_draws(spark):
     assert sample.select("thread").distinct().count() == 2 and sample.filter("thread < 2 or thread > 4").count() == 0
     pool = [(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d")]
     assert labels.greedy_draw(pool, [(4, 1)], 3, taken=["b"]) == [1, 5]
+
+
+def test_behaviours_of_a_sample(spark):
+    context = [("customer", "it fails"), ("brand", "which console?")]
+    rows = spark.createDataFrame(
+        [(1, ["anger"], "my PASSWORD", 9, False, []), (2, ["prior_contact"], "dead disc drive", 3, True, context), (3, [], "hm", 1, False, context)],
+        "i long, s array<string>, t string, n int, f boolean, c array<struct<role:string,text:string>>",
+    )
+    found = labels.behaviours(*(F.col(x) for x in "stnfc"))
+    got = {r.i: {k for k in found if r[k]} for r in rows.select("i", *(c.alias(k) for k, c in found.items())).collect()}
+    assert got == {1: {"strong_anger", "account_specific"}, 2: {"repeat_contact", "after_clarification", "repair_replacement"}, 3: {"vague_low_confidence"}}
+
+
+def test_development_set_and_ratings(spark):
+    sheet = spark.createDataFrame([("d1", " r1 ", "yes", "Yes", "no", "maybe")], "dev_id string, record_id string, escalate string, cue_a string, cue_b string, cue_c string")
+    key = spark.createDataFrame([("d1", "random")], "dev_id string, slice string")
+    pool = spark.createDataFrame([("r1", "other", "call our chat team")], "record_id string, reply_type string, brand_reply string")
+    r = labels.development_set(sheet, key, pool, ["a", "b", "c"]).first()
+    assert (r.slice, r.cue_a, r.cue_b, r.cue_c, r.label_escalates, r.handed_off) == ("random", True, False, None, True, True)
+    with pytest.raises(ValueError):
+        labels.development_set(sheet, key, pool.limit(0), ["a"])
+    human = spark.createDataFrame([(1, "4", ""), (2, "5", "3")], "id long, tone string, facts string")
+    judge = spark.createDataFrame([(1, "3", "2"), (2, "5", "1"), (3, "1", "1")], "id long, tone string, facts string")
+    assert sorted(map(tuple, labels.rated_pairs(human, judge, ["tone", "facts"], "id").collect())) == [("facts", 3, 1), ("tone", 4, 3), ("tone", 5, 5)]
+    calls = spark.createDataFrame([(None, 100, 1.0, 4), (None, 200, 3.0, 5), ("rate limit hit, try again in 5s", None, None, None)], "error string, tokens int, latency_s double, tone int")
+    assert tuple(labels.judged_summary(calls, ["tone"]).first()) == (2, 1, 1, 2.0, 3.0, 150.0, 4.5)

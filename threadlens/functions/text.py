@@ -36,6 +36,8 @@ AMOUNT = r"[$£€]\s?\d+(?:[.,]\d+)?|\b\d+(?:[.,]\d+)?\s?(?:usd|gbp|eur|dollars
 CHECK_INBOX = r"\bcheck\s+your\s+(?:dms?|messages|inbox)\b"
 DM_CLAUSE = r"\b(?:please\s+)?(?:send\s+us\s+a\s+|shoot\s+us\s+a\s+)?(?:dm|direct message|private message|pm)\s*(?:us|me)?\b[^.!?]*"
 BRAND_ASKS = r"(?:\?)|\b(?:can|could|would)\s+you\s+(?:dm|send|share|tell|let\s+us\s+know|provide)\b|\b(?:please\s+)?(?:dm|send)\s+us\b|\bwhat\s+(?:is|are|error)\b"
+SAMPLE_ACCOUNT = r"\b(?:account|sign(?:ed)? ?in|log ?in|password|e-?mail|gamertag|hacked|recover\w*)\b"
+SAMPLE_REPAIR = r"\b(?:repair\w*|replace\w*|warranty|broken|won'?t turn on|dead|no signal|disc drive|overheat\w*)\b"
 #: The cues of a customer's own words, as the codebook defines them; case doesn't matter. The alternatives of a cue are listed.
 STEPS_FAILED = [
     r"\b(?:i\s*(?:'ve|\s+have)?\s*)?(?:already\s+)?(?:tried|did|done|followed|attempted)\b(?![^.!?]{0,40}\bnot\b)",

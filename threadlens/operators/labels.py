@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadlens.functions import text as T
 from threadlens.operators.scores import hashed
 
 
@@ -66,6 +67,54 @@ def thread_sample(messages: DataFrame, n: int, least: int = 2, most: int = 8, se
     return messages.join(picked, "thread", "left_semi")
 
 
+def behaviours(signals: Column, text: Column, n_words: Column, is_followup: Column, context: Column) -> dict[str, Column]:
+    """A condition for each behaviour that a development sample is to hold. signals: the customer's weak codes; context: turns
+    (role, text), oldest first."""
+    last = F.get(context, F.size(context) - 1)
+    asked = F.coalesce((last["role"] == "brand") & last["text"].contains("?"), F.lit(False))
+    has = lambda code: F.array_contains(signals, code)
+    return {
+        "strong_anger": has("anger"),
+        "repeat_contact": has("repeat_contact_cue") | has("prior_contact"),
+        "account_specific": text.rlike("(?i)" + T.SAMPLE_ACCOUNT),
+        "vague_low_confidence": (n_words <= 6) & ~is_followup,
+        "after_clarification": is_followup & asked,
+        "repair_replacement": text.rlike("(?i)" + T.SAMPLE_REPAIR),
+    }
+
+
+def development_set(labels: DataFrame, key: DataFrame, pool: DataFrame, cue_names: list[str]) -> DataFrame:
+    """Labels (dev_id, record_id, escalate, cue_...) with the slice of their key (dev_id) and the text and reply of their record
+    in the pool (record_id): blanks trimmed, cues as booleans, null where neither yes nor no. Raises for a label without either."""
+    trimmed = labels.select(*(F.trim(c).alias(c) for c in labels.columns))
+    rows = joined_all(joined_all(trimmed, key.select("dev_id", "slice"), "dev_id"), pool, "record_id")
+    said = lambda c: F.when(F.lower(c) == "yes", True).when(F.lower(c) == "no", False)
+    rows = rows.withColumns({f"cue_{n}": said(f"cue_{n}") for n in cue_names} | {"label_escalates": F.col("escalate") == "yes"})
+    handoff = (F.col("reply_type") == "dm_deflection") | F.lower("brand_reply").rlike(T.HANDOFF)
+    return rows.withColumn("handed_off", handoff)
+
+
+def rated_pairs(human: DataFrame, judge: DataFrame, dimensions: list[str], on: str) -> DataFrame:
+    """dimension, human, judge of each item that both rated: a row for each dimension that neither left blank."""
+    named = lambda d, side: d.select(on, *(F.col(x).try_cast("int").alias(f"{x}_{side}") for x in dimensions))
+    both = named(human, "human").join(named(judge, "judge"), on)
+    one = F.array(*(F.struct(F.lit(x).alias("dimension"), F.col(f"{x}_human").alias("human"), F.col(f"{x}_judge").alias("judge")) for x in dimensions))
+    return both.select(F.explode(one).alias("r")).select("r.*").filter("human is not null and judge is not null")
+
+
+def judged_summary(calls: DataFrame, dimensions: list[str]) -> DataFrame:
+    """One row of a judge's run (error, tokens, latency_s, the dimensions): scored, failed, of these rate limits, mean and largest latency
+    and tokens, and the mean of each dimension."""
+    good = F.col("error").isNull()
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    mean = lambda c, digits: F.round(F.avg(F.when(good, F.col(c))), digits)
+    return calls.agg(
+        n(good).alias("scored"), n(~good).alias("failed"), n(T.rate_limit(F.col("error")).isNotNull()).alias("rate_limited"),
+        mean("latency_s", 2).alias("mean_latency"), F.max(F.when(good, F.col("latency_s"))).alias("max_latency"), mean("tokens", 0).alias("mean_tokens"),
+        *(mean(d, 3).alias(f"mean_{d}") for d in dimensions),
+    )
+
+
 def greedy_draw(pool: Iterable[tuple], near: Iterable[tuple], n: int, taken: Iterable = ()) -> list:
     """Ids of the first n items of a pool of (id, thread), in its order, that share no thread with one picked before or with
     ``taken`` and are in no pair of ``near`` with one picked. For the few hundred items of a hand-labelled set."""

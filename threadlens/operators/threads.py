@@ -69,12 +69,12 @@ def anchored(messages: DataFrame, rounds: int = PART_ROUNDS) -> DataFrame:
     answers an anchored message within 15 minutes inherits the anchor. Bounded rounds, a join each."""
     out = messages.filter("not inbound").select("tweet_id", "parent", "created")
     heads = messages.filter("inbound").select(F.col("tweet_id").alias("anchor"))
-    known = out.join(heads, out.parent == heads.anchor).select("tweet_id", "anchor", F.lit(0).alias("depth"), "created")
-    level = known
+    known = level = cut(out.join(heads, out.parent == heads.anchor).select("tweet_id", "anchor", F.lit(0).alias("depth"), "created"))
     for i in range(1, rounds + 1):
         above = level.select(F.col("tweet_id").alias("a_id"), "anchor", F.col("created").alias("a_at"))
         near = (F.col("parent") == F.col("a_id")) & (F.col("created") - F.col("a_at") <= MERGE_MINUTES)
-        level = out.join(above, near).select("tweet_id", "anchor", F.lit(i).alias("depth"), "created")
+        # written, as the levels above and the caller read it again
+        level = cut(out.join(above, near).select("tweet_id", "anchor", F.lit(i).alias("depth"), "created"))
         known = known.unionByName(level)
     return known
 
