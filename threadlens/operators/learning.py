@@ -1,11 +1,10 @@
-"""Learned baselines with pyspark.ml: TF-IDF with logistic regression, and topics."""
+"""Learned baselines with pyspark.ml: TF-IDF with logistic regression."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +24,3 @@ def tfidf_lr(train: DataFrame, other: DataFrame, buckets: int = 1 << 14, rounds:
     out = model.transform(other)
     return out.select("id", F.col("prediction").cast("int").alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
-
-def topics(texts: DataFrame, k: int = 15, rounds: int = 10) -> DataFrame:
-    """id, topic of each text: LDA, which stands in for the reference's matrix factorisation."""
-    model = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^a-z']+"),
-        CountVectorizer(inputCol="words", outputCol="features", minDF=5, maxDF=0.3, vocabSize=20_000),
-        LDA(k=k, maxIter=rounds, seed=42),
-    ]).fit(texts)
-    shares = vector_to_array("topicDistribution")
-    return model.transform(texts).select("id", (F.array_position(shares, F.array_max(shares)) - 1).alias("topic"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
 from threadlens.operators import assembly, context, cues, learning, policy, respond, retrieval, scores, threads
+from threadlens.operators import topics as topic_model
 from threadlens.plans.dialect import CHECK, SPARK
 from threadlens.plans.shared_sql import enriched, lines, messages
 from threadlens.sources.tables import register, table
@@ -157,8 +158,12 @@ def tfidf_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    return learning.topics(rows).groupBy("topic").agg(F.count("*").alias("n"))
+    """Each topic with its texts' number and share and its strongest terms; -1 holds those without a topic."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labelled, named = topic_model.topics(rows)
+    counts = labelled.groupBy("topic").agg(F.count("*").alias("n"))
+    share = F.round(1e2 * F.col("n") / F.sum("n").over(W.partitionBy()), 1)  # a row for each topic
+    return counts.withColumn("pct", share).join(named, "topic", "left")
 
 
 def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
