@@ -45,13 +45,14 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.5,
     Chunks of the corpus meet blocks of queries as matrices, and only a chunk's best k for a query leave it. Sims are
     rounded to 6 digits; ties go to the lower id; an empty or null template never excludes.
     """
-    dealt = lambda d, i: F.pmod(F.xxhash64(i), F.lit(max(1, -(-d.count() // chunk)))).cast("int")
+    c_parts, q_parts = (max(1, -(-d.count() // chunk)) for d in (corpus, queries))
+    dealt = lambda i, n: F.pmod(F.xxhash64(i), F.lit(n)).cast("int")
     c = corpus.select("vec_id", F.coalesce("template", F.lit("")).alias("template"), unit(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", unit(F.col("embedding")).alias("u")).withColumn("block", dealt(queries, "query_id"))
+    q = queries.select("query_id", unit(F.col("embedding")).alias("u")).withColumn("block", dealt("query_id", q_parts))
     blocks = q.groupBy("block").agg(F.collect_list("query_id").alias("q_id"), F.collect_list("u").alias("q_vector"))
-    chunks = c.withColumn("chunk", dealt(corpus, "vec_id")).groupBy("chunk")
+    chunks = c.withColumn("chunk", dealt("vec_id", c_parts)).groupBy("chunk")
     chunks = chunks.agg(*(F.collect_list(x).alias(y) for x, y in (("vec_id", "c_id"), ("template", "c_template"), ("v", "c_vector"))))
-    all_blocks = F.array(*map(F.lit, range(max(1, -(-queries.count() // chunk)))))
+    all_blocks = F.array(*map(F.lit, range(q_parts)))
     pairs = chunks.withColumn("block", F.explode(all_blocks)).join(blocks, "block")
     kinds = corpus.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     pairs = pairs.select("c_id", "c_template", "c_vector", "q_id", "q_vector")
@@ -74,29 +75,91 @@ def grams(text: str, least: int = 3, most: int = 5) -> Column:
     """)
 
 
+def vectors(texts: DataFrame, keys: list[str], max_df: float = 0.2) -> DataFrame:
+    """keys, g, w, df: texts (keys, text, m) as vectors of length 1 over n-grams of 3 to 5 characters, weighted by 1 + ln(count) and
+    by inverse frequency; df: the texts that have the n-gram, each counted m times. N-grams that over ``max_df`` of all
+    texts have don't count. Written, as its readers are several."""
+    n = texts.agg(F.sum("m")).first()[0] or 0
+    g = texts.select(*keys, "m", F.explode(grams("text")).alias("g")).groupBy(*keys, "m", "g").agg(F.count("*").alias("tf"))
+    g = cut(g)
+    df = g.groupBy("g").agg(F.sum("m").alias("df")).filter(F.col("df") <= max_df * n)
+    weight = (1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*keys)))
+    return cut(g.join(df, "g").select(*keys, "g", weight.alias("w"), "df").select(*keys, "g", (F.col("w") / norm).alias("w"), "df"))
+
+
+def prefixes(vectors: DataFrame, least: float) -> DataFrame:
+    """id, g: the n-grams of each vector, rare ones first, up to where what is left is shorter than ``least``."""
+    behind = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id").orderBy(F.desc("df"), F.desc("g")).rowsBetween(W.unboundedPreceding, 0))
+    return vectors.withColumn("rest", F.sqrt(behind)).filter(F.col("rest") >= least - _SLACK).select("id", "g")
+
+
+def pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, s: all pairs of a row of left (id, g, w, df of ``vectors``) and one of right, of unlike ids, whose cosine s is at least
+    ``least`` (over 0).
+
+    N-grams are ordered by their frequency, rare ones first, alike for all vectors. A vector's prefix ends where what is left has a
+    length below ``least``: vectors that share no n-gram of both prefixes can't be as alike as that, so only prefixes meet,
+    and the cosines of those that do are worked out in full.
+    """
+    a, b = prefixes(left, least).withColumnRenamed("id", "a"), prefixes(right, least).withColumnRenamed("id", "b")
+    met = a.join(b, "g").filter("a != b").select("a", "b").distinct()
+    x, y = left.select(F.col("id").alias("a"), "g", F.col("w").alias("x")), right.select(F.col("id").alias("b"), "g", F.col("w").alias("y"))
+    dots = met.join(x, "a").join(y, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    return dots.filter(F.col("s") >= least)
+
+
+_SLACK = 2e-9
+#: N-grams by which a text looks for first matches, and how many of these are worked out.
+_SEEDS, _FIRST = 12, 3
+
+
+def _bounded(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What has to be compared: (o, g, size, w, met, rest, floor) of all n-grams of other texts that training texts have, and the
+    training texts' postings (g, size, t, t_w); size: a class of training texts by the number of their n-grams.
+
+    floor: the best cosine of a few promising training texts, found by the text's rarest n-grams: the best can't be less. For
+    training texts of each size, the n-grams that cost most and can add least are left out (met is false) as long as their share
+    of any cosine, at most their length and at most their weights times the greatest ones of those training texts, stays below
+    the floor; rest is the share left out. A training text that meets none of the others can't be best; weights in
+    long texts are small, so these often need not meet at all.
+    """
+    size = F.floor(2 * F.log2(F.count("*").over(W.partitionBy("id")))).cast("int")
+    postings = cut(train.select("g", size.alias("size"), F.col("id").alias("t"), F.col("w").alias("t_w")))
+    known = postings.groupBy("g", "size").agg(F.count("*").alias("posts"), F.max("t_w").alias("top"))
+    o = cut(other.select(F.col("id").alias("o"), "g", "w").join(known, "g"))
+    rare = F.row_number().over(W.partitionBy("o").orderBy(F.desc(F.col("w") * F.col("top") / F.col("posts")), "g", "size"))
+    seeds = o.withColumn("r", rare).filter(F.col("r") <= _SEEDS).join(postings, ["g", "size"])
+    part = seeds.groupBy("o", "t", "size").agg(F.sum(F.col("w") * F.col("t_w")).alias("s"))
+    first = part.withColumn("r", F.row_number().over(W.partitionBy("o").orderBy(F.desc("s"), "t"))).filter(F.col("r") <= _FIRST).select("o", "t", "size")
+    floor = first.join(o, ["o", "size"]).join(postings, ["t", "g", "size"]).groupBy("o", "t").agg(F.sum(F.col("w") * F.col("t_w")).alias("floor"))
+    floor = floor.groupBy("o").agg(F.max("floor").alias("floor"))
+    common = W.partitionBy("o", "size").orderBy(F.desc(F.col("posts") / (F.col("w") * F.col("top"))), "g").rowsBetween(W.unboundedPreceding, 0)
+    share = F.least(F.sqrt(F.sum(F.col("w") * F.col("w")).over(common)), F.sum(F.col("w") * F.col("top")).over(common))
+    rows = o.join(floor, "o").withColumn("share", share).withColumn("met", F.col("share") >= F.col("floor") - _SLACK)
+    rest = F.max(F.when(~F.col("met"), F.col("share")).otherwise(0.0)).over(W.partitionBy("o", "size"))
+    return cut(rows.select("o", "g", "size", "w", "met", rest.alias("rest"), "floor")), postings
+
+
 def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> DataFrame:
     """id, best, max_sim: each other text's most similar training text (the least id of those alike to 9 digits; null for
-    none) and their cosine, unrounded. Both: id, text.
+    none) and their cosine, unrounded. Both: id (distinct), text; null texts are empty.
 
-    Texts are vectors of n-grams of 3 to 5 characters, weighted by 1 + ln(count) and by inverse frequency in both tables
-    together; n-grams that over ``max_df`` of all texts have don't count. Only n-grams that other texts have meet at the
-    index; norms need all. Training texts that share no such n-gram aren't compared.
+    Texts are vectors as in ``vectors``, over both tables together. Equal texts are compared once. Not all that share an n-gram
+    are compared: see ``_bounded``; of those that meet, only pairs that can still reach the floor are worked out in full.
     """
-    both = train.select(F.lit(0).alias("side"), "id", "text").unionByName(other.select(F.lit(1).alias("side"), "id", "text"))
-    n = both.count()
-    g = both.select("side", "id", F.explode(grams("text")).alias("g")).groupBy("side", "id", "g").agg(F.count("*").alias("tf"))
-    g = cut(g)
-    df = g.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df * n)
-    weight = (1 + F.log("tf")) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
-    rows = cut(g.join(df, "g").select("side", "id", "g", weight.alias("w")))
-    norms = rows.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    norm = lambda side, i: norms.filter(F.col("side") == side).select(F.col("id").alias(i), F.col("norm").alias(f"{i}_norm"))
-    o = rows.filter("side = 1").select("g", F.col("id").alias("o_id"), F.col("w").alias("o_w"))
-    t = rows.filter("side = 0").select("g", F.col("id").alias("t_id"), F.col("w").alias("t_w"))
-    dots = t.join(o, "g").groupBy("t_id", "o_id").agg(F.sum(F.col("t_w") * F.col("o_w")).alias("dot"))
-    sims = dots.join(norm(0, "t_id"), "t_id").join(norm(1, "o_id"), "o_id")
-    each = sims.select("o_id", "t_id", (F.col("dot") / (F.col("t_id_norm") * F.col("o_id_norm"))).alias("s"))
-    best = each.groupBy("o_id").agg(F.max("s").alias("s"), F.max_by("t_id", F.struct(F.round("s", 9).alias("r"), (-F.col("t_id")).alias("i"))).alias("best"))
-    return other.select(F.col("id").alias("o_id")).join(best, "o_id", "left").select(
-        F.col("o_id").alias("id"), "best", F.coalesce("s", F.lit(0.0)).alias("max_sim")
-    )
+    digest = F.sha2("text", 256)
+    of = lambda d, side: d.select(F.lit(side).alias("side"), "id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest)
+    both = of(train, 0).unionByName(of(other, 1))
+    firsts = cut(both.groupBy("side", "digest").agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    texts = both.drop("digest").join(firsts.drop("digest"), ["side", "id"])
+    rows = vectors(texts, ["side", "id"], max_df)
+    near, postings = _bounded(rows.filter("side = 0"), rows.filter("side = 1"))
+    part = near.filter("met").join(postings, ["g", "size"]).groupBy("o", "t", "size", "rest", "floor").agg(F.sum(F.col("w") * F.col("t_w")).alias("part"))
+    able = cut(part.filter(F.col("part") + F.col("rest") >= F.col("floor") - _SLACK).select("o", "t", "size", "part"))
+    more = near.filter("not met").select("o", "g", "size", "w").join(able.drop("part"), ["o", "size"]).join(postings, ["t", "g", "size"])
+    more = more.groupBy("o", "t").agg(F.sum(F.col("w") * F.col("t_w")).alias("more"))
+    each = able.join(more, ["o", "t"], "left").select("o", "t", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("s"))
+    best = each.groupBy("o").agg(F.max("s").alias("s"), F.max_by("t", F.struct(F.round("s", 9).alias("r"), (-F.col("t")).alias("i"))).alias("best"))
+    found = firsts.filter("side = 1").select("digest", F.col("id").alias("o")).join(best, "o", "left")
+    return both.filter("side = 1").select("id", "digest").join(found, "digest").select("id", "best", F.coalesce("s", F.lit(0.0)).alias("max_sim"))
