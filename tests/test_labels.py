@@ -39,8 +39,6 @@ def test_draws(spark):
     m = spark.createDataFrame([(t, i) for t in range(6) for i in range(t)], "thread long, i long")
     sample = labels.thread_sample(m, 2, 2, 4)
     assert sample.select("thread").distinct().count() == 2 and sample.filter("thread < 2 or thread > 4").count() == 0
-    pool = [(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d")]
-    assert labels.greedy_draw(pool, [(4, 1)], 3, taken=["b"]) == [1, 5]
 
 
 def test_behaviours_of_a_sample(spark):

@@ -13,30 +13,40 @@ from threadlens.sources.tables import cut
 CHAIN = 50
 
 
+def ancestors(messages: DataFrame, most: int = CHAIN) -> DataFrame:
+    """tweet_id, created, up: the nearest ``most`` ancestors (id, at) of each message, nearest first.
+
+    messages: tweet_id (distinct), parent, created. By doubling: a list of 2^k ancestors goes on with that of its last one, so
+    50 ancestors take six joins on the distinct id, fewer where threads are short. Messages whose chain has ended leave
+    the joins.
+    """
+    m = messages.select("tweet_id", "parent", "created")
+    above = m.select(F.col("tweet_id").alias("parent"), F.array(F.struct(F.col("tweet_id").alias("id"), F.col("created").alias("at"))).alias("up"))
+    none = F.array().cast(above.schema["up"].dataType)
+    heads = m.filter("parent is null").select("tweet_id", "created", none.alias("up"))
+    answers = m.filter("parent is not null").join(above, "parent", "left").select("tweet_id", "created", F.coalesce("up", none).alias("up"))
+    table, reach = cut(heads.unionByName(answers)), 1
+    while reach < most and not table.filter(F.size("up") == reach).isEmpty():
+        on = table.filter(F.size("up") == reach).withColumn("top", F.element_at("up", -1)["id"])
+        more = table.select(F.col("tweet_id").alias("top"), F.col("up").alias("more"))
+        longer = on.join(more, "top").select("tweet_id", "created", F.concat("up", "more").alias("up"))
+        table, reach = cut(table.filter(F.size("up") < reach).unionByName(longer)), 2 * reach
+    return table.withColumn("up", F.slice("up", 1, most))
+
+
 def chains(messages: DataFrame, records: DataFrame, most: int = CHAIN, minutes: int = CONTEXT_MINUTES) -> DataFrame:
     """record_id, step, tweet_id, stale: the ancestors of each record's first message, nearest first (step 1), at most
-    ``most`` of them and none over ``minutes`` older; and a row of step 0 without tweet_id for each record. stale, alike on
-    all rows of a record: an ancestor was left out for its age.
+    ``most`` of them, up to the first that is over ``minutes`` older; and a row of step 0 without tweet_id for each record.
+    stale, alike on all rows of a record: an ancestor was left out for its age.
 
-    messages: tweet_id (distinct), parent, created (minutes); records: record_id, first_id. A join a step on the distinct
-    id; it stops once no record has an ancestor left, so rounds are those of the deepest chain, within the bound.
+    messages: tweet_id (distinct), parent, created (minutes); records: record_id, first_id.
     """
-    m = messages.select(F.col("tweet_id").alias("m_id"), "parent", F.col("created").alias("at"))
-    own = records.join(m, F.col("first_id") == F.col("m_id"))
-    front = cut(own.select("record_id", F.col("at").alias("start"), F.col("parent").alias("up"), F.lit(0).alias("step")))
-    found = front.select("record_id", F.lit(0).alias("step"), F.lit(None).cast("long").alias("tweet_id"), F.lit(False).alias("late"))
-    for step in range(1, most + 1):
-        late = F.col("start") - F.col("at") > minutes
-        above = front.join(m, F.col("up") == F.col("m_id")).select("record_id", "start", "m_id", "parent", late.alias("late"))
-        above = cut(above)
-        found = found.unionByName(
-            above.select("record_id", F.lit(step).alias("step"), F.when(~F.col("late"), F.col("m_id")).alias("tweet_id"), "late")
-        )
-        front = above.filter("not late").select("record_id", "start", F.col("parent").alias("up"))
-        if front.isEmpty():
-            break
-    stale = F.max("late").over(W.partitionBy("record_id"))
-    return found.withColumn("stale", stale).filter("tweet_id is not null or step = 0").select("record_id", "step", "tweet_id", "stale")
+    own = records.select("record_id", F.col("first_id").alias("tweet_id")).join(ancestors(messages, most), "tweet_id")
+    old = F.array_position(F.transform("up", lambda x: F.col("created") - x["at"] > minutes), True)
+    own = own.withColumn("old", old)
+    kept = F.when(F.col("old") > 0, F.slice("up", F.lit(1), F.greatest(F.col("old") - 1, F.lit(0)).cast("int"))).otherwise(F.col("up"))
+    ids = F.concat(F.array(F.lit(None).cast(messages.schema["tweet_id"].dataType)), F.transform(kept, lambda x: x["id"]))
+    return own.select("record_id", F.posexplode(ids).alias("step", "tweet_id"), (F.col("old") > 0).alias("stale"))
 
 
 def role(author: Column, inbound: Column, customer: Column, brand: Column) -> Column:

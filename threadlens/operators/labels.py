@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,19 +112,3 @@ def judged_summary(calls: DataFrame, dimensions: list[str]) -> DataFrame:
         *(mean(d, 3).alias(f"mean_{d}") for d in dimensions),
     )
 
-
-def greedy_draw(pool: Iterable[tuple], near: Iterable[tuple], n: int, taken: Iterable = ()) -> list:
-    """Ids of the first n items of a pool of (id, thread), in its order, that share no thread with one picked before or with
-    ``taken`` and are in no pair of ``near`` with one picked. For the few hundred items of a hand-labelled set."""
-    beside: dict = {}
-    for a, b in near:
-        beside.setdefault(a, set()).add(b)
-        beside.setdefault(b, set()).add(a)
-    picked, threads = [], set(taken)
-    for item, thread in pool:
-        if len(picked) == n:
-            break
-        if thread not in threads and not beside.get(item, set()) & set(picked):
-            picked.append(item)
-            threads.add(thread)
-    return picked

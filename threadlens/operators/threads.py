@@ -76,6 +76,8 @@ def anchored(messages: DataFrame, rounds: int = PART_ROUNDS) -> DataFrame:
         # written, as the levels above and the caller read it again
         level = cut(out.join(above, near).select("tweet_id", "anchor", F.lit(i).alias("depth"), "created"))
         known = known.unionByName(level)
+        if level.isEmpty():
+            break
     return known
 
 

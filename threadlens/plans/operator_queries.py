@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import assembly, context, cues, learning, policy, respond, retrieval, scores, threads
+from threadlens.operators import assembly, context, cues, draws, learning, policy, respond, retrieval, scores, threads
 from threadlens.operators import topics as topic_model
 from threadlens.plans.dialect import CHECK, SPARK
 from threadlens.plans.shared_sql import enriched, lines, messages
@@ -267,11 +267,34 @@ def record_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("code").agg(F.count("*").alias("n"))
 
 
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _view(spark, sf_dir, enriched(SPARK), "e").filter("inbound")
+    return rows.select(F.col("tweet_id").alias("id"), F.col("conv_id").alias("thread"), "text", "phrase", F.col("turn"))
+
+
+_STRATA = {"anger": T.ANGER, "account": T.SAMPLE_ACCOUNT, "repair": T.SAMPLE_REPAIR}
+
+
+def development_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four turns for each of three behaviours, then sixteen of any kind, one of a thread."""
+    fills = [(k, F.col("phrase").rlike(p), 4) for k, p in _STRATA.items()]
+    found = draws.draw(_pool(spark, sf_dir), [*fills, ("random", F.lit(True), 16)], near=None, strict=False)
+    return found.select("id", "slice", F.col("nr").cast("long").alias("nr"))
+
+
+def golden_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty turns of any kind, then five for each of three behaviours; none near a benchmark item or one another."""
+    fills = [("random", F.lit(True), 20), *((k, F.col("phrase").rlike(p), 5) for k, p in _STRATA.items())]
+    found = draws.draw(_pool(spark, sf_dir), fills, kept_out=table(spark, sf_dir, "benchmark").select("text"), strict=False)
+    return found.select("id", "slice", F.col("nr").cast("long").alias("nr"))
+
+
 OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     exchange_pairs, thread_roots, anchored_replies, merged_messages, weak_outcome, reply_type, policy_decisions, topk_diverse,
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
     tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
     assembled, record_signals, routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
+    development_draw, golden_draw,
 )}
 
 _c = CHECK
@@ -505,3 +528,18 @@ OPERATOR_SQL |= {
         SELECT CASE WHEN failed THEN 'REPLY_FAILED_CHECKS' ELSE 'GENERAL_INFO' END AS reason, CASE WHEN failed THEN 'validation' ELSE 'policy' END AS trigger,
                CAST(CASE WHEN esc THEN 0 WHEN len(e1) = 0 THEN 1 ELSE 2 END AS BIGINT) AS draft_attempts, CASE WHEN failed THEN array_to_string(e2, '+') ELSE '' END AS errors, count(*) AS n FROM z GROUP BY 1, 2, 3, 4""",
 }
+
+
+def _drawn() -> str:
+    """Fills one after the other: the first of each thread that has none yet, in the order of the hash."""
+    parts, before = [], "SELECT NULL AS thread, NULL AS id"
+    for i, (name, p, n) in enumerate([*((k, p, 4) for k, p in _STRATA.items()), ("random", "", 16)]):
+        parts.append(f"""d{i} AS (SELECT *, row_number() OVER (ORDER BY h, id) AS place FROM (SELECT thread, id, h, row_number() OVER (PARTITION BY thread ORDER BY h, id) AS r FROM pl
+            WHERE {_c.rx('phrase', p)} AND thread NOT IN (SELECT thread FROM ({before}) b WHERE thread IS NOT NULL)) x WHERE r = 1 QUALIFY place <= {n})""")
+        before += f" UNION ALL SELECT thread, id FROM d{i}"
+    rows = " UNION ALL ".join(f"SELECT id, '{name}' AS slice, {i} AS f, place FROM d{i}" for i, name in enumerate([*_STRATA, "random"]))
+    return f"""WITH {enriched(_c)}, pl AS (SELECT tweet_id AS id, conv_id AS thread, phrase, {_c.hash32("concat('42:', CAST(tweet_id AS STRING))")} AS h FROM e WHERE inbound), {', '.join(parts)}
+        SELECT id, slice, row_number() OVER (ORDER BY f, place) AS nr FROM ({rows})"""
+
+
+OPERATOR_SQL["development_draw"] = _drawn()
