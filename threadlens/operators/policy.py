@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
@@ -70,6 +70,62 @@ def decide(intent: Column, cue: dict[str, Column], low_confidence: Column | None
     )
 
 
+# The policy in force and what its alternatives change; intents whose own policy escalates on failed steps.
+STEPS_INTENTS = ["hardware_devices", "entitlements_subscriptions_codes"]
+IN_FORCE = {"steps_alone": True, "steps_code": "STEPS_FAILED", "repeat_alone": False, "anger_at_low": False, "repair": True, "account_always": False, "clarify": True}
+ALTERNATIVES = {
+    "in_force": {},
+    "anger_at_any_risk": {"anger_at_low": True},
+    "repeat_alone": {"repeat_alone": True},
+    "steps_need_repeat": {"steps_alone": False, "steps_code": "ACCOUNT_SPECIFIC"},
+    "account_always": {"account_always": True},
+    "clarify_again": {"clarify": False},
+    "repair_after_steps": {"repair": False},
+}
+
+
+def alternatives(intent: Column, cue: dict[str, Column]) -> Column:
+    """array<struct<policy, escalate, reason>>: the decision on a row under each policy of ALTERNATIVES, in order. All are read off
+    one array of conditions that the row meets; a policy takes those that it knows, with its own codes."""
+    hot = default_risk(intent) != "low"
+    steps, repeat = cue["steps_failed"], cue["repeat_contact"]
+    is_ = lambda name: intent == name
+    # condition, code, the option that it needs and the value, code by option
+    conditions = [
+        (cue["account_compromised"], "SECURITY", None), (cue["harm_or_legal"], "SAFETY_LEGAL", None), (cue["money_dispute"], "BILLING_DISPUTE", None),
+        (is_("purchases_billing_orders") & ~cue["money_dispute"], "ACCOUNT_SPECIFIC", None),
+        (is_("support_process_complaint") & repeat, "REPEAT_CONTACT", None), (is_("support_process_complaint") & ~repeat, "HIGH_ANGER", None),
+        (intent.isin("account_access_profile", "entitlements_subscriptions_codes") & cue["account_specific_action"], "ACCOUNT_SPECIFIC", None),
+        (is_("account_access_profile"), "ACCOUNT_SPECIFIC", "account_always"),
+        (is_("hardware_devices") & cue["repair_or_replacement"], "ACCOUNT_SPECIFIC", "repair"),
+        (steps & repeat, "REPEAT_CONTACT", None), (steps & ~repeat, "steps_code", "steps_alone"),
+        (steps & ~repeat & intent.isin(STEPS_INTENTS), "ACCOUNT_SPECIFIC", "not steps_alone"),
+        (repeat, "REPEAT_CONTACT", "repeat_alone"), (cue["strong_anger"] & hot, "HIGH_ANGER", None), (cue["strong_anger"] & ~hot, "HIGH_ANGER", "anger_at_low"),
+        (is_("needs_more_context") & cue["prior_clarification"], "LOW_CONFIDENCE", "clarify"),
+    ]
+    met = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, (c, _, _) in enumerate(conditions))))
+    auto = F.when(intent.isin(FIX), "ROUTINE_TROUBLESHOOTING").otherwise("GENERAL_INFO")
+    names = F.array(*map(F.lit, PRIORITY))
+
+    def under(met: Column, name: str, changes: dict) -> Column:
+        options = IN_FORCE | changes
+        known = lambda o: o is None or (not options[o[4:]] if o.startswith("not ") else options[o])
+        place = lambda code: PRIORITY.index(options.get(code, code))
+        by = F.array(*(F.lit(place(code)) if known(o) else F.lit(None).cast("int") for _, code, o in conditions))
+        first = F.array_min(F.transform(met, lambda i: F.get(by, i)))
+        return F.struct(F.lit(name).alias("policy"), first.isNotNull().alias("escalate"), F.coalesce(F.get(names, first), auto).alias("reason"))
+
+    return F.get(F.transform(F.array(met), lambda m: F.array(*(under(m, k, v) for k, v in ALTERNATIVES.items()))), 0)
+
+
+def flips(rows: DataFrame, decisions: str = "decisions") -> DataFrame:
+    """The rows with policy, escalate, reason, was: a row for each alternative that decides it other than the policy in force
+    (its first decision), by escalation or reason; was: the reason in force."""
+    each = rows.withColumn("_d", F.explode(F.slice(decisions, 2, len(ALTERNATIVES)))).withColumn("_f", F.get(decisions, 0))
+    changed = (F.col("_d.escalate") != F.col("_f.escalate")) | (F.col("_d.reason") != F.col("_f.reason"))
+    return each.filter(changed).select(*rows.drop(decisions).columns, "_d.policy", "_d.escalate", "_d.reason", F.col("_f.reason").alias("was"))
+
+
 def draft_checks(draft: Column, said: Column, evidence: Column, most: int = 280) -> Column:
     """The checks that a drafted reply fails. said: the customer's own words; evidence: the conversation and retrieved
     examples, all of what the draft may rest on."""

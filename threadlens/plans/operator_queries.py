@@ -56,16 +56,6 @@ def reply_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("tweet_id").alias("record_id"), T.reply_type(F.col("phrase"), F.lit(False)).alias("reply_type"))
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    intents = spark.range(len(policy.RISKS)).select(F.element_at(F.array(*map(F.lit, policy.RISKS)), (F.col("id") + 1).cast("int")).alias("intent"))
-    return intents.crossJoin(spark.range(1 << len(policy.CUES)).withColumnRenamed("id", "cue_mask"))  # 11 x 512 rows
-
-
-def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cue = {c: F.col("cue_mask").bitwiseAND(F.lit(1 << i)) > 0 for i, c in enumerate(policy.CUES)}
-    return _grid(spark).select("intent", "cue_mask", policy.decide(F.col("intent"), cue).alias("d")).select("intent", "cue_mask", "d.*")
-
-
 def topk_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("template"))
     queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -199,6 +189,29 @@ def routed_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("intent", "d.escalate", "d.reason", "d.risk", "d.trigger").agg(F.count("*").alias("n"))
 
 
+def _cued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tweet_id, intent, cue_mask and a column for each cue of each customer turn, from its own words and those before."""
+    rows = _with_context(spark, sf_dir).withColumn("shown", cues.evidence(F.col("phrase"), F.col("context")))
+    intent, _ = T.first_of(F.col("phrase"), T.INTENTS, "needs_more_context")
+    rows = rows.select("tweet_id", intent.alias("intent"), *(v.alias(k) for k, v in cues.flags(F.col("shown")).items()))
+    mask = sum((F.when(F.col(c), 1 << i).otherwise(0) for i, c in enumerate(policy.CUES)), F.lit(0))
+    return rows.withColumn("cue_mask", mask.cast("long"))
+
+
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision on each intent and set of cues that customers' turns have, with the number of such turns."""
+    found = _cued(spark, sf_dir).groupBy("intent", "cue_mask").agg(F.count("*").alias("n"))
+    cue = {c: F.col("cue_mask").bitwiseAND(F.lit(1 << i)) > 0 for i, c in enumerate(policy.CUES)}
+    return found.withColumn("d", policy.decide(F.col("intent"), cue)).select("intent", "cue_mask", "n", "d.*")
+
+
+def policy_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' turns that another policy decides otherwise, each with what it was and becomes."""
+    rows = _cued(spark, sf_dir)
+    decided = rows.select("tweet_id", policy.alternatives(F.col("intent"), {c: F.col(c) for c in policy.CUES}).alias("decisions"))
+    return policy.flips(decided).withColumnRenamed("tweet_id", "record_id")
+
+
 def draft_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, hits = T.first_of(F.col("phrase"), T.DRAFT_INTENTS, "other_unclear")
     return _view(spark, sf_dir, enriched(SPARK), "e").filter("inbound").select(F.col("tweet_id").alias("record_id"), first.alias("intent"), hits.cast("long").alias("hits"))
@@ -290,7 +303,7 @@ def golden_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    exchange_pairs, thread_roots, anchored_replies, merged_messages, weak_outcome, reply_type, policy_decisions, topk_diverse,
+    exchange_pairs, thread_roots, anchored_replies, merged_messages, weak_outcome, reply_type, policy_decisions, policy_alternatives, topk_diverse,
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
     tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
     assembled, record_signals, routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
@@ -378,7 +391,6 @@ OPERATOR_SQL: dict[str, str] = {
     "reply_type": f"""WITH {enriched(_c)}, s AS (SELECT tweet_id, phrase, unnest(string_split(regexp_replace(phrase, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS t FROM e WHERE NOT inbound),
         g AS (SELECT tweet_id, phrase, bool_or({_c.rx(_c.sub('t', T.CUSTOMER_ATTEMPT, ' '), T.ACTION)} AND NOT {_c.rx(_c.sub('t', T.CUSTOMER_ATTEMPT, ' '), T.DM_REDIRECT)}) AS guides FROM s GROUP BY ALL)
         SELECT tweet_id AS record_id, CASE WHEN guides THEN 'substantive' WHEN {_c.rx('phrase', T.DM_REDIRECT)} THEN 'dm_deflection' ELSE 'other' END AS reply_type FROM g""",
-    "policy_decisions": _decisions(),
     "topk_diverse": """WITH u AS (SELECT vec_id, CAST(label AS STRING) AS template, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         p AS (SELECT q.vec_id AS query_id, c.vec_id, c.template, round(list_cosine_similarity(q.v, c.v), 6) AS sim FROM u q JOIN u c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         b AS (SELECT *, row_number() OVER (PARTITION BY query_id, template ORDER BY sim DESC, vec_id) AS r FROM p WHERE sim >= 0.1),
@@ -431,6 +443,46 @@ def _ladder(patterns: dict[str, str], default: str, value: str = "phrase") -> st
     return f"CASE {' '.join(f'WHEN regexp_matches({value}, {_re(p)}) THEN {_c.lit(k)}' for k, p in patterns.items())} ELSE '{default}' END"
 
 
+# u: record_id, cue_mask; i: record_id, low, intent
+_MASKS = f"""u AS (SELECT record_id, CAST(sum(CASE WHEN here IS NOT NULL OR there IS NOT NULL THEN CASE cue {' '.join(f"WHEN '{c}' THEN {1 << i}" for i, c in enumerate(policy.CUES))} END ELSE 0 END) AS BIGINT) AS cue_mask FROM k GROUP BY record_id),
+        i AS (SELECT tweet_id AS record_id, turn % 5 = 4 AS low, {_ladder(T.INTENTS, 'needs_more_context')} AS intent FROM e WHERE inbound)"""
+
+
+def _alternatives() -> str:
+    """al: record_id, policy, escalate, reason: the reasons of each policy written out one by one, the first by priority wins."""
+    on = {c: f"((cue_mask >> {i}) & 1) = 1" for i, c in enumerate(policy.CUES)}
+    low = ", ".join(f"'{k}'" for k, v in policy.RISKS.items() if v == "low")
+    fix = ", ".join(f"'{c}'" for c in policy.FIX)
+
+    def reason(steps: str, more: dict[str, str], without: tuple[str, ...] = ()) -> str:
+        by = {
+            "SECURITY": [on["account_compromised"]], "SAFETY_LEGAL": [on["harm_or_legal"]], "BILLING_DISPUTE": [on["money_dispute"]],
+            "ACCOUNT_SPECIFIC": ["intent = 'purchases_billing_orders'", f"intent = 'account_access_profile' AND {on['account_specific_action']}",
+                                 f"intent = 'entitlements_subscriptions_codes' AND {on['account_specific_action']}", f"intent = 'hardware_devices' AND {on['repair_or_replacement']}"],
+            "REPEAT_CONTACT": [f"intent = 'support_process_complaint' AND {on['repeat_contact']}", f"{on['steps_failed']} AND {on['repeat_contact']}"],
+            "STEPS_FAILED": [], "HIGH_ANGER": ["intent = 'support_process_complaint'", f"{on['strong_anger']} AND intent NOT IN ({low})"],
+            "LOW_CONFIDENCE": [f"intent = 'needs_more_context' AND {on['prior_clarification']}"],
+        }
+        by[steps].append(f"{on['steps_failed']} AND NOT {on['repeat_contact']}" + ("" if steps == "STEPS_FAILED" else " AND intent IN ('hardware_devices', 'entitlements_subscriptions_codes')"))
+        for code, rule in more.items():
+            by[code].append(rule)
+        whens = " ".join(f"WHEN {' OR '.join(f'({r})' for r in rules if r not in without)} THEN '{code}'" for code, rules in by.items() if [r for r in rules if r not in without])
+        return f"CASE {whens} END"
+
+    each = {
+        "in_force": reason("STEPS_FAILED", {}),
+        "anger_at_any_risk": reason("STEPS_FAILED", {"HIGH_ANGER": on["strong_anger"]}),
+        "repeat_alone": reason("STEPS_FAILED", {"REPEAT_CONTACT": on["repeat_contact"]}),
+        "steps_need_repeat": reason("ACCOUNT_SPECIFIC", {}),
+        "account_always": reason("STEPS_FAILED", {"ACCOUNT_SPECIFIC": "intent = 'account_access_profile'"}),
+        "clarify_again": reason("STEPS_FAILED", {}, (f"intent = 'needs_more_context' AND {on['prior_clarification']}",)),
+        "repair_after_steps": reason("STEPS_FAILED", {}, (f"intent = 'hardware_devices' AND {on['repair_or_replacement']}",)),
+    }
+    rows = " UNION ALL ".join(f"SELECT record_id, '{k}' AS policy, intent, {v} AS code FROM iu" for k, v in each.items())
+    return f"""iu AS (SELECT record_id, intent, cue_mask FROM i JOIN u USING (record_id)), ar AS ({rows}),
+        al AS (SELECT record_id, policy, code IS NOT NULL AS escalate, coalesce(code, CASE WHEN intent IN ({fix}) THEN 'ROUTINE_TROUBLESHOOTING' ELSE 'GENERAL_INFO' END) AS reason FROM ar)"""
+
+
 _PHRASED = f"""rt AS (SELECT tweet_id, CASE WHEN turn <= 1 THEN 'new_issue' WHEN {_c.rx('phrase', T.CLOSING)} THEN 'acknowledgement_closing' ELSE 'issue_followup' END AS gs,
             {_ladder(T.INTENTS, 'needs_more_context')} AS gi, {_c.rx('phrase', T.BILLING_DISPUTE + '|' + T.REPEAT_CONTACT)} AS ge,
             {_c.hash32("concat('s:', CAST(tweet_id AS STRING))")} % 4 = 0 AS ws, {_c.hash32("concat('i:', CAST(tweet_id AS STRING))")} % 4 = 0 AS wi,
@@ -493,6 +545,10 @@ OPERATOR_SQL |= {
         i AS (SELECT tweet_id AS record_id, turn % 5 = 4 AS low, {_ladder(T.INTENTS, 'needs_more_context')} AS intent FROM e WHERE inbound), d AS ({_decisions()})
         SELECT d.intent, d.escalate OR low AS escalate, CASE WHEN low AND (NOT d.escalate OR d.reason = 'OUT_OF_SCOPE') THEN 'LOW_CONFIDENCE' ELSE d.reason END AS reason, d.risk,
                CASE WHEN low AND NOT d.escalate THEN 'model' ELSE d.trigger END AS trigger, count(*) AS n FROM i JOIN u USING (record_id) JOIN d ON d.intent = i.intent AND d.cue_mask = u.cue_mask GROUP BY 1, 2, 3, 4, 5""",
+    "policy_decisions": f"""WITH {enriched(_c)}, {_LOOKED}, {_shown()}, {_MASKS}, d AS ({_decisions()}), c AS (SELECT intent, cue_mask, count(*) AS n FROM i JOIN u USING (record_id) GROUP BY ALL)
+        SELECT d.*, n FROM d JOIN c USING (intent, cue_mask)""",
+    "policy_alternatives": f"""WITH {enriched(_c)}, {_LOOKED}, {_shown()}, {_MASKS}, {_alternatives()}
+        SELECT a.record_id, a.policy, a.escalate, a.reason, b.reason AS was FROM al a JOIN al b USING (record_id) WHERE b.policy = 'in_force' AND (a.escalate <> b.escalate OR a.reason <> b.reason)""",
     "draft_intents": f"""WITH {enriched(_c)} SELECT tweet_id AS record_id, {_ladder(T.DRAFT_INTENTS, 'other_unclear')} AS intent,
         CAST({' + '.join(f"CAST(regexp_matches(phrase, {_re(p)}) AS INT)" for p in T.DRAFT_INTENTS.values())} AS BIGINT) AS hits FROM e WHERE inbound""",
     "routing_metrics": f"WITH {enriched(_c)}, {_PHRASED} SELECT metric, round(value, 6) AS value, support FROM ({_metrics('rr')})",
