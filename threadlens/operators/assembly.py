@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import retrieval, threads
+from threadlens.operators import quantiles, retrieval, threads
 
 # The columns in their order, those that only the train split has, and the threshold of near-duplicates.
 COLUMNS = [
@@ -44,7 +44,8 @@ def splits(started: Column, created: Column, at: Column) -> Column:
 
 def suggested_cut(records: DataFrame, train_share: float = 0.7) -> DataFrame:
     """One row: cut, the day's start (of thread_started_at in seconds) that leaves about ``train_share`` of the records before it."""
-    return records.agg((F.floor(F.percentile("thread_started_at", F.lit(train_share)) / 86400) * 86400).alias("cut"))
+    found = quantiles.exact(records, "thread_started_at", [train_share])
+    return found.agg((F.floor(F.max("value") / 86400) * 86400).alias("cut"))
 
 
 def canned(messages: DataFrame, least: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import assembly, context, cues, draws, learning, policy, respond, retrieval, scores, threads
+from threadlens.operators import assembly, context, cues, draws, learning, policy, quantiles, respond, retrieval, scores, threads
 from threadlens.operators import topics as topic_model
 from threadlens.plans.dialect import CHECK, SPARK
 from threadlens.plans.shared_sql import enriched, lines, messages
@@ -166,7 +166,8 @@ def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cue_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_context(spark, sf_dir).select("tweet_id", F.explode(cues.evidence(F.col("phrase"), F.col("context"))).alias("e"))
-    return rows.select(F.col("tweet_id").alias("record_id"), "e.cue", "e.matched", "e.source")
+    matched = F.regexp_replace("e.matched", r"[^\x00-\x7F\pP\pS\pZ]", "_")  # as the checking engine sees it
+    return rows.select(F.col("tweet_id").alias("record_id"), "e.cue", matched.alias("matched"), "e.source")
 
 
 def _said_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +199,23 @@ def _cued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cue_mask", mask.cast("long"))
 
 
+def thread_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _view(spark, sf_dir, messages(SPARK), "m").groupBy("conv_id").agg(F.count("*").alias("size"), F.sum(F.col("inbound").cast("long")).alias("inb"))
+    found = quantiles.exact(rows, "size", [0.5, 0.9])
+    cuts = [F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in ((0.5, "median_size"), (0.9, "p90_size"))]
+    whole = rows.agg(F.count("*").alias("n"), F.round(F.avg("size"), 6).alias("mean_size"), F.round(F.sum("inb") / F.sum("size"), 6).alias("inbound_share"))
+    return whole.join(found.agg(*cuts), F.lit(True))  # a row each
+
+
+def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").cast("string").alias("day"), seconds.alias("s"))
+    starts = rows.groupBy("user_id").agg(F.min("s").alias("thread_started_at"))
+    split = assembly.splits(F.col("thread_started_at"), F.col("s"), F.col("cut"))
+    found = rows.join(starts, "user_id").join(assembly.suggested_cut(starts), F.lit(True)).withColumn("split", split)
+    return found.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
 def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on each intent and set of cues that customers' turns have, with the number of such turns."""
     found = _cued(spark, sf_dir).groupBy("intent", "cue_mask").agg(F.count("*").alias("n"))
@@ -307,7 +325,7 @@ OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__nam
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
     tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
     assembled, record_signals, routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
-    development_draw, golden_draw,
+    development_draw, golden_draw, thread_stats, time_split,
 )}
 
 _c = CHECK
