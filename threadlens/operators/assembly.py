@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as T
-from threadlens.operators import quantiles, retrieval, threads
+from threadlens.operators import context, quantiles, retrieval, threads
+from threadlens.sources.tables import cut
 
 # The columns in their order, those that only the train split has, and the threshold of near-duplicates.
 COLUMNS = [
-    "record_id", "thread_id", "thread_started_at", "split", "created_at", "customer_id", "customer_prior_threads", "is_followup",
-    "customer_text", "n_customer_parts", "lang", "n_words", "customer_escalation_signals", "n_reply_parts", "brand_reply", "reply_delay_min",
+    "record_id", "thread_id", "thread_started_at", "split", "created_at", "customer_id", "customer_prior_threads", "is_followup", "context",
+    "context_turns", "context_truncated", "customer_tweet_ids", "n_customer_parts", "customer_text", "customer_text_clean", "lang", "n_words",
+    "customer_escalation_signals", "reply_tweet_ids", "n_reply_parts", "brand_reply", "brand_reply_clean", "reply_created_at", "reply_delay_min",
     "reply_type", "reply_is_canned", "reply_template", "retrieval_eligible", "max_train_similarity", "eval_eligible", "reply_template_in_train",
     "next_customer_text", "weak_outcome", "outcome_confidence", "weak_outcome_source", "brand_escalation_evidence",
 ]
@@ -55,29 +57,54 @@ def canned(messages: DataFrame, least: int = 5) -> DataFrame:
     return keyed.join(used, ["author", "template"]).select("tweet_id", "template", ((F.col("n") >= least) & (F.col("template") != "")).alias("canned"))
 
 
-def exchange_records(messages: DataFrame) -> DataFrame:
-    """The exchanges of ``messages`` (tweet_id, parent, conv_id, author, inbound, created in minutes, text) with texts, language,
-    words, reply type and template, and earlier threads of the customer: what ``assemble`` starts from."""
-    parts = threads.anchored(messages)
-    flags = canned(messages)
-    one = F.struct("created", "depth", "tweet_id", "template", "canned")
-    templates = parts.join(flags, "tweet_id").groupBy("anchor").agg(F.array_sort(F.collect_list(one)).alias("p")).select(
-        F.col("anchor").alias("record_id"), F.array_join(F.transform("p", lambda x: x["template"]), " | ").alias("reply_template"),
-        F.forall("p", lambda x: x["canned"]).alias("reply_is_canned"),
-    )
-    replies = threads.merged_replies(messages, parts).select(F.col("anchor").alias("record_id"), F.col("merged").alias("brand_reply"))
-    said = messages.select(F.col("tweet_id").alias("record_id"), F.col("author").alias("customer_id"), (F.col("created") * 60).alias("created_at"), F.col("text").alias("customer_text"))
+def exchange_records(messages: DataFrame, brand: str = "brand") -> DataFrame:
+    """The exchanges of ``messages`` (tweet_id, parent, conv_id, author, inbound, created in minutes, text) with their context, texts
+    as they are and cleaned, language, words, reply type and template, and earlier threads of the customer: what ``assemble``
+    starts from. brand: the author whose replies these are. Times are in seconds, those of the context's turns ISO minutes.
+    """
+    parts = cut(threads.anchored(messages))
+    said = messages.select("tweet_id", "text")
+    by_part = lambda field, by: F.array_join(F.transform("p", lambda x: x[field]), by)
+
+    one = F.struct("created", "depth", T.part_number(F.col("text")).alias("number"), "tweet_id", "text", T.clean_brand_part(F.col("text")).alias("clean"), "template", "canned")
+    replies = parts.join(said, "tweet_id").join(canned(messages), "tweet_id").groupBy("anchor").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    replies = cut(replies.select(
+        F.col("anchor").alias("record_id"), F.transform("p", lambda x: x["tweet_id"]).alias("reply_tweet_ids"), by_part("text", " ").alias("brand_reply"),
+        by_part("clean", " ").alias("brand_reply_clean"), by_part("template", " | ").alias("reply_template"),
+        F.forall("p", lambda x: x["canned"]).alias("reply_is_canned"), (F.get("p", F.lit(0))["created"] * 60).alias("reply_created_at"),
+    ))
+    own = threads.message_parts(messages).select(F.col("tweet_id").alias("record_id"), F.col("ids").alias("customer_tweet_ids"))
+    each = own.select("record_id", F.posexplode("customer_tweet_ids").alias("pos", "tweet_id")).join(said, "tweet_id")
+    texts = each.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", T.clean_customer(F.col("text")).alias("clean")))).alias("p"))
+    texts = texts.select("record_id", by_part("text", " ").alias("customer_text"), by_part("clean", " ").alias("customer_text_clean"))
+
+    at = messages.select(F.col("tweet_id").alias("record_id"), F.col("author").alias("customer_id"), (F.col("created") * 60).alias("created_at"))
     roots = threads.thread_roots(messages).select(F.col("tweet_id").alias("record_id"), F.col("root").alias("thread_id"))
     starts = messages.select(F.col("tweet_id").alias("thread_id"), (F.col("created") * 60).alias("thread_started_at"))
-    rows = threads.exchanges(messages, parts).drop("conv_id").join(said, "record_id").join(roots, "record_id").join(starts, "thread_id")
-    rows = rows.join(replies, "record_id").join(templates, "record_id")
+    rows = threads.exchanges(messages, parts).drop("conv_id").join(at, "record_id").join(roots, "record_id").join(starts, "thread_id")
+    rows = cut(rows.join(replies, "record_id").join(own, "record_id").join(texts, "record_id"))
+
+    chain = cut(context.chains(messages, rows.select("record_id", "first_id")))
+    clean = F.when(F.col("inbound"), T.clean_customer(F.col("text"))).otherwise(T.clean_brand_part(F.col("text")))
+    shown = replies.select(F.col("record_id").alias("anchor"), F.col("brand_reply_clean").alias("merged"))
+    turns = context.context_turns(messages.withColumn("text", clean), rows.select("record_id", "first_id", F.col("customer_id").alias("customer")), parts, shown, brand, chain=chain)
+    turn = F.struct("turn_no", "role", "text", T.iso_minutes(F.timestamp_seconds(F.col("created") * 60)).alias("created_at"))
+    turns = turns.groupBy("record_id").agg(F.array_sort(F.collect_list(turn)).alias("c"), F.bool_or("truncated").alias("shortened"))
+    turns = turns.select("record_id", F.transform("c", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["created_at"].alias("created_at"))).alias("context"), "shortened")
+    stale = chain.filter("step = 0").select("record_id", "stale")
+    rows = rows.join(stale, "record_id").join(turns, "record_id", "left")
+    none = F.array().cast("array<struct<role:string,text:string,created_at:string>>")
+
     prior = threads.prior_counts(rows, "customer_id", "thread_id", F.col("created_at")).select("customer_id", "thread_id", F.col("prior").alias("customer_prior_threads"))
     low = F.lower("customer_text")
     body = T.collapse(F.regexp_replace(F.regexp_replace(low, T.URL, " "), T.MENTION, " "))
+    guides, dm = T.has_guidance(F.col("brand_reply_clean")), F.lower("brand_reply").rlike(T.DM_REDIRECT)
+    kind = F.when(guides & ~F.col("reply_is_canned"), "substantive").when(dm & ~guides, "dm_deflection").otherwise("other")
     return rows.join(prior, ["customer_id", "thread_id"]).withColumns({
         "lang": T.language(low), "n_words": F.regexp_count(body, F.lit("[a-z]{2,}")), "body": body,
-        "reply_type": T.reply_type(F.col("brand_reply"), F.col("reply_is_canned")), "reply_delay_min": F.round("reply_delay", 1),
-        "next_customer_text": F.col("next_text"),
+        "reply_type": kind, "reply_delay_min": F.round("reply_delay", 1), "next_customer_text": F.col("next_text"),
+        "context": F.coalesce("context", none), "context_turns": F.coalesce(F.size("context"), F.lit(0)),
+        "context_truncated": F.col("stale") | F.coalesce("shortened", F.lit(False)),
     })
 
 
@@ -86,7 +113,7 @@ def assemble(records: DataFrame, at: float) -> DataFrame:
     digits but decided on in full; columns of TRAIN_ONLY are null outside the train split."""
     rows = records.withColumn("split", splits(F.col("thread_started_at"), F.col("created_at"), F.lit(at)))
     train, holdout = F.col("split") == "train", F.col("split") == "holdout"
-    text = rows.select(F.col("record_id").alias("id"), F.col("customer_text").alias("text"), "split")
+    text = rows.select(F.col("record_id").alias("id"), F.col("customer_text_clean").alias("text"), "split")
     like = retrieval.max_similarity(text.filter(train).drop("split"), text.filter(holdout).drop("split"))
     like = like.select(F.col("id").alias("record_id"), F.col("max_sim"))
     used = rows.filter(train).filter("reply_template <> ''").select("reply_template", F.lit(True).alias("in_train")).distinct()

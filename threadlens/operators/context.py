@@ -55,7 +55,7 @@ def role(author: Column, inbound: Column, customer: Column, brand: Column) -> Co
     return known.when(inbound, "other_customer").otherwise("other_brand")
 
 
-def context_turns(messages: DataFrame, records: DataFrame, parts: DataFrame, replies: DataFrame, brand: str, most: int = CONTEXT_TURNS) -> DataFrame:
+def context_turns(messages: DataFrame, records: DataFrame, parts: DataFrame, replies: DataFrame, brand: str, most: int = CONTEXT_TURNS, chain: DataFrame | None = None) -> DataFrame:
     """record_id, turn_no, role, created, text, truncated: the turns before each record, oldest first.
 
     Messages by one author that follow each other are one turn. A reply in several parts is shown whole where its first part
@@ -63,9 +63,11 @@ def context_turns(messages: DataFrame, records: DataFrame, parts: DataFrame, rep
     truncated: turns or older messages are left out. Records without context have no rows.
 
     messages: tweet_id, parent, author, inbound, created, text (cleaned); records: record_id, first_id, customer;
-    parts: tweet_id, anchor; replies: anchor, merged. A record has at most 50 rows in a window.
+    parts: tweet_id, anchor; replies: anchor, merged; chain: that of the records, if it is known. A record has at most 50 rows
+    in a window.
     """
-    chain = chains(messages, records.select("record_id", "first_id")).filter("tweet_id is not null")
+    chain = chains(messages, records.select("record_id", "first_id")) if chain is None else chain
+    chain = chain.filter("tweet_id is not null")
     said = messages.select("tweet_id", "author", "inbound", "created", "text")
     rows = (
         chain.join(said, "tweet_id")

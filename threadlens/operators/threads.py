@@ -90,21 +90,26 @@ def merged_replies(messages: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def merged_messages(messages: DataFrame, most: int = 5) -> DataFrame:
-    """tweet_id, first_id, n_parts of the last part of each customer message: walk up while the parent is by the same
+def message_parts(messages: DataFrame, most: int = 5) -> DataFrame:
+    """tweet_id, first_id, ids (oldest first) of the last part of each customer message: walk up while the parent is by the same
     author, inbound, not answered by the brand itself and at most 15 minutes older; five parts at most."""
     m = messages.filter("inbound").select("tweet_id", "parent", "author", "created")
     answered = messages.filter("not inbound and parent is not null").select(F.col("parent").alias("tweet_id")).distinct()
-    last = m.join(answered, "tweet_id", "left_semi").select("tweet_id", "author", F.col("tweet_id").alias("first_id"), F.col("parent").alias("up"), F.col("created").alias("at"), F.lit(1).alias("n_parts"))
+    last = m.join(answered, "tweet_id", "left_semi").select("tweet_id", "author", F.array("tweet_id").alias("ids"), F.col("parent").alias("up"), F.col("created").alias("at"))
     free = m.join(answered, "tweet_id", "left_anti").select(F.col("tweet_id").alias("f_id"), F.col("parent").alias("f_up"), F.col("author").alias("f_author"), F.col("created").alias("f_at"))
     for _ in range(most - 1):
         fits = (F.col("up") == F.col("f_id")) & (F.col("author") == F.col("f_author")) & (F.col("at") - F.col("f_at") <= MERGE_MINUTES)
+        more = F.col("f_id").isNotNull()
         last = last.join(free, fits, "left").select(
-            "tweet_id", "author", F.coalesce("f_id", "first_id").alias("first_id"),
-            F.when(F.col("f_id").isNotNull(), F.col("f_up")).alias("up"), F.coalesce("f_at", "at").alias("at"),
-            (F.col("n_parts") + F.col("f_id").isNotNull().cast("int")).alias("n_parts"),
+            "tweet_id", "author", F.when(more, F.concat(F.array("f_id"), "ids")).otherwise(F.col("ids")).alias("ids"),
+            F.when(more, F.col("f_up")).alias("up"), F.coalesce("f_at", "at").alias("at"),
         )
-    return last.select("tweet_id", "first_id", "n_parts")
+    return last.select("tweet_id", F.get("ids", F.lit(0)).alias("first_id"), "ids")
+
+
+def merged_messages(messages: DataFrame, most: int = 5) -> DataFrame:
+    """tweet_id, first_id, n_parts of the last part of each customer message, as in ``message_parts``."""
+    return message_parts(messages, most).select("tweet_id", "first_id", F.size("ids").alias("n_parts"))
 
 
 def prior_counts(rows: DataFrame, who: str, thread: str, at: Column) -> DataFrame:

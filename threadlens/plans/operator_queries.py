@@ -12,7 +12,7 @@ from threadlens.functions import text as T
 from threadlens.operators import assembly, context, cues, draws, learning, policy, quantiles, respond, retrieval, scores, threads
 from threadlens.operators import topics as topic_model
 from threadlens.plans.dialect import CHECK, SPARK
-from threadlens.plans.shared_sql import enriched, lines, messages
+from threadlens.plans.shared_sql import OTHER_LETTERS, enriched, lines, messages
 from threadlens.sources.tables import register, table
 
 
@@ -166,7 +166,7 @@ def _with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cue_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_context(spark, sf_dir).select("tweet_id", F.explode(cues.evidence(F.col("phrase"), F.col("context"))).alias("e"))
-    matched = F.regexp_replace("e.matched", r"[^\x00-\x7F\pP\pS\pZ]", "_")  # as the checking engine sees it
+    matched = F.regexp_replace("e.matched", OTHER_LETTERS, "_")  # as the checking engine sees it
     return rows.select(F.col("tweet_id").alias("record_id"), "e.cue", matched.alias("matched"), "e.source")
 
 
@@ -280,14 +280,31 @@ def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record table's report. Phrases stand for texts, and each seventh minute for an hour, so that threads spread over days."""
+    """The record table's report."""
     rows = _view(spark, sf_dir, enriched(SPARK), "e")
-    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("phrase").alias("text"))
+    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("said").alias("text"))
     records = assembly.exchange_records(rows)
     cut = assembly.suggested_cut(records).first()[0]
     return assembly.split_report(assembly.assemble(records, float(cut or 0)))
 
 
+def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record table itself, lists joined to strings and the context and long texts as digests."""
+    rows = _view(spark, sf_dir, enriched(SPARK), "e")
+    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("said").alias("text"))
+    records = assembly.exchange_records(rows)
+    cut = assembly.suggested_cut(records).first()[0]
+    found = assembly.assemble(records, float(cut or 0))
+    turn = lambda x: F.concat_ws("|", x["role"], x["created_at"], x["text"])
+    digests = ["customer_text", "customer_text_clean", "brand_reply", "brand_reply_clean", "reply_template", "next_customer_text"]
+    lists = ["customer_tweet_ids", "reply_tweet_ids", "customer_escalation_signals", "brand_escalation_evidence"]
+    numbers = ["customer_prior_threads", "context_turns", "n_customer_parts", "n_words", "n_reply_parts"]
+    return found.withColumns({
+        "context": F.md5(F.array_join(F.transform("context", turn), "\n")), **{c: F.md5(c) for c in digests},
+        **{c: F.array_join(F.transform(c, lambda x: x.cast("string")), "+") for c in lists}, **{c: F.col(c).cast("long") for c in numbers},
+    })
+
+
 def record_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each code stands on the records' lists, exploded."""
     rows = _view(spark, sf_dir, enriched(SPARK), "e")
@@ -325,7 +342,7 @@ OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__nam
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
     tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
     assembled, record_signals, routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
-    development_draw, golden_draw, thread_stats, time_split,
+    development_draw, golden_draw, record_table, thread_stats, time_split,
 )}
 
 _c = CHECK
@@ -586,16 +603,6 @@ OPERATOR_SQL |= {
             "anger": _c.rx("said", T.ANGER), "legal_threat": _c.rx("said", T.LEGAL), "security": _c.rx("said", T.SECURITY), "billing_dispute": _c.rx("said", T.BILLING_DISPUTE),
             "repeat_contact_cue": _c.rx("said", T.REPEAT_CONTACT), "prior_contact": "prior >= 1", "dm_request": _c.rx("reply", T.DM_REDIRECT),
             "handoff_other_channel": _c.rx("reply", T.HANDOFF), "policy_enforcement": _c.rx("reply", T.POLICY)}.items())}], lambda v: v IS NOT NULL)) AS code FROM y) GROUP BY code""",
-    "assembled": f"""WITH {enriched(_c)}, xr AS (SELECT a.tweet_id, a.author, a.conv_id, a.created * 60 AS created_at, s.created * 60 AS start, a.turn, a.phrase AS said, b.phrase AS reply,
-            a.parent IS NOT NULL AND p.parent IS NOT NULL AND NOT p.inbound AS is_followup
-            FROM e a JOIN e b ON b.parent = a.tweet_id AND NOT b.inbound LEFT JOIN e p ON p.tweet_id = a.parent JOIN (SELECT conv_id, min_by(created, turn) AS created FROM e GROUP BY conv_id) s ON s.conv_id = a.conv_id WHERE a.inbound),
-        us AS (SELECT b.phrase AS reply, count(*) AS n FROM e b WHERE NOT b.inbound GROUP BY 1), ct AS (SELECT floor(quantile_cont(start, 0.7) / 86400) * 86400 AS cut FROM xr),
-        rs AS (SELECT tweet_id AS id, conv_id, author, created_at, is_followup, said, CASE WHEN start >= cut THEN 'holdout' WHEN created_at < cut THEN 'train' ELSE 'excluded' END AS split,
-              {_c.rx(_c.sub('reply', T.CUSTOMER_ATTEMPT, ' '), T.ACTION)} AND NOT {_c.rx('reply', T.DM_REDIRECT)} AND n < 5 AS substantive FROM xr JOIN us USING (reply), ct),
-        b AS (SELECT CASE split WHEN 'train' THEN 0 ELSE 1 END AS side, id, said AS text FROM rs WHERE split <> 'excluded'), {_TFIDF}, mx AS (SELECT o, max(s) AS s FROM s GROUP BY o)
-        SELECT split, count(*) AS n, count(DISTINCT conv_id) AS threads, count(DISTINCT author) AS customers, count(*) FILTER (is_followup) AS followups, count(*) FILTER (substantive) AS substantive,
-               count(*) FILTER (substantive AND split = 'train') AS retrieval_eligible, count(*) FILTER (split = 'holdout' AND coalesce(mx.s, 0) < 0.95) AS eval_eligible,
-               min(created_at) AS first_at, max(created_at) AS last_at FROM rs LEFT JOIN mx ON mx.o = rs.id GROUP BY split""",
     "response_flow": f"""WITH {enriched(_c)}, xr AS (SELECT a.turn % 7 = 0 AS esc, a.phrase AS said, trim(coalesce(b.phrase, '')) AS d1, trim(coalesce(z.phrase, '')) AS d2 FROM e a
             LEFT JOIN e b ON b.tweet_id = a.tweet_id + 1 LEFT JOIN e z ON z.tweet_id = a.tweet_id + 2 WHERE a.inbound),
         y AS (SELECT esc, {_checks('d1', 'said', 'said')} AS e1, {_checks('d2', 'said', 'said')} AS e2 FROM xr), z AS (SELECT *, NOT esc AND len(e1) > 0 AND len(e2) > 0 AS failed FROM y)
@@ -617,3 +624,76 @@ def _drawn() -> str:
 
 
 OPERATOR_SQL["development_draw"] = _drawn()
+
+
+def _plain(text: str) -> str:
+    """Entities decoded, leading handles dropped."""
+    for entity, plain in T._ENTITIES:
+        text = f"replace({text}, {_c.lit(entity)}, {_c.lit(plain)})"
+    return rf"regexp_replace({text}, '^(?:\s*@\w+)+\s*', '')"
+
+
+def _squeezed(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+def _ascii(text: str) -> str:
+    return _c.sub(text, OTHER_LETTERS, "_")
+
+
+def _records() -> str:
+    """rt: the record table but for what depends on the split. Each message is a turn, each reply has one part."""
+    signoff = _c.lit(r"(?i)(?:\s*\^ ?[a-z]{1,15}|\s+(?:[\*/] ?[a-z]{1,15}(?: [a-z]{1,15})?|[-–~] ?[a-z]{2,15}))\s*$")
+    marker, url, mention = _c.lit(r"\s+[1-4](?:/[2-4])?\s*$"), _c.lit(T.URL), _c.lit(T.MENTION)
+    off = lambda x: f"regexp_replace(regexp_replace({x}, {signoff}, ''), {marker}, '')"
+    words = lambda ws: "|".join("".join(c if c.isascii() else "_" for c in w) for w in ws)
+    count = lambda ws, x: f"len(regexp_extract_all({x}, {_c.lit(chr(92) + 'b(?:' + words(ws) + ')' + chr(92) + 'b')}))"
+    codes = {"anger": T.ANGER, "legal_threat": T.LEGAL, "security": T.SECURITY, "billing_dispute": T.BILLING_DISPUTE, "repeat_contact_cue": T.REPEAT_CONTACT}
+    evidence = {"dm_request": T.DM_REDIRECT, "handoff_other_channel": T.HANDOFF, "policy_enforcement": T.POLICY}
+    listed = lambda named: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in named.items()) + "], lambda v: v IS NOT NULL), '+')"
+    low, reply = "lower(a.phrase)", "lower(b.phrase)"
+    return rf"""cl AS (SELECT *, {_plain('said')} AS p0, regexp_replace(p0, {url}, '<URL>', 'g') AS t0, repeat(' <URL>', len(regexp_extract_all(regexp_extract(t0, '((?:\s*<URL>)*)\s*$', 1), '<URL>'))) AS tail,
+            {off(off(r"regexp_replace(t0, '(?:\s*<URL>)+\s*$', '')"))} AS b0, regexp_replace(trim(b0), '^[1-4](?::|/[2-4])\s+', '') AS b1,
+            CASE WHEN inbound THEN {_squeezed(f"regexp_replace(t0, {mention}, '@user', 'g')")} ELSE {_squeezed(f"regexp_replace(b1 || tail, {mention}, '@user', 'g')")} END AS clean,
+            {_squeezed(f"""regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(said), {url}, ' ', 'g')), {_c.lit(T.SIGNOFF)}, ' ', 'g'), {mention}, ' ', 'g'), '[^a-z'' ]+', ' ', 'g')""")} AS template FROM e),
+        us AS (SELECT template, count(*) AS n FROM cl WHERE NOT inbound GROUP BY template),
+        gd AS (SELECT tweet_id, bool_or({_c.rx(_c.sub('s', T.CUSTOMER_ATTEMPT, ' '), T.ACTION)} AND NOT {_c.rx(_c.sub('s', T.CUSTOMER_ATTEMPT, ' '), T.DM_REDIRECT)}) AS guides FROM
+            (SELECT tweet_id, unnest(string_split(replace(regexp_replace({_ascii('lower(clean)')}, '([.!?])\s+', '\1' || chr(1), 'g'), '<url>', chr(1)), chr(1))) AS s FROM cl WHERE NOT inbound) x GROUP BY tweet_id),
+        st AS (SELECT conv_id, min(tweet_id) AS root, min_by(created, turn) * 60 AS start FROM e GROUP BY conv_id),
+        tn AS (SELECT a.tweet_id, count(*) OVER w AS n, row_number() OVER (w ORDER BY q.turn) AS k, q.clean, q.inbound, q.created FROM cl a JOIN cl q ON q.conv_id = a.conv_id AND q.turn < a.turn AND q.turn >= a.turn - 50 WHERE a.inbound WINDOW w AS (PARTITION BY a.tweet_id)),
+        tx AS (SELECT tweet_id, string_agg(concat_ws('|', CASE WHEN inbound THEN 'customer' ELSE 'brand' END, strftime(make_timestamp(created * 60000000), '%Y-%m-%dT%H:%MZ'), clean), chr(10) ORDER BY k) AS context, count(*) AS turns, max(n) > 3 AS short
+            FROM tn WHERE n <= 3 OR k = 1 OR k > n - 2 GROUP BY tweet_id),
+        r0 AS (SELECT a.tweet_id AS record_id, st.root AS thread_id, st.start AS thread_started_at, a.created * 60 AS created_at, a.author AS customer_id, a.conv_id,
+            a.parent IS NOT NULL AND p.parent IS NOT NULL AND NOT p.inbound AS is_followup, coalesce(tx.context, '') AS context, coalesce(tx.turns, 0) AS context_turns, coalesce(tx.short, false) AS context_truncated,
+            a.said AS customer_text, a.clean AS customer_text_clean, b.tweet_id AS reply_id, b.said AS brand_reply, b.clean AS brand_reply_clean, b.created * 60 AS reply_created_at, CAST(b.created - a.created AS DOUBLE) AS reply_delay_min,
+            us.n >= 5 AND b.template <> '' AS reply_is_canned, b.template AS reply_template, gd.guides, {_c.rx(reply, T.DM_REDIRECT)} AS dm, nx.said AS next_text, nx.phrase AS next_phrase,
+            {_squeezed(f"regexp_replace(regexp_replace({low}, {url}, ' ', 'g'), {mention}, ' ', 'g')")} AS body, {_c.rx('lower(a.said)', T.FOREIGN_SCRIPT)} AS script,
+            {", ".join(f"{_c.rx(low, x)} AS c_{k}" for k, x in codes.items())}, {listed({k: _c.rx(reply, x) for k, x in evidence.items()})} AS evidence
+            FROM cl a JOIN cl b ON b.parent = a.tweet_id AND NOT b.inbound JOIN us ON us.template = b.template JOIN gd ON gd.tweet_id = b.tweet_id JOIN st ON st.conv_id = a.conv_id
+            LEFT JOIN cl p ON p.tweet_id = a.parent LEFT JOIN tx ON tx.tweet_id = a.tweet_id LEFT JOIN cl nx ON nx.parent = b.tweet_id AND nx.inbound AND nx.author = a.author WHERE a.inbound),
+        pr AS (SELECT customer_id, conv_id, row_number() OVER (PARTITION BY customer_id ORDER BY min(created_at), conv_id) - 1 AS prior FROM r0 GROUP BY customer_id, conv_id),
+        rt AS (SELECT *, CASE WHEN script OR {count(T.FOREIGN_STOP, 'body')} > {count(T.EN_STOP, 'body')} THEN 'other' WHEN {count(T.EN_STOP, 'body')} >= 1 THEN 'en' ELSE 'undetermined' END AS lang,
+            {listed({k: f'c_{k}' for k in codes} | {'prior_contact': 'prior >= 1'})} AS signals,
+            CASE WHEN guides AND NOT reply_is_canned THEN 'substantive' WHEN dm AND NOT guides THEN 'dm_deflection' ELSE 'other' END AS reply_type FROM r0 JOIN pr USING (customer_id, conv_id)),
+        ct AS (SELECT floor(quantile_cont(thread_started_at, 0.7) / 86400) * 86400 AS cut FROM rt),
+        rs AS (SELECT *, CASE WHEN thread_started_at >= cut THEN 'holdout' WHEN created_at < cut THEN 'train' ELSE 'excluded' END AS split FROM rt, ct),
+        b AS (SELECT CASE split WHEN 'train' THEN 0 ELSE 1 END AS side, record_id AS id, customer_text_clean AS text FROM rs WHERE split <> 'excluded'), {_TFIDF}, mx AS (SELECT o, max(s) AS s FROM s GROUP BY o)"""
+
+
+_neg = f"({_c.rx('nl', T.NEGATIVE)} OR {_c.rx('nl', T.FIX_NEGATED)})"
+_fix, _pos = f"({_c.rx('nl', T.FIX_CONFIRMED)} AND NOT {_neg})", f"({_c.rx('nl', T.POSITIVE)} AND NOT {_neg})"
+OPERATOR_SQL |= {
+    "record_table": f"""WITH {enriched(_c)}, {_records()}, z AS (SELECT *, coalesce(lower(next_phrase), '') AS nl, split = 'train' AS tr, split = 'holdout' AS ho FROM rs LEFT JOIN mx ON mx.o = record_id)
+        SELECT record_id, thread_id, thread_started_at, split, created_at, customer_id, CAST(prior AS BIGINT) AS customer_prior_threads, is_followup, md5(context) AS context, CAST(context_turns AS BIGINT) AS context_turns, context_truncated,
+            CAST(record_id AS STRING) AS customer_tweet_ids, CAST(1 AS BIGINT) AS n_customer_parts, md5(customer_text) AS customer_text, md5(customer_text_clean) AS customer_text_clean, lang,
+            CAST(len(regexp_extract_all(body, '[a-z]{{2,}}')) AS BIGINT) AS n_words, signals AS customer_escalation_signals, CAST(reply_id AS STRING) AS reply_tweet_ids, CAST(1 AS BIGINT) AS n_reply_parts,
+            md5(brand_reply) AS brand_reply, md5(brand_reply_clean) AS brand_reply_clean, reply_created_at, reply_delay_min, reply_type, reply_is_canned, md5(reply_template) AS reply_template,
+            tr AND reply_type = 'substantive' AS retrieval_eligible, CASE WHEN ho THEN round(coalesce(s, 0), 3) END AS max_train_similarity, ho AND coalesce(s, 0) < 0.95 AS eval_eligible,
+            ho AND reply_template <> '' AND reply_template IN (SELECT reply_template FROM rs WHERE split = 'train') AS reply_template_in_train, CASE WHEN tr THEN md5(next_text) END AS next_customer_text,
+            CASE WHEN tr THEN CASE WHEN {_fix} THEN 'resolved' WHEN {_neg} THEN 'unresolved' WHEN {_pos} THEN 'acknowledged' WHEN reply_type = 'dm_deflection' THEN 'deflected' ELSE 'unknown' END END AS weak_outcome,
+            CASE WHEN tr THEN CASE WHEN {_fix} AND reply_type = 'substantive' THEN 'medium' WHEN {_fix} THEN 'low' WHEN {_neg} THEN 'medium' WHEN {_pos} THEN 'low' WHEN reply_type = 'dm_deflection' THEN 'high' ELSE 'none' END END AS outcome_confidence,
+            CASE WHEN tr THEN 'heuristic_v1' END AS weak_outcome_source, CASE WHEN tr THEN evidence END AS brand_escalation_evidence FROM z""",
+    "assembled": f"""WITH {enriched(_c)}, {_records()} SELECT split, count(*) AS n, count(DISTINCT conv_id) AS threads, count(DISTINCT customer_id) AS customers, count(*) FILTER (is_followup) AS followups,
+            count(*) FILTER (reply_type = 'substantive') AS substantive, count(*) FILTER (reply_type = 'substantive' AND split = 'train') AS retrieval_eligible,
+            count(*) FILTER (split = 'holdout' AND coalesce(mx.s, 0) < 0.95) AS eval_eligible, min(created_at) AS first_at, max(created_at) AS last_at FROM rs LEFT JOIN mx ON mx.o = record_id GROUP BY split""",
+}

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from threadlens.plans.dialect import Dialect
 
+#: Letters, marks and digits outside of ASCII.
+OTHER_LETTERS = r"[^\x00-\x7F\pP\pS\pZ]"
+
 #: The prose of the tables holds none of the domain's words, so queries on cues put one of these, by hash, before each turn's text.
 PHRASES = [
     "thanks, that worked", "still not working for me", "please dm us your details", "try to restart the console and sign in again",
@@ -29,15 +32,14 @@ def messages(d: Dialect) -> str:
 
 
 def enriched(d: Dialect) -> str:
-    """e: messages with their words: a phrase, then the turn's own text. The checking engine's word boundaries know ASCII
-    alone, so it sees other letters as underscores, which are of words too."""
+    """e: messages with their words, a phrase, then the turn's own text, as phrase and said. The checking engine's word boundaries know ASCII
+    alone, so in phrase it sees other letters as underscores, which are of words too."""
     rows = ", ".join(f"({i}, {d.lit(p)})" for i, p in enumerate(PHRASES))
     pick = d.hash32("concat(CAST(m.conv_id AS STRING), ':', CAST(m.turn AS STRING))")
-    words = "concat(ph.phrase, ' ', coalesce(m.text, ''))"
-    if not d.spark:
-        words = d.sub(words, r"[^\x00-\x7F\pP\pS\pZ]", "_")
+    raw = "concat(ph.phrase, ' ', coalesce(m.text, ''))"
+    words = raw if d.spark else d.sub(raw, OTHER_LETTERS, "_")
     return f"""{messages(d)}, ph AS (SELECT * FROM (VALUES {rows}) AS v(i, phrase)),
-        e AS (SELECT m.*, {words} AS phrase FROM m JOIN ph ON ph.i = {pick} % {len(PHRASES)})"""
+        e AS (SELECT m.*, {words} AS phrase, {raw} AS said FROM m JOIN ph ON ph.i = {pick} % {len(PHRASES)})"""
 
 
 def lines(d: Dialect) -> str:
