@@ -469,33 +469,54 @@ def test_line_dedup_removes_short_lines_that_repeat_as_lines(spark):
     assert all(got[i].n_words == len(rows[i][1].split()) for i in got)
 
 
-def brute_print(text):
-    """A fingerprint by a scalar reading of the docstring."""
-    signed = lambda s: (h := xxhash.xxh64_intdigest(s, 42)) - (h >> 63 << 64)
-    hexa = lambda n: f"{n % 2**64:016x}"
+def cut_leaves(text):
     cut, at = [], 0
     while at < len(text):
         end = next((i + 1 for i in range(at, min(at + 64, len(text))) if text[i] == "\n" and i - at <= 62 or text[i] == " " and i > at and text[i - 1] in ".!?,;:|e"), min(at + 64, len(text)))
         cut.append(text[at:end])
         at = end
+    return cut or [""]
+
+
+def brute_print(text):
+    """A fingerprint by a scalar reading of the docstring."""
+    number = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+
+    def folded(items):
+        seed = 42
+        for x in items:
+            seed = number(x, seed)
+        return seed
+
     sections, now = [], []
-    for h in (signed(c) for c in cut or [""]):
-        now.append(hexa(h))
+    for p in re.findall(r"[^\n]*\n|[^\n]+", text) or [""]:
+        hashes = [number(x) for x in cut_leaves(p)]
+        h = folded(x.to_bytes(8, "little") for x in hashes)
+        now.append((f"{h:016X}", "".join(f"{x % 16**5:05x}" for x in hashes)))
         if h % 8 == 0:
-            sections, now = [*sections, ".".join(now)], []
-    sections += [".".join(now)] if now else []
-    body = ";".join(f"{hexa(signed(s))}={s}" for s in sections)
-    return hashlib.sha256(body.encode()).hexdigest()[:32] + ":" + body
+            sections, now = [*sections, now], []
+    sections += [now] if now else []
+    nodes = [folded(h for h, _ in s) for s in sections]
+    root = hashlib.sha256("".join(f"{n:016X}" for n in nodes).encode()).hexdigest()[:32]
+    return root + ":" + ";".join(f"{n % 16**8:08x}=" + ",".join(x for _, x in s) for n, s in zip(nodes, sections, strict=True))
 
 
 def test_merkle_prints_equal_a_scalar_version(spark):
     rng = np.random.default_rng(12)
-    texts = ["".join(rng.choice(list("aebc.,: \né😀|"), int(rng.integers(0, 300)))) for _ in range(300)] + ["", "x" * 64, "x" * 63 + "\n", "a" * 1000, "e " * 500]
-    d = spark.createDataFrame([(t,) for t in texts], "text string").select("text", merkle.fingerprint(F.col("text")).alias("f"), F.concat_ws("", merkle.leaves(F.col("text"))).alias("whole"))
+    texts = ["".join(rng.choice(list("aebc.,: \né😀|"), int(rng.integers(0, 300)))) for _ in range(300)] + ["", "x" * 64, "x" * 63 + "\n", "a" * 1000, "e " * 500, "\n\n\n", "a\rb\n" * 60]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").select("text", merkle.fingerprint(F.col("text")).alias("f"), merkle.paragraphs(F.col("text")).alias("p"))
+    d = d.withColumn("whole", F.concat_ws("", F.flatten(F.transform("p", merkle.leaves))))
     for r in d.collect():
         assert r.whole == r.text and r.f == brute_print(r.text)
 
 
+def test_merkle_prints_are_short_and_edits_are_near(spark):
+    rows = merkle.op10_merkle(spark, "/root/testdata/sf0.001").collect()
+    assert sum(len(r.fingerprint) for r in rows) <= 0.3 * sum(r.n_chars for r in rows)
+    long = [r.near_edited for r in rows if r.n_chars >= 1000]
+    assert np.mean(long) >= 0.6 and min(long) > 0.2 and np.mean([r.near_next for r in rows]) < 0.05
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_merkle_finds_the_next_and_edits(spark, monkeypatch, kind):
     monkeypatch.setattr(merkle, "RANGE_ROWS", 50)
@@ -520,15 +541,16 @@ def test_merkle_finds_the_next_and_edits(spark, monkeypatch, kind):
 
 
 def test_merkle_locates_edits(spark):
-    a = " ".join(f"The sentence number {i} is here." for i in range(200))
+    a = " ".join(f"The sentence number {i} is here." + ("\n" if i % 3 == 0 else "") for i in range(200))
     b = a.replace("number 77 ", "number 7777 ").replace("number 150 ", "")
     short = "x" * 256
     f = spark.createDataFrame([(a, b), (a, a), (short, short[:-1]), ("", "a")], "a string, b string")
     f = f.select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"), F.col("a").alias("t"))
-    rows = f.select("t", merkle.leaves(F.col("t")).alias("leaves"), merkle.likeness(F.col("a"), F.col("b")).alias("like"), merkle.differing("a", "b").alias("d"), "a").collect()
-    sections = rows[0].a.split(":")[1].split(";")
-    first = np.cumsum([0, *(s.count(".") + 1 for s in sections)])
-    odd = [rows[0].leaves[first[x.section] + k] for x in rows[0].d for k in x.leaves]
+    rows = f.select("t", merkle.likeness(F.col("a"), F.col("b")).alias("like"), merkle.differing("a", "b").alias("d"), "a").collect()
+    paragraphs = [s.split("=")[1].split(",") for s in rows[0].a.split(":")[1].split(";")]
+    first = np.cumsum([0, *map(len, paragraphs)])
+    texts = rows[0].t.splitlines(keepends=True)
+    odd = [cut_leaves(texts[first[x.section] + x.paragraph])[k] for x in rows[0].d for k in x.leaves]
     assert any("77" in x for x in odd) and any("150" in x for x in odd) and len(odd) < 12
     assert 0.9 < rows[0].like < 1 and rows[1].like == 1 and not rows[1].d
     assert rows[2].like > 0.5 and rows[3].like == 0

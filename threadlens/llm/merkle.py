@@ -1,13 +1,15 @@
 """Document fingerprints as Merkle trees over paragraphs and sections, in DataFrame functions only.
 
-A text is cut into leaves by one rule, whatever its length: behind a line break, and behind white space that follows a
-punctuation mark or the letter e, but after LEAF characters at the latest. So cuts depend on the characters around them,
-prose without line breaks has leaves too, and an edit disturbs the leaves that it touches. A leaf is a 64-bit hash. A
-run of leaves up to one whose hash is a multiple of ``SECTION`` is a section; a section's hash is that of its leaves, the
-root's that of the sections.
-
-fingerprint: ``root:section=leaf.leaf...;section=...`` in hex. Equal roots mean equal texts; sections with different
-hashes, and in them different leaves, locate edits. Leaves carry their delimiters, so the tree covers every character.
+A paragraph ends behind a line break. By one rule, whatever its length, a paragraph is cut into leaves by its content: behind
+white space that follows a punctuation mark or the letter e, but after LEAF characters at the latest, so that a long
+paragraph isn't one leaf and an edit disturbs the leaves that it touches alone. A leaf's hash is of 64 bits; a paragraph's is that
+of its leaves' hashes; a run of paragraphs up to one whose hash is a multiple of ``SECTION`` is a section, hashed likewise;
+the root is a digest of 128 bits of the sections' hashes.
+
+fingerprint: ``root:section=paragraph,paragraph...;section=...`` in hex: 32 digits of the root, 8 of each section, and for a
+paragraph 5 of each of its leaves. Equal roots mean equal texts; sections with different hashes, in them different paragraphs,
+and in these different leaves locate edits. Hashes are whole until they are printed, so shortening them can at most make
+two different leaves look alike, one in a million pairs. Leaves carry their delimiters, so the tree covers every character.
 """
 
 from __future__ import annotations
@@ -20,35 +22,52 @@ from threadlens.llm.shared import let, table, written
 
 SECTION = 8
 LEAF = 64
+#: Hex digits of a leaf and of a section.
+LEAF_HEX, SECTION_HEX = 5, 8
 #: Most rows, about, whose texts one window task sorts.
 RANGE_ROWS = 100_000
+_PARAGRAPH = r"[^\n]*\n|[^\n]+"
 _CUT = rf"(?s).{{0,{LEAF - 2}}}?(?:\n|[.!?,;:|e] )|.{{1,{LEAF}}}"
+_ROOT = 32
 
 
-def _hex(value: Column) -> Column:
-    return F.lower(F.lpad(F.hex(value), 16, "0"))
+def paragraphs(text: Column) -> Column:
+    """The text in paragraphs; joined, they are the text. An empty text has one empty paragraph, null is empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(_PARAGRAPH), F.lit(0)))
 
 
-def leaves(text: Column) -> Column:
-    """The text in leaves; joined, they are the text. An empty text has one empty leaf, null is empty."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(_CUT), F.lit(0)))
+def leaves(paragraph: Column) -> Column:
+    """A paragraph in leaves; an empty one has one empty leaf."""
+    return F.when(F.length(paragraph) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(paragraph, F.lit(_CUT), F.lit(0)))
+
+
+def _hex(value: Column, digits: int) -> Column:
+    return F.lpad(F.hex(value.bitwiseAND(F.lit((1 << 4 * digits) - 1)) if digits < 16 else value), digits, "0")
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint string of a text."""
-    # the hex of a leaf; a leaf that ends a section is followed by ";", others by "."
-    marked = F.transform(
-        F.transform(leaves(text), lambda p: F.xxhash64(p)),
-        lambda h: F.concat(_hex(h), F.when(F.pmod(h, F.lit(SECTION)) == 0, F.lit(";")).otherwise(F.lit("."))),
-    )
-    body = F.rtrim(F.concat_ws("", marked), F.lit(".;"))
-    joined = F.concat_ws(";", F.transform(F.split(body, ";"), lambda s: F.concat(_hex(F.xxhash64(s)), F.lit("="), s)))
-    return let(joined, lambda j: F.concat(F.substring(F.sha2(j, 256), 1, 32), F.lit(":"), j))
+
+    def printed(hashes: Column) -> Column:
+        """A paragraph: its hash, what is shown of its leaves, and ";" if it ends a section, else ","."""
+        shown = F.array_join(F.transform(hashes, lambda h: _hex(h, LEAF_HEX)), "")
+        return let(F.xxhash64(hashes), lambda h: F.concat(_hex(h, 16), shown, F.when(F.pmod(h, F.lit(SECTION)) == 0, F.lit(";")).otherwise(F.lit(","))))
+
+    marked = F.transform(F.transform(paragraphs(text), lambda p: F.transform(leaves(p), lambda x: F.xxhash64(x))), printed)
+    runs = F.split(F.rtrim(F.array_join(marked, ""), F.lit(",;")), ";")
+    parts = F.transform(runs, lambda r: let(F.split(r, ","), lambda ps: F.struct(
+        F.xxhash64(F.transform(ps, lambda p: F.substring(p, 1, 16))).alias("h"),
+        F.array_join(F.transform(ps, lambda p: F.substring(p, F.lit(17), F.length(p))), ",").alias("s"))))
+    shown = lambda sections: F.concat(
+        F.substring(F.sha2(F.array_join(F.transform(sections, lambda s: _hex(s["h"], 16)), ""), 256), 1, _ROOT), F.lit(":"),
+        F.array_join(F.transform(sections, lambda s: F.concat(_hex(s["h"], SECTION_HEX), F.lit("="), s["s"])), ";"))
+    return F.lower(let(parts, shown))
 
 
 def _leaves_of(print_: Column) -> Column:
-    return F.split(F.regexp_replace(F.substring(print_, F.lit(34), F.length(print_)), "[0-9a-f]{16}=", ""), "[.;]")
+    body = F.substring(print_, F.lit(_ROOT + 2), F.length(print_))
+    return F.regexp_extract_all(F.regexp_replace(body, f"[0-9a-f]{{{SECTION_HEX}}}=|[,;]", ""), F.lit(f".{{{LEAF_HEX}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,25 +82,31 @@ def likeness(a: Column, b: Column) -> Column:
 def sections_changed(a: Column, b: Column) -> Column:
     """How many of the first fingerprint's sections the second doesn't have."""
     of = lambda p: F.split(F.substring_index(p, ":", -1), ";")
-    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), F.lit(0)).otherwise(F.size(F.array_except(of(a), of(b))))
+    return F.when(F.substring(a, 1, _ROOT) == F.substring(b, 1, _ROOT), F.lit(0)).otherwise(F.size(F.array_except(of(a), of(b))))
 
 
 def differing(a: str, b: str) -> Column:
-    """Where the fingerprint in column a differs from that in b: array<struct<section, leaves>>, numbers from 0.
+    """Where the fingerprint in column a differs from that in b: array<struct<section, paragraph, leaves>>, numbers from 0, those
+    of paragraphs inside their section and of leaves inside their paragraph.
 
-    Equal roots differ nowhere. Else sections are compared by their hashes, and only below those that the other tree
-    doesn't have, the leaves: the numbers, inside the section, of leaves that no differing section of the other tree has. Time grows with the product
-    of the two trees' leaves in differing sections; to count these alone, use ``sections_changed``.
+    Equal roots differ nowhere. Else sections are compared by their hashes; below those that the other tree doesn't have,
+    paragraphs that no differing section of the other tree has; and in them the leaves that none of its differing paragraphs
+    has. Time grows with the product of the two trees' nodes below differing sections; to count these alone, use
+    ``sections_changed``.
     """
-    listed = lambda s: f"split(substring_index({s}, '=', -1), '[.]')"
+    cut = f"regexp_extract_all({{0}}, '.{{{{{LEAF_HEX}}}}}', 0)".format
+    within = lambda s: f"split(substring_index({s}, '=', -1), ',')"
     return F.expr(f"""
-        if(substring({a}, 1, 32) = substring({b}, 1, 32), cast(array() as array<struct<section:int,leaves:array<int>>>),
+        if(substring({a}, 1, {_ROOT}) = substring({b}, 1, {_ROOT}), cast(array() as array<struct<section:int,paragraph:int,leaves:array<int>>>),
            transform(array(struct(split(substring_index({a}, ':', -1), ';') as x, split(substring_index({b}, ':', -1), ';') as y)), t ->
-           transform(array(flatten(transform(array_except(t.y, t.x), s -> {listed("s")}))), known ->
-           transform(filter(transform(t.x, (s, i) -> struct(i as i, s as s)), z -> not array_contains(t.y, z.s)), z -> struct(
-               z.i as section,
-               filter(transform({listed("z.s")}, (leaf, k) -> if(array_contains(known, leaf), null, k)), k -> k is not null) as leaves
-           )))[0])[0])
+           transform(array(flatten(transform(array_except(t.y, t.x), s -> {within("s")}))), ps ->
+           transform(array(flatten(transform(ps, p -> {cut("p")}))), known ->
+           flatten(transform(filter(transform(t.x, (s, i) -> struct(i as i, s as s)), z -> not array_contains(t.y, z.s)), z ->
+               transform(filter(transform({within("z.s")}, (p, k) -> struct(k as k, p as p)), q -> not array_contains(ps, q.p)), q -> struct(
+                   z.i as section, q.k as paragraph,
+                   filter(transform({cut("q.p")}, (leaf, n) -> if(array_contains(known, leaf), null, n)), n -> n is not null) as leaves
+               ))))
+           )[0])[0])[0])
     """)
 
 
