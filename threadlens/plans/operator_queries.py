@@ -282,7 +282,7 @@ def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record table's report."""
     rows = _view(spark, sf_dir, enriched(SPARK), "e")
-    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("said").alias("text"))
+    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("raw").alias("text"))
     records = assembly.exchange_records(rows)
     cut = assembly.suggested_cut(records).first()[0]
     return assembly.split_report(assembly.assemble(records, float(cut or 0)))
@@ -291,7 +291,7 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record table itself, lists joined to strings and the context and long texts as digests."""
     rows = _view(spark, sf_dir, enriched(SPARK), "e")
-    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("said").alias("text"))
+    rows = rows.select("tweet_id", "parent", "conv_id", "author", "inbound", "created", F.col("raw").alias("text"))
     records = assembly.exchange_records(rows)
     cut = assembly.suggested_cut(records).first()[0]
     found = assembly.assemble(records, float(cut or 0))
@@ -652,10 +652,10 @@ def _records() -> str:
     evidence = {"dm_request": T.DM_REDIRECT, "handoff_other_channel": T.HANDOFF, "policy_enforcement": T.POLICY}
     listed = lambda named: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in named.items()) + "], lambda v: v IS NOT NULL), '+')"
     low, reply = "lower(a.phrase)", "lower(b.phrase)"
-    return rf"""cl AS (SELECT *, {_plain('said')} AS p0, regexp_replace(p0, {url}, '<URL>', 'g') AS t0, repeat(' <URL>', len(regexp_extract_all(regexp_extract(t0, '((?:\s*<URL>)*)\s*$', 1), '<URL>'))) AS tail,
+    return rf"""cl AS (SELECT *, raw AS said, {_plain('raw')} AS p0, regexp_replace(p0, {url}, '<URL>', 'g') AS t0, repeat(' <URL>', len(regexp_extract_all(regexp_extract(t0, '((?:\s*<URL>)*)\s*$', 1), '<URL>'))) AS tail,
             {off(off(r"regexp_replace(t0, '(?:\s*<URL>)+\s*$', '')"))} AS b0, regexp_replace(trim(b0), '^[1-4](?::|/[2-4])\s+', '') AS b1,
             CASE WHEN inbound THEN {_squeezed(f"regexp_replace(t0, {mention}, '@user', 'g')")} ELSE {_squeezed(f"regexp_replace(b1 || tail, {mention}, '@user', 'g')")} END AS clean,
-            {_squeezed(f"""regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(said), {url}, ' ', 'g')), {_c.lit(T.SIGNOFF)}, ' ', 'g'), {mention}, ' ', 'g'), '[^a-z'' ]+', ' ', 'g')""")} AS template FROM e),
+            {_squeezed(f"""regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(raw), {url}, ' ', 'g')), {_c.lit(T.SIGNOFF)}, ' ', 'g'), {mention}, ' ', 'g'), '[^a-z'' ]+', ' ', 'g')""")} AS template FROM e),
         us AS (SELECT template, count(*) AS n FROM cl WHERE NOT inbound GROUP BY template),
         gd AS (SELECT tweet_id, bool_or({_c.rx(_c.sub('s', T.CUSTOMER_ATTEMPT, ' '), T.ACTION)} AND NOT {_c.rx(_c.sub('s', T.CUSTOMER_ATTEMPT, ' '), T.DM_REDIRECT)}) AS guides FROM
             (SELECT tweet_id, unnest(string_split(replace(regexp_replace({_ascii('lower(clean)')}, '([.!?])\s+', '\1' || chr(1), 'g'), '<url>', chr(1)), chr(1))) AS s FROM cl WHERE NOT inbound) x GROUP BY tweet_id),

@@ -32,14 +32,14 @@ def messages(d: Dialect) -> str:
 
 
 def enriched(d: Dialect) -> str:
-    """e: messages with their words, a phrase, then the turn's own text, as phrase and said. The checking engine's word boundaries know ASCII
+    """e: messages with their words, a phrase, then the turn's own text, as phrase and raw. The checking engine's word boundaries know ASCII
     alone, so in phrase it sees other letters as underscores, which are of words too."""
     rows = ", ".join(f"({i}, {d.lit(p)})" for i, p in enumerate(PHRASES))
     pick = d.hash32("concat(CAST(m.conv_id AS STRING), ':', CAST(m.turn AS STRING))")
     raw = "concat(ph.phrase, ' ', coalesce(m.text, ''))"
     words = raw if d.spark else d.sub(raw, OTHER_LETTERS, "_")
     return f"""{messages(d)}, ph AS (SELECT * FROM (VALUES {rows}) AS v(i, phrase)),
-        e AS (SELECT m.*, {words} AS phrase, {raw} AS said FROM m JOIN ph ON ph.i = {pick} % {len(PHRASES)})"""
+        e AS (SELECT m.*, {words} AS phrase, {raw} AS raw FROM m JOIN ph ON ph.i = {pick} % {len(PHRASES)})"""
 
 
 def lines(d: Dialect) -> str:
