@@ -1,26 +1,111 @@
-"""Learned baselines with pyspark.ml: TF-IDF with logistic regression."""
+"""Learned baselines: TF-IDF over words and characters with logistic regression."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from threadlens.operators.retrieval import grams
+from threadlens.sources.tables import cut, written_as
+
+#: Texts that must hold a feature, by block.
+LEAST_TEXTS = {"word": 1, "char": 2}
+_SLOTS = 1024
+
+
+@dataclass
+class Model:
+    """vocabulary: block, term, idf, i; labels: by class number."""
+
+    vocabulary: DataFrame
+    size: int
+    labels: list[str]
+    classifier: LogisticRegressionModel
+
+
+def features(texts: DataFrame) -> DataFrame:
+    """id, block, term, tf of texts (id, text): words of two and more characters and pairs of neighbouring ones (block word), and n-grams
+    of 3 to 5 characters within words (block char). Lower case; a null text has none."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{2,}"), F.lit(0))
+    two = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
+    two = F.when(F.size("words") > 1, two).otherwise(F.array().cast("array<string>"))
+    rows = texts.withColumn("words", words)
+    word = rows.select("id", F.lit("word").alias("block"), F.explode(F.concat("words", two)).alias("term"))
+    char = texts.select("id", F.lit("char").alias("block"), F.explode(grams("text")).alias("term"))
+    return word.unionByName(char).groupBy("id", "block", "term").agg(F.count("*").alias("tf"))
+
 
+def _numbered(terms: DataFrame) -> DataFrame:
+    """terms (block, term, ...) with i, numbers from 0 without gaps: within slots by hash, each behind the slots before it."""
+    slotted = terms.withColumn("slot", F.pmod(F.xxhash64("block", "term"), F.lit(_SLOTS)))
+    sizes = slotted.groupBy("slot").agg(F.count("*").alias("n"))  # at most _SLOTS rows, so one task orders them
+    before = F.sum("n").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    place = F.row_number().over(W.partitionBy("slot").orderBy("block", "term")) - 1
+    found = slotted.withColumn("place", place).join(F.broadcast(sizes.select("slot", before.alias("before"))), "slot")
+    return found.select(*terms.columns, (F.col("before") + F.col("place")).cast("int").alias("i"))
 
-def tfidf_lr(train: DataFrame, other: DataFrame, buckets: int = 1 << 14, rounds: int = 50) -> DataFrame:
-    """id, predicted, confidence of each other text. Both: id, text; train: label too. Classes weigh alike in the fit."""
+
+def _vectors(texts: DataFrame, counted: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
+    """id, features: each text's sparse vector, either block of length 1; texts without a known feature have an empty one."""
+    weight = (1 + F.log("tf")) * F.col("idf")
+    each = counted.join(vocabulary, ["block", "term"]).select("id", "block", "i", weight.alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id", "block")))
+    cells = each.withColumn("w", F.col("w") / norm).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("c"))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.coalesce("c.i", F.array().cast("array<int>")).alias("indices"), F.coalesce("c.w", F.array().cast("array<double>")).alias("values"),
+    )
+    rows = texts.select("id").join(cells, "id", "left").select("id", vector.alias("features"))
+    # a table stores a vector as this struct, so reading it as one needs no Python
+    return written_as(rows, StructType([StructField("id", rows.schema["id"].dataType), StructField("features", VectorUDT())]))
+
+
+def fit(train: DataFrame, rounds: int = 200) -> Model:
+    """Train on (id, text, label), ids distinct, labels not null: smoothed idf, 1 + ln(count), classes weighing alike, penalty of half the
+    squared weights against the summed loss. The vocabulary is whole and a table; the weights (features by labels) are the driver's, as
+    labelled rows are few. No rows or one label are an error."""
+    train = cut(train.select("id", "text", F.col("label").cast("string").alias("label")))
     counts = train.groupBy("label").agg(F.count("*").alias("n"))
-    n, kinds = train.count(), counts.count()
-    weighted = train.join(counts, "label").withColumn("w", F.lit(float(n)) / (F.col("n") * kinds))
-    model = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=buckets),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(weightCol="w", maxIter=rounds, regParam=1.0 / max(1, n), standardization=False),
-    ]).fit(weighted)
-    out = model.transform(other)
-    return out.select("id", F.col("prediction").cast("int").alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
+    by_label = {r["label"]: r["n"] for r in counts.orderBy("label").collect()}  # a row for each label
+    labels, n = list(by_label), sum(by_label.values())
+    if len(labels) < 2:
+        raise ValueError("training needs rows of two labels or more")
+    counted = cut(features(train))
+    least = F.when(F.col("block") == "word", LEAST_TEXTS["word"]).otherwise(LEAST_TEXTS["char"])
+    known = counted.groupBy("block", "term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+    idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
+    vocabulary = cut(_numbered(known.select("block", "term", idf.alias("idf"))))
+    size = vocabulary.count()
+    number = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(labels) for x in (k, float(i)))), F.col("label"))
+    weight = F.element_at(F.create_map(*(F.lit(x) for k, c in by_label.items() for x in (k, n / (len(labels) * c)))), F.col("label"))
+    rows = _vectors(train, counted, vocabulary, size).join(train.select("id", number.alias("label"), weight.alias("w")), "id")
+    classifier = LogisticRegression(weightCol="w", maxIter=rounds, regParam=1.0 / n, standardization=False, tol=1e-8).fit(rows)
+    return Model(vocabulary, size, labels, classifier)
+
+
+def predict(model: Model, texts: DataFrame) -> DataFrame:
+    """id, predicted (a label), confidence (its probability) of texts (id, text), ids distinct."""
+    scored = model.classifier.transform(_vectors(texts, features(texts), model.vocabulary, model.size))
+    label = F.get(F.array(*(F.lit(v) for v in model.labels)), F.col("prediction").cast("int"))
+    return scored.select("id", label.alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
+
+
+def tfidf_lr(train: DataFrame, other: DataFrame) -> DataFrame:
+    """id, predicted, confidence of each other text. Both: id, text; train: label too."""
+    return predict(fit(train), other)
+
 
+def routed(train: DataFrame, other: DataFrame, bearing: list[str]) -> DataFrame:
+    """id, pred_state, pred_intent, confidence (of the intent) of texts (id, text) by two models: one of states (state) and one of intents
+    (intent, null where a row has none). States outside of ``bearing`` carry no intent."""
+    state = predict(fit(train.filter("state is not null").select("id", "text", F.col("state").alias("label"))), other)
+    intent = predict(fit(train.filter("intent is not null").select("id", "text", F.col("intent").alias("label"))), other)
+    both = state.select("id", F.col("predicted").alias("pred_state")).join(intent, "id")
+    return both.select("id", "pred_state", F.when(F.col("pred_state").isin(bearing), F.col("predicted")).alias("pred_intent"), "confidence")

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.sources import stores
+from threadlens.sources.tables import cut
 
 REPAIR = "The answer was not valid JSON with the keys {keys}. Answer again with that JSON object and nothing else."
 
 
-def valid(value: str, keys: tuple[str, ...]) -> str | None:
+def valid(value: str | None, keys: tuple[str, ...]) -> str | None:
     """The outermost JSON object of an answer, if it has the keys; else null."""
+    if value is None:
+        return None
     start, end = value.find("{"), value.rfind("}")
     if start < 0 or end < start:
         return None
@@ -26,12 +29,14 @@ def valid(value: str, keys: tuple[str, ...]) -> str | None:
     return json.dumps(found, sort_keys=True) if isinstance(found, dict) and set(keys) <= set(found) else None
 
 
-def complete(requests: DataFrame, store: str, ask: Callable[[str], str], keys: tuple[str, ...] = ()) -> DataFrame:
+def complete(requests: DataFrame, store: str, ask: Callable[[str], str], keys: tuple[str, ...] = (), rounds: int = 16) -> DataFrame:
     """requests (key, prompt, ...) with value: the answer of ``ask`` to each prompt, null where it isn't valid twice.
 
-    Only requests whose key the store lacks are asked; each answer is stored, with the number of calls, before it is used, so
-    a run that was stopped goes on where it was. With ``keys``, answers must be JSON with these keys; one that isn't is
-    asked for once more with a note. ``ask`` runs in tasks, in batches, and must be picklable.
+    Only requests whose key the store lacks are asked, in ``rounds`` jobs, each of a share of the keys by hash. A round's answers are stored,
+    with the number of calls, as the round ends and before any is used: a run that is stopped loses those of one round at
+    most, and the next run goes on behind the stored ones. With ``keys``, answers must be JSON with these keys; one that isn't is
+    asked for once more with a note. ``ask`` runs in tasks, in batches, and must be picklable; it may answer null. An ``ask`` that raises
+    ends the run.
     """
     spark = requests.sparkSession
 
@@ -55,7 +60,11 @@ def complete(requests: DataFrame, store: str, ask: Callable[[str], str], keys: t
     except Exception as error:  # no store yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    stores.put_responses(distinct.mapInPandas(run, "key string, value string, meta string"), store)
+    share = F.pmod(F.xxhash64("key"), F.lit(rounds)).alias("share")
+    waiting = cut(distinct.select("key", "prompt", share).repartition("share"))
+    for r in sorted(x["share"] for x in waiting.select("share").distinct().collect()) or [0]:  # at most ``rounds``; [0] makes the store
+        part = waiting.filter(F.col("share") == r).repartition(spark.sparkContext.defaultParallelism)
+        stores.put_responses(part.mapInPandas(run, "key string, value string, meta string"), store)
     return stores.cached(requests, stores.responses(spark, store))
 
 

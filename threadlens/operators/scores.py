@@ -96,12 +96,29 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bootstrap_mean(rows: DataFrame, value: str, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """value, lo, hi, n: the mean of a column of few distinct values over all rows, and its interval over resamples."""
-    kinds = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).orderBy("v")
-    mean = lambda taken, t: {"mean": _ratio(taken @ t["v"].to_numpy(float), taken.sum(1))}
-    found = _interval(_draws(kinds, draws, seed, mean, ["mean"]))
-    whole = rows.agg(F.round(F.avg(value), 6).alias("value"), F.count("*").alias("n"))
-    return whole.join(found, F.lit(True)).select("value", "lo", "hi", "n")
+    """value, lo, hi, n: the mean of a number column over all rows but null ones, and its interval over resamples.
+
+    Each draw takes each row a Poisson number of times, of mean 1, so rows are drawn where they are and alike ones at once (n of
+    them: mean n); draws' sums add up. Seeds come from the value, so partitions don't matter. Without rows all but n are null.
+    """
+    kinds = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    kinds = kinds.withColumn("h", F.xxhash64("v"))
+    block = 1000
+
+    def run(batches):
+        taken, sums = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            for v, n, h in zip(batch["v"], batch["n"], batch["h"], strict=True):
+                times = np.random.default_rng([seed, int(h) & (2**64 - 1)]).poisson(n, draws)
+                taken += times
+                sums += times * v
+        for at in range(0, draws, block):
+            yield pd.DataFrame({"draw": np.arange(at, min(draws, at + block)), "taken": taken[at : at + block], "sums": sums[at : at + block]})
+
+    each = kinds.mapInPandas(run, "draw long, taken double, sums double").groupBy("draw").agg(F.sum("taken").alias("taken"), F.sum("sums").alias("sums"))
+    found = _interval(each.select(F.lit("mean").alias("metric"), F.try_divide("sums", "taken").alias("value")))
+    whole = rows.agg(F.round(F.avg(value), 6).alias("value"), F.count(value).alias("n"))
+    return whole.join(found, F.lit(True), "left").select("value", "lo", "hi", "n")
 
 
 def _f1(taken: np.ndarray, gold: np.ndarray, pred: np.ndarray, labels: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -131,6 +131,11 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.bootstrap_mean(rows, "quality").select(F.lit("quality").alias("metric"), "value", "lo", "hi", "n")
 
 
+def bootstrap_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean length of documents in characters with its interval."""
+    return scores.bootstrap_mean(table(spark, sf_dir, "documents"), "n_chars").select(F.lit("n_chars").alias("metric"), "value", "lo", "hi", "n")
+
+
 def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _view(spark, sf_dir, enriched(SPARK), "e")
     asked = rows.filter("inbound").select(F.col("tweet_id").alias("q"), F.col("phrase").alias("said"))
@@ -141,9 +146,9 @@ def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    rows = rows.select(F.col("doc_id").alias("id"), "text", F.col("quality").cast("double").alias("label"))
+    rows = rows.select(F.col("doc_id").alias("id"), "text", F.col("quality").alias("label"))
     other = rows.filter("id % 4 = 0")
-    found = learning.tfidf_lr(rows.filter("id % 4 <> 0"), other).join(other.select("id", F.col("label").cast("int").alias("truth")), "id")
+    found = learning.tfidf_lr(rows.filter("id % 4 <> 0"), other).withColumn("predicted", F.col("predicted").cast("int")).join(other.select("id", F.col("label").cast("int").alias("truth")), "id")
     return scores.class_report(found, "truth", "predicted").select("class", *(F.round(c, 2).alias(c) for c in ("p", "r", "f1")), "support")
 
 
@@ -271,6 +276,25 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def learned_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of both baselines that learn: tfidf_lr, whose escalation knows the intent alone, and tfidf_lr_cues, whose escalation
+    knows the cues. They learn from the turns of three conversations in four and are scored on the others'."""
+    texts = _with_context(spark, sf_dir).select(F.col("tweet_id").alias("id"), "conv_id", F.col("phrase").alias("text"))
+    gold = _routed(spark, sf_dir).drop("pred_state", "pred_intent", "pred_escalate")
+    rows = texts.join(gold, F.col("id") == F.col("tweet_id")).withColumns({"state": F.col("gold_state"), "intent": F.col("gold_intent")})
+    train, other = rows.filter("conv_id % 4 <> 0"), rows.filter("conv_id % 4 = 0")
+    said = other.join(learning.routed(train, other, scores.BEARING), "id").join(_cued(spark, sf_dir).drop("intent"), "tweet_id")
+    intent = F.coalesce("pred_intent", F.lit(""))
+    blind = {c: F.lit(False) for c in policy.CUES}
+    decided = {"tfidf_lr": blind, "tfidf_lr_cues": {c: F.col(c) for c in policy.CUES}}
+    found = None
+    for system, cue in decided.items():
+        one = scores.routing_metrics(said.withColumn("pred_escalate", policy.decide(intent, cue)["escalate"]))
+        one = one.select(F.lit(system).alias("system"), "metric", F.round("value", 2).alias("value"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.confusion(_routed(spark, sf_dir), "gold_state", "pred_state", scores.STATES)
 
@@ -342,7 +366,7 @@ OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__nam
     near_duplicate_max, classification_report, macro_f1, weighted_kappa, cohen_kappa, bootstrap_ci, draft_checks,
     tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
     assembled, record_signals, routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
-    development_draw, golden_draw, record_table, thread_stats, time_split,
+    development_draw, golden_draw, record_table, thread_stats, time_split, bootstrap_chars, learned_baselines,
 )}
 
 _c = CHECK
