@@ -116,3 +116,53 @@ def prior_counts(rows: DataFrame, who: str, thread: str, at: Column) -> DataFram
     """Each customer's threads with the number of earlier ones: the first message of a thread counts."""
     first = rows.groupBy(who, thread).agg(F.min(at).alias("start"))
     return first.withColumn("prior", F.row_number().over(W.partitionBy(who).orderBy("start", thread)) - 1)
+
+
+def answered(messages: DataFrame, canned_from: int = 5) -> DataFrame:
+    """record_id, conv_id, reply, n_parts, all_canned, action, dm, customer_text, is_followup, language, clean, n_words, letters, next_id,
+    next_text, created: the plain exchanges that brands are compared by, a row for each customer message that the brand answered.
+
+    messages as for ``exchanges``. A reply is up to four parts, by time and id; it is canned if the letters of each of its parts are those of
+    ``canned_from`` outbound messages or more, and not none. A message is a follow-up if it answers an outbound one. next: the
+    same customer's earliest answer to any part. Null texts are empty.
+    """
+    m = messages.withColumn("text", F.coalesce("text", F.lit("")))
+    key = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    said = m.filter("not inbound").select("tweet_id", "text", key.alias("key"))
+    often = said.groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") >= canned_from) & (F.col("key") != ""))
+    said = said.join(often, "key", "left").select("tweet_id", F.col("text").alias("part_text"), F.col("n").isNotNull().alias("canned"))
+    parts = anchored(m, 3)
+    part = F.struct("created", "tweet_id", "part_text")
+    replies = parts.join(said, "tweet_id").groupBy("anchor").agg(
+        F.array_sort(F.collect_list(part)).alias("p"), F.every("canned").alias("all_canned")  # at most what answers one message
+    )
+    asked = m.select(F.col("tweet_id").alias("anchor"), "conv_id", F.col("author").alias("customer"), F.col("parent").alias("before"), F.col("text").alias("customer_text"), F.col("created").alias("asked_at"))
+    answers = m.filter("inbound and parent is not null").select(F.col("parent").alias("part"), "author", "created", "tweet_id", "text")
+    after = answers.join(parts.select(F.col("tweet_id").alias("part"), "anchor"), "part").join(asked.select("anchor", "customer"), "anchor").filter("author = customer")
+    after = after.groupBy("anchor").agg(F.min(F.struct("created", "tweet_id", "text")).alias("next"))
+    above = m.filter("not inbound").select(F.col("tweet_id").alias("before"), F.lit(True).alias("follows"))
+    rows = replies.join(asked, "anchor").join(after, "anchor", "left").join(above, "before", "left")
+    reply = F.array_join(F.transform("p", lambda x: x["part_text"]), " ")
+    clean = F.regexp_replace(F.regexp_replace(F.lower("customer_text"), T.URL, " "), T.MENTION, " ")
+    rows = rows.withColumns({"reply": reply, "clean": F.trim(F.regexp_replace(clean, r"\s+", " "))})
+    letters = F.trim(F.regexp_replace(F.regexp_replace("clean", "[^a-z ]+", " "), r"\s+", " "))
+    return rows.select(
+        F.col("anchor").alias("record_id"), "conv_id", "reply", F.size("p").cast("long").alias("n_parts"), "all_canned",
+        F.lower("reply").rlike(T.ACTION).alias("action"), F.lower("reply").rlike(T.DM_REDIRECT).alias("dm"), "customer_text",
+        F.coalesce("follows", F.lit(False)).alias("is_followup"), T.language(F.lower("customer_text")).alias("language"), "clean",
+        F.size(F.regexp_extract_all("clean", F.lit("[a-z]{2,}"), F.lit(0))).cast("long").alias("n_words"), letters.alias("letters"),
+        F.col("next.tweet_id").alias("next_id"), F.col("next.text").alias("next_text"), F.col("asked_at").alias("created"),
+    )
+
+
+def waterfall(rows: DataFrame, least_words: int = 3) -> DataFrame:
+    """step, kept: rows of ``answered`` left after each step: not foreign, ``least_words`` words, no hand-off to direct messages, the earliest of
+    those with equal letters. All steps are there, also without rows."""
+    hand_off = F.col("clean").rlike(T.DM_LOGISTICS) & (F.col("n_words") < 8)
+    passed = F.when(F.col("language") == "other", 0).when(F.col("n_words") < least_words, 1).when(hand_off, 2).otherwise(3)
+    counts = rows.withColumn("passed", passed).groupBy("letters", "passed").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("first", F.when(F.col("passed") == 3, 1).otherwise(0))  # one of each letters stays
+    names = ["answered", "not_foreign", "enough_words", "no_hand_off", "first_of_equals"]
+    kept = [F.sum(F.when(F.col("passed") >= i, F.col("n")).otherwise(0)) for i in range(4)] + [F.sum("first")]
+    sums = counts.agg(F.array(*(F.struct(F.lit(k).alias("step"), F.coalesce(c, F.lit(0)).cast("long").alias("kept")) for k, c in zip(names, kept, strict=True))).alias("s"))
+    return sums.select(F.inline("s"))

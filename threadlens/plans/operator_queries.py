@@ -12,7 +12,8 @@ from threadlens.functions import text as T
 from threadlens.operators import assembly, context, cues, draws, learning, policy, quantiles, respond, retrieval, scores, threads
 from threadlens.operators import topics as topic_model
 from threadlens.plans.dialect import CHECK, SPARK
-from threadlens.plans.shared_sql import OTHER_LETTERS, enriched, lines, messages
+from threadlens.plans.queries import estimated
+from threadlens.plans.shared_sql import OTHER_LETTERS, enriched, lines, messages, spoken
 from threadlens.sources.tables import register, table
 
 
@@ -39,6 +40,15 @@ def anchored_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("anchor").alias("record_id"), F.col("n_parts").cast("long").alias("n_parts"), F.md5("merged").alias("merged"))
 
 
+def answered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = threads.answered(_view(spark, sf_dir, spoken(SPARK), "k"))
+    return found.select("record_id", "n_parts", "all_canned", "action", "dm", "is_followup", "language", "n_words", F.md5("letters").alias("letters"), F.coalesce("next_id", F.lit(-1)).alias("next_id"))
+
+
+def answered_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.waterfall(threads.answered(_view(spark, sf_dir, spoken(SPARK), "k")))
+
+
 def merged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = threads.merged_messages(_view(spark, sf_dir, lines(SPARK), "l"))
     return found.select(F.col("tweet_id").alias("record_id"), "first_id", F.col("n_parts").cast("long").alias("n_parts"))
@@ -367,6 +377,7 @@ OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__nam
     tfidf_lr, topics, benchmark_leakage, context_turns, response_flow, cue_flags, cue_scores, routed_policy, draft_intents,
     assembled, record_signals, routing_metrics, routing_intervals, kappa_interval, baselines, confusion, failure_report,
     development_draw, golden_draw, record_table, thread_stats, time_split, bootstrap_chars, learned_baselines,
+    answered_messages, answered_waterfall,
 )}
 
 _c = CHECK
@@ -721,3 +732,24 @@ OPERATOR_SQL |= {
             count(*) FILTER (reply_type = 'substantive') AS substantive, count(*) FILTER (reply_type = 'substantive' AND split = 'train') AS retrieval_eligible,
             count(*) FILTER (split = 'holdout' AND coalesce(mx.s, 0) < 0.95) AS eval_eligible, min(created_at) AS first_at, max(created_at) AS last_at FROM rs LEFT JOIN mx ON mx.o = record_id GROUP BY split""",
 }
+
+_low = _c.sub(_c.sub("lower(q.text)", T.URL, " "), T.MENTION, " ")
+_ANSWERED = f"""{spoken(_c)}, a AS (SELECT x.tweet_id, x.parent AS anchor, 0 AS depth, x.created FROM k x JOIN k p ON x.parent = p.tweet_id WHERE NOT x.inbound AND p.inbound
+        UNION ALL SELECT x.tweet_id, a.anchor, a.depth + 1, x.created FROM k x JOIN a ON x.parent = a.tweet_id WHERE NOT x.inbound AND x.created - a.created <= 15 AND a.depth < 3),
+    o AS (SELECT tweet_id, text, trim({_c.sub('lower(text)', '[^a-z]+', ' ')}) AS norm FROM k WHERE NOT inbound),
+    w AS (SELECT *, count(*) OVER (PARTITION BY norm) >= 5 AND norm <> '' AS canned FROM o),
+    r AS (SELECT anchor, count(*) AS n_parts, bool_and(canned) AS all_canned, lower(string_agg(w.text, ' ' ORDER BY a.created, a.tweet_id)) AS reply FROM a JOIN w ON w.tweet_id = a.tweet_id GROUP BY anchor),
+    nx AS (SELECT a.anchor, arg_min(x.tweet_id, (x.created, x.tweet_id)) AS next_id FROM k x JOIN a ON x.parent = a.tweet_id JOIN k q ON q.tweet_id = a.anchor WHERE x.inbound AND x.author = q.author GROUP BY a.anchor),
+    b AS (SELECT r.*, q.created, next_id, coalesce(NOT u.inbound, false) AS is_followup, q.raw, {_low} AS body, trim({_c.sub(_low, chr(92) + 's+', ' ')}) AS clean
+          FROM r JOIN k q ON q.tweet_id = r.anchor LEFT JOIN k u ON u.tweet_id = q.parent LEFT JOIN nx ON nx.anchor = r.anchor),
+    f AS (SELECT *, len({_c.find_all('clean', '[a-z]{2,}')}) AS n_words, trim({_c.sub(_c.sub('clean', '[^a-z ]+', ' '), ' +', ' ')}) AS letters,
+          CASE WHEN {_c.rx('raw', T.FOREIGN_SCRIPT)} THEN 'other' ELSE {estimated(_c, 'body')} END AS language FROM b)"""
+
+OPERATOR_SQL |= {
+    "answered_messages": f"""WITH RECURSIVE {_ANSWERED} SELECT anchor AS record_id, n_parts, all_canned, {_c.rx('reply', T.ACTION)} AS action, {_c.rx('reply', T.DM_REDIRECT)} AS dm,
+        is_followup, language, n_words, md5(letters) AS letters, coalesce(next_id, -1) AS next_id FROM f""",
+    "answered_waterfall": f"""WITH RECURSIVE {_ANSWERED}, g AS (SELECT *, CASE WHEN language = 'other' THEN 0 WHEN n_words < 3 THEN 1 WHEN {_c.rx('clean', T.DM_LOGISTICS)} AND n_words < 8 THEN 2 ELSE 3 END AS passed FROM f),
+        d AS (SELECT *, CASE WHEN passed = 3 AND row_number() OVER (PARTITION BY letters, passed ORDER BY created, anchor) = 1 THEN 4 ELSE passed END AS steps FROM g),
+        st AS (SELECT * FROM (VALUES (0, 'answered'), (1, 'not_foreign'), (2, 'enough_words'), (3, 'no_hand_off'), (4, 'first_of_equals')) AS v(i, step))
+        SELECT step, count(anchor) AS kept FROM st LEFT JOIN d ON d.steps >= st.i GROUP BY step""",
+}

@@ -53,3 +53,13 @@ def lines(d: Dialect) -> str:
                      s.conv_id, s.role = 'user' AS inbound, s.role AS author,
                      s.conv_id * 60 + s.turn * 7 + s.pos AS created, s.text
               FROM s LEFT JOIN t ON t.conv_id = s.conv_id AND t.turn = s.turn - 1)"""
+
+
+def spoken(d: Dialect) -> str:
+    """k: lines with a phrase, by a hash of their id, before each line's own text. Other letters as in ``enriched``."""
+    rows = ", ".join(f"({i}, {d.lit(p)})" for i, p in enumerate(PHRASES))
+    raw = "concat(ph.phrase, ' ', coalesce(l.text, ''))"
+    words = raw if d.spark else d.sub(raw, OTHER_LETTERS, "_")
+    return f"""{lines(d)}, ph AS (SELECT * FROM (VALUES {rows}) AS v(i, phrase)),
+        k AS (SELECT l.tweet_id, l.parent, l.conv_id, l.inbound, l.author, l.created, {words} AS text, {raw} AS raw
+              FROM l JOIN ph ON ph.i = {d.hash32("CAST(l.tweet_id AS STRING)")} % {len(PHRASES)})"""
