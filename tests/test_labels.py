@@ -65,3 +65,11 @@ def test_development_set_and_ratings(spark):
     assert sorted(map(tuple, labels.rated_pairs(human, judge, ["tone", "facts"], "id").collect())) == [("facts", 3, 1), ("tone", 4, 3), ("tone", 5, 5)]
     calls = spark.createDataFrame([(None, 100, 1.0, 4), (None, 200, 3.0, 5), ("rate limit hit, try again in 5s", None, None, None)], "error string, tokens int, latency_s double, tone int")
     assert tuple(labels.judged_summary(calls, ["tone"]).first()) == (2, 1, 1, 2.0, 3.0, 150.0, 4.5)
+
+
+def test_training_rows_stay_apart_from_golden_ones(spark):
+    corpus = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "record_id string, n int")
+    apart = spark.createDataFrame([("c",), (None,)], "record_id string")
+    assert labels.require_apart(corpus, apart).count() == 4
+    with pytest.raises(ValueError, match="'b'"):
+        labels.require_apart(corpus, apart.union(corpus.select("record_id").filter("n = 3")))

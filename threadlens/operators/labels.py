@@ -112,3 +112,10 @@ def judged_summary(calls: DataFrame, dimensions: list[str]) -> DataFrame:
         *(mean(d, 3).alias(f"mean_{d}") for d in dimensions),
     )
 
+
+def require_apart(corpus: DataFrame, golden: DataFrame, key: str = "record_id") -> DataFrame:
+    """corpus as it is, if none of its keys is a golden item's; otherwise an error that names up to five. Null keys are no item's."""
+    met = [r[key] for r in corpus.select(key).join(golden.select(key).distinct(), key, "left_semi").distinct().orderBy(key).limit(5).collect()]
+    if met:
+        raise ValueError(f"training rows touch the golden set: {met}")
+    return corpus
