@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlens.operators import retrieval
+from threadlens.plans.operator_queries import OPERATOR_QUERIES
 
 
 def slow_vectors(texts, max_df=0.2):
@@ -87,3 +88,18 @@ def test_no_texts(spark):
     rows = spark.createDataFrame([(1, "abc def"), (2, None)], "id long, text string")
     assert [tuple(r) for r in retrieval.max_similarity(rows.limit(0), rows).orderBy("id").collect()] == [(1, None, 0.0), (2, None, 0.0)]
     assert retrieval.max_similarity(rows, rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.6, 0.9, 0.95])
+def test_near_texts_are_those_of_a_high_maximum(spark, texts, least):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    train, other = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    got = [r.id for r in retrieval.near(train, other, least).collect()]
+    want = [r.id for r in retrieval.max_similarity(train, other).filter(F.col("max_sim") >= least).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_the_report_needs_no_best_cosines(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "max_similarity", None)
+    got = OPERATOR_QUERIES["assembled"](spark, "/root/testdata/sf0.001").collect()
+    assert got and all(r.n for r in got)

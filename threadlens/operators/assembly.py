@@ -19,6 +19,8 @@ COLUMNS = [
 ]
 TRAIN_ONLY = ["next_customer_text", "weak_outcome", "outcome_confidence", "weak_outcome_source", "brand_escalation_evidence"]
 NEAR_DUPLICATE = 0.95
+#: What ``reported`` reads of the records.
+REPORTED = ["record_id", "thread_id", "thread_started_at", "created_at", "customer_id", "is_followup", "reply_type", "customer_text_clean"]
 
 
 def _codes(masks: dict[str, Column]) -> Column:
@@ -108,13 +110,28 @@ def exchange_records(messages: DataFrame, brand: str = "brand") -> DataFrame:
     })
 
 
+def _split(records: DataFrame, at: float) -> tuple[DataFrame, Column, Column, list[DataFrame]]:
+    """The records with their split, its conditions, and the texts (id, text) of the train and the holdout split."""
+    rows = records.withColumn("split", splits(F.col("thread_started_at"), F.col("created_at"), F.lit(at)))
+    train, holdout = F.col("split") == "train", F.col("split") == "holdout"
+    return rows, train, holdout, [rows.filter(s).select(F.col("record_id").alias("id"), F.col("customer_text_clean").alias("text")) for s in (train, holdout)]
+
+
+def reported(records: DataFrame, at: float) -> DataFrame:
+    """What ``split_report`` reads of the record table, of REPORTED columns of ``exchange_records``: holdout texts near a training text are
+    found as such, without the best cosine of every text."""
+    rows, train, holdout, sides = _split(records, at)
+    near = retrieval.near(*sides, NEAR_DUPLICATE).select(F.col("id").alias("record_id"), F.lit(True).alias("near"))
+    return rows.join(near, "record_id", "left").withColumns({
+        "retrieval_eligible": train & (F.col("reply_type") == "substantive"), "eval_eligible": holdout & F.col("near").isNull(),
+    }).drop("near", "customer_text_clean")
+
+
 def assemble(records: DataFrame, at: float) -> DataFrame:
     """The record table: COLUMNS of ``exchange_records``, split at ``at`` (seconds). Similarity to training texts is given to 3
     digits but decided on in full; columns of TRAIN_ONLY are null outside the train split."""
-    rows = records.withColumn("split", splits(F.col("thread_started_at"), F.col("created_at"), F.lit(at)))
-    train, holdout = F.col("split") == "train", F.col("split") == "holdout"
-    text = rows.select(F.col("record_id").alias("id"), F.col("customer_text_clean").alias("text"), "split")
-    like = retrieval.max_similarity(text.filter(train).drop("split"), text.filter(holdout).drop("split"))
+    rows, train, holdout, sides = _split(records, at)
+    like = retrieval.max_similarity(*sides)
     like = like.select(F.col("id").alias("record_id"), F.col("max_sim"))
     used = rows.filter(train).filter("reply_template <> ''").select("reply_template", F.lit(True).alias("in_train")).distinct()
     rows = rows.join(like, "record_id", "left").join(used, "reply_template", "left")

@@ -94,16 +94,16 @@ def prefixes(vectors: DataFrame, least: float) -> DataFrame:
     return vectors.withColumn("rest", F.sqrt(behind)).filter(F.col("rest") >= least - _SLACK).select("id", "g")
 
 
-def pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """a, b, s: all pairs of a row of left (id, g, w, df of ``vectors``) and one of right, of unlike ids, whose cosine s is at least
-    ``least`` (over 0).
+def pairs_above(left: DataFrame, right: DataFrame, least: float, unlike: bool = True) -> DataFrame:
+    """a, b, s: all pairs of a row of left (id, g, w, df of ``vectors``) and one of right, of unlike ids if ``unlike``, whose cosine s
+    is at least ``least`` (over 0).
 
     N-grams are ordered by their frequency, rare ones first, alike for all vectors. A vector's prefix ends where what is left has a
     length below ``least``: vectors that share no n-gram of both prefixes can't be as alike as that, so only prefixes meet,
     and the cosines of those that do are worked out in full.
     """
     a, b = prefixes(left, least).withColumnRenamed("id", "a"), prefixes(right, least).withColumnRenamed("id", "b")
-    met = a.join(b, "g").filter("a != b").select("a", "b").distinct()
+    met = a.join(b, "g").filter(F.col("a") != F.col("b") if unlike else F.lit(True)).select("a", "b").distinct()
     x, y = left.select(F.col("id").alias("a"), "g", F.col("w").alias("x")), right.select(F.col("id").alias("b"), "g", F.col("w").alias("y"))
     dots = met.join(x, "a").join(y, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     return dots.filter(F.col("s") >= least)
@@ -141,6 +141,26 @@ def _bounded(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(rows.select("o", "g", "size", "w", "met", rest.alias("rest"), "floor")), postings
 
 
+def _sides(train: DataFrame, other: DataFrame, max_df: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(side, id, text, digest) of training texts (side 0) and others (side 1), null texts empty; (side, digest, id, m): the least id and
+    the number of equal texts of a side; and these texts as vectors (side, id, g, w, df)."""
+    digest = F.sha2("text", 256)
+    of = lambda d, side: d.select(F.lit(side).alias("side"), "id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest)
+    both = of(train, 0).unionByName(of(other, 1))
+    firsts = cut(both.groupBy("side", "digest").agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    texts = both.drop("digest").join(firsts.drop("digest"), ["side", "id"])
+    return both, firsts, vectors(texts, ["side", "id"], max_df)
+
+
+def near(train: DataFrame, other: DataFrame, least: float, max_df: float = 0.2) -> DataFrame:
+    """id of each other text that has a training text with a cosine of at least ``least`` (over 0): those whose ``max_similarity`` is
+    that high, found by prefixes alone. Both: id (distinct), text; null texts are empty."""
+    both, firsts, rows = _sides(train, other, max_df)
+    found = pairs_above(rows.filter("side = 1"), rows.filter("side = 0"), least, unlike=False).select(F.col("a").alias("id")).distinct()
+    alike = firsts.filter("side = 1").join(found, "id").select("digest")
+    return both.filter("side = 1").join(alike, "digest").select("id")
+
+
 def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> DataFrame:
     """id, best, max_sim: each other text's most similar training text (the least id of those alike to 9 digits; null for
     none) and their cosine, unrounded. Both: id (distinct), text; null texts are empty.
@@ -148,12 +168,7 @@ def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> D
     Texts are vectors as in ``vectors``, over both tables together. Equal texts are compared once. Not all that share an n-gram
     are compared: see ``_bounded``; of those that meet, only pairs that can still reach the floor are worked out in full.
     """
-    digest = F.sha2("text", 256)
-    of = lambda d, side: d.select(F.lit(side).alias("side"), "id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest)
-    both = of(train, 0).unionByName(of(other, 1))
-    firsts = cut(both.groupBy("side", "digest").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    texts = both.drop("digest").join(firsts.drop("digest"), ["side", "id"])
-    rows = vectors(texts, ["side", "id"], max_df)
+    both, firsts, rows = _sides(train, other, max_df)
     near, postings = _bounded(rows.filter("side = 0"), rows.filter("side = 1"))
     part = near.filter("met").join(postings, ["g", "size"]).groupBy("o", "t", "size", "rest", "floor").agg(F.sum(F.col("w") * F.col("t_w")).alias("part"))
     able = cut(part.filter(F.col("part") + F.col("rest") >= F.col("floor") - _SLACK).select("o", "t", "size", "part"))
