@@ -88,3 +88,27 @@ def test_one_label_is_an_error(spark):
     for rows in ([], [(1, "a b", "x")]):
         with pytest.raises(ValueError):
             learning.fit(spark.createDataFrame(rows, "id long, text string, label string"))
+
+
+def test_weights_stay_off_the_driver(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i * 40 + j}" for j in range(40)) + (" good" if i % 3 else " bad"), str(i % 3 > 0)) for i in range(60)]
+    seen = []
+    summed = learning._summed
+    monkeypatch.setattr(learning, "_summed", lambda cells, shape, add: seen.append(shape) or summed(cells, shape, add))
+    model = learning.fit(spark.createDataFrame(rows, "id long, text string, label string"))
+    assert model.size > 5000 and seen and max(n for n, _ in seen) == 2 * len(rows)  # two numbers for each text, none for each feature
+    got = {r.id: r.predicted for r in learning.predict(model, spark.createDataFrame([(1, "good"), (2, "bad")], "id long, text string")).collect()}
+    assert got == {1: "True", 2: "False"}
+    assert model.weights.selectExpr("max(size(w))").first()[0] == 1
+
+
+def test_two_labels_weigh_as_one_column(spark):
+    rows = [(i, t, "a" if y == "billing" else "b") for i, t, y in TRAIN]
+    model = learning.fit(spark.createDataFrame(rows, "id long, text string, label string"))
+    w = {(r.block, r.term): (r.idf, r.w[0]) for r in model.weights.collect()}
+    vocabulary, idf = {k: i for i, k in enumerate(w)}, {k: v[0] for k, v in w.items()}
+    x, at = matrix([r[1] for r in rows], vocabulary, idf), np.array([v[1] for v in w.values()])
+    y = np.array([r[2] == "b" for r in rows])
+    each = len(y) / (2 * np.bincount(y))[y.astype(int)]
+    error = each * (1 / (1 + np.exp(-(x @ at + model.intercepts[0]))) - y)
+    assert np.abs(x.T @ error + at).max() < 1e-3 and abs(error.sum()) < 1e-3 and at.any()
