@@ -227,8 +227,9 @@ def fit(train: DataFrame, rounds: int = 200) -> Model:
     y = np.zeros(n, int)
     y[known["i"]] = known["y"]
     weight = (n / (len(labels) * np.bincount(y)))[y]
-    # a term's texts in one row
-    terms = features(train.select(F.col("i").alias("id"), "text")).groupBy("block", "term").agg(F.flatten(F.collect_list("r")).alias("r"), F.flatten(F.collect_list("tf")).alias("tf"))
+    # a small table may lie in one file; then a term's texts in one row
+    dealt = train.select(F.col("i").alias("id"), "text").repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    terms = features(dealt).groupBy("block", "term").agg(F.flatten(F.collect_list("r")).alias("r"), F.flatten(F.collect_list("tf")).alias("tf"))
     least = F.when(F.col("block") == "word", LEAST_TEXTS["word"]).otherwise(LEAST_TEXTS["char"])
     idf = F.log((1.0 + n) / (1 + F.size("r"))) + 1
     cells = cut(terms.filter(F.size("r") >= least).withColumn("idf", idf))
