@@ -103,3 +103,14 @@ def test_the_report_needs_no_best_cosines(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "max_similarity", None)
     got = OPERATOR_QUERIES["assembled"](spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.n for r in got)
+
+
+def test_blocks_do_not_matter(spark, texts, monkeypatch):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sides = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    whole = {r.id: (r.best, round(r.max_sim, 9)) for r in retrieval.max_similarity(*sides).collect()}
+    monkeypatch.setattr(retrieval, "BLOCK", 2000)
+    found = retrieval.max_similarity(*sides)
+    assert {r.id: (r.best, round(r.max_sim, 9)) for r in found.collect()} == whole
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # pairs are compared in tasks and never shuffled

@@ -8,16 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlens.sources.tables import cut
+from threadlens.sources.tables import cut, numbered
 
 #: Texts that must hold a feature, by block.
 LEAST_TEXTS = {"word": 1, "char": 2}
-#: Directions that a step combines, rows of a part of a sum, and the share of the loss that the bound on what is left to gain stops at.
+#: Directions that a step combines, rows of a part of a sum, the share of the loss that the bound on what is left to gain stops at; cells read at once.
 DIRECTIONS, PART, TOLERANCE = 10, 8192, 1e-9
-_SLOTS, CELLS = 1024, 1 << 20
+CELLS = 1 << 20
 
 
 @dataclass
@@ -33,7 +32,7 @@ class Model:
     @property
     def vocabulary(self) -> DataFrame:
         """block, term, idf, i."""
-        return _numbered(self.weights.select("block", "term", "idf"), ["block", "term"])
+        return numbered(self.weights.select("block", "term", "idf"), ["block", "term"])
 
 
 def _index(frames):
@@ -76,16 +75,6 @@ def features(texts: DataFrame) -> DataFrame:
     return texts.select("id", words.alias("words"), tokens.alias("tokens")).mapInArrow(_index, f"block string, term string, r array<{kind}>, tf array<int>")
 
 
-def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with i, numbers from 0 without gaps: within slots by hash, each behind the slots before it."""
-    slotted = rows.withColumn("slot", F.pmod(F.xxhash64(*by), F.lit(_SLOTS)))
-    sizes = slotted.groupBy("slot").agg(F.count("*").alias("n"))  # at most _SLOTS rows, so one task orders them
-    before = F.sum("n").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    place = F.row_number().over(W.partitionBy("slot").orderBy(*by)) - 1
-    found = slotted.withColumn("place", place).join(F.broadcast(sizes.select("slot", before.alias("before"))), "slot")
-    return found.select(*rows.columns, (F.col("before") + F.col("place")).cast("int").alias("i"))
-
-
 def _cells(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of features over n texts: their starts and sizes, and of all cells the text, behind n others for those of characters, and 1 +
     ln(count)."""
@@ -217,7 +206,7 @@ def fit(train: DataFrame, rounds: int = 200) -> Model:
     """Train on (id, text, label), ids distinct, labels not null: smoothed idf, 1 + ln(count), classes weighing alike, penalty of half the
     squared weights against the summed loss. Vocabulary and weights are whole and tables; the driver holds a few numbers for each row and
     label, whatever the texts' length. No rows or one label are an error."""
-    train = cut(_numbered(train.select("id", "text", F.col("label").cast("string").alias("label")), ["id"]))
+    train = cut(numbered(train.select("id", "text", F.col("label").cast("string").alias("label")), ["id"]))
     rows = train.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()  # a row for each label
     labels, n = [r["label"] for r in rows], sum(r["n"] for r in rows)
     if len(labels) < 2:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import unit
-from threadlens.sources.tables import cut
+from threadlens.sources.tables import cut, numbered
 
 
 def _best(k: int, floor: float):
@@ -141,6 +142,51 @@ def _bounded(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(rows.select("o", "g", "size", "w", "met", rest.alias("rest"), "floor")), postings
 
 
+#: N-grams of texts of a side that a task compares with those of the other.
+BLOCK = 1 << 22
+
+
+def _packed(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Texts of ``vectors`` as a row each: id, the numbers of their n-grams and the weights, and name, the block they are dealt to. Written."""
+    texts = rows.join(known, "g").groupBy("id").agg(F.collect_list(F.struct("i", "w")).alias("c"))
+    texts = cut(texts.select("id", F.col("c.i").alias("i"), F.col("c.w").alias("w")))
+    cells = texts.agg(F.sum(F.size("i"))).first()[0] or 0
+    return texts.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-cells // BLOCK)))).cast("int"))
+
+
+def _flat(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of n-grams of each text, and of all of them the text's place, number and weight."""
+    lists = [texts.column(c).combine_chunks() for c in ("i", "w")]
+    sizes = np.diff(lists[0].offsets.to_numpy())
+    return sizes, np.repeat(np.arange(len(sizes)), sizes), *(x.flatten().to_numpy() for x in lists)
+
+
+def _best_of(train: pa.Table, other: pa.Table) -> pa.Table:
+    """o, t, s, r: of two blocks of ``_packed``, for each other text the greatest cosine s, and the least id of training texts alike to 9
+    digits, r."""
+    found = []
+    if train.num_rows and other.num_rows:
+        t_ids, o_ids = train.column("id").to_numpy(), other.column("id").to_numpy()
+        _, t, i, w = _flat(train)
+        order = np.argsort(i, kind="stable")
+        t, i, w = t[order], i[order], w[order]
+        sizes, _, o_i, o_w = _flat(other)
+        starts, ends = np.searchsorted(i, o_i), np.searchsorted(i, o_i, "right")
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        for o in range(len(sizes)):
+            own = slice(at[o], at[o + 1])
+            n = ends[own] - starts[own]
+            if n.sum():
+                cells = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())  # the postings of all its n-grams
+                s = np.bincount(t[cells], w[cells] * np.repeat(o_w[own], n), len(t_ids))
+                r = np.floor(s * 1e9 + 0.5)
+                top = r.max()
+                found.append((o_ids[o], t_ids[r == top].min(), s.max(), top))
+    columns = zip(*found, strict=True) if found else ([], [], [], [])
+    kinds = other.schema.field("id").type, train.schema.field("id").type, pa.float64(), pa.float64()
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["o", "t", "s", "r"])
+
+
 def _sides(train: DataFrame, other: DataFrame, max_df: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(side, id, text, digest) of training texts (side 0) and others (side 1), null texts empty; (side, digest, id, m): the least id and
     the number of equal texts of a side; and these texts as vectors (side, id, g, w, df)."""
@@ -165,16 +211,19 @@ def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> D
     """id, best, max_sim: each other text's most similar training text (the least id of those alike to 9 digits; null for
     none) and their cosine, unrounded. Both: id (distinct), text; null texts are empty.
 
-    Texts are vectors as in ``vectors``, over both tables together. Equal texts are compared once. Not all that share an n-gram
-    are compared: see ``_bounded``; of those that meet, only pairs that can still reach the floor are worked out in full.
+    Texts are vectors as in ``vectors``, over both tables together. Equal texts are compared once. Blocks of training texts meet blocks of
+    others as tables of postings, and only the best of a block for each other text leaves them: pairs are never rows.
     """
     both, firsts, rows = _sides(train, other, max_df)
-    near, postings = _bounded(rows.filter("side = 0"), rows.filter("side = 1"))
-    part = near.filter("met").join(postings, ["g", "size"]).groupBy("o", "t", "size", "rest", "floor").agg(F.sum(F.col("w") * F.col("t_w")).alias("part"))
-    able = cut(part.filter(F.col("part") + F.col("rest") >= F.col("floor") - _SLACK).select("o", "t", "size", "part"))
-    more = near.filter("not met").select("o", "g", "size", "w").join(able.drop("part"), ["o", "size"]).join(postings, ["t", "g", "size"])
-    more = more.groupBy("o", "t").agg(F.sum(F.col("w") * F.col("t_w")).alias("more"))
-    each = able.join(more, ["o", "t"], "left").select("o", "t", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("s"))
-    best = each.groupBy("o").agg(F.max("s").alias("s"), F.max_by("t", F.struct(F.round("s", 9).alias("r"), (-F.col("t")).alias("i"))).alias("best"))
+    others = rows.filter("side = 1")
+    known = cut(numbered(others.select("g").distinct(), ["g"]))
+    t, o = _packed(rows.filter("side = 0"), known, "t_block"), _packed(others, known, "o_block")
+    blocks = lambda d, name: range((d.agg(F.max(name)).first()[0] or 0) + 1)
+    t_blocks, o_blocks = blocks(t, "t_block"), blocks(o, "o_block")
+    t_all = t.withColumn("o_block", F.explode(F.array(*map(F.lit, o_blocks)))).groupBy("t_block", "o_block")
+    o_all = o.withColumn("t_block", F.explode(F.array(*map(F.lit, t_blocks)))).groupBy("t_block", "o_block")
+    kinds = [d.schema["id"].dataType.simpleString() for d in (other, train)]
+    found = t_all.cogroup(o_all).applyInArrow(_best_of, f"o {kinds[0]}, t {kinds[1]}, s double, r double")
+    best = found.groupBy("o").agg(F.max("s").alias("s"), F.max_by("t", F.struct("r", (-F.col("t")).alias("i"))).alias("best"))
     found = firsts.filter("side = 1").select("digest", F.col("id").alias("o")).join(best, "o", "left")
     return both.filter("side = 1").select("id", "digest").join(found, "digest").select("id", "best", F.coalesce("s", F.lit(0.0)).alias("max_sim"))
