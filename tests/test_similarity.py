@@ -114,3 +114,49 @@ def test_blocks_do_not_matter(spark, texts, monkeypatch):
     assert {r.id: (r.best, round(r.max_sim, 9)) for r in found.collect()} == whole
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan  # pairs are compared in tasks and never shuffled
+
+
+ODD = ["a", "aaaa aaaa aaaaa", "x\x0by\x1cz", "\x00 \x00\x00 ab\x00 ab", "é𝄞x É𝄞X ß İ", "　b c\u0085d", "", " \t\r\n\f", "ab " * 3000, "语言模型 语言", "x" * 300]
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
+def test_counts_of_a_block_equal_exploded_ngrams(spark, monkeypatch, cells):
+    monkeypatch.setattr(retrieval, "_CELLS", cells)
+    rows = spark.createDataFrame(list(enumerate(ODD)), "id int, text string")
+    want = Counter((r.id, r.g) for r in rows.select("id", F.explode(retrieval.grams("text")).alias("g")).collect())
+    low = [r.text.encode() for r in rows.orderBy("id").select(F.lower("text").alias("text")).collect()]
+    counts = retrieval._Counts(low)
+
+    def text(a, b):
+        rest = [x - 1 for x in (b >> 21, b & (1 << 21) - 1) if x]
+        return "".join(map(chr, [a >> 42, a >> 21 & (1 << 21) - 1, a & (1 << 21) - 1, *rest]))
+
+    names = [text(a, b) for a, b in zip(counts.a.tolist(), counts.b.tolist(), strict=True)]
+    got = {(t, names[g]): tf for part in counts.cells() for t, g, tf in zip(*(x.tolist() for x in part), strict=True)}
+    assert got == want and len(set(names)) == len(names)
+    counts.times = counts.times << 45  # too large to be sorted as one number with the text and n-gram
+    assert sum(int(tf.sum()) >> 45 for _, _, tf in counts.cells()) == sum(want.values())
+
+
+def test_ngrams_of_training_texts_are_never_rows(spark, monkeypatch):
+    """All that is written and grouped is texts and, for each block, a row for each n-gram; not one for each text and n-gram."""
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    made = [" ".join(draw.sample(words, 25)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(made)), "id long, text string")
+    cells = rows.select("id", F.explode(retrieval.grams("text")).alias("g")).distinct().count()
+    written = []
+    real = retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda d: written.append(real(d)) or written[-1])
+    sides = rows.filter("id >= 10"), rows.filter("id < 10")
+    got = {r.id: (r.best, r.max_sim) for r in retrieval.max_similarity(*sides).collect()}
+    v = slow_vectors(made)
+    for i, (best, s) in got.items():
+        top, j = max((round(cosine(v[i], v[j]), 9), -j) for j in range(10, 400))
+        assert abs(s - top) < 1e-8 and best == -j
+    assert len(got) == 10 and sum(d.count() for d in written) * 10 <= cells
+
+
+def test_blocks_of_empty_texts(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " \t")], "id long, text string")
+    assert [tuple(r) for r in retrieval.max_similarity(rows, rows).orderBy("id").collect()] == [(1, None, 0.0), (2, None, 0.0), (3, None, 0.0)]

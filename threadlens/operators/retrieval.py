@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import unit
-from threadlens.sources.tables import cut, numbered
+from threadlens.sources.tables import cut
 
 
 def _best(k: int, floor: float):
@@ -142,66 +143,186 @@ def _bounded(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(rows.select("o", "g", "size", "w", "met", rest.alias("rest"), "floor")), postings
 
 
-#: N-grams of texts of a side that a task compares with those of the other.
-BLOCK = 1 << 22
-
-
-def _packed(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """Texts of ``vectors`` as a row each: id, the numbers of their n-grams and the weights, and name, the block they are dealt to. Written."""
-    texts = rows.join(known, "g").groupBy("id").agg(F.collect_list(F.struct("i", "w")).alias("c"))
-    texts = cut(texts.select("id", F.col("c.i").alias("i"), F.col("c.w").alias("w")))
-    cells = texts.agg(F.sum(F.size("i"))).first()[0] or 0
-    return texts.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-cells // BLOCK)))).cast("int"))
-
-
-def _flat(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The number of n-grams of each text, and of all of them the text's place, number and weight."""
-    lists = [texts.column(c).combine_chunks() for c in ("i", "w")]
-    sizes = np.diff(lists[0].offsets.to_numpy())
-    return sizes, np.repeat(np.arange(len(sizes)), sizes), *(x.flatten().to_numpy() for x in lists)
-
-
-def _best_of(train: pa.Table, other: pa.Table) -> pa.Table:
-    """o, t, s, r: of two blocks of ``_packed``, for each other text the greatest cosine s, and the least id of training texts alike to 9
-    digits, r."""
-    found = []
-    if train.num_rows and other.num_rows:
-        t_ids, o_ids = train.column("id").to_numpy(), other.column("id").to_numpy()
-        _, t, i, w = _flat(train)
-        order = np.argsort(i, kind="stable")
-        t, i, w = t[order], i[order], w[order]
-        sizes, _, o_i, o_w = _flat(other)
-        starts, ends = np.searchsorted(i, o_i), np.searchsorted(i, o_i, "right")
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        for o in range(len(sizes)):
-            own = slice(at[o], at[o + 1])
-            n = ends[own] - starts[own]
-            if n.sum():
-                cells = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())  # the postings of all its n-grams
-                s = np.bincount(t[cells], w[cells] * np.repeat(o_w[own], n), len(t_ids))
-                r = np.floor(s * 1e9 + 0.5)
-                top = r.max()
-                found.append((o_ids[o], t_ids[r == top].min(), s.max(), top))
-    columns = zip(*found, strict=True) if found else ([], [], [], [])
-    kinds = other.schema.field("id").type, train.schema.field("id").type, pa.float64(), pa.float64()
-    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["o", "t", "s", "r"])
-
-
-def _sides(train: DataFrame, other: DataFrame, max_df: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(side, id, text, digest) of training texts (side 0) and others (side 1), null texts empty; (side, digest, id, m): the least id and
-    the number of equal texts of a side; and these texts as vectors (side, id, g, w, df)."""
+#: Characters of training texts that a task counts and compares with half as many of others, and n-grams of texts that it counts at once.
+BLOCK, _CELLS = 1 << 22, 1 << 20
+#: Which bytes Java's \s takes.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _coded(values) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 in the order in which values first appear, and the value of each number."""
+    found = pa.array(values).dictionary_encode() if isinstance(values, np.ndarray) else values.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the order in which pairs first appear."""
+    (i, _), (j, known) = _coded(a), _coded(b)
+    return _coded(i * max(1, len(known)) + j)[0]
+
+
+def _word_grams(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words, the number of ``grams`` each has; the numbers of all of them, word by word; and the n-grams by number as two longs, of
+    the first three characters and of what follows (0 for none)."""
+    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(b" ", words.type))[0].as_py()
+    c = np.frombuffer((b" " + joined + b"   ").decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    space = c == 32
+    three = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    three, space = np.append(three, [0, 0, 0, 0]), np.append(space, [True, True])
+    at = np.flatnonzero(~space[1:-2])  # n-grams from here have a character second
+    # of n-grams of three, four and five from each place: those that have no space inside
+    within = np.stack([np.ones(len(at), bool), ~space[at + 2], ~space[at + 2] & ~space[at + 3]], 1)
+    first, known = _coded(three[: len(c)])
+    key = first[at] * (len(known) + 1)
+    key = np.stack([key, key + first[at + 1] + 1, key + first[at + 2] + 1], 1) * 3 + np.arange(3)  # longer ones by two of three that overlap
+    g, known = _coded(key[within])
+    of = np.repeat(at, within.sum(1))
+    new = np.diff(np.maximum.accumulate(g), prepend=-1) > 0
+    at, n = of[new], known.to_numpy() % 3 + 3
+    a, b = three[at], np.where(n > 3, c[at + 3 - (n < 4)] + 1 << 21, 0) | np.where(n > 4, c[at + 4 - 2 * (n < 5)] + 1, 0)
+    return np.bincount(np.cumsum(space[: len(c)])[of + 1] - 1, minlength=len(words)), g, a, b
+
+
+class _Counts:
+    """The n-grams of some texts, lower case and in UTF-8: a, b of ``_word_grams``, and ``cells``."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        black = ~_SPACE[data]
+        edge = np.diff(black, prepend=False)
+        starts, ends = np.flatnonzero(edge & black), np.flatnonzero(edge & ~black)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[black])])
+        w, known = _coded(words)
+        self.sizes, self.grams, self.a, self.b = _word_grams(known)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+        pairs, self.times = np.unique(text * max(1, len(known)) + w, return_counts=True)
+        self.text, self.word = pairs // max(1, len(known)), pairs % max(1, len(known))
+
+    def cells(self):
+        """Of some whole texts after others: text, n-gram and how often the text has it, each pair once."""
+        n = self.sizes[self.word]
+        ends, lo = np.cumsum(n), 0
+        while lo < len(n):
+            # up to the end of the text in which the n-grams get too many
+            last = min(len(n) - 1, int(np.searchsorted(ends, ends[lo] - n[lo] + _CELLS)))
+            hi = int(np.searchsorted(self.text, self.text[last], "right"))
+            k, text, word, times = n[lo:hi], self.text[lo:hi], self.word[lo:hi], self.times[lo:hi]
+            at = np.arange(k.sum()) + np.repeat(self.starts[word] - np.cumsum(k) + k, k)
+            keys, times, bits = np.repeat((text - text[0]) * len(self.a), k) + self.grams[at], np.repeat(times, k), int(times.max()).bit_length()
+            if int(keys.max()).bit_length() + bits < 64:  # sorted faster as one number
+                keys = keys << bits | times
+                keys.sort()
+                keys, times = keys >> bits, keys & (1 << bits) - 1
+            else:
+                order = np.argsort(keys)
+                keys, times = keys[order], times[order]
+            new = np.flatnonzero(np.diff(keys, prepend=-1))
+            keys = keys[new]
+            yield text[0] + keys // len(self.a), keys % len(self.a), np.add.reduceat(times, new)
+            lo = hi
+
+    def texts_with(self, m: np.ndarray) -> np.ndarray:
+        """For each n-gram the texts that have it, each counted m times."""
+        return sum((np.bincount(g, m[t], len(self.a)) for t, g, _ in self.cells()), np.zeros(len(self.a)))
+
+
+def _block_counts(block: pa.Table) -> pa.Table:
+    """block, a, b, m: of a block of texts (block, m, text), each n-gram and the texts that have it, each counted m times."""
+    counts = _Counts(block.column("text").to_pylist())
+    m = counts.texts_with(block.column("m").to_numpy()).astype(np.int64)
+    return pa.table([pa.array(np.full(len(m), block.column("block")[0].as_py(), np.int32)), *map(pa.array, (counts.a, counts.b, m))], ["block", "a", "b", "m"])
+
+
+def _weighed(block: pa.Table, n: int, max_df: float, known=None):
+    """ids; a, b; text, n-gram and weight of all n-grams that count (and that ``known``, a function of a and b, is true for) of a block
+    of texts as vectors of length 1, weighted as in ``vectors``. Rows of block: texts (id, m, text); and for n-grams that other
+    blocks have too their df (a, b, df). N-grams without such a row are in texts of this block alone, which knows their df."""
+    texts, rows = block.filter(pc.field("text").is_valid()), block.filter(~pc.field("text").is_valid())
+    counts = _Counts(texts.column("text").to_pylist())
+    df = counts.texts_with(texts.column("m").to_numpy())
+    a, b, shared = (rows.column(c).to_numpy() for c in ("a", "b", "df"))
+    df[_same(np.concatenate([counts.a, a]), np.concatenate([counts.b, b]))[len(df) :]] = shared
+    idf = np.where(df <= max_df * n, np.log((1.0 + n) / (1 + df)) + 1, 0.0)
+    kept = idf > 0 if known is None else (idf > 0) & known(counts.a, counts.b)
+    norm, found = np.zeros(texts.num_rows), [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
+    for t, g, tf in counts.cells():
+        w = (1 + np.log(tf)) * idf[g]
+        norm += np.bincount(t, w * w, len(norm))
+        own = kept[g]
+        found.append((t[own].astype(np.int32), g[own].astype(np.int32), w[own]))
+    t, g, w = map(np.concatenate, zip(*found, strict=True))
+    w /= np.sqrt(norm)[t]
+    return texts.column("id").combine_chunks(), counts.a, counts.b, t, g, w
+
+
+def _packing(n: int, max_df: float):
+    """The texts of a block of ``_weighed`` as a row each: o_block, id, n-grams (a, b) and weights; texts without any are left out."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, a, b, t, g, w = _weighed(block, n, max_df)
+        own, starts = np.unique(t, return_index=True)
+        at = pa.array(np.append(starts, len(t)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (a[g], b[g], w)]
+        return pa.table([pa.array(np.full(len(own), block.column("block")[0].as_py(), np.int32)), ids.take(pa.array(own)), *lists], ["o_block", "id", "a", "b", "w"])
+
+    return run
+
+
+def _best_of(n: int, max_df: float):
+    """o, t, s, r: of a block of ``_weighed`` and one of ``_packing``, for each other text the greatest cosine s, and the least id of
+    training texts alike to 9 digits, r."""
+
+    def run(train: pa.Table, other: pa.Table) -> pa.Table:
+        found = []
+        if train.num_rows and other.num_rows:
+            lists = [other.column(c).combine_chunks() for c in ("a", "b", "w")]
+            at = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+            o_a, o_b, o_w = (x.flatten().to_numpy() for x in lists)
+            o_g = None
+
+            def known(a, b):
+                nonlocal o_g
+                o_g = _same(np.concatenate([a, o_a]), np.concatenate([b, o_b]))[len(a) :]
+                return np.isin(np.arange(len(a)), o_g)
+
+            ids, _, _, t, g, w = _weighed(train, n, max_df, known)
+            t_ids, o_ids = ids.to_numpy(zero_copy_only=False), other.column("id").to_numpy()
+            order = np.argsort(g)
+            t, g, w = t[order], g[order], w[order]
+            starts, ends = np.searchsorted(g, o_g), np.searchsorted(g, o_g, "right")
+            for o in range(len(o_ids)):
+                own = slice(at[o], at[o + 1])
+                k = ends[own] - starts[own]
+                if k.sum():
+                    cells = np.repeat(starts[own] - np.cumsum(k) + k, k) + np.arange(k.sum())  # the postings of all its n-grams
+                    s = np.bincount(t[cells], w[cells] * np.repeat(o_w[own], k), len(t_ids))
+                    r = np.floor(s * 1e9 + 0.5)
+                    top = r.max()
+                    found.append((o_ids[o], t_ids[r == top].min(), s.max(), top))
+        columns = zip(*found, strict=True) if found else ([], [], [], [])
+        kinds = other.schema.field("id").type, train.schema.field("id").type, pa.float64(), pa.float64()
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["o", "t", "s", "r"])
+
+    return run
+
+
+def _distinct(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(side, id, text, digest) of training texts (side 0) and others (side 1), null texts empty; (side, digest, id, m, size): the least
+    id, the number and the length of equal texts of a side; and these texts (side, id, text, m, size)."""
     digest = F.sha2("text", 256)
     of = lambda d, side: d.select(F.lit(side).alias("side"), "id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest)
     both = of(train, 0).unionByName(of(other, 1))
-    firsts = cut(both.groupBy("side", "digest").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    texts = both.drop("digest").join(firsts.drop("digest"), ["side", "id"])
-    return both, firsts, vectors(texts, ["side", "id"], max_df)
+    firsts = cut(both.groupBy("side", "digest").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.max(F.length("text")).alias("size")))
+    return both, firsts, both.drop("digest").join(firsts.drop("digest"), ["side", "id"])
 
 
 def near(train: DataFrame, other: DataFrame, least: float, max_df: float = 0.2) -> DataFrame:
     """id of each other text that has a training text with a cosine of at least ``least`` (over 0): those whose ``max_similarity`` is
     that high, found by prefixes alone. Both: id (distinct), text; null texts are empty."""
-    both, firsts, rows = _sides(train, other, max_df)
+    both, firsts, texts = _distinct(train, other)
+    rows = vectors(texts, ["side", "id"], max_df)
     found = pairs_above(rows.filter("side = 1"), rows.filter("side = 0"), least, unlike=False).select(F.col("a").alias("id")).distinct()
     alike = firsts.filter("side = 1").join(found, "id").select("digest")
     return both.filter("side = 1").join(alike, "digest").select("id")
@@ -211,19 +332,28 @@ def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> D
     """id, best, max_sim: each other text's most similar training text (the least id of those alike to 9 digits; null for
     none) and their cosine, unrounded. Both: id (distinct), text; null texts are empty.
 
-    Texts are vectors as in ``vectors``, over both tables together. Equal texts are compared once. Blocks of training texts meet blocks of
-    others as tables of postings, and only the best of a block for each other text leaves them: pairs are never rows.
+    Texts are vectors as in ``vectors``, over both tables together. Equal texts are compared once. Texts are dealt to blocks, and a task
+    counts the n-grams of one: a row for each n-gram and block tells how many texts have it, and only the sums of those go back.
+    Then blocks of training texts meet blocks of others, and only the best of a block for each other text leaves them: neither the
+    n-grams of training texts nor pairs are ever rows.
     """
-    both, firsts, rows = _sides(train, other, max_df)
-    others = rows.filter("side = 1")
-    known = cut(numbered(others.select("g").distinct(), ["g"]))
-    t, o = _packed(rows.filter("side = 0"), known, "t_block"), _packed(others, known, "o_block")
-    blocks = lambda d, name: range((d.agg(F.max(name)).first()[0] or 0) + 1)
-    t_blocks, o_blocks = blocks(t, "t_block"), blocks(o, "o_block")
-    t_all = t.withColumn("o_block", F.explode(F.array(*map(F.lit, o_blocks)))).groupBy("t_block", "o_block")
-    o_all = o.withColumn("t_block", F.explode(F.array(*map(F.lit, t_blocks)))).groupBy("t_block", "o_block")
+    both, firsts, texts = _distinct(train, other)
+    sums = {r.side: (r.m, r.size) for r in firsts.groupBy("side").agg(F.sum("m").alias("m"), F.sum("size").alias("size")).collect()}
+    n = sum(m for m, _ in sums.values())
+    t_blocks, o_blocks = (max(1, -(-sums.get(side, (0, 0))[1] // size)) for side, size in ((0, BLOCK), (1, BLOCK // 2)))
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
+    block = F.when(F.col("side") == 0, deal(t_blocks)).otherwise(t_blocks + deal(o_blocks)).cast("int")  # those of others come last
+    texts = cut(texts.select(block.alias("block"), "id", "m", F.lower("text").cast("binary").alias("text")))
+    counts = texts.select("block", "m", "text").groupBy("block").applyInArrow(_block_counts, "block int, a long, b long, m long")
+    shared = counts.withColumn("df", F.sum("m").over(W.partitionBy("a", "b"))).filter("df <> m").drop("m")
+    rows = texts.unionByName(cut(shared), allowMissingColumns=True)
     kinds = [d.schema["id"].dataType.simpleString() for d in (other, train)]
-    found = t_all.cogroup(o_all).applyInArrow(_best_of, f"o {kinds[0]}, t {kinds[1]}, s double, r double")
+    packed = f"o_block int, id {kinds[0]}, a array<long>, b array<long>, w array<double>"
+    o = cut(rows.filter(F.col("block") >= t_blocks).groupBy("block").applyInArrow(_packing(n, max_df), packed))
+    each = lambda blocks: F.explode(F.array(*map(F.lit, blocks)))
+    t_all = rows.filter(F.col("block") < t_blocks).withColumn("o_block", each(range(t_blocks, t_blocks + o_blocks)))
+    o_all = o.withColumn("block", each(range(t_blocks))).groupBy("block", "o_block")
+    found = t_all.groupBy("block", "o_block").cogroup(o_all).applyInArrow(_best_of(n, max_df), f"o {kinds[0]}, t {kinds[1]}, s double, r double")
     best = found.groupBy("o").agg(F.max("s").alias("s"), F.max_by("t", F.struct("r", (-F.col("t")).alias("i"))).alias("best"))
     found = firsts.filter("side = 1").select("digest", F.col("id").alias("o")).join(best, "o", "left")
     return both.filter("side = 1").select("id", "digest").join(found, "digest").select("id", "best", F.coalesce("s", F.lit(0.0)).alias("max_sim"))
