@@ -160,3 +160,17 @@ def test_ngrams_of_training_texts_are_never_rows(spark, monkeypatch):
 def test_blocks_of_empty_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, " \t")], "id long, text string")
     assert [tuple(r) for r in retrieval.max_similarity(rows, rows).orderBy("id").collect()] == [(1, None, 0.0), (2, None, 0.0), (3, None, 0.0)]
+
+
+@pytest.mark.parametrize("block", [8000, 1 << 22])
+def test_near_texts_need_no_rows_of_ngrams(spark, texts, monkeypatch, block):
+    """Ids of both sides overlap, texts are odd or empty, near copies come in groups, and the best partner by rare n-grams isn't always near."""
+    long = [f"the quick brown fox {i % 7} jumps over lazy dogs and runs along the river bank at dawn number {i % 5}" for i in range(60)]
+    sides = [[(i, t) for i, t in enumerate([*texts, *ODD, *long, None])], [(i, t) for i, t in enumerate([*ODD, *(x.replace("river", "stream") for x in long[::2]), *texts[::3], "", None])]]
+    sides = [spark.createDataFrame(x, "id long, text string") for x in sides]
+    want = {least: sorted(r.id for r in retrieval.max_similarity(*sides).filter(F.col("max_sim") >= least).collect()) for least in (0.5, 0.95)}
+    monkeypatch.setattr(retrieval, "vectors", None)
+    monkeypatch.setattr(retrieval, "pairs_above", None)
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    for least, ids in want.items():
+        assert ids and sorted(r.id for r in retrieval.near(*sides, least).collect()) == ids

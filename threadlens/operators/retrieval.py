@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import unit
-from threadlens.sources.tables import cut
+from threadlens.sources.tables import cut, discard
 
 
 def _best(k: int, floor: float):
@@ -112,6 +112,8 @@ def pairs_above(left: DataFrame, right: DataFrame, least: float, unlike: bool =
 
 
 _SLACK = 2e-9
+#: The share of a threshold that what is left of a vector must be shorter than, for its rare n-grams to tell what may reach the threshold.
+_MET = 0.9
 #: N-grams by which a text looks for first matches, and how many of these are worked out.
 _SEEDS, _FIRST = 12, 3
 
@@ -236,7 +238,7 @@ def _block_counts(block: pa.Table) -> pa.Table:
 
 
 def _weighed(block: pa.Table, n: int, max_df: float, known=None):
-    """ids; a, b; text, n-gram and weight of all n-grams that count (and that ``known``, a function of a and b, is true for) of a block
+    """ids; a, b, df; text, n-gram and weight of all n-grams that count (and that ``known``, a function of a and b, is true for) of a block
     of texts as vectors of length 1, weighted as in ``vectors``. Rows of block: texts (id, m, text); and for n-grams that other
     blocks have too their df (a, b, df). N-grams without such a row are in texts of this block alone, which knows their df."""
     texts, rows = block.filter(pc.field("text").is_valid()), block.filter(~pc.field("text").is_valid())
@@ -254,14 +256,14 @@ def _weighed(block: pa.Table, n: int, max_df: float, known=None):
         found.append((t[own].astype(np.int32), g[own].astype(np.int32), w[own]))
     t, g, w = map(np.concatenate, zip(*found, strict=True))
     w /= np.sqrt(norm)[t]
-    return texts.column("id").combine_chunks(), counts.a, counts.b, t, g, w
+    return texts.column("id").combine_chunks(), counts.a, counts.b, df, t, g, w
 
 
 def _packing(n: int, max_df: float):
     """The texts of a block of ``_weighed`` as a row each: o_block, id, n-grams (a, b) and weights; texts without any are left out."""
 
     def run(block: pa.Table) -> pa.Table:
-        ids, a, b, t, g, w = _weighed(block, n, max_df)
+        ids, a, b, _, t, g, w = _weighed(block, n, max_df)
         own, starts = np.unique(t, return_index=True)
         at = pa.array(np.append(starts, len(t)), pa.int32())
         lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (a[g], b[g], w)]
@@ -287,7 +289,7 @@ def _best_of(n: int, max_df: float):
                 o_g = _same(np.concatenate([a, o_a]), np.concatenate([b, o_b]))[len(a) :]
                 return np.isin(np.arange(len(a)), o_g)
 
-            ids, _, _, t, g, w = _weighed(train, n, max_df, known)
+            ids, _, _, _, t, g, w = _weighed(train, n, max_df, known)
             t_ids, o_ids = ids.to_numpy(zero_copy_only=False), other.column("id").to_numpy()
             order = np.argsort(g)
             t, g, w = t[order], g[order], w[order]
@@ -318,16 +320,138 @@ def _distinct(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame,
     return both, firsts, both.drop("digest").join(firsts.drop("digest"), ["side", "id"])
 
 
+def _rare(n: int, max_df: float, least: float, t_blocks: int):
+    """side, id, h, w, rest: of each text of a block of ``_weighed`` its n-grams, rare ones first, up to where what is left is shorter than
+    ``least``: 32 bits of each (h) and its weight; rest: the length of what is left."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, a, b, df, t, g, w = _weighed(block, n, max_df)
+        place = np.empty(len(df), np.int64)
+        place[np.lexsort((b, a, df))] = np.arange(len(df))
+        order = np.argsort(t * max(1, len(df)) + place[g])
+        t, g, w = t[order].astype(np.int64), g[order], w[order]
+        texts, starts = np.unique(t, return_index=True)
+        behind = np.cumsum(w[::-1] ** 2)[::-1]
+        size = np.diff(np.append(starts, len(t)))
+        behind = np.sqrt(np.maximum(0, behind - np.repeat(np.append(behind, 0.0)[np.append(starts, len(t))[1:]], size)))
+        met = behind >= least - _SLACK
+        rest = np.maximum.reduceat(np.where(met, 0.0, behind), starts) if len(t) else np.zeros(0)
+        at = pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(met, starts, dtype=np.int64))]) if len(t) else np.zeros(1, int), pa.int32())
+        h = ((a * 0x9E3779B1 ^ b * 0x85EBCA77) * 0x27D4EB2F165667C5 >> 32).astype(np.int32)[g[met]]
+        side = pa.array(np.full(len(texts), int(block.column("block")[0].as_py() >= t_blocks), np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (h, w[met].astype(np.float32))]
+        return pa.table([side, ids.take(pa.array(texts)), *lists, pa.array(rest)], ["side", "id", "h", "w", "rest"])
+
+    return run
+
+
+def _may_be_near(least: float):
+    """o, t, s: pairs of an other text and a training text, both rows of ``_rare``, whose cosine may reach ``least``, and s, the product of
+    what they share of their rare n-grams. What it leaves out is at most the longer rest; n-grams with equal bits can only add to s."""
+
+    def run(train: pa.Table, other: pa.Table) -> pa.Table:
+        found = []
+        if train.num_rows and other.num_rows:
+            (t_at, t_h, t_w), (o_at, o_h, o_w) = ((np.append(0, np.cumsum(pc.list_value_length(d.column("h")).to_numpy())), *(pc.list_flatten(d.column(c)).to_numpy() for c in ("h", "w"))) for d in (train, other))
+            t_ids, o_ids = (d.column("id").to_numpy() for d in (train, other))
+            t_rest, o_rest = (d.column("rest").to_numpy() for d in (train, other))
+            order = np.argsort(t_h, kind="stable")
+            t = np.repeat(np.arange(len(t_ids)), np.diff(t_at))[order]
+            t_h, t_w = t_h[order], t_w[order]
+            starts, ends = np.searchsorted(t_h, o_h), np.searchsorted(t_h, o_h, "right")
+            for o in range(len(o_ids)):
+                own = slice(o_at[o], o_at[o + 1])
+                k = ends[own] - starts[own]
+                cells = np.repeat(starts[own] - np.cumsum(k) + k, k) + np.arange(k.sum())  # the postings of all its rare n-grams
+                s = np.bincount(t[cells], t_w[cells].astype(float) * np.repeat(o_w[own], k), len(t_ids))
+                fit = np.flatnonzero(s + np.maximum(t_rest, o_rest[o]) >= least - 1e-5)
+                found.append((np.full(len(fit), o), fit, s[fit]))
+        o, t, s = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([other.column("id").take(pa.array(o)), train.column("id").take(pa.array(t)), pa.array(s)], ["o", "t", "s"])
+
+    return run
+
+
+def _whole(n: int, max_df: float, t_blocks: int):
+    """side, id, a, b, w: the whole vectors of the texts of a block that are ``wanted``."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, a, b, _, t, g, w = _weighed(block, n, max_df)
+        flags = pc.fill_null(block.filter(pc.field("text").is_valid()).column("wanted"), False).to_numpy()
+        own = flags[t]
+        t, g, w = t[own], g[own], w[own]
+        texts, starts = np.unique(t, return_index=True)
+        at = pa.array(np.append(starts, len(t)), pa.int32())
+        side = pa.array(np.full(len(texts), int(block.column("block")[0].as_py() >= t_blocks), np.int32))
+        return pa.table([side, ids.take(pa.array(texts)), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in (a[g], b[g], w))], ["side", "id", "a", "b", "w"])
+
+    return run
+
+
+def _products(batches):
+    """o; a, b, w of either text of a pair -> o, s: their cosine."""
+    for batch in batches:
+        out = []
+        for x_a, x_b, x_w, y_a, y_b, y_w in zip(*(batch.column(c) for c in ("x_a", "x_b", "x_w", "y_a", "y_b", "y_w")), strict=True):
+            x_a, x_b, x_w, y_a, y_b, y_w = (c.values.to_numpy() for c in (x_a, x_b, x_w, y_a, y_b, y_w))
+            g = _same(np.concatenate([x_a, y_a]), np.concatenate([x_b, y_b]))
+            w = np.bincount(g[: len(x_w)], x_w, g.max(initial=0) + 1)
+            out.append(float(w[g[len(x_w) :]] @ y_w))
+        yield pa.RecordBatch.from_arrays([batch.column("o"), pa.array(out, pa.float64())], ["o", "s"])
+
+
 def near(train: DataFrame, other: DataFrame, least: float, max_df: float = 0.2) -> DataFrame:
     """id of each other text that has a training text with a cosine of at least ``least`` (over 0): those whose ``max_similarity`` is
-    that high, found by prefixes alone. Both: id (distinct), text; null texts are empty."""
-    both, firsts, texts = _distinct(train, other)
-    rows = vectors(texts, ["side", "id"], max_df)
-    found = pairs_above(rows.filter("side = 1"), rows.filter("side = 0"), least, unlike=False).select(F.col("a").alias("id")).distinct()
+    that high. Both: id (distinct), text; null texts are empty.
+
+    Tasks count the n-grams of blocks of texts as in ``max_similarity``; only the rare n-grams of each text leave them. From these, tasks
+    find the few pairs that can be as near (``_may_be_near``), and whole vectors are made for these pairs alone: first for each text's most
+    promising one, then for all others of texts that are not settled by it.
+    """
+    both, firsts, n, sizes, t_blocks, rows = _dealt(train, other)
+    kind = both.schema["id"].dataType.simpleString()
+    rare = cut(rows.groupBy("block").applyInArrow(_rare(n, max_df, _MET * least, t_blocks), f"side int, id {kind}, h array<int>, w array<float>, rest double"))
+    t_all, o_all = (max(1, -(-size // (8 * BLOCK))) for size in sizes)
+    each = lambda k: F.explode(F.array(*map(F.lit, range(k))))
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    t_rows = rare.filter("side = 0").withColumn("t_block", deal(t_all)).withColumn("o_block", each(o_all)).groupBy("t_block", "o_block")
+    o_rows = rare.filter("side = 1").withColumn("o_block", deal(o_all)).withColumn("t_block", each(t_all)).groupBy("t_block", "o_block")
+    pairs = cut(t_rows.cogroup(o_rows).applyInArrow(_may_be_near(least), f"o {kind}, t {kind}, s double"))
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.lit(1).alias("side"), F.col("o").alias("id")).unionByName(pairs.select(F.lit(0).alias("side"), F.col("t").alias("id"))).distinct()
+        flagged = rows.withColumn("side", F.when(F.col("block") >= t_blocks, 1).otherwise(0)).join(wanted.withColumn("wanted", F.lit(True)), ["side", "id"], "left")
+        found = flagged.drop("side").groupBy("block").applyInArrow(_whole(n, max_df, t_blocks), f"side int, id {kind}, a array<long>, b array<long>, w array<double>")
+        found = cut(found)
+        of = lambda side, key, name: found.filter(F.col("side") == side).select(F.col("id").alias(key), *(F.col(c).alias(f"{name}_{c}") for c in "abw"))
+        met = pairs.select("o", "t").join(of(1, "o", "x"), "o").join(of(0, "t", "y"), "t").drop("t")
+        near = cut(met.mapInArrow(_products, f"o {kind}, s double").filter(F.col("s") >= least).select("o").distinct())
+        discard(found)
+        return near
+
+    first = settled(pairs.groupBy("o").agg(F.max_by("t", "s").alias("t")))
+    others = cut(pairs.join(first, "o", "left_anti"))
+    found = first.unionByName(settled(others)).select(F.col("o").alias("id"))
+    discard(rare, pairs)
     alike = firsts.filter("side = 1").join(found, "id").select("digest")
     return both.filter("side = 1").join(alike, "digest").select("id")
 
 
+def _dealt(train: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame, int, tuple[int, int], int, DataFrame]:
+    """both and firsts of ``_distinct``; the number of all texts; the characters of either side's; the number of blocks of training texts, which
+    come first; and rows of ``_weighed`` by block."""
+    both, firsts, texts = _distinct(train, other)
+    sums = {r.side: (r.m, r.size) for r in firsts.groupBy("side").agg(F.sum("m").alias("m"), F.sum("size").alias("size")).collect()}
+    sizes = tuple(sums.get(side, (0, 0))[1] for side in (0, 1))
+    t_blocks, o_blocks = (max(1, -(-size // most)) for size, most in zip(sizes, (BLOCK, BLOCK // 2), strict=True))
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
+    block = F.when(F.col("side") == 0, deal(t_blocks)).otherwise(t_blocks + deal(o_blocks)).cast("int")  # those of others come last
+    texts = cut(texts.select(block.alias("block"), "id", "m", F.lower("text").cast("binary").alias("text")))
+    counts = texts.select("block", "m", "text").groupBy("block").applyInArrow(_block_counts, "block int, a long, b long, m long")
+    shared = counts.withColumn("df", F.sum("m").over(W.partitionBy("a", "b"))).filter("df <> m").drop("m")
+    return both, firsts, sum(m for m, _ in sums.values()), sizes, t_blocks, texts.unionByName(cut(shared), allowMissingColumns=True)
+
+
 def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> DataFrame:
     """id, best, max_sim: each other text's most similar training text (the least id of those alike to 9 digits; null for
     none) and their cosine, unrounded. Both: id (distinct), text; null texts are empty.
@@ -337,16 +461,8 @@ def max_similarity(train: DataFrame, other: DataFrame, max_df: float = 0.2) -> D
     Then blocks of training texts meet blocks of others, and only the best of a block for each other text leaves them: neither the
     n-grams of training texts nor pairs are ever rows.
     """
-    both, firsts, texts = _distinct(train, other)
-    sums = {r.side: (r.m, r.size) for r in firsts.groupBy("side").agg(F.sum("m").alias("m"), F.sum("size").alias("size")).collect()}
-    n = sum(m for m, _ in sums.values())
-    t_blocks, o_blocks = (max(1, -(-sums.get(side, (0, 0))[1] // size)) for side, size in ((0, BLOCK), (1, BLOCK // 2)))
-    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
-    block = F.when(F.col("side") == 0, deal(t_blocks)).otherwise(t_blocks + deal(o_blocks)).cast("int")  # those of others come last
-    texts = cut(texts.select(block.alias("block"), "id", "m", F.lower("text").cast("binary").alias("text")))
-    counts = texts.select("block", "m", "text").groupBy("block").applyInArrow(_block_counts, "block int, a long, b long, m long")
-    shared = counts.withColumn("df", F.sum("m").over(W.partitionBy("a", "b"))).filter("df <> m").drop("m")
-    rows = texts.unionByName(cut(shared), allowMissingColumns=True)
+    both, firsts, n, sizes, t_blocks, rows = _dealt(train, other)
+    o_blocks = max(1, -(-sizes[1] // (BLOCK // 2)))
     kinds = [d.schema["id"].dataType.simpleString() for d in (other, train)]
     packed = f"o_block int, id {kinds[0]}, a array<long>, b array<long>, w array<double>"
     o = cut(rows.filter(F.col("block") >= t_blocks).groupBy("block").applyInArrow(_packing(n, max_df), packed))
