@@ -112,3 +112,12 @@ def test_two_labels_weigh_as_one_column(spark):
     each = len(y) / (2 * np.bincount(y))[y.astype(int)]
     error = each * (1 / (1 + np.exp(-(x @ at + model.intercepts[0]))) - y)
     assert np.abs(x.T @ error + at).max() < 1e-3 and abs(error.sum()) < 1e-3 and at.any()
+
+
+def test_steps_read_packed_cells(spark, monkeypatch):
+    """Each step of the training reads all cells, so these are a few rows of bytes then, not lists by term."""
+    seen, summed = [], learning._summed
+    monkeypatch.setattr(learning, "_summed", lambda cells, shape, add: seen.append((cells.count(), {t for _, t in cells.dtypes})) or summed(cells, shape, add))
+    model = learning.fit(spark.createDataFrame(TRAIN, "id long, text string, label string"))
+    assert len(seen) > 2 and all(kinds == {"binary"} for _, kinds in seen)
+    assert max(n for n, _ in seen) < model.size / 5

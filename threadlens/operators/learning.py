@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.sources.tables import cut, numbered
+from threadlens.sources.tables import chunk_cells, cut, discard, numbered, packed
+from threadlens.sources.tables import summed as _summed
 
 #: Texts that must hold a feature, by block.
 LEAST_TEXTS = {"word": 1, "char": 2}
@@ -99,25 +100,19 @@ def _packed(batches):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _summed(cells: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
-    """The sum over tasks of a table of ``shape``, to which ``add`` adds each batch of cells."""
+def _chunking(n: int):
+    """Rows of features over n texts -> idf, size, r, tf: chunks of ``chunk_cells``, texts behind n others for those of characters."""
 
     def run(batches):
-        out = np.zeros(shape)
         for batch in _packed(batches):
-            add(out, batch)
-        for i in range(0, len(out), PART):
-            yield pa.RecordBatch.from_arrays([pa.array([i // PART], pa.int32()), pa.array([out[i : i + PART].tobytes()], pa.binary())], ["part", "v"])
+            lists = [batch.column(c) for c in ("r", "tf")]
+            sizes = np.diff(lists[0].offsets.to_numpy())
+            r, tf = (x.flatten().to_numpy() for x in lists)
+            char = np.where(batch.column("block").to_numpy(zero_copy_only=False) == "char", n, 0)
+            row = [batch.column("idf").to_numpy().tobytes(), packed(sizes), packed(r + np.repeat(char, sizes)), packed(tf)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["idf", "size", "r", "tf"])
 
-    def together(frame: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in frame.column("v").to_pylist())
-        return pa.table({"part": frame.column("part")[:1], "v": pa.array([total.tobytes()], pa.binary())})
-
-    found = cells.mapInArrow(run, "part int, v binary").groupBy("part").applyInArrow(together, "part int, v binary").collect()
-    out = np.zeros(shape)
-    for x in found:
-        out[x["part"] * PART :][:PART] = np.frombuffer(x["v"]).reshape(-1, shape[1])
-    return out
+    return run
 
 
 def _chances(margins: np.ndarray, two: bool) -> np.ndarray:
@@ -222,25 +217,26 @@ def fit(train: DataFrame, rounds: int = 200) -> Model:
     least = F.when(F.col("block") == "word", LEAST_TEXTS["word"]).otherwise(LEAST_TEXTS["char"])
     idf = F.log((1.0 + n) / (1 + F.size("r"))) + 1
     cells = cut(terms.filter(F.size("r") >= least).withColumn("idf", idf))
-    numbers = cells.select("block", "idf", "r", "tf")
+    # every step reads all cells, so they are packed for it
+    numbers = cut(cells.select("block", "idf", "r", "tf").mapInArrow(_chunking(n), "idf binary, size binary, r binary, tf binary"))
     context = train.sparkSession.sparkContext
 
     def squares(out: np.ndarray, batch: pa.RecordBatch) -> None:
-        _, sizes, r, x = _cells(batch, n)
-        out[:, 0] += np.bincount(r, (x * np.repeat(batch.column("idf").to_numpy(), sizes)) ** 2, 2 * n)
+        for idf, size, r, x in chunk_cells(batch):
+            out[:, 0] += np.bincount(r, (x * np.repeat(idf, size)) ** 2, 2 * n)
 
     norms = np.sqrt(_summed(numbers, (2 * n, 1), squares))  # of texts' words, then of their characters
     scale = np.divide(1, norms, out=np.zeros_like(norms), where=norms > 0)
 
     def product(values: np.ndarray) -> np.ndarray:
-        sent = context.broadcast(scale * np.concatenate([values, values]))
+        sent = context.broadcast(np.ascontiguousarray((scale * np.concatenate([values, values])).T))
 
         def add(out: np.ndarray, batch: pa.RecordBatch) -> None:
-            starts, sizes, r, x = _cells(batch, n)
-            idf = batch.column("idf").to_numpy()
-            for j, v in enumerate(sent.value.T):
-                u = idf * idf * np.add.reduceat(x * v[r], starts)
-                out[:, j] += np.bincount(r, x * np.repeat(u, sizes), 2 * n)
+            for idf, size, r, x in chunk_cells(batch):
+                starts = np.cumsum(size) - size
+                for j, v in enumerate(sent.value):
+                    u = idf * idf * np.add.reduceat(x * v.take(r), starts)
+                    out[:, j] += np.bincount(r, x * np.repeat(u, size), 2 * n)
 
         try:
             both = scale * _summed(numbers, (2 * n, values.shape[1]), add)
@@ -259,6 +255,7 @@ def fit(train: DataFrame, rounds: int = 200) -> Model:
             ends = np.arange(0, w.size + 1, w.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "term", "idf")), pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], ["block", "term", "idf", "w"])
 
+    discard(numbers)
     found = cut(cells.mapInArrow(weights, "block string, term string, idf double, w array<double>"))
     return Model(found, found.count(), labels, [float(x) for x in b])
 
